@@ -12,6 +12,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM w WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos : pos + 12], ' ') AS sequence FROM starts
+), firsts AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY sequence) AS first_id FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM firsts WHERE first_id < doc_id
+), tokens AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
+), kept AS (
+  SELECT t.doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+         string_agg(word, ' ' ORDER BY t.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM tokens t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos GROUP BY t.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.sharding import shard_documents
 
@@ -62,8 +98,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_sharding, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring, op6_simhash, op8_sharding, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_substring": OP1_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}

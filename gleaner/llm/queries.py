@@ -42,12 +42,30 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gleaner.llm.bpe import decode_documents, encode_documents
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gleaner.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.sharding import shard_documents
 
@@ -98,7 +116,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op6_simhash, op8_sharding, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring, op2_bpe, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of ``spark``, where it isn't yet.
+
+    Workers see what is installed or on PYTHONPATH; a driver that was started in the repository
+    sees more than that, so the package is sent along as an archive, once for each session.
+    """
+    root = Path(__file__).resolve().parent.parent
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or "site-packages" in root.parts or getattr(spark.sparkContext, "_gleaner_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="gleaner-ship-"), "gleaner"), "zip", root, "gleaner")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._gleaner_shipped = True

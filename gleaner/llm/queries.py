@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import shared_path
+from gleaner.session import shared_path, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +53,35 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def crc_of(column: str):
+    """crc32 of a number as text, unsigned."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.toxicity import fit, score_documents
+
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_of("doc_id") % 5 == 0
+    grammar = fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = score_documents(docs, grammar)
+    return scored.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+
+
+def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.embedding import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.language import detect_languages, fit
+
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), crc_of("doc_id") % 3 == 1
+    found = detect_languages(docs.select("doc_id", "text"), fit(docs.where(~held)))
+    found = found.select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.simhash import near_duplicates
 
@@ -116,7 +146,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_bpe, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ from gleaner.session import materialise
 
 WINDOW, DEPTH, MAX_BITS, SLICE_BITS = 13, 2, 28, 22
 #: Windows that a task holds before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Windows of the input for each shard of the exact grouping.
 SHARD = 3_000_000
 LAST = 2**63 - 1
@@ -146,59 +146,61 @@ def _rank(ids: np.ndarray) -> np.ndarray:
     return ids.view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else []
+def _mark_frames(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """``(bucket, frame)``: marked starts of a bucket of documents, packed together."""
+    bucket = (mix64(_rank(ids)) % np.uint64(buckets)).astype(np.int64)[doc]
+    order = np.lexsort((pos, doc, bucket))
+    bucket, doc, pos = bucket[order], doc[order], pos[order].astype(np.uint32)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist() if len(doc) else []
     for x, y in zip(cuts[:-1], cuts[1:]):
-        yield int(doc[x]), pack_sorted(pos[x:y].astype(np.uint32))
+        who, times = np.unique(doc[x:y], return_counts=True)
+        yield int(bucket[x]), _frame(ids[who].tobytes(), hashes[who].tobytes(), pack(times.astype(np.uint32)), pack_sorted(pos[x:y]))
 
 
-def _mark_rows(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[pa.Array]:
-    """The columns of MARKS."""
-    out = list(_by_document(doc, pos))
-    who = np.array([d for d, _ in out], np.int64)
-    return [pa.array(ids[who]), pa.array(hashes[who]), pa.array([p for _, p in out], pa.binary())]
-
-
-CANDIDATES = "shard int, doc_key long, text_hash long, part binary"
-MARKS = "doc_key long, text_hash long, part binary"
+def _merge_marks(frames: list[bytes]) -> pa.Table:
+    """A row for each document of a bucket: packed starts of all its marked windows."""
+    parts = [_unframe(x, 4) for x in frames]
+    times = [unpack(x[2], np.uint32) for x in parts]
+    ids = np.concatenate([np.repeat(np.frombuffer(x[0], np.int64), n) for x, n in zip(parts, times)])
+    hashes = np.concatenate([np.repeat(np.frombuffer(x[1], np.int64), n) for x, n in zip(parts, times)])
+    pos = np.concatenate([unpack_sorted(x[3], np.uint32) for x in parts])
+    order = np.lexsort((pos, hashes, ids))
+    ids, hashes, pos = ids[order], hashes[order], pos[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]), [True])))
+    rows = [pack_sorted(np.unique(pos[x:y])) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.table({"doc_key": ids[cuts[:-1]], "text_hash": hashes[cuts[:-1]], "part": pa.array(rows, pa.binary())})
 
 
 def find_marks(keyed: DataFrame, bitmaps, bits: int, window: int, shards: int) -> DataFrame:
-    """``doc_key, text_hash, part``: packed starts of the windows to remove, several rows a document."""
+    """``doc_key, text_hash, part``: packed starts of the windows to remove, a row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = bitmaps.value
         held: list[tuple] = []
         ids: list[int] = []
         hashes: list[int] = []
-        seen = kept = 0
+        kept = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             id_of, hash_of = np.array(ids, np.int64), np.array(hashes, np.int64)
             a, b, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+            held.clear()
             order, later = settle(a, b, doc, _rank(id_of))
             done = order[later]
-            cols = _mark_rows(id_of, hash_of, doc[done], pos[done])
-            carried = pa.array((shards + _rank(cols[0].to_numpy()) % np.uint64(shards)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([carried, *cols], ["shard", "doc_key", "text_hash", "part"])
+            rows = [(shards + k, x) for k, x in _mark_frames(id_of, hash_of, doc[done], pos[done], shards)]
             left = order[~later]
             a, b, doc, pos = a[left], b[left], doc[left], pos[left]  # in the order of the digest
             cuts = np.searchsorted(a, np.array([(k << 64) // shards for k in range(shards)], np.uint64)).tolist() + [len(a)]
-            rows = []
             for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if y > x:
                     who, at = np.unique(doc[x:y], return_inverse=True)
                     rows.append((k, _frame(pack_sorted(a[x:y]), pack(b[x:y]), pack(at.astype(np.uint32)), pack(pos[x:y]), id_of[who].tobytes(), hash_of[who].tobytes())))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["shard", "doc_key", "text_hash", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["shard", "frame"])
 
         for part in slices(batches):
             for text, key, digest in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 a, b = window_keys(utf8(text).split(), window)
                 at = np.flatnonzero(repeated(a, maps, bits))
-                seen += len(a)
                 if len(at):
                     held.append((a[at], b[at], np.full(len(at), len(ids), np.int64), at.astype(np.uint32)))
                     ids.append(key)
@@ -211,9 +213,10 @@ def find_marks(keyed: DataFrame, bitmaps, bits: int, window: int, shards: int) -
             yield from flush()
 
     def group(part: pa.Table) -> pa.Table:
-        if part.column("shard")[0].as_py() >= shards:
-            return part.select(["doc_key", "text_hash", "part"])
-        frames = [_unframe(x) for x in part.column("part").to_pylist()]
+        shard = part.column("shard")[0].as_py()
+        if shard >= shards:  # settled already: on to their bucket
+            return pa.table({"bucket": pa.array([shard - shards] * part.num_rows, pa.int32()), "frame": part.column("frame")})
+        frames = [_unframe(x, 6) for x in part.column("frame").to_pylist()]
         a = np.concatenate([unpack_sorted(x[0], np.uint64) for x in frames])
         b = np.concatenate([unpack(x[1], np.uint32) for x in frames])
         id_of = np.concatenate([np.frombuffer(x[4], np.int64) for x in frames])
@@ -223,17 +226,21 @@ def find_marks(keyed: DataFrame, bitmaps, bits: int, window: int, shards: int) -
         pos = np.concatenate([unpack(x[3], np.uint32) for x in frames])
         order, later = settle(a, b, doc, _rank(id_of))
         done = order[later]
-        cols = _mark_rows(id_of, hash_of, doc[done], pos[done])
-        return pa.table(cols, names=["doc_key", "text_hash", "part"])
+        rows = list(_mark_frames(id_of, hash_of, doc[done], pos[done], shards))
+        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "frame": pa.array([x for _, x in rows], pa.binary())})
+
+    def merge(part: pa.Table) -> pa.Table:
+        return _merge_marks(part.column("frame").to_pylist())
 
-    return keyed.mapInArrow(run, CANDIDATES).groupBy("shard").applyInArrow(group, MARKS)
+    found = keyed.mapInArrow(run, "shard int, frame binary").groupBy("shard").applyInArrow(group, "bucket int, frame binary")
+    return found.groupBy("bucket").applyInArrow(merge, "doc_key long, text_hash long, part binary")
 
 
 def _frame(*parts: bytes) -> bytes:
     return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
 
 
-def _unframe(data: bytes, n: int = 6) -> list[bytes]:
+def _unframe(data: bytes, n: int) -> list[bytes]:
     sizes = np.frombuffer(data[: 4 * n], np.uint32)
     ends = np.cumsum(sizes) + 4 * n
     return [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
@@ -242,13 +249,13 @@ def _unframe(data: bytes, n: int = 6) -> list[bytes]:
 # Cutting
 
 
-def cut(text: str | None, parts: list[bytes] | None, window: int) -> tuple[int, int, str, list[tuple[int, int]]]:
+def cut(text: str | None, part: bytes | None, window: int) -> tuple[int, int, str, list[tuple[int, int]]]:
     """``(words, removed, kept words joined by one space, removed word spans)``."""
     words = utf8(text).split()
-    if not parts:
+    if not part:
         return len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass"), []
     edge = np.zeros(len(words) + 1, np.int32)
-    starts = np.unique(np.concatenate([unpack_sorted(p, np.uint32) for p in parts])).astype(np.int64)
+    starts = unpack_sorted(part, np.uint32).astype(np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -277,14 +284,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_bits: int = MAX_BI
     maps = build_sketch(keyed, window, bits)
     shared = spark.sparkContext.broadcast(maps)
     marks = find_marks(keyed, shared, bits, window, max(12, words // SHARD))
-    marks = marks.groupBy("doc_key", "text_hash").agg(F.collect_list("part").alias("parts"))
     row = F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"), key.alias("r_key"), F.xxhash64(F.col(text_col)).alias("r_hash"))
-    joined = rows.join(marks, (F.col("r_key") == F.col("doc_key")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "text", "parts")
+    text_at = docs.columns.index(text_col)
+    rows = docs.select(row.alias("row"), key.alias("r_key"), F.xxhash64(F.col(text_col)).alias("r_hash"))
+    joined = rows.join(marks, (F.col("r_key") == F.col("doc_key")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            out = [cut(t, p, window) for t, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            texts = part.column(0).field(text_at).to_pylist()
+            out = [cut(t, p, window) for t, p in zip(texts, part.column(1).to_pylist())]
             n, gone, kept, spans = zip(*out)
             spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -63,7 +63,8 @@ def ngrams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.
         value = value * np.uint64(0x110003) + code[k : k + n]
         if 0 < k < order - 1:
             inside &= code[k : k + n] != 0
-    inside &= (code[:n] != 0) | (code[order - 1 : order - 1 + n] != 0) if order > 1 else code[:n] != 0
+    if order == 1:
+        inside = code[:n] != 0
     before = np.concatenate(([0], np.cumsum(inside)))
     starts = np.concatenate(([0], before[np.minimum(n, np.maximum(0, place[stops] - 1))]))
     starts[-1] = inside.sum()

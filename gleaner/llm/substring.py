@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.tasks import mix64, pack, pack_sorted, slices, unpack, unpack_sorted, utf8
 from gleaner.session import materialise
 
-WINDOW, DEPTH, MAX_BITS, SLICE_BITS = 13, 2, 28, 22
+WINDOW, DEPTH, MAX_BITS, SLICE_BITS = 13, 2, 28, 20
 #: Windows that a task holds before it sends them on.
 FLUSH = 2_000_000
 #: Windows of the input for each shard of the exact grouping.
@@ -71,16 +71,22 @@ def sketch_slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
                 yield row * (len(cuts) - 1) + k, pack_sorted(at[a:b] - np.uint32(k * per))
 
 
-def merge_slices(parts: list[bytes], bits: int) -> np.ndarray:
-    """The bitmap of the cells of a slice whose sum over all tasks is two or more."""
-    total = np.zeros(1 << min(bits, SLICE_BITS), np.uint8)
-    for part in parts:
+class SliceCounts:
+    """The sum over all tasks of the cells of a slice, which need to be told only up to two."""
+
+    def __init__(self, bits: int):
+        self.total = np.zeros(1 << min(bits, SLICE_BITS), np.uint8)
+
+    def add(self, part: bytes) -> None:
         at = unpack_sorted(part, np.uint32)
         new = np.concatenate(([True], at[1:] != at[:-1]))
-        one, again = at[new], at[~new]
-        total[one] = np.minimum(total[one] + 1, 2)
-        total[again] = 2
-    return np.packbits(total >= 2, bitorder="little")
+        one = at[new]
+        self.total[one] = np.minimum(self.total[one] + 1, 2)
+        self.total[at[~new]] = 2
+
+    def bitmap(self) -> bytes:
+        """One bit a cell: whether its count reaches two."""
+        return np.packbits(self.total >= 2, bitorder="little").tobytes()
 
 
 def repeated(keys: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> np.ndarray:
@@ -113,10 +119,24 @@ def build_sketch(keyed: DataFrame, window: int, bits: int) -> list[np.ndarray]:
         if n:
             yield from flush()
 
-    def merge(group: pa.Table) -> pa.Table:
-        return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([merge_slices(group.column("part").to_pylist(), bits).tobytes()], pa.binary())})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices come one after another, so one slice's counts are held at a time."""
+        at, counts = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.bitmap()], pa.binary())], ["slice", "bits"])
+
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k != at:
+                    if counts is not None:
+                        yield done()
+                    at, counts = k, SliceCounts(bits)
+                counts.add(part.as_py())
+        if counts is not None:
+            yield done()
 
-    found = keyed.select("text").mapInArrow(run, "slice int, part binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary")
+    found = keyed.select("text").mapInArrow(run, "slice int, part binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
     size = (1 << min(bits, SLICE_BITS)) // 8
     per_row = max(1, (1 << bits) // (size * 8))
     rows = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(DEPTH)]

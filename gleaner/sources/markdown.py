@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from gleaner.errors import Code, EngineError
 from gleaner.functions.text import JS_SPACE
@@ -39,7 +40,15 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 
     A byte-order mark stays in the text. Hidden, build and dependency folders are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = None
+    for folder in ROOTS:  # loaded by name, since Spark leaves out folders whose names begin with a dot
+        try:
+            own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{root}/{folder}").select("path", "content")
+        except AnalysisException:
+            continue
+        files = own if files is None else files.unionByName(own)
+    if files is None:
+        return spark.createDataFrame([], "source string, text string")
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^.*?/(?=\.agent/(?:knowledge|decisions)/)", "")
     wanted = path.rlike(r"^\.agent/(knowledge|decisions)/") & ~F.exists(F.split(path, "/"), lambda x: x.isin(*SKIPPED) | x.startswith(".env."))
     found = files.select(path.alias("source"), "content").where(wanted)

@@ -1,0 +1,104 @@
+import math
+import random
+
+import pytest
+
+from gleaner.operators import compare, metrics
+
+
+def evidence(spark, hits, graded):
+    return metrics.score_evidence(spark.createDataFrame(hits, "query_id long, rank long, evidence_id string"), spark.createDataFrame(graded, "query_id long, evidence_id string, grade int"))
+
+
+def test_novelty_of_evidence(spark):
+    found = evidence(spark, [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "z"), (3, 9, "c")], [(1, "a", 2), (1, "b", 1), (2, "z", 0), (3, "c", 2), (4, "d", 1)])
+    rows = {r["query_id"]: r for r in found.collect()}
+    assert rows[1]["ndcg8"] == round((3 + 0.5) / (3 + 1 / math.log2(3)), 6) and [rows[1][f"useful{k}"] for k in (1, 3, 5, 8)] == [1, 1, 1, 1]
+    assert rows[2]["ndcg8"] is None and rows[2]["useful1"] is None and rows[2]["nonempty"] == 1
+    assert (rows[3]["ndcg8"], rows[3]["span_recall8"], rows[3]["nonempty"]) == (0, 0, 0)
+    assert (rows[4]["ndcg8"], rows[4]["useful8"]) == (0, 0)
+
+
+@pytest.mark.parametrize("credits, want, recall", [([(1, 2), (2, 2)], 3 / (3 + 3 / math.log2(3)), 0.5), ([(1, 1), (2, 2)], (1 + 2 / math.log2(3)) / 3, 1.0)])
+def test_novelty_of_units(spark, credits, want, recall):
+    rows = [(1, r, "gc", g) for r, g in credits]
+    units = [(1, "gc", 2)] + ([(1, "other", 2)] if recall < 1 else [])
+    found = metrics.score_units(spark.createDataFrame(rows, "query_id long, rank long, unit_id string, grade int"), spark.createDataFrame(units, "query_id long, unit_id string, grade int")).first()
+    assert found["ndcg8"] == round(want, 6) and found["span_recall8"] == recall
+
+
+def test_units_against_the_sequential_loop(spark):
+    rnd = random.Random(1)
+    credits, units, want = [], [], {}
+    value = {0: 0.0, 1: 1.0, 2: 3.0}
+    for q in range(60):
+        own = {u: rnd.randint(1, 2) for u in range(rnd.randint(1, 5))}
+        units += [(q, u, g) for u, g in own.items()]
+        best, dcg = {}, 0.0
+        for rank in range(1, 12):
+            got = [(u, rnd.randint(0, 2)) for u in own if rnd.random() < 0.4]
+            credits += [(q, rank, u, g) for u, g in got]
+            if rank <= 8:
+                dcg += max([max(0.0, value[g] - best.get(u, 0.0)) for u, g in got], default=0.0) / math.log2(rank + 1)
+                for u, g in got:
+                    best[u] = max(best.get(u, 0.0), value[g])
+        ideal = sum(value[g] / math.log2(k + 2) for k, g in enumerate(sorted(own.values(), reverse=True)[:8]))
+        want[q] = round(dcg / ideal, 6)
+    found = metrics.score_units(spark.createDataFrame(credits, "query_id long, rank long, unit_id long, grade int"), spark.createDataFrame(units, "query_id long, unit_id long, grade int"))
+    assert {r["query_id"]: r["ndcg8"] for r in found.collect()} == pytest.approx(want, abs=2e-6)
+
+
+def test_means_are_unknown_unless_whole(spark):
+    rows = [(1, 1.0), (1, 2.0), (2, 1.0), (2, None), (3, 1.0)]
+    found = metrics.query_means(spark.createDataFrame(rows, "question long, value double"), 2)
+    assert {r["question"]: r["mean"] for r in found.collect()} == {1: 1.5, 2: None, 3: None}
+
+
+def test_summaries(spark):
+    rows = [("p", "s", 1.0), ("p", "t", None), ("q", "s", 0.0)]
+    found = metrics.summarise(spark.createDataFrame(rows, "project string, slice string, mean double"), ["project", "slice"])
+    got = {(r["scope"], r["name"]): (r["eligible"], r["scored"], r["missing"], r["mean"]) for r in found.collect()}
+    assert got == {("all", ""): (3, 2, 1, 0.5), ("project", "p"): (2, 1, 1, 1.0), ("project", "q"): (1, 1, 0, 0.0), ("slice", "s"): (2, 2, 0, 0.5), ("slice", "t"): (1, 0, 1, None)}
+
+
+def test_percentiles_are_nearest_ranks(spark):
+    for n in (1, 2, 3, 20, 50):
+        df = spark.createDataFrame([("g", float(k)) for k in range(1, n + 1)], "g string, v double")
+        r = metrics.percentiles(df, "g", "v").first()
+        assert (r["p50"], r["p95"], r["longest"]) == (math.ceil(n * 0.5), math.ceil(n * 0.95), n)
+
+
+def test_generator():
+    state, seen = compare.SEED, []
+    for _ in range(3):
+        state = (state * compare.A + compare.C) % compare.M
+        seen.append(state)
+    assert seen == [1713591156, 2781767747, 335540422]
+    assert [compare.jump(compare.SEED, k) for k in (0, 1, 2, 3)] == [compare.SEED, *seen]
+
+
+def test_paired_comparison(spark):
+    left = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 1.0), (4, None), (5, 1.0)], "question long, mean double")
+    right = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 0.0), (4, 1.0)], "question long, mean double")
+    pairs = compare.paired(left, right)
+    assert tuple(compare.outcome(pairs).first()) == (3, 1, 1, 1, 0.0)
+    assert tuple(compare.bootstrap(pairs).first()) == (-1.0, 1.0)
+    state, means = compare.SEED, []
+    deltas = [r["delta"] for r in pairs.orderBy("question").collect()]
+    for _ in range(2000):
+        total = 0.0
+        for _ in deltas:
+            state = (state * compare.A + compare.C) % compare.M
+            total += deltas[int(state / compare.M * len(deltas))]
+        means.append(total / len(deltas))
+    means.sort()
+    assert tuple(compare.bootstrap(pairs).first()) == (round(means[50], 6), round(means[1950], 6))
+
+
+def test_gates_and_costs(spark):
+    rules = spark.createDataFrame([("a", "at_least", 1.0), ("b", "at_most", 1.0), ("c", "at_most", 1.0), ("d", "at_most", 1.0)], "gate string, sense string, bound double")
+    found = compare.gates(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None)], "gate string, value double"), rules)
+    assert {r["gate"]: r["status"] for r in found.collect()} == {"a": "PASS", "b": "FAIL", "c": "INCONCLUSIVE", "d": "INCONCLUSIVE"}
+    assert compare.decision(found).first()[0] == "NO_ROLLOUT" and compare.decision(found.where("status = 'PASS'")).first()[0] == "ROLLOUT"
+    cost = compare.costs(spark.createDataFrame([("x", 1.0), ("x", None), ("y", None)], "s string, c double"), "s", "c")
+    assert {tuple(r) for r in cost.collect()} == {("x", 1.0, 1), ("y", 0.0, 1)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.text import match_terms, matches
+from gleaner.session import materialise
 
 #: Fixed values of the ranker.
 K1, B = 1.2, 0.75
@@ -25,6 +26,14 @@ class LexicalIndex:
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    #: Every passage and field (id, field), for an index that isn't saved yet.
+    every: DataFrame | None = None
+
+    def saved(self) -> "LexicalIndex":
+        """The index with its tables written once, so that no text is taken apart twice."""
+        posted = materialise(self.postings, "postings")
+        lengths = materialise(_lengths(self.every, posted), "lengths")
+        return LexicalIndex(posted, lengths, _stats(lengths))
 
     def terms(self) -> DataFrame:
         """``field, term, tf, df``."""
@@ -34,10 +43,13 @@ class LexicalIndex:
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
     """``id, term, tf`` of one field.
 
-    Equal matches of a passage are counted before they are split into terms, so the costly part
-    runs once for each distinct word; both aggregations group by the passage and share one exchange.
+    Texts are dealt by the passage's key before they are taken apart: a text is smaller than its
+    words with their counts, and no aggregation by passage needs an exchange after that. Equal
+    matches of a passage are counted before they are split into terms, so the costly part runs
+    once for each distinct word.
     """
-    words = passages.select(F.col(key).alias("id"), F.explode(matches(F.col(text))).alias("match"))
+    dealt = passages.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    words = dealt.select("id", F.explode(matches(F.col("text"))).alias("match"))
     counted = words.groupBy("id", "match").agg(F.count("*").alias("n"))
     return counted.select("id", F.explode(match_terms(F.col("match"))).alias("term"), "n").groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
@@ -51,11 +63,18 @@ def build_index(passages: DataFrame, key: str, fields: dict[str, str]) -> Lexica
     for name, column in fields.items():
         own = postings(passages, key, column).select(F.lit(name).alias("field"), "term", "id", "tf")
         posted = own if posted is None else posted.unionByName(own)
-    summed = posted.groupBy("field", "id").agg(F.sum("tf").alias("length"))
     every = passages.select(F.col(key).alias("id"), F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    lengths = every.join(summed, ["field", "id"], "left").select("field", "id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    stats = lengths.groupBy("field").agg(F.sum("length").alias("total_length"), F.count("*").alias("n"))
-    return LexicalIndex(posted, lengths, stats)
+    lengths = _lengths(every, posted)
+    return LexicalIndex(posted, lengths, _stats(lengths), every)
+
+
+def _lengths(every: DataFrame, posted: DataFrame) -> DataFrame:
+    summed = posted.groupBy("field", "id").agg(F.sum("tf").alias("length"))
+    return every.join(summed, ["field", "id"], "left").select("field", "id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.sum("length").alias("total_length"), F.count("*").alias("n"))
 
 
 def field_weight(field: Column) -> Column:

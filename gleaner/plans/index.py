@@ -79,7 +79,7 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     now = vectors(spark, root, profile)
     if passages.join(now.where(valid(F.col("embedding"), provider.size)), "chunk_hash", "left_anti").limit(1).count():
         raise EngineError(Code.INDEX_INVALID, "a passage has no valid vector")
-    lexical = build_index(passages.select("passage_id", "text", F.concat_ws(" ", "headings").alias("heads"), "source"), "passage_id", {"body": "text", "headings": "heads", "path": "source"})
+    lexical = build_index(passages.select("passage_id", "text", F.concat_ws(" ", "headings").alias("heads"), "source"), "passage_id", {"body": "text", "headings": "heads", "path": "source"}).saved()
     lexical.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
     lexical.lengths.write.parquet(f"{at}/lengths")
     lexical.stats.write.parquet(f"{at}/stats")

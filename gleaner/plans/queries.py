@@ -67,7 +67,7 @@ PATH_FIELD_TERMS = f"WITH {_terms_sql('t', 'pages', 'page_id', 'url')} SELECT te
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(passages(spark, sf_dir), "doc_id", {"body": "text", "path": "path"})
+    return lexical.build_index(passages(spark, sf_dir), "doc_id", {"body": "text", "path": "path"}).saved()
 
 
 def lexical_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,6 @@ def best_window_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = materialise(lexical.query_terms(items(spark, sf_dir), "item_id", "query"), "terms")
     index = _index(spark, sf_dir)
     index.postings = materialise(index.postings.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
-    index.lengths = materialise(index.lengths, "lengths")
     found = lexical.top(lexical.bm25(index, terms), 8)
     total = passages(spark, sf_dir).count()
     body = index.postings.where("field = 'body'").groupBy("term").agg(F.count("*").alias("df"))

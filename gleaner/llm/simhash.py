@@ -25,7 +25,7 @@ from gleaner.session import materialise
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bound of the sample from which the driver builds the tree, and fingerprints to a leaf.
-SAMPLE, LEAF = 100_000, 16_384
+SAMPLE, LEAF = 100_000, 4096
 #: Below this many fingerprints a leaf compares all of them.
 DENSE = 768
 

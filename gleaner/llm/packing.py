@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.tasks import slices, utf8
+from gleaner.llm.tasks import slices
 from gleaner.session import materialise
 
 CAPACITY, END = 4096, 1
@@ -95,14 +96,24 @@ class WordEncoder:
             known.update(out)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [utf8(t).split() for t in texts]
-        known = self.known
-        new = self._add(set().union(*[set(words).difference(known) for words in split]))
-        if not new:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow splits the texts and numbers their distinct words, so a word is looked up once for
+        all texts, and puts the words' ids in the order of the texts.
+        """
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.known.get, words))
+        new = self._add({w for w, x in zip(words, ids) if x is None and w})
+        ids = [new.get(w, b"") if x is None else x for w, x in zip(words, ids)]  # white space at an end leaves an empty word
+        placed = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(placed.buffers()[1], np.int64)[bounds].tolist()
+        data = memoryview(placed.buffers()[2] or b"")
+        return [bytes(data[x:y]) for x, y in zip(ends[:-1], ends[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,9 +138,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for part in slices(batches):
+        for part in slices(batches, 1024):
             rows = []
-            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

@@ -27,8 +27,8 @@ from gleaner.llm.tasks import slices
 from gleaner.session import materialise
 
 CAPACITY, END = 4096, 1
-#: Parts into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Pieces of one length that are ranked together; a length with more is dealt in several parts.
+RANKED = 250_000
 #: Words whose ids a worker keeps.
 MEMO = 600_000
 
@@ -309,11 +309,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     null. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    rows = materialise(pieces(docs, tokenizer, capacity, end, id_col, text_col, with_ids).withColumn("salt", salt), "pieces")
-    counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = materialise(pieces(docs, tokenizer, capacity, end, id_col, text_col, with_ids), "pieces")
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = spark.createDataFrame(plan(histogram, capacity), RANGES)
+    parts = F.element_at(F.lit([-(-histogram.get(k + 1, 1) // RANKED) for k in range(capacity)]), F.col("length"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
+    counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     starts = counts.select("length", "salt", before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1

@@ -28,6 +28,8 @@ FIT_ROWS = 4000
 #: language where it is most frequent, and occurs this often.
 SHARE, LEAST = 0.25, 3
 UNDETERMINED = "und"
+#: Characters that are taken apart at once.
+CHARS = 1 << 18
 
 _LETTERS: list[np.ndarray] = []
 
@@ -71,6 +73,30 @@ def ngrams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.
     return value[inside], starts, counts
 
 
+def portions(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """``(number of its text, part of the text)`` of all texts, in lists of about ``chars`` characters.
+
+    Long texts are cut at a space, which no n-gram spans, so their parts have just their n-grams.
+    """
+    owners, parts, held = [], [], 0
+    for k, text in enumerate(texts):
+        text, at = text or "", 0
+        while True:
+            end = text.find(" ", at + chars)
+            end = len(text) if end < 0 else end
+            owners.append(k)
+            parts.append(text[at:end])
+            held += end - at + 1
+            at = end + 1
+            if held >= chars:
+                yield owners, parts
+                owners, parts, held = [], [], 0
+            if at > len(text) or end == len(text):
+                break
+    if owners:
+        yield owners, parts
+
+
 @dataclass
 class LanguageFilters:
     languages: list[str]
@@ -113,15 +139,20 @@ class LanguageFilters:
     def detect(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """``(language, score)`` of each text: the share of its n-grams that the language has,
         less what false positives give. Ties go to the name that sorts first."""
-        values, starts, found = ngrams(texts, self.order)
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        mask, rate = self.languages_of(values), self.false_positives()
-        total = np.maximum(1, np.diff(starts))
-        share = np.empty((len(texts), len(self.languages)))
-        for l in range(len(self.languages)):
-            hits = np.concatenate(([0], np.cumsum((mask >> np.uint64(l)) & np.uint64(1), dtype=np.int64)))
-            share[:, l] = ((hits[starts[1:]] - hits[starts[:-1]]) / total - rate[l]) / (1 - min(rate[l], 0.999))
+        rate = self.false_positives()
+        total, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        hits = np.zeros((len(texts), len(self.languages)))
+        for owners, parts in portions(texts):
+            values, starts, in_letters = ngrams(parts, self.order)
+            mask = self.languages_of(values)
+            np.add.at(total, owners, np.diff(starts))
+            np.add.at(found, owners, in_letters)
+            for l in range(len(self.languages)):
+                upto = np.concatenate(([0], np.cumsum((mask >> np.uint64(l)) & np.uint64(1), dtype=np.int64)))
+                np.add.at(hits[:, l], owners, upto[starts[1:]] - upto[starts[:-1]])
+        share = (hits / np.maximum(1, total)[:, None] - rate) / (1 - np.minimum(rate, 0.999))
         best = share.argmax(axis=1)
         score = np.clip(share[np.arange(len(texts)), best], 0.0, 1.0)
         return [(self.languages[b], float(s)) if n else (UNDETERMINED, 0.0) for b, s, n in zip(best, score, found)]
@@ -137,11 +168,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     sample = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             langs, texts = np.array(part.column(0).to_pylist(), object), np.array(part.column(1).to_pylist(), object)
             for lang in set(langs.tolist()):
-                values, n = np.unique(ngrams(texts[langs == lang].tolist(), order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                for _, some in portions(texts[langs == lang].tolist()):
+                    values, n = np.unique(ngrams(some, order)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     counts = materialise(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

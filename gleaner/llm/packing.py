@@ -30,7 +30,7 @@ CAPACITY, END = 4096, 1
 #: Pieces of one length that are ranked together; a length with more is dealt in several parts.
 RANKED = 250_000
 #: Words whose ids a worker keeps.
-MEMO = 600_000
+MEMO = 400_000
 
 
 # Tokens

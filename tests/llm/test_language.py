@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm.language import UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams
+from gleaner.llm.language import UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams, portions
 from gleaner.llm.queries import op5_language
 from tests.llm.texts import awkward, frame
 
@@ -37,6 +37,17 @@ def test_ngrams_are_those_of_each_text_alone():
         assert len(set(want)) == len(set(alone.tolist()))
 
 
+def test_portions_have_the_ngrams_of_the_whole():
+    texts = ["one two  three ", None, "", "x" * 50, " a b c d e f g h i j", "last words", "z "]
+    for chars in (1, 3, 10, 1000):
+        grams = {}
+        for owners, parts in portions(texts, chars):
+            values, starts, _ = ngrams(parts)
+            for k, a, b in zip(owners, starts[:-1], starts[1:]):
+                grams.setdefault(k, []).extend(values[a:b].tolist())
+        assert {k: sorted(v) for k, v in grams.items()} == {k: sorted(ngrams([t])[0].tolist()) for k, t in enumerate(texts)}
+
+
 def test_filters_return_all_languages_of_an_ngram():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 3000), dtype=np.uint64)

@@ -87,7 +87,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
     quoted = F.concat(F.lit("(?=\\Q"), F.replace(F.col("text"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     starts = F.aggregate(F.split(F.col("body"), quoted), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
     real = F.filter(starts, lambda s: F.substring(F.col("body"), s + 1, F.length("text")) == F.col("text"))
-    found = rows.where(F.length("text") > 0).withColumn("start", F.explode(real).cast("long"))
+    found = rows.where(F.length("text") > 0).withColumn("start", F.explode(real)).withColumn("start", F.col("start").cast("long"))
     return found.withColumn("end", F.col("start") + F.length("text")).withColumn("start_line", line_of(F.col("body"), F.col("start"))).withColumn("start_column", column_of(F.col("body"), F.col("start")))
 
 

@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.plans import evaluation as ev
+
+Q = "question string, project string, slice string, answerable boolean, facets array<string>"
+AT = "question string, source string, text string, start long, end long"
+C = "capture string, question string, system string, phase string, kind string, failed boolean, elapsed_ms double, known_usd double, unknown_attempts long"
+X = "capture string, rank long, source string, text string, start long, end long"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """Six questions, two of them unanswerable; the proposal finds the whole text, the others a part."""
+    qs = [(f"q{k}", "p", "identifiers" if k < 2 else "other" if k < 4 else "unanswerable", k < 4, ["f"] if k < 4 else []) for k in range(6)]
+    shown, credit, units, captures, excerpts = [], [], [], [], []
+    for q, *_, answerable, _ in qs:
+        for text, end, grade in (("part", 4, 1), ("part whole", 10, 2)):
+            shown.append((q, "s", text, 0, end, grade if answerable else 0, ["f"] if answerable else [], False))
+            if answerable:
+                credit.append((q, "s", text, 0, end, "u", grade))
+        if answerable:
+            units.append((q, "u", 2))
+        for system in ("old", "other", "new"):
+            good = system == "new"
+            key = f"{system}-{q}"
+            captures.append((key, q, system, "original", "actual", False, 20.0 if good else 10.0, 0.001, 0))
+            if answerable or not good:
+                excerpts.append((key, 1, "s", *(("part whole", 0, 10) if good else ("part", 0, 4))))
+    frame = spark.createDataFrame
+    review = ev.Review(frame(units, "question string, unit_id string, target_grade int"), frame(shown, f"{AT}, display_grade int, facets array<string>, misleading boolean"), frame(credit, f"{AT}, unit_id string, achieved_grade int"))
+    return frame(qs, Q), review, frame(captures, C), frame(excerpts, X)
+
+
+BOUNDS = ev.Bounds(deltas={"old": {"useful8": 0.1, "ndcg8": 0.05}, "other": {"useful8": 0.1, "ndcg8": 0.05}}, harm={"nonempty": 0, "misleading": 0}, elapsed_p95=25.0)
+
+
+def run(tables, bounds=BOUNDS, captures=None):
+    questions, review, own, excerpts = tables
+    cohorts = {name: (name, F.col("phase") == "original") for name in ("old", "other", "new")}
+    return ev.evaluate(questions, review, own if captures is None else captures, excerpts, cohorts, "old", ("new",), bounds)
+
+
+def test_a_better_system_passes_every_gate(tables):
+    report = run(tables)
+    gates = {r["gate"]: r["status"] for r in report.gates.collect()}
+    assert len(gates) == 11 and set(gates.values()) == {"PASS"}, gates
+    assert [tuple(r) for r in report.decisions.collect()] == [("new", "GATES_PASS")]
+    row = report.comparisons.where("comparator = 'old' AND metric = 'useful8'").first()
+    assert (row["questions"], row["wins"], row["losses"], row["mean_delta"], row["low"], row["missing"]) == (4, 4, 0, 1.0, 1.0, 0)
+    means = {(r["cohort"], r["metric"]): r["mean"] for r in report.summary.where("scope = 'all'").collect()}
+    assert means["new", "ndcg8"] == 1.0 and means["old", "ndcg8"] == round(1 / 3, 6) and means["old", "nonempty"] == 1.0 and means["new", "nonempty"] == 0.0
+
+
+def test_slow_costly_and_unknown(tables):
+    captures = tables[2].withColumn("unknown_attempts", F.when(F.col("capture") == "new-q0", 1).otherwise(F.col("unknown_attempts")))
+    report = run(tables, ev.Bounds(deltas={"old": {"useful8": 2.0}}, elapsed_p95=15.0), captures)
+    gates = {r["gate"]: r["status"] for r in report.gates.collect()}
+    assert gates["old.useful8"] == "FAIL" and gates["processLatencyP95"] == "FAIL" and gates["requestCostP95"] == "INCONCLUSIVE" and gates["unknownCosts"] == "FAIL"
+    assert report.decisions.first()["decision"] == "NO_ROLLOUT"
+
+
+def test_an_unreviewed_excerpt_leaves_gates_open(spark, tables):
+    questions, review, captures, excerpts = tables
+    unseen = excerpts.withColumn("text", F.when(F.col("capture") == "new-q0", "nobody saw this").otherwise(F.col("text")))
+    gates = {r["gate"]: r["status"] for r in run((questions, review, captures, unseen)).gates.collect()}
+    assert gates["old.useful8"] == "INCONCLUSIVE" and gates["identifiers.useful8"] == "INCONCLUSIVE" and gates["unsupported.nonempty"] == "PASS"
+
+
+def test_coordinates(spark):
+    sources = spark.createDataFrame([("s", "ab x\nab y\nonce")], "source string, text string")
+    excerpts = spark.createDataFrame([("c", 1, "s", "ab", 5, 7), ("c", 2, "s", "once", 10, 14)], X)
+
+    def broken(*rows):
+        found = spark.createDataFrame(list(rows), "capture string, rank long, line long")
+        return sorted((r["rule"], r["rank"]) for r in ev.coordinate_violations(excerpts, found, sources).collect())
+
+    assert broken(("c", 1, 2)) == []
+    assert broken() == [("repeated text without resolution", 1)]
+    assert broken(("c", 1, 1)) == [("ambiguous place", 1)]
+    assert broken(("c", 1, 2), ("c", 2, 3)) == [("ambiguous place", 2)]
+    assert broken(("c", 1, 2), ("d", 1, 2)) == [("resolution without excerpt", 1)]
+
+
+def test_protocols(spark):
+    runs = spark.createDataFrame([("a", 1, None), ("b", 1, "x")], "run string, seed int, model string")
+    assert [r["key"] for r in ev.same_protocol(runs, ["seed", "model"]).collect()] == ["model"]

@@ -365,9 +365,11 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"), size.alias("size")).select("doc_id", "k", F.floor(F.col("size") * F.col("k") / 3).alias("start"), (F.floor(F.col("size") * F.col("k") / 3) + 400).alias("end"))
 
 
-def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up spans: 60 characters at every 500th, up to twenty of a text."""
-    return passages(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.lit(19), F.floor(F.length("text") / 500).cast("int")))).alias("j")).select("doc_id", "j", (F.col("j") * 500).cast("long").alias("start"), (F.col("j") * 500 + 60).cast("long").alias("end"))
+def _narrow(spark: SparkSession, sf_dir: str, most: int | None = 19) -> DataFrame:
+    """Made-up spans: 60 characters at every 500th, up to twenty of a text; of whole texts if ``most`` is None."""
+    last = F.floor(F.length("text") / 500).cast("int")
+    last = last if most is None else F.least(F.lit(most), last)
+    return passages(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("j")).select("doc_id", "j", (F.col("j") * 500).cast("long").alias("start"), (F.col("j") * 500 + 60).cast("long").alias("end"))
 
 
 _SPANS = (
@@ -392,6 +394,30 @@ def span_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPAN_OVERLAP_JOIN = f"WITH {_SPANS} SELECT w.doc_id, k, j FROM w JOIN n ON w.doc_id = n.doc_id AND w.s < n.e AND n.s < w.e"
 
 
+_WHOLE_SPANS = (
+    "w AS (SELECT doc_id, k::INT AS k, (length(text) * k) // 3 AS s, (length(text) * k) // 3 + 400 AS e FROM documents CROSS JOIN range(3) t(k)), "
+    "n AS (SELECT doc_id, j::INT AS j, j * 500 AS s, j * 500 + 60 AS e FROM (SELECT doc_id, unnest(range(length(text) // 500 + 1)) AS j FROM documents))"
+)
+
+
+def evidence_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`evidence_containment`, with narrow spans over whole texts."""
+    found = spans.contained(_wide(spark, sf_dir), _narrow(spark, sf_dir, None), ["doc_id"])
+    return found.select("doc_id", F.col("outer_k").alias("k"), F.col("inner_j").alias("j"))
+
+
+EVIDENCE_CONTAINMENT_WHOLE = f"WITH {_WHOLE_SPANS} SELECT w.doc_id, k, j FROM w JOIN n ON w.doc_id = n.doc_id AND w.s <= n.s AND w.e >= n.e"
+
+
+def span_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`span_overlap_join`, with narrow spans over whole texts."""
+    found = spans.overlapping(_wide(spark, sf_dir), _narrow(spark, sf_dir, None), ["doc_id"])
+    return found.select("doc_id", F.col("a_k").alias("k"), F.col("b_j").alias("j"))
+
+
+SPAN_OVERLAP_JOIN_WHOLE = f"WITH {_WHOLE_SPANS} SELECT w.doc_id, k, j FROM w JOIN n ON w.doc_id = n.doc_id AND w.s < n.e AND n.s < w.e"
+
+
 # Evaluation
 
 
@@ -545,7 +571,7 @@ ALL = (
     token_frequencies, path_field_terms, lexical_lengths, bm25_topk, bm25_fielded_batch, cosine_topk, cosine_batch_top40, vector_validation,
     rrf_fusion, protected_fusion_40, expanded_fusion, adapted_baseline, rerank_cutoff_top8, snippet_prefix, best_window_excerpt, source_hashes,
     passage_identity, position_to_line, line_starts, markdown_chunks, chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status,
-    exact_excerpt_mapping, evidence_containment, span_overlap_join, ranked_metrics, unit_novelty_ndcg, query_means, summary_grouping_sets,
+    exact_excerpt_mapping, evidence_containment, span_overlap_join, evidence_containment_whole, span_overlap_join_whole, ranked_metrics, unit_novelty_ndcg, query_means, summary_grouping_sets,
     nearest_rank_percentiles, paired_compare, paired_bootstrap, release_gates, label_allocation, cost_accounting,
 )
 

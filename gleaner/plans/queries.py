@@ -26,11 +26,16 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: the first five words of each benchmark item."""
+    """Short questions: the first five words of each benchmark item."""
     words = F.concat_ws(" ", F.slice(F.split("text", " "), 1, 5))
     return table(spark, sf_dir, "benchmark").select("item_id", words.alias("query"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions: the whole text of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+
+
 # Lexical
 
 TOKEN_SQL = r"""regexp_extract_all({0}, '[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_./:@-]*[\p{{L}}\p{{N}}])?')"""
@@ -109,18 +114,29 @@ BM25_TOPK = f"WITH {_FIELDS}, {_LITERAL}, {_BM25} SELECT rank, id AS doc_id, sco
 _ITEMS = f"iq AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark), {_terms_sql('it', 'iq', 'query_id', 'query')}, q AS (SELECT DISTINCT query_id, term FROM it)"
 
 
-def _lexical_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lexical.query_terms(items(spark, sf_dir), "item_id", "query")
+_WHOLE_ITEMS = f"iq AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_terms_sql('it', 'iq', 'query_id', 'query')}, q AS (SELECT DISTINCT query_id, term FROM it)"
+
+
+def _lexical_lists(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
+    terms = lexical.query_terms(asked(spark, sf_dir), "item_id", "query")
     return lexical.top(lexical.bm25(_index(spark, sf_dir), terms), 40)
 
 
-def bm25_fielded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical_lists(spark, sf_dir).where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+def bm25_fielded_batch(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
+    return _lexical_lists(spark, sf_dir, asked).where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 BM25_FIELDED_BATCH = f"WITH {_FIELDS}, {_ITEMS}, {_BM25} SELECT query_id AS item_id, rank, id AS doc_id, score FROM lex WHERE rank <= 10"
 
 
+def bm25_fielded_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`bm25_fielded_batch`, for whole questions."""
+    return bm25_fielded_batch(spark, sf_dir, questions)
+
+
+BM25_FIELDED_BATCH_WHOLE = BM25_FIELDED_BATCH.replace(_ITEMS, _WHOLE_ITEMS)
+
+
 # Vectors
 
 
@@ -162,12 +178,12 @@ VECTOR_VALIDATION = "SELECT vec_id, len(embedding) AS dim, round(sqrt(list_sum(l
 # Fusion
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
     """Lexical and vector lists of the items; an item's vector is the embedding of its number."""
     rows = materialise(_vectors(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("doc_id").alias("id")), "id", "left_semi"), "vectors")
     queries = rows.join(items(spark, sf_dir).select(F.col("item_id").alias("id")), "id", "left_semi")
     near = similarity.cosine_top(queries, rows, 40).withColumn("channel", F.lit("cosine"))
-    found = _lexical_lists(spark, sf_dir).withColumn("channel", F.lit("bm25"))
+    found = _lexical_lists(spark, sf_dir, asked).withColumn("channel", F.lit("bm25"))
     return near.unionByName(found).withColumn("is_original", F.lit(True)).select("query_id", "channel", "is_original", "id", "rank")
 
 
@@ -179,17 +195,25 @@ _LISTS = f"{_FIELDS}, {_ITEMS}, {_BM25}, {_NEAR}, lists AS (SELECT query_id, TRU
 _FUSED = "fused AS (SELECT query_id, id, round(sum(CASE WHEN original THEN 2e0 ELSE 1e0 END / (60 + rank)), 9) AS score, bool_or(original AND rank <= 8) AS prot FROM lists GROUP BY ALL)"
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fusion.fuse(_lists(spark, sf_dir))
+def rrf_fusion(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
+    fused = fusion.fuse(_lists(spark, sf_dir, asked))
     return lexical.top(fused.select("query_id", "id", "score"), 40).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 RRF_FUSION = f"WITH {_LISTS}, {_FUSED} SELECT query_id AS item_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 40"
 
 
-def protected_fusion_40(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`rrf_fusion`, for whole questions."""
+    return rrf_fusion(spark, sf_dir, questions)
+
+
+RRF_FUSION_WHOLE = RRF_FUSION.replace(_ITEMS, _WHOLE_ITEMS)
+
+
+def protected_fusion_40(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
     sources = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
-    out = fusion.protect(fusion.fuse(_lists(spark, sf_dir)).join(sources, "id"))
+    out = fusion.protect(fusion.fuse(_lists(spark, sf_dir, asked)).join(sources, "id"))
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "class", "fused_rank")
 
 
@@ -202,6 +226,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class, fo) AS
 PROTECTED_FUSION_40 = f"WITH {_LISTS}, {_FUSED}, {_PROTECTED} SELECT query_id AS item_id, id AS doc_id, class, row_number() OVER (PARTITION BY query_id ORDER BY fo) AS fused_rank FROM k"
 
 
+def protected_fusion_40_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`protected_fusion_40`, for whole questions."""
+    return protected_fusion_40(spark, sf_dir, questions)
+
+
+PROTECTED_FUSION_40_WHOLE = PROTECTED_FUSION_40.replace(_ITEMS, _WHOLE_ITEMS)
+
+
 def expanded_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One literal query and one lexical variant of it, fused."""
     queries = literal_query(spark, QUERY).unionByName(spark.range(1).select(F.lit(1).cast("long").alias("item_id"), F.lit(VARIANT).alias("query")))
@@ -216,6 +248,21 @@ EXPANDED_FUSION = (
 )
 
 
+def expanded_fusion_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question and its short form as a lexical variant, fused."""
+    ways = questions(spark, sf_dir).withColumn("item_id", F.col("item_id") * 2).unionByName(items(spark, sf_dir).withColumn("item_id", F.col("item_id") * 2 + 1))
+    found = lexical.top(lexical.bm25(_index(spark, sf_dir), lexical.query_terms(ways, "item_id", "query")), 40)
+    way = F.pmod("query_id", F.lit(2))
+    lists = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), way.cast("string").alias("channel"), (way == 0).alias("is_original"), "id", "rank")
+    return fusion.fuse(lists).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
+
+
+EXPANDED_FUSION_BATCH = (
+    f"WITH {_FIELDS}, lq AS (SELECT item_id * 2 AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:5], ' ') FROM benchmark), {_terms_sql('lt', 'lq', 'query_id', 'query')}, "
+    f"q AS (SELECT DISTINCT query_id, term FROM lt), {_BM25}, lists AS (SELECT query_id // 2 AS query_id, query_id % 2 = 0 AS original, id, rank FROM lex), {_FUSED} SELECT query_id AS item_id, id AS doc_id, score FROM fused"
+)
+
+
 def adapted_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     query = F.broadcast(rows.where("id = 0").limit(1).select(F.col("v").alias("q")))
@@ -236,6 +283,29 @@ SELECT row_number() OVER (ORDER BY score DESC, source, doc_id) AS rank, doc_id,
 """
 
 
+def adapted_baseline_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline for every question; its vector is the embedding of its number."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.withColumnsRenamed({"id": "query_id", "v": "q"}).join(questions(spark, sf_dir).withColumnRenamed("item_id", "query_id"), "query_id")
+    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "query", F.col("id").alias("doc_id"), V.cosine(F.col("v"), F.col("q")).alias("cosine"))
+    # all but the cosine adds up to BODY + HEADING + PATH + PHRASE at most, so what is left out can't reach LEAST
+    near = scored.where(F.col("cosine") >= (baseline.LEAST - baseline.BODY - baseline.HEADING - baseline.PATH - baseline.PHRASE) / baseline.COSINE - 1e-5)
+    found = passages(spark, sf_dir).join(near, "doc_id").select("query_id", "query", F.col("doc_id").alias("id"), "source", F.lit("").alias("heading"), "text", "cosine")
+    return baseline.rank_baseline(found).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ADAPTED_BASELINE_BATCH = rf"""
+WITH dt AS MATERIALIZED (SELECT doc_id, source, {_BASE.format("text")} AS body, {_BASE.format("source")} AS path, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS flat FROM documents),
+qt AS MATERIALIZED (SELECT item_id, {_BASE.format("text")} AS words, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS phrase FROM benchmark),
+s AS (SELECT item_id, doc_id, source, round(8e-1 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+  + CASE WHEN len(words) = 0 THEN 0e0 ELSE 6e-2 * len(list_intersect(words, body)) / len(words) + 1e-2 * len(list_intersect(words, path)) / len(words) END
+  + CASE WHEN length(phrase) > 0 AND contains(flat, phrase) THEN 1e-1 ELSE 0e0 END, 6) AS score
+  FROM qt JOIN embeddings a ON a.vec_id = item_id CROSS JOIN embeddings b JOIN dt ON doc_id = b.vec_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 25e-2 QUALIFY n = 1)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source, doc_id) AS rank, doc_id, score FROM o QUALIFY rank <= 8
+"""
+
+
 def rerank_cutoff_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector lists reranked by a stand-in whose relevance is the cosine moved to 0..1."""
     rows = materialise(_vectors(spark, sf_dir), "vectors")
@@ -263,8 +333,8 @@ SNIPPET_PREFIX = "SELECT doc_id, concat(substring(text, 1, 400), CASE WHEN lengt
 
 
 def best_window_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of the eight best results of every item."""
-    terms = materialise(lexical.query_terms(items(spark, sf_dir), "item_id", "query"), "terms")
+    """Excerpts of the eight best results of every question."""
+    terms = materialise(lexical.query_terms(questions(spark, sf_dir), "item_id", "query"), "terms")
     index = _index(spark, sf_dir)
     index.postings = materialise(index.postings.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
     found = lexical.top(lexical.bm25(index, terms), 8)
@@ -433,8 +503,24 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _JUDGED = f"{_FIELDS}, {_ITEMS}, {_BM25}, ev AS (SELECT query_id, id AS evidence_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS grade FROM lex JOIN labels ON doc_id = id WHERE rank % 3 <> 0)"
 
 
-def ranked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, evidence = _judged(spark, sf_dir)
+#: A labelled document is evidence for the items whose number leaves the same remainder.
+DEALT = 40
+
+
+def _judged_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results of the whole questions, and made-up evidence: labelled documents dealt by their number, found or not."""
+    labels = table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    dealt = labels.select(F.col("doc_id").alias("evidence_id"), grade.alias("grade"), (F.col("doc_id") % DEALT).alias("hand"))
+    evidence = questions(spark, sf_dir).select(F.col("item_id").alias("query_id"), (F.col("item_id") % DEALT).alias("hand")).join(dealt, "hand").drop("hand")
+    return materialise(_lexical_lists(spark, sf_dir, questions), "lists").select("query_id", "rank", F.col("id").alias("evidence_id")), evidence
+
+
+_WHOLE_JUDGED = f"{_FIELDS}, {_WHOLE_ITEMS}, {_BM25}, ev AS (SELECT item_id AS query_id, doc_id AS evidence_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS grade FROM labels JOIN benchmark ON doc_id % {DEALT} = item_id % {DEALT})"
+
+
+def ranked_metrics(spark: SparkSession, sf_dir: str, judged=_judged) -> DataFrame:
+    hits, evidence = judged(spark, sf_dir)
     return metrics.score_evidence(hits, evidence)
 
 
@@ -453,9 +539,17 @@ FROM (SELECT DISTINCT query_id FROM ev) q LEFT JOIN ideal USING (query_id) LEFT
 """
 
 
-def unit_novelty_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`ranked_metrics`, for whole questions and evidence that doesn't depend on the lists."""
+    return ranked_metrics(spark, sf_dir, _judged_whole)
+
+
+RANKED_METRICS_WHOLE = RANKED_METRICS.replace(_JUDGED, _WHOLE_JUDGED)
+
+
+def unit_novelty_ndcg(spark: SparkSession, sf_dir: str, judged=_judged) -> DataFrame:
     """A unit is a group of ten documents; a result earns its document's grade for the unit."""
-    hits, evidence = _judged(spark, sf_dir)
+    hits, evidence = judged(spark, sf_dir)
     unit = (F.floor(F.col("evidence_id") / 10)).alias("unit_id")
     credits = hits.join(evidence, ["query_id", "evidence_id"]).select("query_id", "rank", unit, "grade")
     units = evidence.select("query_id", unit, "grade").groupBy("query_id", "unit_id").agg(F.max("grade").alias("grade"))
@@ -475,6 +569,14 @@ SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg8, round(coalesce(rea
 """
 
 
+def unit_novelty_ndcg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`unit_novelty_ndcg`, for whole questions and evidence that doesn't depend on the lists."""
+    return unit_novelty_ndcg(spark, sf_dir, _judged_whole)
+
+
+UNIT_NOVELTY_NDCG_WHOLE = UNIT_NOVELTY_NDCG.replace(_JUDGED, _WHOLE_JUDGED)
+
+
 def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("question"), "event_type", "value")
 
@@ -573,6 +675,7 @@ ALL = (
     passage_identity, position_to_line, line_starts, markdown_chunks, chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status,
     exact_excerpt_mapping, evidence_containment, span_overlap_join, evidence_containment_whole, span_overlap_join_whole, ranked_metrics, unit_novelty_ndcg, query_means, summary_grouping_sets,
     nearest_rank_percentiles, paired_compare, paired_bootstrap, release_gates, label_allocation, cost_accounting,
+    bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch, adapted_baseline_batch, ranked_metrics_whole, unit_novelty_ndcg_whole,
 )
 
 

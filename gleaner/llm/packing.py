@@ -42,7 +42,8 @@ class WordEncoder:
     Words between ASCII white space are encoded once and remembered up to a bound; words beyond it
     are encoded for each batch of texts anew. A letter before a closing mark ends a token, so a
     word and its mark are encoded apart. Words of letters only are encoded many at a time, as one
-    text; the tokens that end a word tell them apart.
+    text; the tokens that end a word tell them apart. A word with a special token in it, or
+    what lower case would make one, is encoded as it is.
     """
 
     MARKS = frozenset(b".,;:!?")
@@ -51,7 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -84,6 +85,9 @@ class WordEncoder:
         cores = {}
         for w in new:
             low = w.lower()
+            if any(t in low for t in self.special):
+                cores[w] = (w, None)
+                continue
             cores[w] = (low[:-1], low[-1]) if low[-1] in self.MARKS and low[-2:-1].isalpha() else (low, None)
         known, marks = self.known, self.marks
         ids = self._ids(list({core for core, _ in cores.values()}.difference(known)))

@@ -136,29 +136,52 @@ class LanguageFilters:
         full = [np.count_nonzero((self.cells >> np.uint64(l)) & np.uint64(1)) / len(self.cells) for l in range(len(self.languages))]
         return np.array(full) ** self.hashes
 
+    def detect(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return FilterBank([self]).detect(texts)
+
+
+@dataclass
+class FilterBank:
+    """Filters of 64 languages each, or of fewer in the last: one 64-bit word of every cell."""
+
+    filters: list[LanguageFilters]
+
+    @classmethod
+    def build(cls, grams: dict[str, np.ndarray], order: int = ORDER) -> "FilterBank":
+        names = sorted(grams)
+        return cls([LanguageFilters.build({l: grams[l] for l in names[at : at + 64]}, order=order) for at in range(0, len(names), 64)])
+
+    @property
+    def languages(self) -> list[str]:
+        return [l for f in self.filters for l in f.languages]
+
     def detect(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """``(language, score)`` of each text: the share of its n-grams that the language has,
-        less what false positives give. Ties go to the name that sorts first."""
+        less what false positives give. Ties go to the name that sorts first. Without learned
+        languages every text is ``und``."""
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        rate = self.false_positives()
+        languages, rate = self.languages, np.concatenate([f.false_positives() for f in self.filters])
         total, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        hits = np.zeros((len(texts), len(self.languages)))
+        hits = np.zeros((len(texts), len(languages)))
         for owners, parts in portions(texts):
-            values, starts, in_letters = ngrams(parts, self.order)
-            mask = self.languages_of(values)
+            values, starts, in_letters = ngrams(parts, self.filters[0].order)
             np.add.at(total, owners, np.diff(starts))
             np.add.at(found, owners, in_letters)
-            for l in range(len(self.languages)):
-                upto = np.concatenate(([0], np.cumsum((mask >> np.uint64(l)) & np.uint64(1), dtype=np.int64)))
-                np.add.at(hits[:, l], owners, upto[starts[1:]] - upto[starts[:-1]])
+            at = 0
+            for f in self.filters:
+                mask = f.languages_of(values)
+                for l in range(len(f.languages)):
+                    upto = np.concatenate(([0], np.cumsum((mask >> np.uint64(l)) & np.uint64(1), dtype=np.int64)))
+                    np.add.at(hits[:, at], owners, upto[starts[1:]] - upto[starts[:-1]])
+                    at += 1
         share = (hits / np.maximum(1, total)[:, None] - rate) / (1 - np.minimum(rate, 0.999))
         best = share.argmax(axis=1)
         score = np.clip(share[np.arange(len(texts)), best], 0.0, 1.0)
-        return [(self.languages[b], float(s)) if n else (UNDETERMINED, 0.0) for b, s, n in zip(best, score, found)]
+        return [(languages[b], float(s)) if n else (UNDETERMINED, 0.0) for b, s, n in zip(best, score, found)]
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS, order: int = ORDER) -> LanguageFilters:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS, order: int = ORDER) -> FilterBank:
     """Learn the filters from at most about ``rows`` texts of each language, picked by a hash of
     the id. Rows without language, text or id are left out. N-grams are counted by Spark; the
     frequent ones of each language, bounded by the sample, come to the driver."""
@@ -181,14 +204,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     chosen = rates.where(F.col("n") >= LEAST).join(top, "gram").where(F.col("rate") >= SHARE * F.col("top"))
     found = chosen.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
-    return LanguageFilters.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in found}, order=order)
+    return FilterBank.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in found}, order=order)
 
 
-def detect_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect_languages(docs: DataFrame, filters: LanguageFilters | FilterBank, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs`` as a struct), ``lang_pred``, ``score`` of every row.
 
     Whole texts are read. A null text, or one without a letter, is ``und`` with score 0; a text none
-    of whose n-grams is known gets the language that sorts first, with score 0.
+    of whose n-grams is known gets the language that sorts first, with score 0. Where no language
+    was learned, every text is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
@@ -199,3 +223,15 @@ def detect_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "d
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows whose text has a letter."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            good = [any(map(str.isalpha, t or "")) for t in part.column(1).to_pylist()]
+            yield part.select(["row"]).filter(pa.array(good, pa.bool_()))
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")

@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the words of a text: one for insults, whose words and word stems are
-learned with their weights, and one each for threats, targets, negation and reported speech. They
-are composed into one machine. It goes through a clause and leaves its matches with the weight that
+Three small transducers read the words of a text, one each for targets, negation and reported
+speech. They are composed into one machine. Insults, whose words and word stems are learned with
+their weights, and threats are look-ups of single words outside it. The machine goes through a clause and leaves its matches with the weight that
 the clause's other parts give them: an insult with a target counts more, a negated or a reported
 one less, a threat only with a target. A text's score is a logistic function of its matched
 clauses. Isolated words other than insults have no weight.

@@ -1,37 +1,46 @@
 """Substring deduplication: a count-min prefilter, then exact groups of what it lets through.
 
-1. Every task sketches the windows of its texts: ``DEPTH`` rows of counters, cut into slices, only
-   the touched cells sent. Slices are merged by addition, which can only overestimate a window's
-   count; what remains of a cell is one bit, whether its count reaches two. The bitmaps have a
-   fixed greatest size (``DEPTH * 2**max_bits`` bits), whatever the input, and are broadcast.
-2. A second pass over the texts keeps the windows all of whose cells are set. Within a task, equal
-   windows are settled at once except for those of the smallest id, so a window that occurs
-   everywhere is sent once by each task and no more. What is left is grouped by a 96-bit digest of
-   the words in shards of that digest, and every occurrence outside the smallest id is marked.
-3. Marks are gathered by document, and the marked windows' words are cut out.
-
-A small or full sketch lets more windows through to step 2, never fewer: the result is the same.
+1. Documents are shelved: blocks of some million words, each a compressed row of a table that is
+   bucketed by block. All later passes read the shelf, so texts are never shuffled.
+2. Every block sketches its windows: ``DEPTH`` rows of counters. A row has ``LOAD`` cells for each
+   window of the input, whatever its size, and is cut into slices of a fixed size. A block sends
+   the cells that it touched, slice by slice; slices are merged by addition, which can only
+   overestimate a window's count, and every block is told which of its cells reach two. A task
+   holds one slice or one block at a time, and nothing is broadcast.
+3. A second pass keeps the windows all of whose cells reach two. Within a block, equal windows are
+   settled at once except for those of the smallest id. What is left is grouped by a 96-bit digest
+   of the words in shards of that digest, and every occurrence outside the smallest id is marked.
+4. Marks go back to their block by a join with the shelf, and the marked words are cut out.
+
+A window that occurs once passes with a chance of ``(1 - exp(-1 / LOAD)) ** DEPTH``, 1.4 %, at any
+size of the input. A fuller sketch would let more through, never fewer: the result is the same.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.llm.tasks import mix64, pack, pack_sorted, slices, unpack, unpack_sorted, utf8
-from gleaner.session import materialise
+from gleaner.llm.tasks import column, mix64, pack, pack_sorted, slices, unpack, unpack_sorted, utf8, whole_row
+from gleaner.session import shared_path
 
-WINDOW, DEPTH, MAX_BITS, SLICE_BITS = 13, 2, 28, 20
-#: Windows that a task holds before it sends them on.
-FLUSH = 2_000_000
+WINDOW, DEPTH, LOAD, SLICE_BITS = 13, 2, 8.0, 25
+#: Bytes of text in a block, and least bytes of a word, by which sketch and shards are sized.
+BLOCK, WORD = 6_000_000, 5
 #: Windows of the input for each shard of the exact grouping.
 SHARD = 3_000_000
+#: Blocks to a bucket of the shelf; Spark allows 100,000 buckets.
+PER_BUCKET, MOST_BUCKETS = 1.5, 100_000
 LAST = 2**63 - 1
 
 _ODD = mix64(np.arange(1, 201, dtype=np.uint64)) | np.uint64(1)
@@ -52,208 +61,221 @@ def window_keys(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     return mix64(a), (mix64(b) >> np.uint64(32)).astype(np.uint32)
 
 
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mix64(keys * _ODD[150 + row]) >> np.uint64(64 - bits)
+# The shelf
 
 
-# The sketch
-
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[pa.RecordBatch], int]]:
+    """Runs of rows with at least ``size`` bytes of text, and their bytes; the third column counts bytes."""
+    held, total = [], 0
+    for batch in batches:
+        upto = np.cumsum(batch.column(2).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = min(int(np.searchsorted(upto, before + size - total)) + 1, batch.num_rows)
+            held.append(batch.slice(at, end - at).select([0, 1]))
+            total += int(upto[end - 1]) - before
+            at = end
+            if total >= size:
+                yield held, total
+                held, total = [], 0
+    if held:
+        yield held, total
 
-def sketch_slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """``(slice, packed cells)`` of one task's windows; a cell counted twice comes twice."""
-    per = 1 << min(bits, SLICE_BITS)
-    for row in range(DEPTH):
-        at, times = np.unique(cells(keys, row, bits).astype(np.uint32), return_counts=True)
-        at = np.repeat(at, np.minimum(times, 2))
-        cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, per))
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                yield row * (len(cuts) - 1) + k, pack_sorted(at[a:b] - np.uint32(k * per))
 
+def shelve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """``(shelf, buckets, bytes of text)``: the shelf has ``block long, payload binary``, a payload
+    being the rows of a block and their keys as a compressed Arrow stream."""
+    spark = docs.sparkSession
+    size = F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / BLOCK / PER_BUCKET)))
+    block_bytes = BLOCK
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(column(id_col).cast("long"), F.lit(LAST)).alias("key"), size.alias("size"))
 
-class SliceCounts:
-    """The sum over all tasks of the cells of a slice, which need to be told only up to two."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, (held, _) in enumerate(_blocks(batches, block_bytes)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+
+    name = f"shelf_{uuid.uuid4().hex}"
+    shelf = rows.mapInArrow(run, "block long, payload binary")
+    shelf.write.format("parquet").bucketBy(buckets, "block").option("compression", "none").option("path", shared_path(spark, "shelf")).saveAsTable(name)
+    return spark.table(name), buckets, total
+
+
+class Block:
+    """The rows of a payload: batches of rows, document keys, and texts as words on demand."""
+
+    def __init__(self, payload: bytes, text_at: int):
+        with pa.ipc.open_stream(payload) as stream:
+            self.batches = list(stream)
+        self.text_at = text_at
+
+    def texts(self) -> Iterator[str | None]:
+        for batch in self.batches:
+            for part in slices([batch], 256):
+                yield from part.column(0).field(self.text_at).to_pylist()
+
+    def ranks(self) -> np.ndarray:
+        """Ids as unsigned numbers of the same order."""
+        ids = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in self.batches])
+        return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digests of all windows, their first words' places in the block, and where each document starts."""
+        a, b, at, starts, n = [], [], [], [], 0
+        for text in self.texts():
+            words = utf8(text).split()
+            x, y = window_keys(words, window)
+            a.append(x)
+            b.append(y)
+            at.append(np.arange(n, n + len(x), dtype=np.uint32))
+            starts.append(n)
+            n += len(words)
+        return np.concatenate(a), np.concatenate(b), np.concatenate(at), np.array(starts, np.int64)
 
-    def __init__(self, bits: int):
-        self.total = np.zeros(1 << min(bits, SLICE_BITS), np.uint8)
 
-    def add(self, part: bytes) -> None:
-        at = unpack_sorted(part, np.uint32)
-        new = np.concatenate(([True], at[1:] != at[:-1]))
-        one = at[new]
-        self.total[one] = np.minimum(self.total[one] + 1, 2)
-        self.total[at[~new]] = 2
+# The sketch
 
-    def bitmap(self) -> bytes:
-        """One bit a cell: whether its count reaches two."""
-        return np.packbits(self.total >= 2, bitorder="little").tobytes()
 
+class Sketch:
+    """Sizes of a sketch for ``windows`` windows: cells to a row, slices to a row, cells to a slice."""
+
+    def __init__(self, windows: int, load: float = LOAD, slice_bits: int = SLICE_BITS):
+        self.cells = max(64, math.ceil(windows * load))
+        self.slices = math.ceil(self.cells / (1 << slice_bits))
+        self.per = math.ceil(self.cells / self.slices)
+
+    def touched(self, keys: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct cells of a block's windows in a row, in order; each window's place among
+        them, how often each is touched, and where each slice begins and ends."""
+        cell = mix64(keys * _ODD[150 + row]) % np.uint64(self.cells)
+        at, place, times = np.unique(cell, return_inverse=True, return_counts=True)
+        cuts = np.searchsorted(at, np.arange(self.slices + 1, dtype=np.uint64) * np.uint64(self.per))
+        return at, place, times, cuts
+
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """``(slice, cells)`` that a block sends. A cell that it touched twice is sent once: for
+        another block either is enough to reach two, and the block itself knows."""
+        for row in range(DEPTH):
+            at, _, _, cuts = self.touched(keys, row)
+            for k in range(self.slices):
+                x, y = int(cuts[k]), int(cuts[k + 1])
+                if y > x:
+                    yield row * self.slices + k, pack_sorted((at[x:y] - np.uint64(k * self.per)).astype(np.uint32))
+
+    def answer(self, parts: list[bytes]) -> list[bytes]:
+        """Merge what the blocks sent for one slice; for each block a bit for every cell that it
+        sent, whether its count reaches two."""
+        total = np.zeros(self.per, np.uint8)
+        for part in parts:
+            at = unpack_sorted(part, np.uint32)
+            total[at] += total[at] < 2
+        return [zstandard.compress(np.packbits(total[unpack_sorted(part, np.uint32)] >= 2).tobytes(), 1) for part in parts]
+
+    def repeated(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+        """Which windows of a block the sketch estimates to occur at least twice."""
+        out = np.ones(len(keys), bool)
+        for row in range(DEPTH):
+            at, place, times, cuts = self.touched(keys, row)
+            twice = times >= 2
+            for k in range(self.slices):
+                x, y = int(cuts[k]), int(cuts[k + 1])
+                if y > x:
+                    bits = np.frombuffer(zstandard.decompress(answers[row * self.slices + k]), np.uint8)
+                    twice[x:y] |= np.unpackbits(bits, count=y - x).view(bool)
+            out &= twice[place]
+        return out
 
-def repeated(keys: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> np.ndarray:
-    """Which windows the sketch estimates to occur at least twice."""
-    out = np.ones(len(keys), bool)
-    for row, bitmap in enumerate(bitmaps):
-        at = cells(keys, row, bits)
-        out &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return out
 
+def _answers(shelf: DataFrame, sketch: Sketch, window: int, text_at: int, buckets: int) -> DataFrame:
+    """``block, answers``: for every block the bits of all slices that it touched."""
 
-def build_sketch(keyed: DataFrame, window: int, bits: int) -> list[np.ndarray]:
-    """The merged bitmaps, one for each row of the sketch."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = list(sketch.parts(Block(payload.as_py(), text_at).windows(window)[0]))
+                if found:
+                    k, parts = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([block] * len(k), pa.int64()), pa.array(parts, pa.binary())], ["slice", "block", "part"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = list(sketch_slices(np.concatenate(held), bits))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["slice", "part"])
-
-        for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                keys, _ = window_keys(utf8(text).split(), window)
-                held.append(keys)
-                n += len(keys)
-                if n >= FLUSH:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices come one after another, so one slice's counts are held at a time."""
-        at, counts = None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.bitmap()], pa.binary())], ["slice", "bits"])
+    def merge(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group.column("block"), "slice": group.column("slice"), "bits": pa.array(sketch.answer(group.column("part").to_pylist()), pa.binary())})
 
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if k != at:
-                    if counts is not None:
-                        yield done()
-                    at, counts = k, SliceCounts(bits)
-                counts.add(part.as_py())
-        if counts is not None:
-            yield done()
-
-    found = keyed.select("text").mapInArrow(run, "slice int, part binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
-    size = (1 << min(bits, SLICE_BITS)) // 8
-    per_row = max(1, (1 << bits) // (size * 8))
-    rows = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(DEPTH)]
-    for r in found.toLocalIterator():
-        k = r["slice"]
-        rows[k // per_row][(k % per_row) * size : (k % per_row + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return rows
+    sent = shelf.mapInArrow(send, "slice long, block long, part binary")
+    found = sent.groupBy("slice").applyInArrow(merge, "block long, slice long, bits binary")
+    return found.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("slice", "bits")).alias("answers"))
 
 
 # Exact groups
 
 
-def settle(a: np.ndarray, b: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settle(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(order, later)``: windows sorted by digest and id, and which have a smaller id in their group.
 
-    ``rank`` orders documents: the id as an unsigned number.
+    ``rank`` is the id of each window's document as an unsigned number.
     """
-    order = np.lexsort((rank[doc], b, a))
-    a, b, low = a[order], b[order], rank[doc[order]]
+    order = np.lexsort((rank, b, a))
+    a, b, low = a[order], b[order], rank[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     first = low[np.flatnonzero(new)][np.cumsum(new) - 1]
     return order, low > first
 
 
-def _rank(ids: np.ndarray) -> np.ndarray:
-    """Signed ids as unsigned numbers of the same order."""
-    return ids.view(np.uint64) ^ np.uint64(1 << 63)
-
-
-def _mark_frames(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """``(bucket, frame)``: marked starts of a bucket of documents, packed together."""
-    bucket = (mix64(_rank(ids)) % np.uint64(buckets)).astype(np.int64)[doc]
-    order = np.lexsort((pos, doc, bucket))
-    bucket, doc, pos = bucket[order], doc[order], pos[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist() if len(doc) else []
-    for x, y in zip(cuts[:-1], cuts[1:]):
-        who, times = np.unique(doc[x:y], return_counts=True)
-        yield int(bucket[x]), _frame(ids[who].tobytes(), hashes[who].tobytes(), pack(times.astype(np.uint32)), pack_sorted(pos[x:y]))
+def _marks(shelf: DataFrame, answers: DataFrame, sketch: Sketch, window: int, text_at: int, shards: int, buckets: int) -> DataFrame:
+    """``block, parts``: packed places of the first words of the windows to remove."""
 
-
-def _merge_marks(frames: list[bytes]) -> pa.Table:
-    """A row for each document of a bucket: packed starts of all its marked windows."""
-    parts = [_unframe(x, 4) for x in frames]
-    times = [unpack(x[2], np.uint32) for x in parts]
-    ids = np.concatenate([np.repeat(np.frombuffer(x[0], np.int64), n) for x, n in zip(parts, times)])
-    hashes = np.concatenate([np.repeat(np.frombuffer(x[1], np.int64), n) for x, n in zip(parts, times)])
-    pos = np.concatenate([unpack_sorted(x[3], np.uint32) for x in parts])
-    order = np.lexsort((pos, hashes, ids))
-    ids, hashes, pos = ids[order], hashes[order], pos[order]
-    cuts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]), [True])))
-    rows = [pack_sorted(np.unique(pos[x:y])) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    return pa.table({"doc_key": ids[cuts[:-1]], "text_hash": hashes[cuts[:-1]], "part": pa.array(rows, pa.binary())})
-
-
-def find_marks(keyed: DataFrame, bitmaps, bits: int, window: int, shards: int) -> DataFrame:
-    """``doc_key, text_hash, part``: packed starts of the windows to remove, a row a document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = bitmaps.value
-        held: list[tuple] = []
-        ids: list[int] = []
-        hashes: list[int] = []
-        kept = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            id_of, hash_of = np.array(ids, np.int64), np.array(hashes, np.int64)
-            a, b, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
-            held.clear()
-            order, later = settle(a, b, doc, _rank(id_of))
-            done = order[later]
-            rows = [(shards + k, x) for k, x in _mark_frames(id_of, hash_of, doc[done], pos[done], shards)]
-            left = order[~later]
-            a, b, doc, pos = a[left], b[left], doc[left], pos[left]  # in the order of the digest
-            cuts = np.searchsorted(a, np.array([(k << 64) // shards for k in range(shards)], np.uint64)).tolist() + [len(a)]
-            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if y > x:
-                    who, at = np.unique(doc[x:y], return_inverse=True)
-                    rows.append((k, _frame(pack_sorted(a[x:y]), pack(b[x:y]), pack(at.astype(np.uint32)), pack(pos[x:y]), id_of[who].tobytes(), hash_of[who].tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["shard", "frame"])
-
-        for part in slices(batches):
-            for text, key, digest in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                a, b = window_keys(utf8(text).split(), window)
-                at = np.flatnonzero(repeated(a, maps, bits))
-                if len(at):
-                    held.append((a[at], b[at], np.full(len(at), len(ids), np.int64), at.astype(np.uint32)))
-                    ids.append(key)
-                    hashes.append(digest)
-                    kept += len(at)
-                if kept >= FLUSH // 2:
-                    yield from flush()
-                    held, ids, hashes, kept = [], [], [], 0
-        if kept:
-            yield from flush()
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                yield from one(block, Block(payload.as_py(), text_at), {x["slice"]: x["bits"] for x in told or []})
+
+    def one(number: int, block: Block, told: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        a, b, pos, starts = block.windows(window)
+        some = np.flatnonzero(sketch.repeated(a, told)) if len(a) else np.empty(0, np.int64)
+        if not len(some):
+            return
+        a, b, pos = a[some], b[some], pos[some]
+        ranks = block.ranks()
+        doc = np.searchsorted(starts, pos, side="right") - 1
+        order, later = settle(a, b, ranks[doc])
+        rows = [(shards + number % shards, pack_sorted(np.sort(pos[order[later]])))] if later.any() else []
+        left = order[~later]
+        a, b, pos, doc = a[left], b[left], pos[left], doc[left]  # in the order of the digest
+        cuts = np.searchsorted(a, np.array([(k << 64) // shards for k in range(shards)], np.uint64)).tolist() + [len(a)]
+        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if y > x:
+                who = np.unique(doc[x:y])
+                rows.append((k, _frame(pack_sorted(a[x:y]), pack(b[x:y]), pack(pos[x:y]), pack_sorted(starts[who].astype(np.uint32)), pack_sorted(ranks[who]))))
+        k, parts = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([number] * len(k), pa.int64()), pa.array(parts, pa.binary())], ["shard", "block", "frame"])
 
     def group(part: pa.Table) -> pa.Table:
-        shard = part.column("shard")[0].as_py()
-        if shard >= shards:  # settled already: on to their bucket
-            return pa.table({"bucket": pa.array([shard - shards] * part.num_rows, pa.int32()), "frame": part.column("frame")})
-        frames = [_unframe(x, 6) for x in part.column("frame").to_pylist()]
+        if part.column("shard")[0].as_py() >= shards:  # settled within their block
+            return pa.table({"block": part.column("block"), "part": part.column("frame")})
+        frames = [_unframe(x, 5) for x in part.column("frame").to_pylist()]
         a = np.concatenate([unpack_sorted(x[0], np.uint64) for x in frames])
         b = np.concatenate([unpack(x[1], np.uint32) for x in frames])
-        id_of = np.concatenate([np.frombuffer(x[4], np.int64) for x in frames])
-        hash_of = np.concatenate([np.frombuffer(x[5], np.int64) for x in frames])
-        starts = np.cumsum([0] + [len(x[4]) // 8 for x in frames])
-        doc = np.concatenate([unpack(x[2], np.uint32).astype(np.int64) + s for x, s in zip(frames, starts)])
-        pos = np.concatenate([unpack(x[3], np.uint32) for x in frames])
-        order, later = settle(a, b, doc, _rank(id_of))
+        at = [unpack(x[2], np.uint32) for x in frames]
+        rank = np.concatenate([unpack_sorted(x[4], np.uint64)[np.searchsorted(unpack_sorted(x[3], np.uint32), p, side="right") - 1] for x, p in zip(frames, at)])
+        frame = np.repeat(np.arange(len(frames)), [len(p) for p in at])
+        pos = np.concatenate(at)
+        order, later = settle(a, b, rank)
         done = order[later]
-        rows = list(_mark_frames(id_of, hash_of, doc[done], pos[done], shards))
-        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "frame": pa.array([x for _, x in rows], pa.binary())})
-
-    def merge(part: pa.Table) -> pa.Table:
-        return _merge_marks(part.column("frame").to_pylist())
+        done = done[np.lexsort((pos[done], frame[done]))]
+        cuts = np.searchsorted(frame[done], np.arange(len(frames) + 1)).tolist()
+        blocks = part.column("block").to_pylist()
+        rows = [(blocks[k], pack_sorted(pos[done[x:y]])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        return pa.table({"block": pa.array([k for k, _ in rows], pa.int64()), "part": pa.array([x for _, x in rows], pa.binary())})
 
-    found = keyed.mapInArrow(run, "shard int, frame binary").groupBy("shard").applyInArrow(group, "bucket int, frame binary")
-    return found.groupBy("bucket").applyInArrow(merge, "doc_key long, text_hash long, part binary")
+    told = shelf.join(answers.hint("shuffle_hash"), "block", "left").select("block", "payload", "answers")
+    found = told.mapInArrow(find, "shard long, block long, frame binary").groupBy("shard").applyInArrow(group, "block long, part binary")
+    return found.repartition(buckets, "block").groupBy("block").agg(F.collect_list("part").alias("parts"))
 
 
 def _frame(*parts: bytes) -> bytes:
@@ -269,13 +291,12 @@ def _unframe(data: bytes, n: int) -> list[bytes]:
 # Cutting
 
 
-def cut(text: str | None, part: bytes | None, window: int) -> tuple[int, int, str, list[tuple[int, int]]]:
-    """``(words, removed, kept words joined by one space, removed word spans)``."""
-    words = utf8(text).split()
-    if not part:
+def cut(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, int, str, list[tuple[int, int]]]:
+    """``(words, removed, kept words joined by one space, removed word spans)``; ``starts`` are the
+    places of the first words of the windows to remove."""
+    if not len(starts):
         return len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass"), []
     edge = np.zeros(len(words) + 1, np.int32)
-    starts = unpack_sorted(part, np.uint32).astype(np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -285,41 +306,47 @@ def cut(text: str | None, part: bytes | None, window: int) -> tuple[int, int, st
     return len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), spans
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, load: float = LOAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut out of every text the words of windows that a document with a smaller id has too.
 
     Returns ``row`` (all columns of ``docs`` as one struct, so their names can't clash),
     ``n_words, n_removed, kept_text, removed`` (spans of word positions). Windows are judged on
     the texts as given. Null and empty texts have no words; a null id ranks after all others; rows
     that share an id remove nothing from each other, whether their texts are equal or not; texts
-    shorter than a window stay whole. An empty table gives no rows.
+    shorter than a window stay whole. An empty table gives no rows. ``load`` is the number of sketch
+    cells for each window. The shelf stays in the shared folder, as an external table.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    keyed = docs.select(F.col(text_col).alias("text"), key.alias("doc_key"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    spaces = F.coalesce(F.octet_length("text"), F.lit(0))
-    total = keyed.agg(F.sum(spaces)).first()[0] or 0
-    words = max(1, total // 5)  # only sizes the sketch and the shards
-    bits = min(max_bits, max(10, math.ceil(math.log2(2 * words))))
-    maps = build_sketch(keyed, window, bits)
-    shared = spark.sparkContext.broadcast(maps)
-    marks = find_marks(keyed, shared, bits, window, max(12, words // SHARD))
-    row = F.struct(*[docs[c] for c in docs.columns])
-    text_at = docs.columns.index(text_col)
-    rows = docs.select(row.alias("row"), key.alias("r_key"), F.xxhash64(F.col(text_col)).alias("r_hash"))
-    joined = rows.join(marks, (F.col("r_key") == F.col("doc_key")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "part")
+    shelf, buckets, total = shelve(docs, id_col, text_col)
+    words = max(1, total // WORD)
+    sketch, text_at = Sketch(words, load, SLICE_BITS), docs.columns.index(text_col)
+    answers = _answers(shelf, sketch, window, text_at, buckets)
+    marks = _marks(shelf, answers, sketch, window, text_at, max(1, math.ceil(words / SHARD)), buckets)
+    marked = shelf.join(marks.hint("shuffle_hash"), "block", "left").select("payload", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            texts = part.column(0).field(text_at).to_pylist()
-            out = [cut(t, p, window) for t, p in zip(texts, part.column(1).to_pylist())]
-            n, gone, kept, spans = zip(*out)
-            spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["row", "n_words", "n_removed", "kept_text", "removed"])
-
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string, removed array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(run, schema)
+        for batch in batches:
+            for payload, parts in zip(batch.column(0), batch.column(1).to_pylist()):
+                places = np.sort(np.concatenate([unpack_sorted(p, np.uint32) for p in parts])).astype(np.int64) if parts else np.empty(0, np.int64)
+                yield from one(Block(payload.as_py(), text_at), places)
+
+    def one(block: Block, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = 0  # words before the present text
+        for batch in block.batches:
+            for part in slices([batch], 256):
+                out = []
+                for text in part.column(0).field(text_at).to_pylist():
+                    words = utf8(text).split()
+                    x, y = np.searchsorted(places, (at, at + len(words))).tolist()
+                    out.append(cut(words, places[x:y] - at, window))
+                    at += len(words)
+                n, gone, kept, spans = zip(*out)
+                spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["row", "n_words", "n_removed", "kept_text", "removed"])
+
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = [("row", docs.schema), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("removed", spans)]
+    return marked.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
 
 
 def cut_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
@@ -332,11 +359,11 @@ def cut_documents(docs: DataFrame, text_col: str = "text", length_col: str | Non
     changed = F.col("n_removed") > 0
 
     def value(c: str):
+        was = F.col("row").getField(c)
         if c == text_col:
-            return F.when(changed, F.col("kept_text")).otherwise(F.col("row")[c]).alias(c)
+            return F.when(changed, F.col("kept_text")).otherwise(was).alias(c)
         if c == length_col:
-            kind = docs.schema[c].dataType
-            return F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("row")[c]).alias(c)
-        return F.col("row")[c].alias(c)
+            return F.when(changed, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(was).alias(c)
+        return was.alias(c)
 
     return found.select(*[value(c) for c in docs.columns])

@@ -7,6 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*[column(c).alias(c) for c in docs.columns])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

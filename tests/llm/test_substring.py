@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import substring
 from gleaner.llm.substring import cut_documents, remove_repeats
@@ -18,34 +20,56 @@ def test_matches_brute_force(spark, window):
 
 def test_a_full_sketch_changes_nothing(spark):
     rows = awkward(2)
-    assert run(spark, rows, 5, max_bits=3) == order(cut_brute(rows, 5))
+    assert run(spark, rows, 5, load=0.01) == order(cut_brute(rows, 5))
 
 
-def test_small_flushes_change_nothing(spark, monkeypatch):
+def test_small_blocks_slices_and_shards_change_nothing(spark, monkeypatch):
     rows = awkward(3)
-    monkeypatch.setattr(substring, "FLUSH", 50)
+    monkeypatch.setattr(substring, "BLOCK", 300)
+    monkeypatch.setattr(substring, "SLICE_BITS", 8)
     monkeypatch.setattr(substring, "SHARD", 40)
     assert run(spark, rows, 5) == order(cut_brute(rows, 5))
 
 
-def test_sketch_never_loses_a_repeat():
-    import numpy as np
+def answered(sketch, tasks):
+    """What each task is told by all slices."""
+    sent = {}
+    for number, keys in enumerate(tasks):
+        for at, part in sketch.parts(keys):
+            sent.setdefault(at, []).append((number, part))
+    told = [{} for _ in tasks]
+    for at, rows in sent.items():
+        for (number, _), bits in zip(rows, sketch.answer([part for _, part in rows])):
+            told[number][at] = bits
+    return told
 
-    rng = np.random.default_rng(1)
-    keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+
+@pytest.mark.parametrize("load", [0.01, 1, 8])
+def test_sketch_never_loses_a_repeat(load):
+    keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     twice = keys[:500]
-    for bits in (8, 12, 18):
-        maps = []
-        counts = {}
-        for task in (keys, twice):
-            for at, part in substring.sketch_slices(task, bits):
-                counts.setdefault(at, substring.SliceCounts(bits)).add(part)
-        size = 1 << min(bits, substring.SLICE_BITS)
-        for row in range(substring.DEPTH):
-            maps.append(np.frombuffer(counts[row].bitmap(), np.uint8) if row in counts else np.zeros(size // 8, np.uint8))
-        assert substring.repeated(twice, maps, bits).all()
-        if bits == 18:
-            assert substring.repeated(keys[500:], maps, bits).mean() < 0.01
+    sketch = substring.Sketch(5000, load, 9)
+    tasks = [keys, twice, np.concatenate((keys[600:610], keys[600:610] + np.uint64(1), keys[600:610] + np.uint64(1)))]
+    told = answered(sketch, tasks)
+    assert sketch.repeated(twice, told[1]).all() and sketch.repeated(keys, told[0])[:500].all() and sketch.repeated(keys, told[0])[600:610].all()
+    assert sketch.repeated(tasks[2], told[2]).all()  # in another task, or twice in this one
+
+
+@pytest.mark.parametrize("windows", [20_000, 200_000, 1_000_000])
+def test_the_share_that_passes_is_the_same_at_any_size(windows):
+    """Slices of 4096 cells stand for the production size: the number of slices grows, not the share."""
+    rng = np.random.default_rng(2)
+    tasks = [rng.integers(0, 2**63, 20_000, dtype=np.uint64) for _ in range(windows // 20_000)]
+    sketch = substring.Sketch(windows, substring.LOAD, 12)
+    told = answered(sketch, tasks)
+    passed = np.mean([sketch.repeated(k, t).mean() for k, t in zip(tasks, told)])
+    assert sketch.slices == -(-sketch.cells // 4096) and 0.005 < passed < 0.02, passed
+
+
+def test_column_names(spark):
+    docs = frame(spark, [(1, "a b c"), (2, "a b c d")]).withColumn("my col", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("c-d`e", F.array(F.lit(1.5)))
+    out = cut_documents(docs, window=3)
+    assert out.columns == docs.columns and {(r["doc_id"], r["text"], r["my col"], r["a.b"], r["c-d`e"][0]) for r in out.collect()} == {(1, "a b c", 1, "x", 1.5), (2, "d", 1, "x", 1.5)}
 
 
 def test_spans_and_columns(spark):

@@ -1,11 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three small transducers read the words of a text, one each for targets, negation and reported
-speech. They are composed into one machine. Insults, whose words and word stems are learned with
-their weights, and threats are look-ups of single words outside it. The machine goes through a clause and leaves its matches with the weight that
-the clause's other parts give them: an insult with a target counts more, a negated or a reported
-one less, a threat only with a target. A text's score is a logistic function of its matched
-clauses. Isolated words other than insults have no weight.
+Five transducers read the words of a clause as classes of words:
+
+- insult: an insult counts as part of a phrase, before or after a determiner, a copula or another
+  linking word, with three other words between at most; likewise after a target or a verb of
+  report; or if a target follows it in its clause;
+- threat: an agent or a modal verb, then a verb of harm, then a target; or a verb of harm with a
+  target right after it;
+- target: a target in the clause raises the weight of what is matched;
+- negation: lowers the weight of what follows it in the clause; a second one lifts it;
+- reported speech: lowers the weight of what follows it in its clause, or to the end of the quotation.
+
+The first two are non-deterministic: an insult or a verb of harm may be taken into the match, at
+its weight, or passed over, and a path that took one and doesn't complete its pattern isn't
+accepted. All five are composed into one machine; a clause weighs what its heaviest accepted path
+weighs. So isolated words, insults too, have no weight. Insults, whose words and word stems are
+learned with their weights, are the only class that is not closed. A text's score is a logistic
+function of its matched clauses.
 """
 
 from __future__ import annotations
@@ -24,13 +35,23 @@ from pyspark.sql import functions as F
 from gleaner.llm.tasks import slices
 from gleaner.session import materialise
 
-#: Small closed classes of words in four languages.
-TARGETS = frozenset("you your yours yourself u ur he she they him her them his their du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros él ella ellos".split())
+#: Closed classes of words in four languages.
+TARGETS = frozenset("you your yours yourself yourselves u ur he she they him her them his their du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros él ella ellos".split())
+LINKS = frozenset(
+    """a an the this that these those such what is are am was were be been being of and or but as like in on at for with by to from it
+    ein eine einen einem einer der die das den dem des dieser diese dieses ist sind bist war waren und oder aber wie als von zu mit auf für
+    un une le la les du de ce cet cette ces est sont était et ou mais comme à dans pour avec sur par que
+    una el los las lo del este esta estos estas es son eres era y o pero como en para con por""".split()
+)
 NEGATIONS = frozenset("not no never none neither nor cannot can't don't doesn't didn't isn't aren't wasn't weren't won't nicht kein keine keinen nie niemals ne pas jamais aucun aucune nunca jamás ni tampoco".split())
 REPORTS = frozenset("said says say told tells wrote writes called calls quoted reported alleged according sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según".split())
-THREATS = frozenset("kill hurt destroy murder burn shoot stab strangle hang töten umbringen schlagen verprügeln tuer frapper détruire brûler matar golpear destruir quemar".split())
+AGENTS = frozenset("i i'll we we'll someone somebody will gonna shall should must let's ich wir jemand werde werden sollte sollten muss je j'vais nous quelqu'un vais allons devrait yo nosotros alguien voy vamos debería".split())
+HARMS = frozenset("kill hurt destroy murder burn shoot stab strangle hang töten umbringen schlagen verprügeln tuer frapper détruire brûler matar golpear destruir quemar".split())
 
-END, TARGET, NEGATION, REPORT, QUOTE, INSULT, THREAT = range(7)
+END, QUOTE, OTHER, TARGET, LINK, NEGATION, REPORT, AGENT, HARM, INSULT = SYMBOLS = range(10)
+CLASSES = ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (AGENT, AGENTS), (HARM, HARMS), (LINK, LINKS))
+#: Other words that may stand between the opening of a phrase and its insult.
+GAP = 3
 
 #: Labelled texts of each class that the grammar is fitted on; the bounds of the sample.
 TOXIC_ROWS, CLEAN_ROWS = 6000, 12000
@@ -43,68 +64,121 @@ LEXICON, STEMS, SUPPORT, ODDS = 4000, (4, 5, 6, 7), 8, 6.0
 
 @dataclass(frozen=True)
 class Transducer:
-    """States are 0, 1, ...; ``moves`` has the next state of (state, symbol), else it stays."""
+    """States are 0, 1, ...; a clause begins and ends in 0, to which ``END`` leads from a final state.
+
+    ``moves`` has for (state, symbol) the next states, each with whether the symbol is taken into
+    the match; without an entry the state stays. A state with no next state ends the path.
+    """
 
     states: int
-    moves: dict[tuple[int, int], int]
+    moves: dict[tuple[int, int], tuple[tuple[int, bool], ...]]
+
+
+def insult_transducer(gap: int = GAP) -> Transducer:
+    """States: 0 closed; 1 to ``gap`` + 1 open, with fewer words to go; from ``gap`` + 2 on waiting for
+    a target, all but the first of them for a linking word too."""
+    fresh, late = gap + 1, gap + 2
+    waits = late + gap + 1
+    moves: dict = {(0, INSULT): ((0, False), (waits, True))}
+    for state in range(waits + 1):
+        if state >= late:
+            moves[state, INSULT] = ((waits, True),)
+            moves[state, END] = ()
+            moves[state, TARGET] = ((fresh, False),)
+            if state > late:
+                moves[state, LINK] = ((fresh, False),)
+        else:
+            for opener in (LINK, TARGET, REPORT):
+                moves[state, opener] = ((fresh, False),)
+            if state:
+                moves[state, INSULT] = ((fresh, True),)
+                moves[state, END] = ((0, False),)
+        if state not in (0, late):
+            for word in (OTHER, NEGATION, AGENT, HARM, *((REPORT,) if state > late else ())):
+                moves[state, word] = ((state - 1, False),)
+    return Transducer(waits + 1, moves)
 
 
-#: A target counts for the clause that it stands in; a negation until the clause ends; a report
-#: until the clause ends, or to the end of the quotation.
-PARTS = (
-    Transducer(2, {(0, TARGET): 1, (1, END): 0}),
-    Transducer(2, {(0, NEGATION): 1, (1, NEGATION): 0, (1, END): 0}),
-    Transducer(3, {(0, REPORT): 1, (1, END): 0, (1, QUOTE): 2, (2, QUOTE): 0}),
-)
+def threat_transducer() -> Transducer:
+    """States: 0, 1 after an agent, 2 after agent and harm, 3 after a harm alone."""
+    moves: dict = {(0, AGENT): ((1, False),), (0, HARM): ((0, False), (3, True)), (1, HARM): ((1, False), (2, True)), (1, END): ((0, False),)}
+    moves |= {(2, HARM): ((2, True),), (2, TARGET): ((1, False),), (2, END): ()}
+    moves |= {(3, symbol): () for symbol in SYMBOLS if symbol not in (TARGET, QUOTE)} | {(3, TARGET): ((0, False),)}
+    return Transducer(4, moves)
 
 
-def compose(parts: tuple[Transducer, ...] = PARTS) -> tuple[list[tuple[int, ...]], list[list[int]]]:
-    """The product machine: its states as tuples, and its table of moves by state and symbol."""
-    states = list(itertools.product(*(range(p.states) for p in parts)))
-    number = {s: k for k, s in enumerate(states)}
-    table = [[number[tuple(p.moves.get((x, symbol), x) for p, x in zip(parts, state))] for symbol in range(7)] for state in states]
-    return states, table
+def _plain(moves: dict[tuple[int, int], int]) -> dict:
+    return {k: ((v, False),) for k, v in moves.items()}
+
+
+#: Insult, threat, target, negation, reported speech.
+PARTS = (
+    insult_transducer(),
+    threat_transducer(),
+    Transducer(2, _plain({(0, TARGET): 1, (1, END): 0})),
+    Transducer(2, _plain({(0, NEGATION): 1, (1, NEGATION): 0, (1, END): 0})),
+    Transducer(3, _plain({(0, REPORT): 1, (1, END): 0, (1, QUOTE): 2, (2, QUOTE): 0})),
+)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """What a clause's parts do to the weight of its match."""
+    """What a clause's parts do to the weight of its match, and the weight of a verb of harm."""
 
     targeted: float = 1.5
     negated: float = 0.3
     reported: float = 0.6
-    threat: float = 3.0
+    harm: float = 2.0
+
+
+def compose(parts: tuple[Transducer, ...] = PARTS) -> tuple[list[tuple[int, ...]], list[list[tuple[tuple[int, bool], ...]]]]:
+    """The product machine: its states as tuples, and for each state and symbol the next states,
+    each with whether the symbol is taken."""
+    states = list(itertools.product(*(range(p.states) for p in parts)))
+    number = {s: k for k, s in enumerate(states)}
+
+    def moves(state: tuple[int, ...], symbol: int) -> tuple[tuple[int, bool], ...]:
+        every = itertools.product(*(p.moves.get((x, symbol), ((x, False),)) for p, x in zip(parts, state)))
+        return tuple((number[tuple(x for x, _ in path)], any(taken for _, taken in path)) for path in every)
+
+    return states, [[moves(state, symbol) for symbol in SYMBOLS] for state in states]
 
 
 STATES, TABLE = compose()
 
 
 def clause_weights(symbols: Iterator[tuple[int, float]], weights: Weights = Weights()) -> list[float]:
-    """Weights of the matched clauses of a stream of (symbol, weight)."""
-    state, table, out = 0, TABLE, []
-    insult = threat = 0.0
-
-    def close(target: int) -> None:
-        nonlocal insult, threat
-        total = insult * (weights.targeted if target else 1.0) + (threat if target else 0.0)
-        if total:
-            out.append(total)
-        insult = threat = 0.0
+    """Weights of the matched clauses of a stream of (symbol, weight): of each clause, that of its
+    heaviest accepted path."""
+    factor = [(weights.negated if s[3] else 1.0) * (weights.reported if s[4] else 1.0) for s in STATES]
+    raised = [weights.targeted if s[2] else 1.0 for s in STATES]
+    now, out, matched = {0: 0.0}, [], False
+
+    def close() -> dict[int, float]:
+        ends = {to: 0.0 for state in now for to, _ in TABLE[state][END]}
+        best = max((w * raised[state] for state, w in now.items() if TABLE[state][END]), default=0.0)
+        if best:
+            out.append(best)
+        return ends
 
     for symbol, weight in symbols:
-        if symbol >= INSULT:
-            _, negated, reported = STATES[state]
-            weight *= (weights.negated if negated else 1.0) * (weights.reported if reported else 1.0)
-            if symbol == INSULT:
-                insult += weight
-            else:
-                threat += weight
-        elif symbol == END:
-            if insult or threat:
-                close(STATES[state][0])
-        state = table[state][symbol]
-    if insult or threat:
-        close(STATES[state][0])
+        if symbol == END:
+            now, matched = close(), False
+            continue
+        matched |= symbol >= HARM
+        if not matched and len(now) == 1:
+            (state,) = now
+            ((to, _),) = TABLE[state][symbol]
+            now = {to: 0.0}
+            continue
+        after: dict[int, float] = {}
+        for state, w in now.items():
+            for to, taken in TABLE[state][symbol]:
+                got = w + weight * factor[state] if taken else w
+                if got >= after.get(to, 0.0):
+                    after[to] = got
+        now = after
+    close()
     return out
 
 
@@ -116,13 +190,16 @@ _QUOTES = frozenset("\"“”„«»")
 _STOPS = frozenset(".!?;…")
 
 
+STOP = (END, 0.0)
+
+
 @dataclass
 class Reader:
     """Turns words between white space into symbols, by the closed classes and a lexicon."""
 
     lexicon: dict[str, float]
     weights: Weights = field(default_factory=Weights)
-    known: dict[str, tuple] = field(default_factory=dict)
+    known: dict[str, tuple[tuple, bool]] = field(default_factory=dict)
     bound: int = 300_000
 
     def symbols(self, word: str) -> tuple[tuple[int, float], ...]:
@@ -130,39 +207,46 @@ class Reader:
         out = []
         if not _QUOTES.isdisjoint(word[: len(word) - len(word.lstrip(_EDGE))]):
             out.append((QUOTE, 0.0))
-        if core in TARGETS:
-            out.append((TARGET, 0.0))
-        elif core in NEGATIONS:
-            out.append((NEGATION, 0.0))
-        elif core in REPORTS:
-            out.append((REPORT, 0.0))
-        elif core in THREATS:
-            out.append((THREAT, self.weights.threat))
-        else:
-            found = max((self.lexicon.get(f, 0.0) for f in entries(core)), default=0.0)
-            if found:
-                out.append((INSULT, found))
+        if core:
+            kind = next((symbol for symbol, members in CLASSES if core in members), None)
+            insult = 0.0 if kind is not None else max((self.lexicon.get(f, 0.0) for f in entries(core)), default=0.0)
+            out.append((INSULT, insult) if insult else (OTHER if kind is None else kind, self.weights.harm if kind == HARM else 0.0))
         tail = word[len(word.rstrip(_EDGE)) :] if core else word
         if not _QUOTES.isdisjoint(tail):
             out.append((QUOTE, 0.0))
         if not _STOPS.isdisjoint(tail):
-            out.append((END, 0.0))
+            out.append(STOP)
         return tuple(out)
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """``(log of the clauses' weight, of the heaviest clause's, of the weight for 100 words, matched clauses' log)``."""
-        words = (text or "").lower().split()
-        known = self.known
-        stream = []
+    def read(self, words: list[str]) -> tuple[list[tuple[tuple[int, float], ...]], bool]:
+        """The symbols of each word, and whether an insult or a verb of harm is among them.
+
+        A stop after the first word of a clause is emphasis and doesn't end it.
+        """
+        known, out, found, length = self.known, [], False, 0
         for w in words:
             got = known.get(w)
             if got is None:
-                got = self.symbols(w)
+                symbols = self.symbols(w)
+                got = symbols, any(x[0] >= HARM for x in symbols)
                 if len(known) < self.bound:
                     known[w] = got
-            if got:
-                stream += got
-        clauses = clause_weights(iter(stream), self.weights)
+            symbols = got[0]
+            found |= got[1]
+            length += 1
+            if symbols and symbols[-1] == STOP:
+                if length == 1:
+                    symbols = symbols[:-1]
+                else:
+                    length = 0
+            out.append(symbols)
+        return out, found
+
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """``(log of the clauses' weight, of the heaviest clause's, of the weight for 100 words, matched clauses' log)``."""
+        words = (text or "").lower().split()
+        symbols, found = self.read(words)
+        clauses = clause_weights(itertools.chain.from_iterable(symbols), self.weights) if found else []
         total = sum(clauses)
         return math.log1p(total), math.log1p(max(clauses, default=0.0)), math.log1p(100 * total / max(1, len(words))), math.log1p(len(clauses))
 

@@ -33,14 +33,28 @@ def utf8(text: str | None) -> bytes:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as zstandard-compressed byte planes; small values take few bytes."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    """Unsigned integers as byte planes, each compressed by itself; small values take few bytes.
+
+    Head: the number of values, then the size of each plane; 0 stands for zeros only, and a plane
+    that doesn't shrink is stored as it is.
+    """
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T) if len(values) else np.empty((values.itemsize, 0), np.uint8)
+    parts = []
+    for plane in planes:
+        small = zstandard.compress(plane.tobytes(), 1) if plane.any() else b""
+        parts.append(small if len(small) < len(plane) else plane.tobytes())
+    return np.array([len(values), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    n, *sizes = np.frombuffer(data[: 4 * width + 4], np.uint32).tolist()
+    planes, at = np.zeros((width, n), np.uint8), 4 * width + 4
+    for plane, size in zip(planes, sizes):
+        if size:
+            part = data[at : at + size]
+            plane[:] = np.frombuffer(part if size == n else zstandard.decompress(part), np.uint8)
+        at += size
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 

@@ -129,8 +129,10 @@ FROM m
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_dedup import DigestIndex, deduplicate
 
-    index = DigestIndex(spark, shared_path(spark, "digest-index"))
-    out = deduplicate(table(spark, sf_dir, "documents"), index)
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex.sized(spark, shared_path(spark, "digest-index"), docs.count())
+    out = deduplicate(docs, index)
+    index.close()
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.tasks import hook, slices, utf8
+from gleaner.llm.tasks import hook, mix64, slices, utf8, without
 from gleaner.operators.components import connected_components
 from gleaner.session import materialise
 
@@ -220,6 +220,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
     gone = found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("stays = 0")
-    gone = materialise(gone.select(F.col("doc_id").alias("gone_id")), "gone")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("d_id"))
-    return packed.join(gone, F.col("d_id") == F.col("gone_id"), "left_anti").select("row.*")
+    return without(docs, materialise(gone.select("doc_id"), "gone"), id_col)

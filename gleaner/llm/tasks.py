@@ -21,6 +21,18 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[column(c).alias(c) for c in docs.columns])
 
 
+#: Rows of a list of ids that is broadcast; a longer one is joined as the planner sees fit.
+LISTED = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``gone`` (``doc_id``, a null among them stands for null ids)."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"))
+    gone = F.broadcast(gone) if gone.count() <= LISTED else gone
+    packed = docs.select(whole_row(docs).alias("row"), column(id_col).alias("d_id"))
+    return packed.join(gone, F.col("d_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few hundred rows, so that few texts are Python objects at once."""
     for batch in batches:

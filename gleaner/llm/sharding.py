@@ -4,23 +4,30 @@ Records are hashed into ``slots`` virtual slots, a number that never changes. By
 slot, and a map assigns whole slots to shards, largest slot first to the least loaded shard. The
 map is a small table (one row per slot, so its size is bounded by ``slots``) with a version;
 rebalancing writes the next version, in which only the slots that have to move differ.
-All of it is DataFrame and SQL expressions.
+Documents are placed by the latest stored version; where the number of shards has changed, or
+slots have come that it doesn't know, the next version is written first. All of it is DataFrame
+and SQL expressions.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.llm.tasks import column
 from gleaner.session import materialise
 
-SLOTS = 4096
+#: Virtual slots, and parts of a slot that are numbered apart.
+SLOTS, PARTS = 4096, 64
+MAP = "virtual_slot int, shard int, version int"
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record key; null keys share one slot."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(key: Column, slots: int = SLOTS, otherwise: Column | None = None) -> Column:
+    """The slot of a record key; records with a null key are dealt by ``otherwise``, or share one slot."""
+    key = F.xxhash64(key) if otherwise is None else F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(otherwise))
+    return F.pmod(key, F.lit(slots)).cast("int")
 
 
 def record_size(text: Column) -> Column:
@@ -76,42 +83,80 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(moved).select(F.lit(version).cast("int").alias("version"), "virtual_slot", "shard")
 
 
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of the map stored at ``path``; none where nothing is stored."""
+    try:
+        return spark.read.schema(MAP).parquet(path).select("version", "virtual_slot", "shard")
+    except AnalysisException:
+        return spark.range(0).select(*[F.lit(0).alias(c) for c in ("version", "virtual_slot", "shard")])
+
+
 def save_map(table: DataFrame, path: str) -> None:
-    """Append a version of the map to the table of versions at ``path``."""
+    """Add a version of the map to the table of versions at ``path``; one that is there already is
+    an error, and stays as it is."""
+    table = materialise(table, "map")
+    stored = versions(table.sparkSession, path).select("version").distinct()
+    if table.join(stored, "version", "left_semi").limit(1).count():
+        raise ValueError(f"the map at {path} has that version already")
     table.repartition(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """One version of the map: ``version, virtual_slot, shard``."""
-    table = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
-    return table.where(F.col("version") == version).select("version", "virtual_slot", "shard")
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of the map, the latest by default: ``version, virtual_slot, shard``."""
+    table = versions(spark, path)
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    return table.where(F.col("version") == version)
+
+
+def current_map(sizes: DataFrame, shards: int, path: str) -> DataFrame:
+    """The version to place records by: the latest stored one if it is for ``shards`` shards and
+    knows all slots of ``sizes``, else the next one, which is stored."""
+    spark = sizes.sparkSession
+    old = load_map(spark, path)
+    have = old.agg(F.max("version").alias("version"), F.max("shard").alias("last")).first()
+    if have["version"] is None:
+        new = first_map(sizes, shards)
+    elif have["last"] == shards - 1 and not sizes.join(old, "virtual_slot", "left_anti").limit(1).count():
+        return old
+    else:
+        unused = old.join(sizes, "virtual_slot", "left_anti").select("virtual_slot", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("records"))
+        new = rebalance(old, sizes.unionByName(unused), shards)
+    save_map(new, path)
+    return load_map(spark, path)
 
 
-def place(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``shard, slot, map_version`` to rows that have ``virtual_slot``.
+def place(rows: DataFrame, table: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
+    """Add ``shard, slot, map_version`` to rows that have ``virtual_slot`` and ``tag``, any number.
 
     ``slot`` is the place in the shard, without gaps from 0: the slots of a shard follow one
-    another and rows are numbered within their virtual slot by ``order``, so no task ever sorts
-    a whole shard. The map is broadcast; it has a row for each virtual slot at most.
+    another, and so do ``parts`` parts of a slot, dealt by ``tag``. Rows are numbered within their
+    part by ``order``, so that no task sorts a whole shard or slot, and a key that many rows share
+    is divided too. The map and the starts are broadcast: a row for each part of a slot at most.
     """
-    counted = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(table), "virtual_slot")
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")
-    starts = counted.select("virtual_slot", "shard", F.col("version").alias("map_version"), before.alias("starts"))
-    nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order)) - 1
-    return rows.withColumn("nth", nth).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("starts") + F.col("nth")).drop("starts", "nth")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("tag"), F.lit(parts)).cast("int"))
+    counted = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(F.broadcast(table), "virtual_slot")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part")) - F.col("n")
+    starts = counted.select("virtual_slot", "part", "shard", F.col("version").alias("map_version"), before.alias("starts"))
+    nth = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy(*order)) - 1
+    return rows.withColumn("nth", nth).join(F.broadcast(starts), ["virtual_slot", "part"]).withColumn("slot", F.col("starts") + F.col("nth")).drop("starts", "nth", "part")
 
 
 def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into a shard so that shards hold nearly equal bytes.
 
-    Returns ``doc_id, size, text_crc32, virtual_slot, shard, slot, map_version``; version 1 of the
-    map is stored at ``map_path``. Null texts have size 8 and the checksum of no bytes; null ids
-    share a virtual slot; repeated rows each get a place of their own; an empty table gives no
-    rows and an empty map. Other columns are not read, whatever their names. A virtual slot is
-    never divided, so a single key that holds more than a shard's share stays in one shard.
+    Returns ``doc_id, size, text_crc32, virtual_slot, shard, slot, map_version``. The map at
+    ``map_path`` is used as it is stored, made if there is none, and rebalanced into the next version
+    if it is for another number of shards or lacks slots; so a second run places the same records
+    alike. Null texts have size 8 and the checksum of no bytes; rows with a null id are dealt
+    one by one; repeated rows each get a place of their own; an empty table gives no
+    rows and stores no map. Other columns are not read, whatever their names. Equal texts
+    are not held together: they are dealt by their ids like all others. A virtual slot is never
+    divided between shards, so a single key that holds more than a shard's share stays in one shard.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), record_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(F.col(id_col), slots).alias("virtual_slot"))
-    rows = materialise(rows, "sized")
-    save_map(first_map(slot_sizes(rows), shards), map_path)
-    return place(rows, load_map(docs.sparkSession, map_path, 1), ["doc_id", "text_crc32", "size"])
+    text = column(text_col)
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    rows = docs.select(column(id_col).alias("doc_id"), record_size(text).alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("tag"))
+    rows = materialise(rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots, F.struct("text_crc32", "tag"))), "sized")
+    sizes = materialise(slot_sizes(rows), "sizes")
+    return place(rows, current_map(sizes, shards, map_path), ["doc_id", "text_crc32", "size", "tag"]).drop("tag")

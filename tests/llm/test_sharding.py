@@ -1,9 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm.sharding import first_map, load_map, rebalance, save_map, shard_documents, slot_sizes
+from gleaner.llm.sharding import first_map, load_map, rebalance, save_map, shard_documents, slot_sizes, versions
 from gleaner.session import shared_path
 from tests.llm.texts import awkward, frame, order
 
@@ -24,6 +25,65 @@ def test_awkward_rows(spark):
     assert all(len({r["shard"] for r in found if r["virtual_slot"] == v}) == 1 for v in {r["virtual_slot"] for r in found})
 
 
+def greedy(rows, shards, slots, slot_of):
+    """Largest slot first to the least loaded shard; slots in order of bytes, then number."""
+    sizes = Counter()
+    for d, t in rows:
+        sizes[slot_of[d]] += len((t or "").encode()) + 8
+    loads, out = [0] * shards, {}
+    for v, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        at = loads.index(min(loads))
+        out[v] = at
+        loads[at] += n
+    return out
+
+
+def test_slots_are_dealt_as_a_plain_greedy_deals_them(spark):
+    rows = [(k, "x" * (k * 7919 % 400)) for k in range(700)]
+    found = shard_documents(frame(spark, rows), 7, shared_path(spark, "m"), 128).collect()
+    want = greedy(rows, 7, 128, {r["doc_id"]: r["virtual_slot"] for r in found})
+    assert all(r["shard"] == want[r["virtual_slot"]] for r in found)
+
+
+def test_a_second_run_uses_the_stored_map(spark):
+    path = shared_path(spark, "m")
+    rows = awkward() + [(None, f"no id {k}") for k in range(500)] + [(77, "many rows of one id")] * 300
+    docs = frame(spark, rows)
+
+    def run(shards):
+        return {(r["doc_id"], r["text_crc32"], r["virtual_slot"]): (r["shard"], r["map_version"]) for r in shard_documents(docs, shards, path, 64).where("doc_id is not null").collect()}
+
+    first = run(5)
+    found = shard_documents(docs, 5, path, 64).collect()
+    check(found, rows, 5)
+    assert {r["map_version"] for r in found} == {1} and run(5) == first
+    assert len({r["shard"] for r in found if r["doc_id"] is None}) == 5
+    grown = run(6)
+    assert {v for _, v in grown.values()} == {2} and {s for s, _ in grown.values()} == set(range(6))
+    stay = sum(first[k][0] == grown[k][0] for k in first)
+    assert stay > 0.6 * len(first)
+    assert run(6) == grown and {r["version"] for r in versions(spark, path).collect()} == {1, 2}
+    check(shard_documents(docs, 6, path, 64).collect(), rows, 6)
+
+
+def test_a_stored_version_is_not_written_twice(spark):
+    path = shared_path(spark, "m")
+    sizes = spark.createDataFrame([(0, 5, 1), (1, 7, 1)], "virtual_slot int, bytes long, records long")
+    save_map(first_map(sizes, 2), path)
+    with pytest.raises(ValueError, match="already"):
+        save_map(first_map(sizes, 2), path)
+    assert load_map(spark, path).count() == 2
+
+
+def test_new_slots_make_a_new_version(spark):
+    path = shared_path(spark, "m")
+    shard_documents(frame(spark, [(k, "a") for k in range(20)]), 3, path, 512).collect()
+    rows = [(k, "a") for k in range(2000)]
+    found = shard_documents(frame(spark, rows), 3, path, 512).collect()
+    check(found, rows, 3)
+    assert {r["map_version"] for r in found} == {2}
+
+
 def test_bytes_are_nearly_equal(spark):
     rows = [(k, "x" * (k * 7919 % 400)) for k in range(6000)]
     found = shard_documents(frame(spark, rows), 24, shared_path(spark, "m")).collect()

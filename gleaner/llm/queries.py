@@ -73,6 +73,30 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label, by plain cosine.
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+), u AS (
+  SELECT vec_id, label, e FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM u a JOIN u b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93
+), reach AS (
+  SELECT src AS vec_id, src AS found FROM links UNION SELECT reach.vec_id, links.dst FROM reach JOIN links ON reach.found = links.src
+), roots AS (
+  SELECT vec_id, min(found) AS root FROM reach GROUP BY vec_id
+), counts AS (
+  SELECT src AS vec_id, count(*) AS n FROM links GROUP BY src
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(root, e.vec_id) AS component_id, coalesce(root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) LEFT JOIN roots USING (vec_id)
+"""
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.language import detect_languages, fit
 
@@ -152,4 +176,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}

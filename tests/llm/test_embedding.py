@@ -67,6 +67,32 @@ def test_recall_at_the_threshold(spark):
     assert got <= every and got >= 0.98 * every, (got, every)
 
 
+@pytest.mark.parametrize("label", [2000, 200_000, 20_000_000])
+def test_recall_with_the_parameters_of_larger_labels(spark, label):
+    """Pivots and shared pivots of a label of that size, on vectors few enough for brute force."""
+    pivots = min(512, embedding.pivots_for(label))
+    rows = planted(4, 500, 64, 0.931)
+    found, want = run(spark, rows, pivots=pivots, shared=embedding.shared_for(pivots)), brute(rows)
+    got, every = sum(r[1] for r in found), sum(r[1] for r in want)
+    assert got <= every and got >= 0.97 * every, (got, every)
+
+
+def test_counting_shared_pivots():
+    rng = np.random.default_rng(7)
+    left, right = (np.sort(np.array([rng.choice(12, 5, replace=False) for _ in range(40)]), axis=1) for _ in range(2))
+    left, right = left[(left == 6).any(axis=1)], right[(right == 6).any(axis=1)]
+    found = {(int(a), int(b)) for i, j in embedding.candidates(left, right, 3, 6) for a, b in zip(i, j)}
+    both = {(a, b): set(left[a]) & set(right[b]) for a in range(len(left)) for b in range(len(right))}
+    assert found == {k for k, v in both.items() if len(v) >= 3 and min(v) == 6} and found
+
+
+def test_many_lengths(spark):
+    """More lengths than the sample of pivots holds."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.integers(1, 3, 2 + k // 6).astype(np.float32)], 0) for k in range(120)]
+    assert run(spark, rows, pivots=8, near=4, shared=2) == brute(rows)
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, 0), (2, [1.0], None)]) == [("1", 0, 1, True), ("2", 0, 2, True)]

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from gleaner.llm.tasks import column
 from gleaner.session import materialise
 
-#: Virtual slots, and parts of a slot that are numbered apart.
-SLOTS, PARTS = 4096, 64
+#: Virtual slots, and parts of all rows that are numbered apart at least: a larger slot is divided.
+SLOTS, PARTS = 4096, 1024
 MAP = "virtual_slot int, shard int, version int"
 
 
@@ -126,20 +126,24 @@ def current_map(sizes: DataFrame, shards: int, path: str) -> DataFrame:
     return load_map(spark, path)
 
 
-def place(rows: DataFrame, table: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
+def place(rows: DataFrame, table: DataFrame, sizes: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
     """Add ``shard, slot, map_version`` to rows that have ``virtual_slot`` and ``tag``, any number.
 
     ``slot`` is the place in the shard, without gaps from 0: the slots of a shard follow one
-    another, and so do ``parts`` parts of a slot, dealt by ``tag``. Rows are numbered within their
-    part by ``order``, so that no task sorts a whole shard or slot, and a key that many rows share
-    is divided too. The map and the starts are broadcast: a row for each part of a slot at most.
+    another. A slot with more than one in ``parts`` of all rows is divided by ``tag`` into parts,
+    which follow one another too. Rows are numbered within their part by ``order``, so that no task
+    sorts a whole shard, nor a slot that a key with many rows fills. What is broadcast has
+    at most a row for each virtual slot and for each of ``parts`` parts.
     """
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("tag"), F.lit(parts)).cast("int"))
+    total = sizes.agg(F.sum("records")).first()[0] or 1
+    divided = sizes.select("virtual_slot", F.ceil(F.col("records") * parts / total).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(divided), "virtual_slot").withColumn("part", F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int"))
     counted = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(F.broadcast(table), "virtual_slot")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part")) - F.col("n")
     starts = counted.select("virtual_slot", "part", "shard", F.col("version").alias("map_version"), before.alias("starts"))
     nth = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy(*order)) - 1
-    return rows.withColumn("nth", nth).join(F.broadcast(starts), ["virtual_slot", "part"]).withColumn("slot", F.col("starts") + F.col("nth")).drop("starts", "nth", "part")
+    placed = rows.withColumn("nth", nth).join(F.broadcast(starts), ["virtual_slot", "part"])
+    return placed.withColumn("slot", F.col("starts") + F.col("nth")).drop("starts", "nth", "part", "parts")
 
 
 def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +163,4 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SL
     rows = docs.select(column(id_col).alias("doc_id"), record_size(text).alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("tag"))
     rows = materialise(rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots, F.struct("text_crc32", "tag"))), "sized")
     sizes = materialise(slot_sizes(rows), "sizes")
-    return place(rows, current_map(sizes, shards, map_path), ["doc_id", "text_crc32", "size", "tag"]).drop("tag")
+    return place(rows, current_map(sizes, shards, map_path), sizes, ["doc_id", "text_crc32", "size", "tag"]).drop("tag")

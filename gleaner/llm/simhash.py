@@ -1,7 +1,8 @@
 """SimHash near-duplicates: exact Hamming search through vantage-point trees.
 
-Distinct fingerprints are dealt to the leaves of a vantage-point tree, built on the driver from a
-bounded sample. A fingerprint has one home leaf; it also visits those leaves beyond a boundary
+Distinct fingerprints are dealt to the leaves of a vantage-point tree. Its upper levels are built on
+the driver from a bounded sample; those below have vantage points by a hash of the node's number,
+so that the tree is as deep as the input needs. A fingerprint has one home leaf; it also visits those leaves beyond a boundary
 that its ball of the search radius crosses. By the triangle inequality every pair within the
 radius then meets in exactly one leaf, as the home of one and as the home or a visit of the other.
 Within a leaf a local tree of the same kind prunes the comparisons. Leaves return a spanning
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.tasks import hook, mix64, slices, utf8, without
+from gleaner.llm.tasks import column, hook, mix64, slices, utf8, without
 from gleaner.operators.components import connected_components
 from gleaner.session import materialise
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Bound of the sample from which the driver builds the tree, and fingerprints to a leaf.
+#: Bound of the sample from which the driver builds the tree, and least fingerprints to a leaf.
 SAMPLE, LEAF = 100_000, 4096
 #: Below this many fingerprints a leaf compares all of them.
 DENSE = 768
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             fps = np.fromiter((fingerprint(t, shingle) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # The distributed tree
@@ -89,19 +90,28 @@ def build_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
     return nodes
 
 
-def route(fps: np.ndarray, nodes: list[tuple[int, int]], radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+def vantage_of(at: int, nodes: list[tuple[int, int]]) -> tuple[np.uint64, int]:
+    """Vantage point and boundary of a node: below the nodes of the sample, a hash of its number, and
+    the middle of the distances to a random point, 31 and 32 in turn."""
+    if at < len(nodes):
+        return np.uint64(nodes[at][0]), nodes[at][1]
+    return mix64(np.array([at], np.uint64))[0], 31 + at % 2
+
+
+def route(fps: np.ndarray, nodes: list[tuple[int, int]], radius: int, depth: int) -> Iterator[tuple[int, np.ndarray, bool]]:
     """``(leaf, indexes, home)``: where each fingerprint lives and which leaves it visits."""
+    inner = 2**depth - 1
     everyone, none = np.arange(len(fps)), np.empty(0, np.int64)
     todo = [(0, everyone, none)]
     while todo:
         at, homes, visits = todo.pop()
         if not len(homes) and not len(visits):
             continue
-        if at >= len(nodes):
-            yield at - len(nodes), homes, True
-            yield at - len(nodes), visits, False
+        if at >= inner:
+            yield at - inner, homes, True
+            yield at - inner, visits, False
             continue
-        vantage, bound = np.uint64(nodes[at][0]), nodes[at][1]
+        vantage, bound = vantage_of(at, nodes)
         h, v = np.bitwise_count(fps[homes] ^ vantage), np.bitwise_count(fps[visits] ^ vantage)
         crossing = homes[(h <= bound) & (h + radius > bound)]
         todo.append((2 * at + 1, homes[h <= bound], visits[v <= bound + radius]))
@@ -167,30 +177,37 @@ def leaf_forest(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndar
     return fps[low], fps[parent[low]]
 
 
-def hamming_edges(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def leaf_for(total: int) -> int:
+    """Fingerprints to a leaf. Visits multiply by about 1.5 with each level, so leaves grow with the
+    root of the number: dealt rows then grow with its power 1.3."""
+    return max(LEAF, 1 << math.ceil(math.log2(2 * math.sqrt(max(1, total)))))
+
+
+def hamming_edges(distinct: DataFrame, radius: int = RADIUS, leaf: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``src, dst``: edges that connect just those of the distinct ``fp`` that links connect.
 
     Only a hash-ordered sample of at most ``sample`` fingerprints comes to the driver.
     """
     total = distinct.count()
-    depth = min(max(0, math.ceil(math.log2(max(1, total / leaf)))), int(math.log2(sample / 16)))
+    depth = max(0, math.ceil(math.log2(max(1, total / (leaf or leaf_for(total))))))
+    upper = min(depth, int(math.log2(sample / 16)))
     share = min(1.0, sample / 2 / max(1, total)) * 2.0**32
     rows = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**32)) < F.lit(int(share))).limit(sample).collect() if depth else []
-    nodes = build_tree(np.array(sorted(r["fp"] for r in rows) or [0], np.int64).view(np.uint64), depth)
+    nodes = build_tree(np.array(sorted(r["fp"] for r in rows) or [0], np.int64).view(np.uint64), upper)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at, who, home in route(fps, nodes, radius):
+            for at, who, home in route(fps, nodes, radius, depth):
                 if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at, np.int32)), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["leaf", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at, np.int64)), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["leaf", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
         src, dst = leaf_forest(fps, group.column("home").to_numpy(zero_copy_only=False).astype(bool), radius)
         return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
+    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean")
     return dealt.groupBy("leaf").applyInArrow(search, "src long, dst long")
 
 

@@ -44,12 +44,13 @@ def links(fps):
     return [(a, int(b)) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(fps ^ fps[a]) <= 3)]
 
 
-@pytest.mark.parametrize("depth", [0, 2, 5])
-def test_tree_finds_all_links(depth):
+@pytest.mark.parametrize("upper, depth", [(0, 0), (2, 2), (5, 5), (2, 6), (0, 4)])
+def test_tree_finds_all_links(upper, depth):
+    """Levels below the sampled ones have vantage points by a hash."""
     fps = clusters()
-    nodes = build_tree(np.random.default_rng(2).choice(fps, 300), depth)
+    nodes = build_tree(np.random.default_rng(2).choice(fps, 300), upper)
     leaves = {}
-    for leaf, who, home in route(fps, nodes, 3):
+    for leaf, who, home in route(fps, nodes, 3, depth):
         leaves.setdefault(leaf, []).append((fps[who], np.full(len(who), home)))
     found = []
     for parts in leaves.values():
@@ -58,10 +59,19 @@ def test_tree_finds_all_links(depth):
     assert components(range(len(fps)), found) == components(range(len(fps)), links(fps))
 
 
-def test_distributed_search(spark):
+def test_hashed_levels_keep_leaves_small():
+    fps = np.random.default_rng(4).integers(0, 2**64, 60_000, dtype=np.uint64)
+    homes = {}
+    for leaf, who, home in route(fps, build_tree(fps[:200], 2), 3, 8):
+        homes[leaf] = homes.get(leaf, 0) + len(who) * home
+    assert sum(homes.values()) == len(fps) and max(homes.values()) < 5 * len(fps) / 256
+
+
+@pytest.mark.parametrize("sample", [2000, 64])
+def test_distributed_search(spark, sample):
     fps = clusters(3)
     distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = hamming_edges(distinct, leaf=200, sample=2000).collect()
+    found = hamming_edges(distinct, leaf=200, sample=sample).collect()
     number = {int(x): k for k, x in enumerate(fps.view(np.int64))}
     assert components(range(len(fps)), [(number[r["src"]], number[r["dst"]]) for r in found]) == components(range(len(fps)), links(fps))
 

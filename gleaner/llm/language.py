@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.llm.tasks import mix64, slices
+from gleaner.llm.tasks import column, mix64, slices, whole_row
 from gleaner.session import materialise
 
 ORDER, HASHES, BITS_PER_GRAM = 3, 3, 12
@@ -108,7 +109,7 @@ class LanguageFilters:
     def build(cls, grams: dict[str, np.ndarray], hashes: int = HASHES, order: int = ORDER, bits_per_gram: int = BITS_PER_GRAM) -> "LanguageFilters":
         names = sorted(grams)
         if len(names) > 64:
-            raise ValueError("a filter holds 64 languages at most")
+            raise ValueError("a filter holds 64 languages at most; a FilterBank holds any number")
         most = max([len(g) for g in grams.values()] or [1])
         cells = np.zeros(1 << max(8, int(np.ceil(np.log2(max(1, most) * bits_per_gram)))), np.uint64)
         out = cls(names, cells, hashes, order)
@@ -184,8 +185,10 @@ class FilterBank:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS, order: int = ORDER) -> FilterBank:
     """Learn the filters from at most about ``rows`` texts of each language, picked by a hash of
     the id. Rows without language, text or id are left out. N-grams are counted by Spark; the
-    frequent ones of each language, bounded by the sample, come to the driver."""
-    wanted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).dropna()
+    frequent ones of each language, bounded by the sample, come to the driver. Every 64 languages
+    make a filter of their own, so their number is not limited; an empty table gives a bank without
+    languages."""
+    wanted = docs.select(column(lang_col).alias("lang"), column(text_col).alias("text"), column(id_col).alias("doc_id")).dropna()
     sizes = {r["lang"]: r["n"] for r in wanted.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, rows / n) * 2**32)))]) if sizes else F.create_map(F.lit(""), F.lit(0))
     sample = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share[F.col("lang")]).select("lang", "text")
@@ -215,23 +218,24 @@ def detect_languages(docs: DataFrame, filters: LanguageFilters | FilterBank, id_
     was learned, every text is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            names, scores = zip(*shared.value.detect(part.column(1).to_pylist()))
+            names, scores = zip(*shared.value.detect(part.column(0).field(text_at).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(run, schema)
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text has a letter."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            good = [any(map(str.isalpha, t or "")) for t in part.column(1).to_pylist()]
-            yield part.select(["row"]).filter(pa.array(good, pa.bool_()))
+            good = [any(map(str.isalpha, t or "")) for t in part.column(0).field(text_at).to_pylist()]
+            yield part.filter(pa.array(good, pa.bool_()))
 
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

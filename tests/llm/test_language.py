@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm.language import UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams, portions
+from gleaner.llm.language import UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams, portions, with_letters
 from gleaner.llm.queries import op5_language
 from tests.llm.texts import awkward, frame
 
@@ -84,3 +84,10 @@ def test_bounded_sample(spark):
 def test_held_out_accuracy(spark, data):
     found = op5_language(spark, data).where("held_out").join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_column_names(spark):
+    docs = frame(spark, [(1, "der Hund"), (2, "1 2")]).withColumn("my col", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("c-d", F.array(F.lit(1)))
+    out = detect_languages(docs, LanguageFilters.build({}))
+    assert out.select("row.*").columns == docs.columns and out.count() == 2
+    assert [(r["doc_id"], r["my col"], r["a.b"]) for r in with_letters(docs).collect()] == [(1, 1, "x")]

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.tasks import slices
+from gleaner.llm.tasks import column, slices
 from gleaner.session import materialise
 
 CAPACITY, END = 4096, 1
-#: Pieces of one length that are ranked together; a length with more is dealt in several parts.
-RANKED = 250_000
+#: A length with more than this many pieces is ranked in parts, and the most parts of a length.
+RANKED, MOST_PARTS = 256, 256
 #: Words whose ids a worker keeps.
 MEMO = 400_000
 
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names[: len(rows[0])])
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return wanted.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 
@@ -316,7 +316,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     rows = materialise(pieces(docs, tokenizer, capacity, end, id_col, text_col, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = spark.createDataFrame(plan(histogram, capacity), RANGES)
-    parts = F.element_at(F.lit([-(-histogram.get(k + 1, 1) // RANKED) for k in range(capacity)]), F.col("length"))
+    parts = F.element_at(F.lit([min(MOST_PARTS, -(-histogram.get(k + 1, 1) // RANKED)) for k in range(capacity)]), F.col("length"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.tasks import slices, utf8
+from gleaner.llm.tasks import column, slices, utf8
 
 #: Pieces and pairs whose ids a worker remembers.
 PIECE_MEMO, PAIR_MEMO = 500_000, 500_000
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             ids = [encode(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return wanted.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 

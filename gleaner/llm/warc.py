@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
+from gleaner.llm.tasks import column
 from gleaner.session import materialise
 
 EOL = "\r\n"
@@ -51,13 +52,13 @@ def mark_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
     is written first, so the planner broadcasts it or not by its true size. Rows that repeat the
     largest id are responses all; rows with a null id in a group revisit it.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    payload = F.coalesce(column(payload_col), F.lit(""))
     key = F.when(F.octet_length(payload) >= least, F.sha2(payload, 256))
-    keyed = pages.select(F.col(id_col).alias("page_id"), key.alias("payload_key"))
+    keyed = pages.select(column(id_col).alias("page_id"), key.alias("payload_key"))
     groups = keyed.where("payload_key is not null").groupBy("payload_key").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
     groups = materialise(groups.where("n > 1 and first_id is not null").select("payload_key", "first_id"), "payloads")
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"), key.alias("payload_key")).join(groups, "payload_key", "left")
+    rows = pages.select(column(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"), key.alias("payload_key")).join(groups, "payload_key", "left")
     same = F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", F.when(~same, F.col("first_id")).alias("refers_to"))
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def greedy(sizes: Iterable[int], most: int, tokens: int) -> list[int]:
+    """The number of each input's batch: a batch ends before it would exceed ``most`` inputs or ``tokens``."""
+    out, count, total, batch = [], 0, 0, 0
+    for n in sizes:
+        if n > tokens:
+            raise ValueError(f"an input of {n} tokens is over the bound")
+        if count and (count >= most or total + n > tokens):
+            count, total, batch = 0, 0, batch + 1
+        count, total = count + 1, total + n
+        out.append(batch)
+    return out
+
+
 def batch_inputs(inputs: DataFrame, most: int = 32, tokens: int = 32_768) -> DataFrame:
     """``inputs`` (with ``tokens``) with ``partition, batch``: a batch ends before it would exceed a bound.
 

@@ -1,8 +1,9 @@
 """The passage index: generations of Parquet tables, vectors that later generations reuse.
 
 ``<root>/vectors`` is append-only and keyed by chunk hash; ``<root>/generations/<id>`` holds the
-tables of one generation; ``<root>/published`` has a row for each published generation, and the
-latest row is the index. A generation that fails is never published, so readers keep the last one.
+tables of one generation; ``<root>/published`` has a row for each publication: the generation, and
+the folder of its vectors. The latest row is the index. A generation that fails is never published,
+so readers keep the last one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,18 @@ from pyspark.sql.utils import AnalysisException
 
 from gleaner.errors import Code, EngineError
 from gleaner.functions.vectors import norm, valid
+from gleaner.operators.batching import greedy
 from gleaner.operators.lexical import LexicalIndex, build_index
+from gleaner.operators.quality import lexical_violations, span_violations, vector_violations
 from gleaner.session import materialise
+from gleaner.sources.limits import Retrying
 from gleaner.sources.markdown import Budget, chunk, coverage
 from gleaner.sources.providers import Embedding, check_vectors
 
 VECTORS = "profile string, chunk_hash string, embedding array<float>, norm double"
-PUBLISHED = "generation string, at long, profile string"
+PUBLISHED = "generation string, at long, profile string, folder string"
+#: Inputs and tokens of a request for vectors.
+BATCH, BATCH_TOKENS = 32, 32_768
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -34,9 +41,19 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def vectors(spark: SparkSession, root: str, profile: str) -> DataFrame:
+def _latest(spark: SparkSession, root: str):
+    rows = _read(spark, f"{root}/published", PUBLISHED).orderBy(F.col("at").desc()).limit(1).collect()
+    return rows[0] if rows else None
+
+
+def _publish(spark: SparkSession, root: str, generation: str, profile: str, folder: str) -> None:
+    row = spark.createDataFrame([(generation, time.time_ns(), profile, folder)], PUBLISHED)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/published")
+
+
+def vectors(spark: SparkSession, root: str, profile: str, folder: str = "vectors") -> DataFrame:
     """One vector for each chunk hash of a profile."""
-    return _read(spark, f"{root}/vectors", VECTORS).where(F.col("profile") == profile).dropDuplicates(["chunk_hash"])
+    return _read(spark, f"{root}/{folder}", VECTORS).where(F.col("profile") == profile).dropDuplicates(["chunk_hash"])
 
 
 def pending(passages: DataFrame, stored: DataFrame) -> DataFrame:
@@ -44,16 +61,33 @@ def pending(passages: DataFrame, stored: DataFrame) -> DataFrame:
     return passages.join(stored.select("chunk_hash"), "chunk_hash", "left_anti").dropDuplicates(["chunk_hash"])
 
 
-def embed_pending(missing: DataFrame, provider: Embedding, profile: str, batch_size: int = 32) -> DataFrame:
-    """Vectors of ``missing`` (chunk_hash, text), by batches of texts within each task."""
+def unreferenced(stored: DataFrame, used: DataFrame) -> DataFrame:
+    """Stored vectors (``chunk_hash``) that no used input refers to."""
+    return stored.join(used.select("chunk_hash").distinct(), "chunk_hash", "left_anti")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_size):
-                part = batch.slice(at, batch_size)
-                texts = part.column(1).to_pylist()
-                found = check_vectors(texts, provider.embed(texts), provider.size)
-                yield pa.RecordBatch.from_arrays([pa.array([profile] * len(texts)), part.column(0), pa.array(found, pa.list_(pa.float32()))], ["profile", "chunk_hash", "embedding"])
+def status(sources: DataFrame, passages: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: ``sources, passages, missing_vectors``, the inputs of passages that have no vector yet."""
+    counts = passages.agg(F.count("*").alias("passages"))
+    missing = pending(passages, stored).agg(F.count("*").alias("missing_vectors"))
+    return sources.agg(F.countDistinct("source").alias("sources")).crossJoin(counts).crossJoin(missing)
+
+
+def embed_pending(missing: DataFrame, provider: Embedding, profile: str, budget: Budget = Budget(), retry: Retrying = Retrying()) -> DataFrame:
+    """Vectors of ``missing`` (chunk_hash, text), by batches of texts within each task.
+
+    A batch ends before it would exceed ``BATCH`` texts or ``BATCH_TOKENS`` tokens. Failures that may
+    pass are tried again.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(1).to_pylist()
+            numbers = np.array(greedy(map(budget.soft, texts), BATCH, BATCH_TOKENS), np.int64)
+            cuts = np.flatnonzero(np.diff(numbers, prepend=-1, append=-1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                found = check_vectors(texts[a:b], retry.call(provider.embed, texts[a:b]), provider.size)
+                yield pa.RecordBatch.from_arrays([pa.array([profile] * (b - a)), part.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.float32()))], ["profile", "chunk_hash", "embedding"])
 
     embedded = missing.select("chunk_hash", "text").mapInArrow(run, "profile string, chunk_hash string, embedding array<float>")
     return embedded.withColumn("norm", norm(F.col("embedding")))
@@ -73,10 +107,12 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     passages = spans.where("passage_id is not null")
     if passages.groupBy("passage_id").count().where("count > 1").limit(1).count():
         raise EngineError(Code.SOURCE_INVALID, "a source is given twice")
-    missing = materialise(pending(passages, vectors(spark, root, profile)), "missing")
+    last = _latest(spark, root)
+    folder = (last and last["folder"]) or "vectors"
+    missing = materialise(pending(passages, vectors(spark, root, profile, folder)), "missing")
     embedded = missing.count()
-    embed_pending(missing, provider, profile).write.mode("append").parquet(f"{root}/vectors")
-    now = vectors(spark, root, profile)
+    embed_pending(missing, provider, profile, budget).write.mode("append").parquet(f"{root}/{folder}")
+    now = vectors(spark, root, profile, folder)
     if passages.join(now.where(valid(F.col("embedding"), provider.size)), "chunk_hash", "left_anti").limit(1).count():
         raise EngineError(Code.INDEX_INVALID, "a passage has no valid vector")
     lexical = build_index(passages.select("passage_id", "text", F.concat_ws(" ", "headings").alias("heads"), "source"), "passage_id", {"body": "text", "headings": "heads", "path": "source"}).saved()
@@ -84,21 +120,24 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     lexical.lengths.write.parquet(f"{at}/lengths")
     lexical.stats.write.parquet(f"{at}/stats")
     total = passages.select("chunk_hash").distinct().count()
-    row = spark.createDataFrame([(generation, time.time_ns(), profile)], PUBLISHED)
-    row.coalesce(1).write.mode("append").parquet(f"{root}/published")
+    _publish(spark, root, generation, profile, folder)
     return {"generation": generation, "passages": passages.count(), "inputs": total, "embedded": embedded}
 
 
 class Index:
     """The published generation of an index folder."""
 
-    def __init__(self, spark: SparkSession, root: str, provider: Embedding | None = None, budget: Budget = Budget()):
-        rows = _read(spark, f"{root}/published", PUBLISHED).orderBy(F.col("at").desc()).limit(1).collect()
-        if not rows:
+    def __init__(self, spark: SparkSession, root: str, provider: Embedding | None = None, budget: Budget = Budget(), checked: bool = False):
+        """Open what is published at ``root``; ``checked``: only if all its tables hold together."""
+        last = _latest(spark, root)
+        if not last:
             raise EngineError(Code.INDEX_NOT_READY, "nothing is published")
-        self.spark, self.root, self.generation, self.profile = spark, root, rows[0]["generation"], rows[0]["profile"]
+        self.spark, self.root, self.generation, self.profile = spark, root, last["generation"], last["profile"]
+        self.folder = last["folder"] or "vectors"
         if provider and self.profile != f"{provider.name}:{provider.size}:{budget.name}":
             raise EngineError(Code.INDEX_INCOMPATIBLE, f"the index was made with {self.profile}")
+        if checked:
+            self.check()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/generations/{self.generation}/{name}")
@@ -111,22 +150,42 @@ class Index:
 
     def embedded(self) -> DataFrame:
         """Passages with their vectors."""
-        return self.passages().join(vectors(self.spark, self.root, self.profile), "chunk_hash")
+        return self.passages().join(self.vectors(), "chunk_hash")
+
+    def vectors(self) -> DataFrame:
+        """One vector for each chunk hash of the profile."""
+        return vectors(self.spark, self.root, self.profile, self.folder)
 
     def status(self) -> dict:
-        found = self.passages()
-        known = vectors(self.spark, self.root, self.profile)
-        return {"sources": self.table("sources").count(), "passages": found.count(), "missing_vectors": pending(found, known).count(), "profile": self.profile}
+        found = status(self.table("sources"), self.passages(), self.vectors()).first()
+        return {"sources": found["sources"], "passages": found["passages"], "missing_vectors": found["missing_vectors"], "profile": self.profile}
+
+    def check(self) -> "Index":
+        """The index itself if its tables hold together, else INDEX_INVALID."""
+        size, lexical = int(self.profile.split(":")[-2]), self.lexical()
+        found = span_violations(self.table("spans"), self.table("sources"))
+        found = found.unionByName(vector_violations(self.passages(), self.vectors(), size))
+        found = found.unionByName(lexical_violations(lexical.postings, lexical.lengths, lexical.stats, self.passages()))
+        broken = found.limit(1).collect()
+        if broken:
+            raise EngineError(Code.INDEX_INVALID, f"{broken[0]['rule']}: {broken[0]['subject']}")
+        return self
 
     def collect_garbage(self) -> dict:
-        """Rewrite the vectors that the generation refers to; older ones go."""
-        stored = _read(self.spark, f"{self.root}/vectors", VECTORS)
-        used = self.passages().select("chunk_hash").distinct()
-        if pending(self.passages(), vectors(self.spark, self.root, self.profile)).limit(1).count():
+        """Publish a folder of just the vectors that the generation refers to.
+
+        They are written to a new folder, which counts from the moment that it is published with the
+        generation; a run that dies before leaves everything as it was. Old folders stay for
+        readers of the generation as it was, until they are deleted.
+        """
+        stored = self.vectors()
+        if pending(self.passages(), stored).limit(1).count():
             raise EngineError(Code.INDEX_INVALID, "a passage has no vector")
-        kept = stored.where(F.col("profile") == self.profile).join(used, "chunk_hash", "left_semi").dropDuplicates(["chunk_hash"]).select(*[c.split()[0] for c in VECTORS.split(", ")])
-        counts = (stored.count(), kept.count())
-        staged = f"{self.root}/vectors-{uuid.uuid4().hex[:8]}"
-        kept.write.parquet(staged)
-        self.spark.read.schema(VECTORS).parquet(staged).write.mode("overwrite").parquet(f"{self.root}/vectors")
-        return {"removed": counts[0] - counts[1], "retained": counts[1]}
+        removed = unreferenced(stored, self.passages())
+        kept = stored.join(removed.select("chunk_hash"), "chunk_hash", "left_anti").select(*[c.split()[0] for c in VECTORS.split(", ")])
+        every = stored.count()
+        folder = f"vectors-{uuid.uuid4().hex[:8]}"
+        kept.write.parquet(f"{self.root}/{folder}")
+        retained = self.spark.read.schema(VECTORS).parquet(f"{self.root}/{folder}").count()
+        _publish(self.spark, self.root, self.generation, self.profile, folder)
+        return {"removed": every - retained, "retained": retained}

@@ -8,32 +8,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.errors import Code
 from gleaner.operators.excerpt import excerpts
 from gleaner.operators.fusion import fuse, protect, rerank_cutoff
 from gleaner.operators.lexical import bm25, query_terms, top
 from gleaner.operators.similarity import cosine_top
-from gleaner.plans.index import Index
+from gleaner.plans.index import BATCH, Index
 from gleaner.session import materialise
+from gleaner.sources.limits import Retrying, check_request, format_query
 from gleaner.sources.providers import Embedding, Expansion, Rerank, check_expansion, check_scores, check_vectors
 
 DEPTH = 40
+#: Fixed value: how long a search waits for its models.
+SECONDS = 30.0
 
 
-def expand_queries(queries: DataFrame, embedding: Embedding, expansion: Expansion) -> DataFrame:
+def expand_queries(queries: DataFrame, embedding: Embedding, expansion: Expansion, instruction: str = "", seconds: float = SECONDS) -> DataFrame:
     """``query_id, channel, kind, is_original, text, v``: each query and its checked variants.
 
-    A variant that fails its check fails the batch; there is no search without its stages.
+    Queries and variants go to the embedding with ``instruction``, made-up passages without it. A query
+    over its budget, or a variant that fails its check, fails the batch; there is no search without
+    its stages. Failures that may pass are tried again within ``seconds``.
     """
+    embed, expand = (Retrying(seconds=seconds, code=code) for code in (Code.EMBEDDING_FAILED, Code.EXPANSION_FAILED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = check_expansion(query, expansion.expand(query))
+                format_query(query)
+                found = check_expansion(query, expand.call(expansion.expand, query))
                 rows += [(key, "bm25", "lex", True, query), (key, "cosine", "vec", True, query)]
                 rows += [(key, f"{kind}{k}", "lex" if kind == "lex" else "vec", False, text) for kind, texts in found.items() for k, text in enumerate(texts)]
-            texts = [r[4] for r in rows if r[2] == "vec"]
-            found = iter(check_vectors(texts, embedding.embed(texts), embedding.size))
+            texts = [r[4] if r[1].startswith("hyde") else format_query(r[4], instruction=instruction) for r in rows if r[2] == "vec"]
+            found = iter([v for at in range(0, len(texts), BATCH) for v in check_vectors(texts[at : at + BATCH], embed.call(embedding.embed, texts[at : at + BATCH]), embedding.size)])
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()]
             v = pa.array([next(found) if r[2] == "vec" else None for r in rows], pa.list_(pa.float32()))
@@ -42,15 +50,21 @@ def expand_queries(queries: DataFrame, embedding: Embedding, expansion: Expansio
     return queries.select("query_id", "query").mapInArrow(run, "query_id long, channel string, kind string, is_original boolean, text string, v array<float>")
 
 
-def search(spark: SparkSession, index: Index, queries: DataFrame, embedding: Embedding, expansion: Expansion, reranking: Rerank, best: int = 8) -> DataFrame:
-    """``query_id, rank, score, source, passage_id, start, end, snippet`` for ``queries`` (query_id long, query)."""
-    variants = materialise(expand_queries(queries, embedding, expansion).withColumn("variant", F.xxhash64("query_id", "channel")), "variants")
+def search(
+    spark: SparkSession, index: Index, queries: DataFrame, embedding: Embedding, expansion: Expansion, reranking: Rerank, best: int = 8, instruction: str = "", seconds: float = SECONDS
+) -> DataFrame:
+    """``query_id, rank, score, source, passage_id, start, end, snippet`` for ``queries`` (query_id long, query).
+
+    A request to the reranking that is over a budget fails, as does one without an answer in time.
+    """
+    variants = expand_queries(queries, embedding, expansion, instruction, seconds)
+    variants = materialise(variants.withColumn("variant", F.monotonically_increasing_id()), "variants")
     passages = index.passages()
     names = variants.select(F.col("variant").alias("query_id"), F.col("query_id").alias("q"), "channel", "is_original")
     terms = query_terms(variants.where("kind = 'lex'"), "variant", "text")
     posted = index.lexical()
     lexical = top(bm25(posted, terms), DEPTH)
-    keyed = index.embedded().select("passage_id", F.xxhash64("passage_id").alias("id"), F.col("embedding").alias("v"))
+    keyed = materialise(index.embedded().select("passage_id", F.monotonically_increasing_id().alias("id"), F.col("embedding").alias("v")), "keyed")
     near = cosine_top(variants.where("kind = 'vec'").select(F.col("variant").alias("id"), "v"), keyed.select("id", "v"), DEPTH)
     near = near.join(keyed.select("id", "passage_id"), "id").select("query_id", "rank", F.col("passage_id").alias("id"), "score")
     lists = lexical.unionByName(near).join(names, "query_id").select(F.col("q").alias("query_id"), "channel", "is_original", "id", "rank")
@@ -61,7 +75,8 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, embedding: Emb
     def rerank(key: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["fused_rank"])
         documents = [r["text"] for r in rows]
-        scores = check_scores(documents, reranking.rerank(rows[0]["query"], documents))
+        check_request(rows[0]["query"], documents)
+        scores = check_scores(documents, Retrying(seconds=seconds, code=Code.RERANK_FAILED).call(reranking.rerank, rows[0]["query"], documents))
         return pa.table({"query_id": [r["query_id"] for r in rows], "id": [r["id"] for r in rows], "index": [r["fused_rank"] for r in rows], "relevance": scores})
 
     ranked = rerank_cutoff(texts.groupBy("query_id").applyInArrow(rerank, "query_id long, id string, index long, relevance double"), best=best)

@@ -3,7 +3,8 @@ import pytest
 from gleaner.errors import EngineError
 from gleaner.plans.index import Index, prepare
 from gleaner.plans.search import search
-from gleaner.sources.providers import HashEmbedding, NoExpansion, OverlapRerank
+from gleaner.sources.limits import Passing
+from gleaner.sources.providers import HashEmbedding, NoExpansion, OverlapRerank, Recorded, RecordedModels
 from gleaner.streaming.prepare import prepare_stream
 
 MODEL = HashEmbedding(32)
@@ -65,3 +66,64 @@ def test_stream(spark, tmp_path):
     (inbox / "2.json").write_text('{"source": ".agent/knowledge/a.md", "text": "gamma", "version": 2}\n{"source": ".agent/knowledge/b.md", "text": null, "version": 2}\n')
     prepare_stream(spark, stream(), root, MODEL, str(tmp_path / "ck")).awaitTermination()
     assert [r["text"] for r in Index(spark, root).passages().collect()] == ["gamma"]
+
+
+def test_a_broken_index_is_not_opened(spark, tmp_path):
+    root = str(tmp_path / "index")
+    made = prepare(spark, sources(spark, **TEXTS), root, MODEL)
+    assert Index(spark, root, MODEL, checked=True).generation == made["generation"]
+    at = f"{root}/generations/{made['generation']}/lengths"
+    spark.read.parquet(at).limit(1).write.mode("append").parquet(at)
+    with pytest.raises(EngineError, match="INDEX_INVALID"):
+        Index(spark, root, MODEL, checked=True)
+
+
+def test_garbage_collection_leaves_the_old_folder_to_its_readers(spark, tmp_path):
+    root = str(tmp_path / "index")
+    prepare(spark, sources(spark, **TEXTS), root, MODEL)
+    prepare(spark, sources(spark, gc=TEXTS["gc"]), root, MODEL)
+    before = Index(spark, root, MODEL)
+    every = before.vectors().count()
+    gone = before.collect_garbage()
+    after = Index(spark, root, MODEL)
+    assert after.folder != before.folder and before.vectors().count() == every == gone["removed"] + gone["retained"]
+    assert after.vectors().count() == gone["retained"] and after.status()["missing_vectors"] == 0
+    assert prepare(spark, sources(spark, gc=TEXTS["gc"]), root, MODEL)["embedded"] == 0
+
+
+class Failing:
+    """Fails in a way that may pass, as often as told, in every process."""
+
+    def __init__(self, times, model=MODEL):
+        self.times, self.name, self.size, self.model = times, model.name, model.size, model
+
+    def embed(self, texts):
+        if self.times:
+            self.times -= 1
+            raise Passing("busy")
+        return self.model.embed(texts)
+
+
+def test_budgets_and_retries_hold_in_a_search(spark, tmp_path):
+    root = str(tmp_path / "index")
+    prepare(spark, sources(spark, **TEXTS), root, Failing(1))
+    asked = spark.createDataFrame([(1, "tokens")], "query_id long, query string")
+    run = lambda queries, model, seconds=30.0: search(spark, Index(spark, root), queries, model, NoExpansion(), OverlapRerank(), seconds=seconds).count()
+    assert run(asked, Failing(1)) > 0
+    with pytest.raises(Exception, match="EMBEDDING_FAILED"):
+        run(asked, Failing(9), 1.5)
+    with pytest.raises(Exception, match="QUERY_TOO_LARGE"):
+        run(spark.createDataFrame([(1, "x" * 20_000)], asked.schema), MODEL)
+
+
+def test_recorded_models_answer_a_search(spark, tmp_path):
+    root = str(tmp_path / "index")
+    prepare(spark, sources(spark, a="alpha beta"), root, MODEL)
+    query = "alpha"
+    asked = spark.createDataFrame([(1, query)], "query_id long, query string")
+    text = Index(spark, root).passages().first()["text"]
+    answers = {Recorded.key("expand", query): [{"lex": [], "vec": [], "hyde": []}], Recorded.key("embed", [query]): [MODEL.embed([query])], Recorded.key("rerank", [query, [text]]): [[0.9]]}
+    models = RecordedModels(Recorded(answers), MODEL.size)
+    assert [r["score"] for r in search(spark, Index(spark, root), asked, models, models, models).collect()] == [1.0]
+    with pytest.raises(Exception, match="no recorded answer"):
+        search(spark, Index(spark, root), spark.createDataFrame([(1, "beta")], asked.schema), models, models, models).count()

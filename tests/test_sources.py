@@ -120,3 +120,52 @@ def test_answers_are_checked():
     assert record.take("embed", ["a"]) == [1] and record.left() == 0
     with pytest.raises(EngineError):
         record.take("embed", ["a"])
+
+
+@pytest.mark.parametrize("text", ["foo-bar", "a.foo", "x@foo", "a/foo", "k:foo", "foo/a", "foo@x", "foo.a", "foo:k", "foo_", "9foo"])
+def test_a_literal_inside_another_one_does_not_count(text):
+    assert not contains_literal(f"see {text} here", "foo")
+
+
+@pytest.mark.parametrize("text", ["foo", "(foo)", "`foo`", "foo.", "foo: bar", "foo, bar", "say: foo!", "a.foo foo"])
+def test_a_literal_for_itself_counts(text):
+    assert contains_literal(text, "foo")
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [
+        ("Why std::vector, not foo:-x or timeout:+5.", ["std::vector", "foo:-x", "timeout:+5"]),
+        ("Read docs/a.md: set --cache and -v", ["docs/a.md", "--cache", "-v"]),
+        ("UTF-8 1E+3 HTTP2 5ms 1.2.3 2026-09-06 12:30", ["UTF-8", "1E+3", "HTTP2", "5ms", "1.2.3", "2026-09-06", "12:30"]),
+        ("25% or 3,5 or -1.", ["25", "25%", "3", "3,5", "5", "-1"]),
+        ("`two words` in initialConfig, XMLReader", ["two words", "initialConfig", "XMLReader"]),
+        ("How Does Search Work in NATO or U.S.?", ["U.S"]),
+        ("plain words. end:", []),
+    ],
+)
+def test_which_literals_are_kept(query, want):
+    assert anchors(query) == want
+
+
+@pytest.mark.parametrize(
+    "query, variant, good",
+    [
+        ("Explain std::string.", "Find documentation about std::string", True),
+        ("Explain std::string.", "Explain std::vector", False),
+        ("Explain timeout:-5.", "Explain timeout:5", False),
+        ("config.json", "config.json.backup", False),
+        ("Use 1,5 seconds?", "Use 1 and 5 seconds", False),
+        ("Use `exact value`", "Use `other value`", False),
+        ("Explain search", "How Does Search Work", True),
+        ("Explain search", "Explain inventedPath", False),
+        ("Keep 25%:", "Keep it", False),
+    ],
+)
+def test_variants_keep_literals(query, variant, good):
+    answer = {"lex": [variant], "vec": [], "hyde": []}
+    if good:
+        assert check_expansion(query, answer)["lex"] == [variant]
+    else:
+        with pytest.raises(EngineError, match="EXPANSION_FAILED"):
+            check_expansion(query, answer)

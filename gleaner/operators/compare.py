@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.numbering import numbered
+
+#: Draws of a resample that one row makes.
+DRAWS = 1000
 #: The generator of the resamples, its seed, and the resamples.
 A, C, M, SEED, SAMPLES = 1664525, 1013904223, 2**32, 20260905, 2000
 
@@ -32,27 +36,47 @@ def jump(state: int, steps: int) -> int:
     return state
 
 
+def _after(state: Column, steps: Column) -> Column:
+    """The generator's state after a number of steps below 2**48: for each of its bits, a power of the step."""
+    powers, a, c = [], A, C
+    for bit in range(48):
+        powers.append(F.struct(F.lit(1 << bit).cast("long").alias("bit"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
+        a, c = a * a % M, (a + 1) * c % M
+
+    def step(s: Column, p: Column) -> Column:
+        high = F.shiftleft((p["a"] * F.shiftright(s, 16)) % M, 16)  # in two halves, to stay within 64 bits
+        return F.when(p["bit"].bitwiseAND(steps) != 0, (high + p["a"] * s.bitwiseAND(F.lit(65535)) + p["c"]) % M).otherwise(s)
+
+    return F.aggregate(F.array(*powers), state, step)
+
+
 def bootstrap(pairs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """One row: ``low, high``, the 95 % interval of the mean delta over paired resamples.
 
-    Every resample begins at its own place in the generator's sequence, to which the driver jumps,
-    so resamples are independent tasks; a resample folds over the deltas, an array in the order of
-    the questions. The questions of an evaluation are a set of bounded size.
+    All resamples draw from one sequence of the generator, each from its own part of it. Deltas are
+    numbered in the order of the questions; a part of ``DRAWS`` draws of a resample is one row, which
+    jumps to its place, draws numbers, and meets their deltas in a join; sums by resample come
+    last. No row and no task holds all questions.
     """
     spark = pairs.sparkSession
-    n = pairs.count()
-    starts = [(k, jump(seed, k * n)) for k in range(samples)]
-    deltas = pairs.agg(F.transform(F.array_sort(F.collect_list(F.struct("question", "delta"))), lambda x: x["delta"]).alias("deltas"))
-    drawn = spark.createDataFrame(starts, "sample int, state long").join(F.broadcast(deltas))
-
-    def draw(acc, _):
-        state = (acc["state"] * A + C) % M
-        at = F.floor(state / float(M) * F.size("deltas")).cast("int")
-        return F.struct(state.alias("state"), (acc["total"] + F.get("deltas", at)).alias("total"))
-
-    total = F.aggregate(F.col("deltas"), F.struct(F.col("state"), F.lit(0.0).alias("total")), draw)["total"]
-    means = drawn.where(F.size("deltas") > 0).select((total / F.size("deltas")).alias("mean"))
-    ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))
+    deltas = numbered(pairs.where("delta is not null"), ["question"]).select("number", F.col("delta").cast("double").alias("delta"))
+    n = deltas.count()
+    parts = -(-n // DRAWS)
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    work = spark.range(samples * parts).select(F.floor(F.col("id") / parts).alias("sample"), (F.col("id") % parts * DRAWS).alias("at")).repartition("sample", "at")
+    begun = work.withColumn("state", _after(F.lit(seed).cast("long"), F.col("sample") * n + F.col("at")))
+    size = F.least(F.lit(DRAWS), n - F.col("at")).cast("int")
+
+    def draw(acc: Column, _: Column) -> Column:
+        state = (F.element_at(acc, -1) * A + C) % M
+        return F.concat(acc, F.array(state))
+
+    states = F.aggregate(F.sequence(F.lit(1), size), F.array("state"), draw)
+    drawn = begun.select("sample", F.explode(F.slice(states, 2, DRAWS)).alias("state")).select("sample", F.floor(F.col("state") / float(M) * n).cast("long").alias("number"))
+    times = drawn.groupBy("sample", "number").agg(F.count("*").alias("times"))
+    means = times.join(deltas, "number").groupBy("sample").agg((F.sum(F.col("times") * F.col("delta")) / n).alias("mean"))
+    ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # as many as there are resamples
     low, high = int(samples * 0.025), int(samples * 0.975)
     return ordered.select(F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
 

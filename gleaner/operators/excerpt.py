@@ -39,15 +39,25 @@ def occurrences(text: str) -> list[tuple[str, int, int]]:
 def best_window(text: str, weights: dict[str, float], size: int = SIZE) -> tuple[int, int]:
     """The window of ``size`` characters with the greatest weight of distinct terms, the first of equals.
 
-    Only windows that end at the end of an occurrence, or begin at 0, need to be tried.
+    Only windows that end at the end of an occurrence, or begin at 0, need to be tried. They are
+    gone through in order, occurrences coming in by their ends and going out by their starts.
     """
     size = min(size, len(text))
     last = len(text) - size
-    found = sorted({(t, a, b) for t, a, b in occurrences(text) if t in weights}, key=lambda x: (x[1], x[2]))
-    starts = sorted({max(0, b - size) for _, a, b in found if max(0, b - size) <= min(last, a)})
-    best, best_score = 0, 0.0
-    for p in starts:
-        score = sum(weights[t] for t in {t for t, a, b in found if a >= p and b <= p + size})
+    found = {(t, a, b) for t, a, b in occurrences(text) if t in weights and b - a <= size}
+    coming, going = sorted(found, key=lambda x: x[2]), sorted(found, key=lambda x: x[1])
+    inside: dict[str, int] = {}
+    best, best_score, score = 0, 0.0, 0.0
+    n_in = n_out = 0
+    for p in sorted({max(0, b - size) for _, _, b in found if max(0, b - size) <= last}):
+        while n_in < len(coming) and coming[n_in][2] <= p + size:
+            t, n_in = coming[n_in][0], n_in + 1
+            inside[t] = inside.get(t, 0) + 1
+            score += weights[t] if inside[t] == 1 else 0.0
+        while n_out < len(going) and going[n_out][1] < p:
+            t, n_out = going[n_out][0], n_out + 1
+            inside[t] -= 1
+            score -= weights[t] if inside[t] == 0 else 0.0
         if score > best_score + 1e-12:
             best, best_score = p, score
     return best, best + size

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.operators.numbering import numbered
+
 #: Gain of each grade, and the depth of the metrics.
 DEPTH = 8
 
@@ -87,6 +89,18 @@ def summarise(means: DataFrame, groups: list[str], value: str = "mean") -> DataF
 
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Nearest-rank median, 95th percentile and maximum of each group."""
-    part = f"percentile_disc({{}}) WITHIN GROUP (ORDER BY {value})"
-    return rows.groupBy(group).agg(F.expr(part.format(0.5)).alias("p50"), F.expr(part.format(0.95)).alias("p95"), F.max(value).alias("longest"), F.count(value).alias("n"))
+    """Nearest-rank median, 95th percentile and maximum of each group, and how many values it has.
+
+    Values are numbered in the order of group and value over all tasks; a percentile is the value
+    with a certain number. Nulls are left out; a group of nulls only has none.
+    """
+    known = numbered(rows.where(F.col(value).isNotNull()).select(group, value), [group, value])
+    sizes = known.groupBy(F.col(group).alias("_key")).agg(F.min("number").alias("first"), F.count("*").alias("n"), F.max(value).alias("longest"))
+    nth = F.col("number") - F.col("first") + 1
+    places = {"p50": F.floor((F.col("n") + 1) / 2), "p95": F.floor((F.col("n") * 95 + 99) / 100)}
+    joined = known.join(sizes, F.col(group).eqNullSafe(F.col("_key")))
+    picked = joined.select("_key", "n", "longest", *[F.when(nth == at, F.col(value)).alias(k) for k, at in places.items()])
+    found = picked.groupBy("_key").agg(*[F.max(c).alias(c) for c in ("p50", "p95", "longest", "n")])
+    every = rows.select(F.col(group).alias("_group")).distinct()
+    out = every.join(found, F.col("_group").eqNullSafe(F.col("_key")), "left")
+    return out.select(F.col("_group").alias(group), "p50", "p95", "longest", F.coalesce("n", F.lit(0)).alias("n"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.operators import baseline, compare, excerpt, fusion, lexical, metrics, similarity, spans
-from gleaner.session import materialise, ship
-from gleaner.sources import markdown
+from gleaner.plans import index, search
+from gleaner.session import materialise, shared_path, ship
+from gleaner.sources import markdown, providers
 
 #: The literal query of the single-query searches, and its variant.
 QUERY, VARIANT = "the heat of this erth and ontion", "thatst ered tion"
@@ -335,11 +336,11 @@ SNIPPET_PREFIX = "SELECT doc_id, concat(substring(text, 1, 400), CASE WHEN lengt
 def best_window_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of the eight best results of every question."""
     terms = materialise(lexical.query_terms(questions(spark, sf_dir), "item_id", "query"), "terms")
-    index = _index(spark, sf_dir)
-    index.postings = materialise(index.postings.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
-    found = lexical.top(lexical.bm25(index, terms), 8)
+    posted = _index(spark, sf_dir)
+    posted.postings = materialise(posted.postings.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
+    found = lexical.top(lexical.bm25(posted, terms), 8)
     total = passages(spark, sf_dir).count()
-    body = index.postings.where("field = 'body'").groupBy("term").agg(F.count("*").alias("df"))
+    body = posted.postings.where("field = 'body'").groupBy("term").agg(F.count("*").alias("df"))
     idf = body.select("term", F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weights = terms.join(idf, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
     rows = found.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id").join(weights, "query_id", "left")
@@ -395,8 +396,14 @@ def chunk_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK_COVERAGE_CHECK = f"WITH {_CORPUS} SELECT path AS source, TRUE AS ok FROM corpus"
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_hash"))
+
+
 def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    """Documents without a vector, the number of each taken for the hash of its input."""
+    docs = passages(spark, sf_dir).select(F.col("doc_id").alias("chunk_hash"))
+    return index.pending(docs, _stored(spark, sf_dir)).select(F.col("chunk_hash").alias("doc_id"))
 
 
 PENDING_EMBEDDINGS = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
@@ -404,22 +411,30 @@ PENDING_EMBEDDINGS = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT v
 
 def gc_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that no document with a positive quality label refers to."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
-    return table(spark, sf_dir, "embeddings").select("vec_id").join(good, "vec_id", "left_anti")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_hash"))
+    return index.unreferenced(_stored(spark, sf_dir), good).select(F.col("chunk_hash").alias("vec_id"))
 
 
 GC_UNREFERENCED = "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
 
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = passages(spark, sf_dir).select("doc_id", "source")
-    marked = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("known")), "doc_id", "left")
-    return marked.agg(F.count("*").alias("passages"), F.countDistinct("source").alias("sources"), F.count_if(F.col("known").isNull()).alias("missing_vectors"))
+    docs = passages(spark, sf_dir).select(F.col("doc_id").alias("chunk_hash"), "source")
+    return index.status(docs, docs, _stored(spark, sf_dir))
 
 
 INDEX_STATUS = "SELECT count(*) AS passages, count(DISTINCT source) AS sources, count(*) FILTER (WHERE e.vec_id IS NULL) AS missing_vectors FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
 
 
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question searched from end to end in a prepared index, with the stand-in models."""
+    model, root = providers.HashEmbedding(64), shared_path(spark, "index")
+    index.prepare(spark, _sources(spark, sf_dir), root, model)
+    asked = questions(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+    opened = index.Index(spark, root, model)
+    return search.search(spark, opened, asked, model, providers.SwappedExpansion(), providers.OverlapRerank())
+
+
 def exact_excerpt_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     found = spans.locate_texts(table(spark, sf_dir, "benchmark").select("item_id", "text"), docs)
@@ -675,7 +690,7 @@ ALL = (
     passage_identity, position_to_line, line_starts, markdown_chunks, chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status,
     exact_excerpt_mapping, evidence_containment, span_overlap_join, evidence_containment_whole, span_overlap_join_whole, ranked_metrics, unit_novelty_ndcg, query_means, summary_grouping_sets,
     nearest_rank_percentiles, paired_compare, paired_bootstrap, release_gates, label_allocation, cost_accounting,
-    bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch, adapted_baseline_batch, ranked_metrics_whole, unit_novelty_ndcg_whole,
+    bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch, adapted_baseline_batch, ranked_metrics_whole, unit_novelty_ndcg_whole, search_hybrid,
 )
 
 

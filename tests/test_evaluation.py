@@ -4,6 +4,7 @@ import random
 import pytest
 
 from gleaner.operators import compare, metrics
+from gleaner.operators.numbering import numbered
 
 
 def evidence(spark, hits, graded):
@@ -102,3 +103,34 @@ def test_gates_and_costs(spark):
     assert compare.decision(found).first()[0] == "NO_ROLLOUT" and compare.decision(found.where("status = 'PASS'")).first()[0] == "ROLLOUT"
     cost = compare.costs(spark.createDataFrame([("x", 1.0), ("x", None), ("y", None)], "s string, c double"), "s", "c")
     assert {tuple(r) for r in cost.collect()} == {("x", 1.0, 1), ("y", 0.0, 1)}
+
+
+def test_numbers_follow_the_order_over_all_partitions(spark):
+    rows = spark.range(5000).repartition(7).selectExpr("id % 3 as g", "cast(pmod(hash(id), 50) as int) as v")
+    found = numbered(rows, ["g", "v"]).orderBy("number").collect()
+    assert [r["number"] for r in found] == list(range(5000)) and [(r["g"], r["v"]) for r in found] == sorted((r["g"], r["v"]) for r in rows.collect())
+    assert numbered(rows.limit(0), ["g"]).count() == 0
+
+
+def test_percentiles_of_hot_values_nulls_and_empty_tables(spark):
+    rows = [("a", 1.0)] * 400 + [("a", 2.0)] * 30 + [("b", None), ("c", 5.0), (None, 7.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = {r["g"]: (r["p50"], r["p95"], r["longest"], r["n"]) for r in metrics.percentiles(df, "g", "v").collect()}
+    assert found == {"a": (1.0, 2.0, 2.0, 430), "b": (None, None, None, 0), "c": (5.0, 5.0, 5.0, 1), None: (7.0, 8.0, 8.0, 2)}
+    assert metrics.percentiles(df.limit(0), "g", "v").count() == 0
+
+
+def test_a_resample_of_several_parts(spark, monkeypatch):
+    pairs = spark.createDataFrame([(k, float(k * k % 17) - 8) for k in range(75)], "question long, delta double")
+    want = tuple(compare.bootstrap(pairs, 200).first())
+    monkeypatch.setattr(compare, "DRAWS", 20)
+    assert tuple(compare.bootstrap(pairs, 200).first()) == want
+    deltas, state, means = [r["delta"] for r in pairs.orderBy("question").collect()], compare.SEED, []
+    for _ in range(200):
+        total = 0.0
+        for _ in deltas:
+            state = (compare.A * state + compare.C) % compare.M
+            total += deltas[int(state / compare.M * len(deltas))]
+        means.append(total / len(deltas))
+    means.sort()
+    assert want == (round(means[5], 6), round(means[195], 6))

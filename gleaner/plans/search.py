@@ -12,6 +12,7 @@ from gleaner.errors import Code
 from gleaner.operators.excerpt import excerpts
 from gleaner.operators.fusion import fuse, protect, rerank_cutoff
 from gleaner.operators.lexical import bm25, query_terms, top
+from gleaner.operators.numbering import numbered
 from gleaner.operators.similarity import cosine_top
 from gleaner.plans.index import BATCH, Index
 from gleaner.session import materialise
@@ -59,18 +60,18 @@ def search(
     """
     variants = expand_queries(queries, embedding, expansion, instruction, seconds)
     variants = materialise(variants.withColumn("variant", F.monotonically_increasing_id()), "variants")
-    passages = index.passages()
+    passages = numbered(index.passages().select("passage_id", "chunk_hash", "source", "start", "end", "text", "headings"), ["source", "start", "end", "passage_id"], "id")
+    passages = materialise(passages, "passages")  # ties of all lists go by these numbers
     names = variants.select(F.col("variant").alias("query_id"), F.col("query_id").alias("q"), "channel", "is_original")
     terms = query_terms(variants.where("kind = 'lex'"), "variant", "text")
     posted = index.lexical()
-    lexical = top(bm25(posted, terms), DEPTH)
-    keyed = materialise(index.embedded().select("passage_id", F.monotonically_increasing_id().alias("id"), F.col("embedding").alias("v")), "keyed")
-    near = cosine_top(variants.where("kind = 'vec'").select(F.col("variant").alias("id"), "v"), keyed.select("id", "v"), DEPTH)
-    near = near.join(keyed.select("id", "passage_id"), "id").select("query_id", "rank", F.col("passage_id").alias("id"), "score")
+    scored = bm25(posted, terms).withColumnRenamed("id", "passage_id").join(passages.select("passage_id", "id"), "passage_id")
+    lexical = top(scored.select("query_id", "id", "score"), DEPTH)
+    keyed = materialise(passages.select("chunk_hash", "id").join(index.vectors(), "chunk_hash").select("id", F.col("embedding").alias("v")), "keyed")
+    near = cosine_top(variants.where("kind = 'vec'").select(F.col("variant").alias("id"), "v"), keyed, DEPTH)
     lists = lexical.unionByName(near).join(names, "query_id").select(F.col("q").alias("query_id"), "channel", "is_original", "id", "rank")
-    sources = passages.select(F.col("passage_id").alias("id"), "source")
-    fused = materialise(protect(fuse(lists).join(sources, "id")), "fused")
-    texts = fused.join(passages.select(F.col("passage_id").alias("id"), "text", "headings", "start", "end"), "id").join(queries.select("query_id", "query"), "query_id")
+    fused = materialise(protect(fuse(lists).join(passages.select("id", "source"), "id")), "fused")
+    texts = fused.join(passages.drop("source"), "id").join(queries.select("query_id", "query"), "query_id")
 
     def rerank(key: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["fused_rank"])
@@ -79,12 +80,12 @@ def search(
         scores = check_scores(documents, Retrying(seconds=seconds, code=Code.RERANK_FAILED).call(reranking.rerank, rows[0]["query"], documents))
         return pa.table({"query_id": [r["query_id"] for r in rows], "id": [r["id"] for r in rows], "index": [r["fused_rank"] for r in rows], "relevance": scores})
 
-    ranked = rerank_cutoff(texts.groupBy("query_id").applyInArrow(rerank, "query_id long, id string, index long, relevance double"), best=best)
+    ranked = rerank_cutoff(texts.groupBy("query_id").applyInArrow(rerank, "query_id long, id long, index long, relevance double"), best=best)
     n = passages.count()
     body = posted.postings.where("field = 'body'")
     own = query_terms(queries, "query_id", "query")
     rarity = body.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.log(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
     weights = own.join(rarity, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
-    shown = ranked.join(texts.select("query_id", "id", "source", "text", F.col("start").alias("at")), ["query_id", "id"]).join(weights, "query_id", "left")
-    cut = excerpts(shown.select("query_id", "rank", "score", "source", F.col("id").alias("passage_id"), "at", "text", F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights")))
+    shown = ranked.join(texts.select("query_id", "id", "passage_id", "source", "text", F.col("start").alias("at")), ["query_id", "id"]).join(weights, "query_id", "left")
+    cut = excerpts(shown.select("query_id", "rank", "score", "source", "passage_id", "at", "text", F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights")))
     return cut.select("query_id", "rank", "score", "source", "passage_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "snippet")

@@ -30,8 +30,8 @@ from gleaner.session import materialise
 COSINE, NEAR = 0.93, 10
 #: Bounds of the number of pivots, and vectors in a block of a list.
 FEWEST, MOST, BLOCK = 128, 65_536, 8192
-#: Pairs whose shared pivots are counted at once.
-PAIRS = 1 << 21
+#: Pairs whose shared pivots are counted at once, and rows of short lists that one task group takes together.
+PAIRS, TOGETHER = 1 << 21, 8192
 
 
 def pivots_for(rows: int) -> int:
@@ -107,8 +107,8 @@ def _choose(vectors: DataFrame, pivots: int) -> dict[int, tuple[int, np.ndarray]
     return out
 
 
-GROUP = ["label", "size", "list", "low", "high"]
-KEYS = "label int, size int, list int, low int, high int"
+GROUP = ["label", "size", "bucket", "low", "high"]
+KEYS = "label int, size int, bucket int, low int, high int"
 
 
 def _links(vectors: DataFrame, cosine: float, pivots: int | None, near: int, shared: int | None) -> DataFrame:
@@ -158,32 +158,39 @@ def _links(vectors: DataFrame, cosine: float, pivots: int | None, near: int, sha
     posted = materialise(posted, "posted")
     lists = posted.groupBy("label", "size", "list").agg(F.count("*").alias("n")).where("n > 1")
     lists = materialise(lists.select("label", "size", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
+    buckets = max(1, min(pivots, -(-largest * (near - min(shared, near) + 1) // TOGETHER)))
     dealt = posted.join(lists, ["label", "size", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "size", "list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "ranks")
-
-    def pairs(key: tuple, ranks: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, _, rank, low, high = (k.as_py() for k in key)
-        mine, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        for i, j in candidates(ranks[mine], ranks[theirs], min(shared, ranks.shape[1]), rank):
-            i, j = mine[i], theirs[j]
-            yield (i[i < j], j[i < j]) if low == high else (i, j)
+    dealt = dealt.select("label", "size", (F.col("list") % buckets).alias("bucket"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "list", "block", "rep", "ranks")
+
+    def pairs(key: tuple, group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates among the rows of a group, list by list."""
+        low, high = key[3].as_py(), key[4].as_py()
+        ranks, block, lists = _lists(group.column("ranks")), group.column("block").to_numpy(), group.column("list").to_numpy()
+        order = np.argsort(lists, kind="stable")
+        cuts = np.flatnonzero(np.diff(lists[order], prepend=-1, append=-1)).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            own = order[x:y]
+            mine, theirs = own[block[own] == low], own[block[own] == high]
+            for i, j in candidates(ranks[mine], ranks[theirs], min(shared, ranks.shape[1]), int(lists[own[0]])):
+                i, j = mine[i], theirs[j]
+                yield (i[i < j], j[i < j]) if low == high else (i, j)
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         """The rows of a pair of blocks that have a candidate."""
         some = np.zeros(group.num_rows, bool)
-        for i, j in pairs(key, _lists(group.column("ranks")), group.column("block").to_numpy()):
+        for i, j in pairs(key, group):
             some[i] = some[j] = True
-        return group.filter(pa.array(some)).select([*GROUP, "block", "rep", "ranks"])
+        return group.filter(pa.array(some)).select([*GROUP, "list", "block", "rep", "ranks"])
 
-    found = dealt.groupBy(*GROUP).applyInArrow(count, f"{KEYS}, block int, rep long, ranks array<int>")
+    found = dealt.groupBy(*GROUP).applyInArrow(count, f"{KEYS}, list int, block int, rep long, ranks array<int>")
     fetched = materialise(found, "candidates").join(described.select("rep", "copies", "embedding"), "rep")
 
     def verify(key: tuple, group: pa.Table) -> pa.Table:
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         unit = _unit(group.column("embedding"), key[1].as_py())
         links, parent = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for i, j in pairs(key, _lists(group.column("ranks")), group.column("block").to_numpy()):
+        for i, j in pairs(key, group):
             for x in range(0, len(i), 1 << 16):
                 a, b = i[x : x + (1 << 16)], j[x : x + (1 << 16)]
                 close = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine

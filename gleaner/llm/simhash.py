@@ -12,13 +12,15 @@ forest of their links, never all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.tasks import column, hook, mix64, slices, utf8, without
 from gleaner.operators.components import connected_components
@@ -29,6 +31,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 SAMPLE, LEAF = 100_000, 4096
 #: Below this many fingerprints a leaf compares all of them.
 DENSE = 768
+#: Documents that one copy of a document's shingles is compared with.
+PARTNERS = 256
 
 
 # Fingerprints
@@ -121,15 +125,22 @@ def route(fps: np.ndarray, nodes: list[tuple[int, int]], radius: int, depth: int
 # Search within a leaf
 
 
-def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent: np.ndarray) -> None:
+Accept = Callable[[np.ndarray, np.ndarray], np.ndarray] | None
+
+
+def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent: np.ndarray, accept: Accept = None) -> None:
     step = max(1, (1 << 21) // max(1, len(b)))
     for at in range(0, len(a), step):
         part = a[at : at + step]
         i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[b][None, :]) <= radius)
-        hook(parent, part[i], b[j])
+        i, j = part[i], b[j]
+        if accept is not None:
+            good = accept(i, j)
+            i, j = i[good], j[good]
+        hook(parent, i, j)
 
 
-def _between(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent: np.ndarray, turn: int = 0) -> None:
+def _between(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent: np.ndarray, turn: int = 0, accept: Accept = None) -> None:
     """Links between two sets of indexes."""
     todo = [(a, b, turn)]
     while todo:
@@ -137,7 +148,7 @@ def _between(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent:
         if not len(a) or not len(b):
             continue
         if len(a) <= DENSE or len(b) <= DENSE or turn > 40:
-            _compare(fps, a, b, radius, parent)
+            _compare(fps, a, b, radius, parent, accept)
             continue
         vantage = fps[(a if turn % 2 else b)[(turn * 7919) % min(len(a), len(b))]]
         x, y = np.bitwise_count(fps[a] ^ vantage), np.bitwise_count(fps[b] ^ vantage)
@@ -150,13 +161,13 @@ def _between(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, parent:
         todo.append((a[(x > bound) & (x <= bound + radius)], b[(y <= bound) & (y + radius > bound)], turn + 1))
 
 
-def _within(fps: np.ndarray, a: np.ndarray, radius: int, parent: np.ndarray) -> None:
+def _within(fps: np.ndarray, a: np.ndarray, radius: int, parent: np.ndarray, accept: Accept = None) -> None:
     """Links within a set of indexes, by a local tree."""
     todo = [(a, 0)]
     while todo:
         a, turn = todo.pop()
         if len(a) <= DENSE or turn > 40:
-            _compare(fps, a, a, radius, parent)
+            _compare(fps, a, a, radius, parent, accept)
             continue
         far = np.bitwise_count(fps[a] ^ fps[a[(turn * 7919) % len(a)]])
         bound = int(np.median(far))
@@ -164,17 +175,23 @@ def _within(fps: np.ndarray, a: np.ndarray, radius: int, parent: np.ndarray) ->
             bound = max(0, bound - 1)
         near = far <= bound
         todo += [(a[near], turn + 1), (a[~near], turn + 1)]
-        _between(fps, a[near & (far + radius > bound)], a[~near & (far <= bound + radius)], radius, parent, turn + 1)
+        _between(fps, a[near & (far + radius > bound)], a[~near & (far <= bound + radius)], radius, parent, turn + 1, accept)
 
 
-def leaf_forest(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the edges that span all links of a leaf: home to home, and home to visit."""
+def leaf_links(fps: np.ndarray, home: np.ndarray, radius: int, accept: Accept = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of edges that span all links of a leaf: home to home, and home to visit."""
     parent = np.arange(len(fps))
     own, others = np.flatnonzero(home), np.flatnonzero(~home)
-    _within(fps, own, radius, parent)
-    _between(fps, own, others, radius, parent)
+    _within(fps, own, radius, parent, accept)
+    _between(fps, own, others, radius, parent, accept=accept)
     low = np.flatnonzero(parent != np.arange(len(fps)))
-    return fps[low], fps[parent[low]]
+    return low, parent[low]
+
+
+def leaf_forest(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints that are the ends of the edges of a leaf."""
+    a, b = leaf_links(fps, home, radius)
+    return fps[a], fps[b]
 
 
 def leaf_for(total: int) -> int:
@@ -183,8 +200,9 @@ def leaf_for(total: int) -> int:
     return max(LEAF, 1 << math.ceil(math.log2(2 * math.sqrt(max(1, total)))))
 
 
-def hamming_edges(distinct: DataFrame, radius: int = RADIUS, leaf: int | None = None, sample: int = SAMPLE) -> DataFrame:
-    """``src, dst``: edges that connect just those of the distinct ``fp`` that links connect.
+def deal_to_leaves(distinct: DataFrame, radius: int = RADIUS, leaf: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``leaf, home`` and the columns of ``distinct`` (``fp`` and others): every row in its home leaf
+    and in all leaves that its ball reaches.
 
     Only a hash-ordered sample of at most ``sample`` fingerprints comes to the driver.
     """
@@ -192,23 +210,31 @@ def hamming_edges(distinct: DataFrame, radius: int = RADIUS, leaf: int | None =
     depth = max(0, math.ceil(math.log2(max(1, total / (leaf or leaf_for(total))))))
     upper = min(depth, int(math.log2(sample / 16)))
     share = min(1.0, sample / 2 / max(1, total)) * 2.0**32
-    rows = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**32)) < F.lit(int(share))).limit(sample).collect() if depth else []
+    rows = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**32)) < F.lit(int(share))).select("fp").limit(sample).collect() if depth else []
     nodes = build_tree(np.array(sorted(r["fp"] for r in rows) or [0], np.int64).view(np.uint64), upper)
+    names = distinct.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fps = part.column(names.index("fp")).to_numpy(zero_copy_only=False).view(np.uint64)
             for at, who, home in route(fps, nodes, radius, depth):
                 if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at, np.int64)), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["leaf", "fp", "home"])
+                    own = part.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at, np.int64)), pa.array(np.full(len(who), home)), *own.columns], ["leaf", "home", *names])
+
+    schema = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("home", T.BooleanType()), *distinct.schema])
+    return distinct.mapInArrow(deal, schema)
+
+
+def hamming_edges(distinct: DataFrame, radius: int = RADIUS, leaf: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``src, dst``: edges that connect just those of the distinct ``fp`` that links connect."""
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
         src, dst = leaf_forest(fps, group.column("home").to_numpy(zero_copy_only=False).astype(bool), radius)
         return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(search, "src long, dst long")
+    return deal_to_leaves(distinct.select("fp"), radius, leaf, sample).groupBy("leaf").applyInArrow(search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,6 +255,116 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Documents of similar five-word shingles
+
+
+def bag_prints(text: str | None, tables: int) -> list[int]:
+    """Fingerprints of the words as often as they occur, and two of the distinct words."""
+    words = utf8(text).lower().split()
+    if not words:
+        return [0] * (tables + 2)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    once = np.unique(h)
+    return [bit_majority(mix64(x ^ np.uint64(k))) for x, n in ((h, tables), (once, 2)) for k in range(n)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; of the whole sequence if it is shorter."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    n = max(1, len(h) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(h))):
+        out = mix64(out * np.uint64(31) + h[k : k + n])
+    return np.unique(out)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _candidates(prints: DataFrame, table: str, radius: int, apart: int) -> DataFrame:
+    """``a, b``: documents to compare, by one of the fingerprints.
+
+    Of documents with equal fingerprints each is compared with the smallest id. Those are searched
+    in the tree; links with more than ``apart`` of 128 other bits apart are no candidates, and the rest
+    are given as a spanning forest of each leaf.
+    """
+    least = prints.groupBy(F.col(table).alias("fp")).agg(F.min("doc_id").alias("first"))
+    least = materialise(least, "least")
+    same = prints.join(least.withColumnRenamed("fp", table), table).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    checks = prints.select(F.col(table).alias("fp"), F.col("doc_id").alias("first"), "c1", "c2").dropDuplicates(["fp", "first"])
+    nodes = materialise(least.join(checks, ["fp", "first"]), "nodes")
+
+    def search(group: pa.Table) -> pa.Table:
+        fps, c1, c2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "c1", "c2"))
+        accept = lambda i, j: np.bitwise_count(c1[i] ^ c1[j]).astype(int) + np.bitwise_count(c2[i] ^ c2[j]) <= apart
+        i, j = leaf_links(fps, group.column("home").to_numpy(zero_copy_only=False).astype(bool), radius, accept)
+        ids = group.column("first").to_numpy()
+        return pa.table({"a": ids[i], "b": ids[j]})
+
+    found = deal_to_leaves(nodes, radius).groupBy("leaf").applyInArrow(search, "a long, b long")
+    return same.unionByName(found)
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 4, radius: int = RADIUS, apart: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    A few changed words move a fingerprint of single words by a few bits only, so candidates come from
+    ``tables`` such fingerprints, each searched as in :func:`hamming_edges`; every candidate is verified by the
+    whole shingle sets. Links join what belongs together, they aren't all pairs. Rows without an id are
+    left out; documents without words are similar. Of an id that repeats any text counts.
+    """
+    rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = np.array([bag_prints(t, tables) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, tables + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(x)) for x in found.T]], ["doc_id", *names])
+
+    names = [*[f"t{k}" for k in range(tables)], "c1", "c2"]
+    prints = materialise(rows.mapInArrow(describe, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "prints")
+    found = reduce(DataFrame.unionByName, [_candidates(prints, c, radius, apart) for c in names[:tables]])
+    ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    ends = materialise(ends, "ends")
+    # a document with many candidates is compared with them in parts, each with its own copy of it
+    parts = ends.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    ends = materialise(ends.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"), "parted")
+    wanted = ends.select(F.col("a").alias("doc_id")).unionByName(ends.select(F.col("b").alias("doc_id"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
+
+    shingles = rows.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+    shingles = materialise(shingles, "shingles")
+    left = ends.select("a", "part").distinct().join(shingles.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+    right = ends.join(shingles.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "shingles")
+
+    def verify(group: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        ids = group.column("b").to_pylist()
+        own = [h for h, b in zip(hashes, ids) if b is None]
+        good = sorted({b for h, b in zip(hashes, ids) if b is not None and any(jaccard(x, h) >= similarity for x in own)})
+        return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
+
+    return left.unionByName(right).groupBy("a", "part").applyInArrow(verify, "a long, b long")
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` but those whose id is joined by :func:`similar_links` to a smaller one.
+
+    All columns stay. Rows that share an id stand together; rows without an id stay.
+    """
+    roots = connected_components(similar_links(docs, id_col=id_col, text_col=text_col, **options), "a", "b")
+    gone = roots.where("node <> root").select(F.col("node").alias("doc_id"))
+    return without(docs, materialise(gone, "gone"), id_col)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its component, with all their columns.
 

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm.simhash import bit_majority, build_tree, fingerprint, hamming_edges, keep_one, leaf_forest, near_duplicates, route
+from gleaner.llm.simhash import bit_majority, build_tree, fingerprint, hamming_edges, keep_dissimilar, keep_one, leaf_forest, near_duplicates, route, similar_links
 from tests.llm.texts import awkward, components, frame, order
 
 
@@ -102,3 +102,64 @@ def test_documents(spark):
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     assert keep_one(frame(spark, [])).count() == 0
+
+
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def similar_brute(rows):
+    """Smallest id that each id reaches by similar texts; rows without an id are left out."""
+    sets = {}
+    for d, t in rows:
+        if d is not None:
+            sets.setdefault(d, set()).add(frozenset(shingles(t)))
+    every = sorted((d, x) for d, own in sets.items() for x in own)
+    by_word = {}
+    for k, (_, x) in enumerate(every):
+        for s in x or {()}:
+            by_word.setdefault(s, []).append(k)
+    near = {(every[i][0], every[j][0]) for ks in by_word.values() for i in ks for j in ks if j < i and similar(every[i][1], every[j][1])}
+    return components(sorted(sets), near)
+
+
+def edited(rnd, words, share):
+    return " ".join(w if rnd.random() > share else f"new{rnd.randint(0, 99999)}" for w in words)
+
+
+def test_similar_documents(spark):
+    """Copies with a few changed words are found, most of them at the threshold, and nothing else."""
+    rnd = __import__("random").Random(11)
+    vocabulary = [f"v{k}" for k in range(3000)] + ["the", "of", "and", "to"] * 300
+    rows = [(k, None if k % 50 == 7 else "") for k in range(5, 300, 50)]
+    for k in range(400):
+        words = rnd.choices(vocabulary, k=rnd.choice([60, 150, 400, 1500]))
+        rows.append((1000 + 10 * k, " ".join(words)))
+        for c in range(rnd.choice([0, 0, 1, 3])):
+            rows.append((1001 + 10 * k + c, edited(rnd, words, rnd.choice([0.005, 0.015, 0.02, 0.1, 0.4]))))
+    rows += [(9, "same words in one order " * 40), (10, "order one in words same " * 40), (None, rows[20][1]), (rows[20][0], "another text of that id")]
+    root = similar_brute(rows)
+    found = {(r["a"], r["b"]) for r in similar_links(frame(spark, rows)).collect()}
+    assert all(root[a] == root[b] for a, b in found) and (9, 10) not in found
+    got = components(sorted(root), found)
+    copies = [d for d in root if d != root[d]]
+    assert len(copies) > 100 and sum(got[d] == root[d] for d in copies) > 0.95 * len(copies)
+    docs = frame(spark, rows)
+    out = keep_dissimilar(docs)
+    assert out.columns == docs.columns
+    assert order(r["doc_id"] for r in out.collect()) == order(d for d, _ in rows if d is None or d == got[d])
+
+
+def test_similar_documents_of_a_large_group(spark, monkeypatch):
+    from gleaner.llm import simhash
+
+    monkeypatch.setattr(simhash, "PARTNERS", 16)
+    words = [f"w{k}" for k in range(500)]
+    rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(300)] + [(k, "same text here again " * 9) for k in range(1000, 1300)]
+    assert order(r["doc_id"] for r in keep_dissimilar(frame(spark, rows)).collect()) == [0, 1000]
+    assert keep_dissimilar(frame(spark, [])).count() == 0

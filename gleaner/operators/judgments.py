@@ -313,3 +313,63 @@ def rendering_violations(units: DataFrame, renderings: DataFrame, credits: DataF
         own = rows.select(F.lit(rule).alias("rule"), F.col("question").cast("string").alias("subject"))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def capture_violations(questions: DataFrame, captures: DataFrame, systems: tuple[str, ...] = ("baseline", "qmd", "proposal"), proposal: str = "proposal") -> DataFrame:
+    """``rule, subject`` of every rule that the captures of ``questions`` (question) break.
+
+    ``captures``: question, system, phase, kind. Every system has an original capture of every
+    question; a question has a supplemental one just where the proposal's original was skipped.
+    """
+    original = captures.where("phase = 'original-heldout'")
+    due = questions.select("question").distinct().withColumn("system", F.explode(F.array(*map(F.lit, systems))))
+    skipped = original.where((F.col("system") == proposal) & (F.col("kind") == "evaluator-skip")).select("question").distinct()
+    more = captures.where("phase = 'supplemental-heldout'").select("question").distinct()
+    rules = {
+        "original capture missing": due.join(original.select("question", "system").distinct(), ["question", "system"], "left_anti"),
+        "capture repeated": captures.groupBy("question", "system", "phase").count().where("count > 1"),
+        "skip without supplement": skipped.join(more, "question", "left_anti"),
+        "supplement without skip": more.join(skipped, "question", "left_anti"),
+        "question unknown": captures.join(questions.select("question"), "question", "left_anti"),
+    }
+    return _named(rules)
+
+
+def _named(rules: dict[str, DataFrame]) -> DataFrame:
+    """``rule, subject`` of all rules, a question being the subject."""
+    out = None
+    for rule, rows in rules.items():
+        own = rows.select(F.lit(rule).alias("rule"), F.col("question").cast("string").alias("subject"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def adjudication_violations(questions: DataFrame, evidence: DataFrame, revised: DataFrame, revised_evidence: DataFrame, mappings: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rule, subject`` of every rule that an adjudication breaks.
+
+    A review may add evidence, but neither change questions nor evidence that was there: ``questions``
+    and ``revised`` have the same columns but for ``reason``, as have ``evidence`` and
+    ``revised_evidence``. ``mappings`` (question, source, text, start, end, misleading, reason) say where
+    a displayed text stands in ``sources`` (project, source, text), or nowhere if both ends are null.
+    """
+    names = [c for c in questions.columns if c != "reason"]
+    kept = [c for c in evidence.columns if c in revised_evidence.columns]
+    told = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    was, now = (q.select("question", told(names).alias("contract")) for q in (questions, revised))
+    had, has = (e.select("question", told(kept).alias("row")) for e in (evidence, revised_evidence))
+    placed = mappings.join(revised.select("question", "project"), "question").join(sources.select("project", "source", F.col("text").alias("body")), ["project", "source"], "left")
+    nowhere = F.col("start").isNull() & F.col("end").isNull()
+    own = F.substring(F.col("body"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    whole = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("body")) & (own == F.col("text"))
+    rules = {
+        "question missing": was.join(now, "question", "left_anti"),
+        "question added": now.join(was, "question", "left_anti"),
+        "question changed": was.join(now.withColumnRenamed("contract", "other"), "question").where("contract <> other"),
+        "evidence changed": had.join(has, ["question", "row"], "left_anti"),
+        "mapping of an unknown question": mappings.join(revised.select("question"), "question", "left_anti"),
+        "mapping without text or reason": mappings.where(~F.coalesce((F.length("text") > 0) & (F.length(F.trim("reason")) > 0), F.lit(False))),
+        "mapping of an unknown source": placed.where(F.col("body").isNull()),
+        "mapping is not its span": placed.where(F.col("body").isNotNull() & ~nowhere & ~F.coalesce(whole, F.lit(False))),
+        "mapping repeated": mappings.groupBy("question", "source", "text").count().where("count > 1"),
+    }
+    return _named(rules)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,35 @@ _SETEXT = re.compile(f" {{0,3}}(=+|-+){_SPACE}*\\Z")
 _INDENTED = re.compile(r"(?: {4}|\t)")
 
 
+def _refuse_links(root: str) -> None:
+    """Links are followed by Spark's readers, so a local tree is looked through first."""
+    scheme, told, rest = root.partition("://")
+    if told and scheme != "file":
+        return
+    base = Path(rest if told else root)
+    todo = [base / folder for folder in ROOTS]
+    if any(p.is_symlink() for p in {base / ".agent", *todo}):
+        raise EngineError(Code.SOURCE_INVALID, "a symbolic link among the sources")
+    while todo:
+        folder = todo.pop()
+        if not folder.is_dir():
+            continue
+        for entry in os.scandir(folder):
+            if entry.name in SKIPPED or entry.name.startswith(".env."):
+                continue
+            if entry.is_symlink():
+                raise EngineError(Code.SOURCE_INVALID, f"a symbolic link among the sources: {entry.path}")
+            if entry.is_dir():
+                todo.append(Path(entry.path))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """``source, text`` of the Markdown files below the two roots; invalid UTF-8 is an error.
 
-    A byte-order mark stays in the text. Hidden, build and dependency folders are left out.
+    A byte-order mark stays in the text. Hidden, build and dependency folders are left out. A symbolic
+    link is SOURCE_INVALID, where the store has such.
     """
+    _refuse_links(root)
     files = None
     for folder in ROOTS:  # loaded by name, since Spark leaves out folders whose names begin with a dot
         try:

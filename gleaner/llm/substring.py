@@ -105,7 +105,9 @@ def shelve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     name = f"shelf_{uuid.uuid4().hex}"
     shelf = rows.mapInArrow(run, "block long, payload binary")
     shelf.write.format("parquet").bucketBy(buckets, "block").option("compression", "none").option("path", shared_path(spark, "shelf")).saveAsTable(name)
-    return spark.table(name), buckets, total
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its name: files stay, and what was read from it
+    return stored, buckets, total
 
 
 class Block:
@@ -314,7 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, load: float = LOAD, id
     the texts as given. Null and empty texts have no words; a null id ranks after all others; rows
     that share an id remove nothing from each other, whether their texts are equal or not; texts
     shorter than a window stay whole. An empty table gives no rows. ``load`` is the number of sketch
-    cells for each window. The shelf stays in the shared folder, as an external table.
+    cells for each window. The shelf stays in the shared folder.
     """
     shelf, buckets, total = shelve(docs, id_col, text_col)
     words = max(1, total // WORD)

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIGITS = 6
-#: Vectors in a block, on either side.
-QUERY_BLOCK, ROW_BLOCK = 512, 8192
+#: Bytes of vectors in a block, as 32-bit floats, and queries in a block at most.
+BLOCK, QUERY_BLOCK = 8 << 20, 512
 
 
-def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Vectors packed into blocks of about ``size``, dealt by a hash of the id: one row a block."""
-    count = vectors.count()
-    blocks = max(1, -(-count // size))
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy(name).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "v")).alias("queries" if name == "query" else "rows"))
+def _blocks(vectors: DataFrame, name: str, most: int) -> DataFrame:
+    """Vectors packed into blocks of about ``BLOCK`` bytes, dealt by a hash of the id: one row a block."""
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("long")).first()
+    each = max(1, min(most, BLOCK // (4 * max(1, size["long"] or 1))))
+    blocks = max(1, -(-size["n"] // each))
+    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("_block").agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "v")).alias(name)).drop("_block")
+
+
+def pack_vectors(vectors: DataFrame) -> DataFrame:
+    """``rows``: blocks of ``vectors`` (id, v), to be written once and searched often."""
+    return _blocks(vectors, "rows", 1 << 30)
 
 
 def _unpack(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +43,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, depth: int, itself: bool
     Every pair of a query block and a vector block is one matrix product, which keeps the best of
     each query; these are merged by a window. No score but those leaves its task. Null vectors and
     ids must be filtered before. Ties go to the smaller id. ``itself``: whether a query can find
-    its own id.
+    its own id. ``vectors`` may be the blocks of :func:`pack_vectors` instead.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +60,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, depth: int, itself: bool
                 out = [np.repeat(q_ids, order.shape[1])[good], ids[order].ravel()[good], kept.ravel()[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "id", "score"])
 
-    left, right = _blocks(queries, QUERY_BLOCK, "query").select("queries"), _blocks(vectors, ROW_BLOCK, "row").select("rows")
+    left, right = _blocks(queries, "queries", QUERY_BLOCK), vectors if vectors.columns == ["rows"] else pack_vectors(vectors)
     pairs = right.crossJoin(left)
     found = pairs.mapInArrow(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

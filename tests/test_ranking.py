@@ -39,7 +39,7 @@ def test_index_counts(spark):
 
 def test_cosine_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(similarity, "ROW_BLOCK", 7)
+    monkeypatch.setattr(similarity, "BLOCK", 7 * 4 * 6)
     rnd = random.Random(1)
     rows = [(k, [rnd.gauss(0, 1) for _ in range(5)]) for k in range(40)] + [(100, [1.0] * 5), (101, [2.0] * 5), (102, [-1.0] * 5)]
     df = spark.createDataFrame(rows, "id long, v array<double>")

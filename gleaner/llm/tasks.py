@@ -25,10 +25,14 @@ def whole_row(docs: DataFrame) -> Column:
 LISTED = 2_000_000
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if they are few enough by count."""
+    return F.broadcast(ids) if ids.count() <= LISTED else ids
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id isn't in ``gone`` (``doc_id``, a null among them stands for null ids)."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    gone = F.broadcast(gone) if gone.count() <= LISTED else gone
+    gone = listed(gone.select(F.col("doc_id").alias("gone_id")))
     packed = docs.select(whole_row(docs).alias("row"), column(id_col).alias("d_id"))
     return packed.join(gone, F.col("d_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
 

@@ -32,6 +32,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 SAMPLE, LEAF = 100_000, 4096
 #: Below this many fingerprints a leaf compares all of them.
 DENSE = 768
+#: Least fingerprints to a leaf where rows carry more than a fingerprint: fewer levels, fewer visits.
+WIDE = 16_384
 #: Documents that one copy of a document's shingles is compared with.
 PARTNERS = 256
 
@@ -325,7 +327,8 @@ def _candidates(prints: DataFrame, table: str, radius: int, apart: int) -> DataF
         j = np.concatenate((low[low < every], high[high > every]))
         return pa.table({"a": ids[i], "b": ids[j]})
 
-    found = deal_to_leaves(least, radius).groupBy("leaf").applyInArrow(search, "a long, b long")
+    leaf = max(WIDE, leaf_for(least.count()))
+    found = deal_to_leaves(least, radius, leaf).groupBy("leaf").applyInArrow(search, "a long, b long")
     return same.unionByName(found)
 
 

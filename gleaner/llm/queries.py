@@ -171,9 +171,49 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), d AS (
+  SELECT part, (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+         (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+         (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS e, coalesce(quality = 1, FALSE)::INT AS good, coalesce(toxic = 1, FALSE)::INT AS toxic
+  FROM w LEFT JOIN labels USING (doc_id)
+), cells AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, step, o[step] AS filter FROM orders, range(1, 6) s(step) WHERE length(o) = 5
+), long AS (
+  SELECT part, n, good, toxic, o, step, filter,
+         CASE filter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails, a + b + c + d + e AS failures,
+         list_sum([CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END for x in string_split(o[1 : step - 1], '') if x <> '']) AS before
+  FROM cells, steps
+), found AS (
+  SELECT part, o AS filter_order, step, filter,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND fails = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN before > 0 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = 1 AND failures = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND fails = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND fails = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM long GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM found
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}

@@ -211,9 +211,56 @@ SELECT part, filter_order, step::INT AS step, filter, kept, removed, redundant,
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.credentials import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_sql() -> str:
+    """All parts of a text by pattern, then each weak one against all others of its text."""
+    from gleaner.llm.credentials import BREAK, KINDS, REACH
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def matches(number: int, kind) -> str:
+        p = quoted(kind.pattern)
+        looks = "".join(f" AND regexp_matches(g, {quoted(x)})" for x in kind.looks)
+        return f"""SELECT doc_id, {number} AS kind, nth, length(gap) AS gap, length(w) AS size, length(g) >= {kind.least}{looks} AS counts FROM (
+          SELECT doc_id, unnest(range(1, len(ws) + 1)) AS nth, unnest(gaps[1 : len(ws)]) AS gap, unnest(ws) AS w, unnest(gs) AS g FROM (
+            SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS ws, regexp_extract_all(t, {p}, {kind.group}) AS gs FROM d WHERE regexp_matches(t, {p})))"""
+
+    def some(test) -> str:
+        return "(" + ", ".join(str(k) for k, kind in enumerate(KINDS) if test(kind)) + ")"
+
+    def has(role: str) -> str:
+        return f"coalesce(bool_or(s >= low AND e <= high AND NOT (s < w_e AND e > w_s) AND kind IN {some(lambda k: k.role == role)}), FALSE) AS has_{role}"
+
+    names = "[" + ", ".join(quoted(k.name) for k in KINDS) + "][kind + 1] || ':' || s || ':' || e"
+    base, at = some(lambda k: k.base), {k.name: n for n, k in enumerate(KINDS)}
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(matches(n, k) for n, k in enumerate((*KINDS, BREAK)))}),
+placed AS (SELECT doc_id, kind, counts, size, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY nth)::BIGINT AS e FROM m),
+parts AS (SELECT doc_id, kind, e - size AS s, e FROM placed WHERE counts),
+scoped AS (SELECT *, max(CASE WHEN kind = {len(KINDS)} THEN e END) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opens,
+  min(CASE WHEN kind = {len(KINDS)} THEN s END) OVER (h ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closes FROM parts WINDOW h AS (PARTITION BY doc_id ORDER BY s, e)),
+weak AS (SELECT doc_id, kind AS w_kind, s AS w_s, e AS w_e, greatest(s - {REACH}, coalesce(opens, 0), 0) AS low, least(e + {REACH}, coalesce(closes, e + {REACH})) AS high
+  FROM scoped WHERE kind IN {some(lambda k: not k.base)}),
+linked AS (SELECT weak.doc_id, w_kind, w_s, w_e, coalesce(bool_or(s < w_e AND e > w_s AND kind IN {base}), FALSE) AS known, {has("identifier")}, {has("secret")}, {has("endpoint")}
+  FROM weak JOIN parts ON weak.doc_id = parts.doc_id AND kind < {len(KINDS)} GROUP BY ALL),
+spans AS (SELECT doc_id, kind, s, e FROM parts WHERE kind IN {base} UNION ALL SELECT doc_id, w_kind, w_s, w_e FROM linked WHERE NOT known AND
+  ((w_kind = {at["identifier"]} AND has_secret) OR (w_kind = {at["key"]} AND (has_identifier OR has_endpoint)) OR (w_kind = {at["endpoint"]} AND has_identifier AND has_secret))),
+found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg({names}, ',' ORDER BY s, kind) FILTER (WHERE kind IN {base}) AS base, string_agg({names}, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup, op11_filter_audit, op12_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_secrets": op12_sql()}

@@ -1,0 +1,78 @@
+import hashlib
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from gleaner.llm.credentials import BREAK, KINDS, REACH, digest, find_secrets
+from tests.llm.texts import awkward, frame, order
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(p", "(?i:(p", 1).replace("key)", "key))", 1))
+
+
+def base_of(text):
+    """The three base kinds, from their patterns as they are given."""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def brute(text, reach=REACH):
+    """All parts of a text against each other."""
+    text = text or ""
+    parts = base_of(text)
+    for k, kind in enumerate(KINDS[3:], 3):
+        for m in re.finditer(kind.pattern, text):
+            if len(m[kind.group]) >= kind.least and all(re.search(p, m[kind.group]) for p in kind.looks):
+                parts.append((m.start(), k, m.end()))
+    breaks = [(m.start(), m.end()) for m in re.finditer(BREAK.pattern, text)]
+    linked = []
+    for s, k, e in parts:
+        if KINDS[k].base:
+            continue
+        low = max([s - reach, 0] + [b for a, b in breaks if (a, b) < (s, e)])
+        high = min([e + reach] + [a for a, b in breaks if (a, b) > (s, e)])
+        apart = [(a, x, b) for a, x, b in parts if b <= s or a >= e]
+        if any(KINDS[x].base for a, x, b in parts if a < e and b > s):
+            continue
+        roles = {KINDS[x].role for a, x, b in apart if a >= low and b <= high}
+        if {"identifier": "secret" in roles, "key": bool(roles & {"identifier", "endpoint"}), "endpoint": {"identifier", "secret"} <= roles}[KINDS[k].name]:
+            linked.append((s, k, e))
+    text_of = lambda x: ",".join(f"{KINDS[k].name}:{s}:{e}" for s, k, e in sorted(x))
+    base = [x for x in parts if KINDS[x[1]].base]
+    return (*(sum(k == j for _, k, _ in base) for j in range(3)), hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(base + linked))
+
+
+def found(spark, rows):
+    return [tuple(r) for r in digest(find_secrets(frame(spark, rows))).collect()]
+
+
+KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
+PLANTED = [
+    "password=abcdef", "PassWord' :  \"abc.def/ghi", "secret=token: 'abcdefgh'", "token=abc", "api_key=======", "apikey:abcdef", "tokentoken=abcdef",
+    "AKIA" + "A" * 16, "AKIA" + "A" * 15, "xAKIAAKIA" + "B2" * 12 + "c", "AKIAb", "0123456789abcdef01234567", "0123456789abcdef0123456", "é" * 7 + "deadbeef" * 3 + "😀 " + "deadbeef" * 4,
+    f"user=alice {KEY}", f"user=alice\n \n{KEY}", f"user=alice {'x ' * 99}{KEY}", f"user=alice {'x ' * 150}{KEY}", KEY, f"https://h.example/a {KEY}", f"login: bob https://h.example/ password=hunter22 ",
+    "https://h.example/ user=abc", f"AKIA{'C3' * 8} 10.0.0.1:8080 {KEY}", f"key_id=AKIA{'C3' * 8} {KEY}\n\nuser=eve", f"token={KEY} user=abc", "user=abc " * 300 + "password=abcdefgh " + "user=abc " * 300,
+    KEY * 60 + " user=abc " + "x" * 600 + " " + "deadbeef" * 300, "日本 " * 200 + f"account:'me' \r\n 😀 {KEY} redis://db/0", "\n\n".join(["user=abc", KEY, "user=abc " + KEY]),
+]
+
+
+def test_planted_and_awkward_texts(spark):
+    rows = awkward(n=30) + [(500 + k, t) for k, t in enumerate(PLANTED)] + [(500, PLANTED[1]), (None, PLANTED[0]), (900, " ".join(PLANTED)), (901, "\n".join(PLANTED * 2))]
+    want = [(d, *brute(t)) for d, t in rows]
+    assert sum("key:" in w[-1] for w in want) > 5 and sum("endpoint:" in w[-1] for w in want) > 2
+    assert order(found(spark, rows)) == order(want)
+
+
+def test_empty_table(spark):
+    assert found(spark, []) == []
+
+
+PIECES = ["user=", "password", "token", "secret", "=", ":", " ", "'", '"', "abc", "AKIA", "0123456789ab", "ABCDEFGH1", "\n", "\n\n", "é", "😀", KEY, "https://x.y", "10.1.2.3", "x" * 150, "-", "api_key"]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=40).map("".join), min_size=60, max_size=120))
+def test_any_texts(spark, texts):
+    rows = list(enumerate(texts))
+    assert order(found(spark, rows)) == order([(d, *brute(t)) for d, t in rows])

@@ -258,9 +258,45 @@ FROM documents LEFT JOIN found USING (doc_id)
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.collocations import mine
+
+    return mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, m, words, unnest(range(1, len(words) - m + 2)) AS i FROM w, range(1, 5) s(m) WHERE len(words) >= m
+), f AS (
+  SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS words, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[k + 1 : m], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_sizes AS (
+  SELECT lang, a, string_split(phrase, ' ') AS words, m, unnest(range(2, m)) AS size FROM f WHERE m > 2
+), inner_phrases AS (
+  SELECT lang, a, words, size, unnest(range(1, m - size + 2)) AS i FROM inner_sizes
+), longer AS (
+  SELECT lang, array_to_string(words[i : i + size - 1], ' ') AS phrase, max(a) AS longest FROM inner_phrases GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE longest IS NULL OR 100 * longest < 80 * a QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup, op11_filter_audit, op12_secrets)}
+    return {f.__name__: f for f in (op1_substring, op2_bpe, op3_toxicity, op4_embedding, op5_language, op6_simhash, op7_packing, op8_sharding, op9_warc, op10_exact_dedup, op11_filter_audit, op12_secrets, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_secrets": op12_sql()}
+    return {"op1_substring": OP1_SQL, "op4_embedding": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_secrets": op12_sql(), "op13_collocations": OP13_SQL}

@@ -1,0 +1,99 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from gleaner.llm import collocations
+from gleaner.llm.collocations import Sketch, mine, portions
+from tests.llm.texts import SCHEMA, awkward, order
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows, wanted, longest=4, cover=80, best=2000):
+    """By a counter of all phrases of a language."""
+    counts, totals = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            w = [x for x in re.split("[ \t]", piece) if x]
+            totals[lang] += len(w)
+            for n in range(1, longest + 1):
+                counts[lang].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    out = []
+    for lang, c in counts.items():
+        kept = {p: a for p, a in c.items() if len(p) > 1 and a >= wanted}
+        scored = []
+        for p, a in kept.items():
+            longer = [b for q, b in kept.items() if len(q) > len(p) and any(q[k : k + len(p)] == p for k in range(len(q) - len(p) + 1))]
+            if any(100 * b >= cover * a for b in longer):
+                continue
+            s, _, l, r = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))
+            scored.append((-s, -a, " ".join(p).encode(), l, r))
+        out += [(lang, k, p.decode(), -a, l, r, totals[lang], -s) for k, (s, a, p, l, r) in enumerate(sorted(scored)[:best], 1)]
+    return out
+
+
+def texts(seed=3, n=250):
+    rnd = random.Random(seed)
+    words = ["The", "the", "of", "New", "York", "city", "naïve", "ÄRGER", "日本", "x\x1cy", "a b", "😀", "w", "w w", "w w w"] + [f"r{k}" for k in range(60)]
+    weights = [9] * 15 + [1] * 60
+    def text():
+        return "".join(rnd.choices(words, weights)[0] + rnd.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ", ", " \r\n"]) for _ in range(rnd.randint(0, 60)))
+    rows = [(text() + "new york city " * rnd.randint(0, 3), rnd.choice(["en", "en", "de", None, "und"])) for _ in range(n)]
+    return rows + [(t, "fr") for _, t in awkward()] + [("b " * 3000, "fr"), ("", None), (None, None), (None, "it"), ("c" * 3000, "it")] + [rows[0]] * 40
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, t, lang, "s", None, "r", True, "d", "p", 1) for k, (t, lang) in enumerate(rows)], SCHEMA)
+
+
+@pytest.mark.parametrize("wanted, load, bits, block", [(30, 8, 21, 8_000_000), (5, 8, 6, 3_000), (2, 500, 3, 2_000), (1, 0.1, 10, 500), (200, 8, 21, 8_000_000)])
+def test_as_a_counter_of_all_phrases(spark, monkeypatch, wanted, load, bits, block):
+    """Also with sketches that are far too small, with many slices and blocks, and with portions of a few bytes."""
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    rows = texts(n=250 if wanted > 2 else 40)
+    found = [tuple(r) for r in mine(frame(spark, rows), wanted, load=load, least_bits=bits).collect()]
+    want = brute(rows, wanted)
+    assert len(want) > 4
+    assert order(found) == order(want)
+
+
+def test_best_and_cover(spark):
+    rows = texts()
+    found = [tuple(r) for r in mine(frame(spark, rows), 5, longest=3, cover=30, best=7).collect()]
+    assert order(found) == order(brute(rows, 5, 3, 30, 7))
+
+
+def test_empty_tables(spark):
+    assert mine(frame(spark, [])).count() == 0
+    assert mine(frame(spark, [(None, None), ("", "en"), (". , !", "en")])).count() == 0
+
+
+def test_portions_cut_between_words(monkeypatch):
+    monkeypatch.setattr(collocations, "PORTION", 8)
+    for text in (b"", b"abc", b"aaaa bbbb cccc", b"a" * 50 + b" b", b"a\xff" * 9, b"x" * 30, b"aaaaaaaa bbbbbbbb\xffcccccccccc d"):
+        parts = list(portions(text))
+        assert b"".join(parts) == text
+        assert [w for p in parts for w in p.replace(b"\xff", b" \xff ").split()] == text.replace(b"\xff", b" \xff ").split()
+
+
+def test_sketch_never_underestimates_and_grows_with_the_input():
+    rnd = np.random.default_rng(1)
+    found = rnd.integers(0, 2**63, 4000).astype(np.uint64)
+    times = rnd.integers(1, 12, 4000)
+    sketch = Sketch(20_000, 30, 8, 6)
+    sent = defaultdict(list)
+    for b in range(5):
+        own = np.repeat(found, times)
+        for row in range(collocations.DEPTH):
+            for k, part in sketch.parts(sketch.cells(own, row), row):
+                sent[k].append(part)
+    told = [{"slice": k, "full": x} for k, parts in sent.items() for x in sketch.answer(parts)[:1] if x]
+    passed = set(collocations.Full(sketch, told).passing(found).tolist())
+    assert passed >= set(np.flatnonzero(times * 5 >= 30).tolist())
+    sizes = [Sketch(10**k, 30) for k in range(3, 15)]
+    assert all(2 ** s.bits * 8 >= 10**k for s, k in zip(sizes, range(3, 15)))
+    assert all(s.slice_bits <= collocations.MOST_BITS for s in sizes)

@@ -279,7 +279,7 @@ WITH pieces AS (
   SELECT lang, m, phrase, a, string_split(phrase, ' ') AS words, unnest(range(1, m)) AS k FROM f WHERE m > 1
 ), scored AS (
   SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[k + 1 : m], ' ')
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[k + 1 : c.m], ' ')
 ), lowest AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inner_sizes AS (

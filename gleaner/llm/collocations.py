@@ -8,7 +8,7 @@
    n-gram in it. Sums and what is sent stop at the wanted count, which changes no decision.
    Every block is told which of its cells reach it.
 3. A second pass counts exactly those n-grams all of whose cells do, by their words, within each
-   block and then by a grouping. What is counted at least as often as wanted is all that is: an
+   block and then, from sorted and compressed lists, in shards. What is counted at least as often as wanted is all that is: an
    n-gram is never below its estimate's bound, and the parts of a frequent n-gram are as frequent.
 4. Frequent phrases are scored by joins with their parts, and go if a longer one has them.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ BLOCK, WORD = 8_000_000, 6
 LEAST_BITS, MOST_BITS, FRAMES = 21, 26, 1024
 #: Blocks to a bucket of the shelf; Spark allows 100,000 buckets.
 PER_BUCKET, MOST_BUCKETS = 1.5, 100_000
+#: Words of the input for each shard of the exact counts; a shard has a thirtieth of its n-grams at most.
+SHARD = 20_000_000
 #: Bytes of a text that are words at once.
 PORTION = 1 << 20
 
@@ -165,16 +168,16 @@ def shelve(docs: DataFrame, lang_col: str, text_col: str) -> tuple[DataFrame, in
 
 
 class Sketch:
-    """Sizes of a sketch for so many n-grams: a row has ``2 ** bits`` cells in slices of ``2 ** slice_bits``."""
+    """Sizes of a sketch for so many n-grams: cells of a row, which lie in slices of ``2 ** slice_bits``."""
 
     def __init__(self, ngrams: int, wanted: int, load: float = LOAD, least_bits: int = LEAST_BITS):
         self.wanted = wanted
-        self.bits = max(6, math.ceil(math.log2(max(1, ngrams / load))))
-        self.slice_bits = min(self.bits, max(least_bits, min(MOST_BITS, self.bits - int(math.log2(FRAMES)))))
-        self.slices = 1 << (self.bits - self.slice_bits)
+        self.size = max(64, math.ceil(ngrams / load))
+        self.slice_bits = max(least_bits, min(MOST_BITS, math.ceil(math.log2(self.size / FRAMES))))
+        self.slices = math.ceil(self.size / (1 << self.slice_bits))
 
     def cells(self, found: np.ndarray, row: int) -> np.ndarray:
-        return mix64(found * _ODD[16 + row]) >> np.uint64(64 - self.bits)
+        return mix64(found * _ODD[16 + row]) % np.uint64(self.size)
 
     def parts(self, cells: np.ndarray, row: int) -> Iterator[tuple[int, bytes]]:
         """``(slice, cells and counts)`` of a block's n-grams; ``cells`` is sorted in place."""
@@ -289,6 +292,7 @@ def frequent_phrases(docs: DataFrame, wanted: int = WANTED, longest: int = LONGE
     """
     shelf, buckets, total = shelve(docs, lang_col, text_col)
     sketch = Sketch(max(1, total // WORD * longest), wanted, load, least_bits)
+    shards = max(1, math.ceil(total / WORD / SHARD))
     told = shelf.join(_full_cells(shelf, sketch, longest, buckets).hint("shuffle_hash"), "block", "left").select("payload", "told")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,20 +305,33 @@ def frequent_phrases(docs: DataFrame, wanted: int = WANTED, longest: int = LONGE
     def one(lang: str, words: Words, full: Full) -> Iterator[pa.RecordBatch]:
         ids = words.ids()
         names, hashes = list(words.numbers), words.hashes()[ids]
-        yield rows(lang, [""], 0, [int(np.count_nonzero(ids))])
+        phrases, times = [b""], [np.array([np.count_nonzero(ids)])]  # no phrase stands for all words
         for n, places in ngrams(ids, longest):
-            some = places[full.passing(keys(hashes, n, places, lang))]
-            at, times = distinct(ids, n, some)
+            at, often = distinct(ids, n, places[full.passing(keys(hashes, n, places, lang))])
+            times.append(often)
             for x in range(0, len(at), 20_000):
-                part = ids[at[x : x + 20_000, None] + np.arange(n)].tolist()
-                yield rows(lang, [b" ".join([names[k] for k in p]).decode("utf-8", "surrogatepass") for p in part], n, times[x : x + 20_000])
-
-    def rows(lang: str, phrases: list[str], n: int, times) -> pa.RecordBatch:
-        k = len(phrases)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(phrases, pa.string()), pa.array([n] * k, pa.int32()), pa.array(times, pa.int64())], ["lang", "phrase", "n_words", "a"])
-
-    counted = told.mapInArrow(count, "lang string, phrase string, n_words int, a long")
-    stored = materialise(counted.groupBy("lang", "phrase", "n_words").agg(F.sum("a").alias("a")).where((F.col("n_words") == 0) | (F.col("a") >= wanted)), "phrases")
+                phrases += [b" ".join([names[k] for k in p]) for p in ids[at[x : x + 20_000, None] + np.arange(n)].tolist()]
+        times = np.concatenate(times).astype(np.uint64)
+        shard = np.fromiter(map(xxhash.xxh3_64_intdigest, phrases), np.uint64, len(phrases)) % np.uint64(shards)
+        for k in np.unique(shard).tolist():
+            own = sorted(np.flatnonzero(shard == k).tolist(), key=phrases.__getitem__)
+            frame = _joined(zstandard.compress(b"\n".join([phrases[x] for x in own]), 3), pack(times[own]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([lang], pa.string()), pa.array([frame], pa.binary())], ["shard", "lang", "frame"])
+
+    def total_up(group: pa.Table) -> pa.Table:
+        sums: dict[str, dict[bytes, int]] = {}
+        for lang, frame in zip(group.column("lang").to_pylist(), group.column("frame")):
+            own, (names, times) = sums.setdefault(lang, {}), _parted(frame.as_py())
+            for phrase, n in zip(zstandard.decompress(names).split(b"\n"), unpack(times, np.uint64).tolist()):
+                own[phrase] = own.get(phrase, 0) + n
+        rows = [(lang, p, n) for lang, own in sums.items() for p, n in own.items() if n >= wanted or not p]
+        langs, phrases, n = zip(*rows) if rows else ((), (), ())
+        words = [p.count(b" ") + 1 if p else 0 for p in phrases]
+        phrases = [p.decode("utf-8", "surrogatepass") for p in phrases]
+        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(words, pa.int32()), "a": pa.array(n, pa.int64())})
+
+    counted = told.mapInArrow(count, "shard long, lang string, frame binary").groupBy("shard").applyInArrow(total_up, "lang string, phrase string, n_words int, a long")
+    stored = materialise(counted, "phrases")
     return stored.where("n_words > 0"), stored.where("n_words = 0").select("lang", F.col("a").alias("n"))
 
 

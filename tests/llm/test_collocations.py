@@ -54,6 +54,7 @@ def frame(spark, rows):
 def test_as_a_counter_of_all_phrases(spark, monkeypatch, wanted, load, bits, block):
     """Also with sketches that are far too small, with many slices and blocks, and with portions of a few bytes."""
     monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "SHARD", block)
     rows = texts(n=250 if wanted > 2 else 40)
     found = [tuple(r) for r in mine(frame(spark, rows), wanted, load=load, least_bits=bits).collect()]
     want = brute(rows, wanted)
@@ -95,5 +96,5 @@ def test_sketch_never_underestimates_and_grows_with_the_input():
     passed = set(collocations.Full(sketch, told).passing(found).tolist())
     assert passed >= set(np.flatnonzero(times * 5 >= 30).tolist())
     sizes = [Sketch(10**k, 30) for k in range(3, 15)]
-    assert all(2 ** s.bits * 8 >= 10**k for s, k in zip(sizes, range(3, 15)))
+    assert all(s.size * 8 >= 10**k for s, k in zip(sizes, range(3, 15)))
     assert all(s.slice_bits <= collocations.MOST_BITS for s in sizes)

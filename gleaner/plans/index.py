@@ -22,7 +22,9 @@ from gleaner.errors import Code, EngineError
 from gleaner.functions.vectors import norm, valid
 from gleaner.operators.batching import greedy
 from gleaner.operators.lexical import LexicalIndex, build_index
+from gleaner.operators.numbering import numbered
 from gleaner.operators.quality import lexical_violations, span_violations, vector_violations
+from gleaner.operators.similarity import pack_vectors
 from gleaner.session import materialise
 from gleaner.sources.limits import Retrying
 from gleaner.sources.markdown import Budget, chunk, coverage
@@ -119,11 +121,24 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     lexical.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
     lexical.lengths.write.parquet(f"{at}/lengths")
     lexical.stats.write.parquet(f"{at}/stats")
+    _write_read_path(spark, at, passages, now, spark.read.parquet(f"{at}/postings"))
     total = passages.select("chunk_hash").distinct().count()
     _publish(spark, root, generation, profile, folder)
     return {"generation": generation, "passages": passages.count(), "inputs": total, "embedded": embedded}
 
 
+def _write_read_path(spark: SparkSession, at: str, passages: DataFrame, stored: DataFrame, postings: DataFrame) -> None:
+    """What every search needs and none should make: numbers of passages, by which ties of all lists
+    go, their vectors in blocks, and the rarity of terms."""
+    own = passages.select("passage_id", "chunk_hash", "source", "start", "end", "text", "headings")
+    numbered(own, ["source", "start", "end", "passage_id"], "id").write.parquet(f"{at}/passages")
+    kept = spark.read.parquet(f"{at}/passages")
+    vectors = materialise(kept.select("chunk_hash", "id").join(stored, "chunk_hash").select("id", F.col("embedding").alias("v")), "keyed")
+    pack_vectors(vectors).write.parquet(f"{at}/packed")
+    n, df = kept.count(), F.count("*")
+    postings.where("field = 'body'").groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/rarity")
+
+
 class Index:
     """The published generation of an index folder."""
 
@@ -148,6 +163,18 @@ class Index:
     def lexical(self) -> LexicalIndex:
         return LexicalIndex(self.table("postings"), self.table("lengths"), self.table("stats"))
 
+    def numbered(self) -> DataFrame:
+        """Passages with ``id``, their number in the order of source and place."""
+        return self.table("passages")
+
+    def packed(self) -> DataFrame:
+        """Vectors of the numbered passages in blocks."""
+        return self.table("packed")
+
+    def rarity(self) -> DataFrame:
+        """``term, idf`` of terms of bodies."""
+        return self.table("rarity")
+
     def embedded(self) -> DataFrame:
         """Passages with their vectors."""
         return self.passages().join(self.vectors(), "chunk_hash")

@@ -1,11 +1,11 @@
-"""Budgets of requests, retries, and a record of attempts, around any provider."""
+"""Budgets of requests and retries, around any provider."""
 
 from __future__ import annotations
 
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from gleaner.errors import Code, EngineError
@@ -73,29 +73,3 @@ class Retrying:
                 if k + 1 == self.attempts or self.clock() + wait > end:
                     raise EngineError(self.code, f"no answer after {k + 1} attempts") from failure
                 self.sleep(wait)
-
-
-@dataclass
-class Observed:
-    """Remembers every call of a provider: kind, outcome, time and cost, unknown costs as None."""
-
-    clock: Callable[[], float] = time.perf_counter
-    attempts: list[dict] = field(default_factory=list)
-
-    def call(self, kind: str, function: Callable[..., Any], *args: object, cost: Callable[[Any], float | None] = lambda answer: None) -> Any:
-        began = self.clock()
-        row = {"kind": kind, "outcome": "PENDING", "elapsed_ms": 0.0, "cost": None}
-        self.attempts.append(row)
-        try:
-            answer = function(*args)
-        except Exception:
-            row["outcome"], row["elapsed_ms"] = "FAILED", (self.clock() - began) * 1000
-            raise
-        row["outcome"], row["elapsed_ms"] = "ANSWERED", (self.clock() - began) * 1000
-        found = cost(answer)
-        row["cost"] = found if isinstance(found, (int, float)) and found >= 0 and found != float("inf") else None
-        return answer
-
-    def known_and_unknown(self) -> tuple[float, int]:
-        """Sum of known costs, and the number of attempts whose cost is unknown."""
-        return sum(a["cost"] for a in self.attempts if a["cost"] is not None), sum(a["cost"] is None for a in self.attempts)

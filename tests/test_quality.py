@@ -8,7 +8,7 @@ from gleaner.errors import Code, EngineError
 from gleaner.operators import quality
 from gleaner.plans.index import Index, prepare
 from gleaner.plans.search import search
-from gleaner.sources.limits import Observed, Passing, Retrying, check_request, format_query
+from gleaner.sources.limits import Passing, Retrying, check_request, format_query
 from gleaner.sources.manifest import manifest_violations, read_manifest
 from gleaner.sources.providers import HashEmbedding, NoExpansion, OverlapRerank
 
@@ -135,8 +135,3 @@ def test_retries_and_record():
             retry.call(f, 7)
     with pytest.raises(ZeroDivisionError):
         retry.call(lambda: 1 / 0)
-    seen = Observed()
-    assert seen.call("a", lambda: {"cost": 0.5}, cost=lambda r: r["cost"]) and seen.call("a", lambda: 1)
-    with pytest.raises(Passing):
-        seen.call("b", failing(1), 1)
-    assert [a["outcome"] for a in seen.attempts] == ["ANSWERED", "ANSWERED", "FAILED"] and seen.known_and_unknown() == (0.5, 2)

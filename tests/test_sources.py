@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from gleaner.errors import EngineError
 from gleaner.sources import markdown
 from gleaner.sources.markdown import Budget, context, passages, scan_tree
-from gleaner.sources.providers import HashEmbedding, Recorded, anchors, check_expansion, check_scores, check_vectors, contains_literal
+from gleaner.sources.providers import HashEmbedding, anchors, check_expansion, check_scores, check_vectors, contains_literal
 
 
 def tiles(text, spans):
@@ -116,10 +116,6 @@ def test_answers_are_checked():
             check_vectors(["a"], bad, 8)
     with pytest.raises(EngineError):
         check_scores(["a"], [float("inf")])
-    record = Recorded({Recorded.key("embed", ["a"]): [[1]]})
-    assert record.take("embed", ["a"]) == [1] and record.left() == 0
-    with pytest.raises(EngineError):
-        record.take("embed", ["a"])
 
 
 @pytest.mark.parametrize("text", ["foo-bar", "a.foo", "x@foo", "a/foo", "k:foo", "foo/a", "foo@x", "foo.a", "foo:k", "foo_", "9foo"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import numbered
+from gleaner.session import materialise
 
 #: Draws of a resample that one row makes.
 DRAWS = 1000
@@ -50,35 +51,81 @@ def _after(state: Column, steps: Column) -> Column:
     return F.aggregate(F.array(*powers), state, step)
 
 
-def bootstrap(pairs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """One row: ``low, high``, the 95 % interval of the mean delta over paired resamples.
+def _steps() -> tuple[Column, Column]:
+    """Factors and terms that lead from a state to each of its ``DRAWS`` successors."""
+    factors, terms, a, c = [], [], A, C
+    for _ in range(DRAWS):
+        factors.append(f"{a}L")
+        terms.append(f"{c}L")
+        a, c = a * A % M, (c * A + C) % M
+    return F.expr(f"array({', '.join(factors)})"), F.expr(f"array({', '.join(terms)})")
+
+
+def bootstrap_groups(pairs: DataFrame, by: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """``*by, low, high``: the 95 % interval of each group's mean delta over paired resamples.
 
-    All resamples draw from one sequence of the generator, each from its own part of it. Deltas are
-    numbered in the order of the questions; a part of ``DRAWS`` draws of a resample is one row, which
-    jumps to its place, draws numbers, and meets their deltas in a join; sums by resample come
-    last. No row and no task holds all questions.
+    ``pairs``: ``*by, question, delta``; nulls are left out, and groups without deltas have no row. All
+    resamples of a group draw from one sequence of the generator, each from its own part of it, and
+    the sequence depends on the number of deltas only. So groups are columns: one draw of
+    resamples for each number of deltas serves all groups that have so many. Deltas are numbered in the order
+    of the questions; a part of ``DRAWS`` draws of a resample is one row, which jumps to its place,
+    draws numbers, and meets their deltas in a join. No row and no task holds all questions. The groups,
+    a row each, are listed on the driver.
     """
     spark = pairs.sparkSession
-    deltas = numbered(pairs.where("delta is not null"), ["question"]).select("number", F.col("delta").cast("double").alias("delta"))
-    n = deltas.count()
-    parts = -(-n // DRAWS)
-    if not n:
-        return spark.range(1).select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    work = spark.range(samples * parts).select(F.floor(F.col("id") / parts).alias("sample"), (F.col("id") % parts * DRAWS).alias("at")).repartition("sample", "at")
-    begun = work.withColumn("state", _after(F.lit(seed).cast("long"), F.col("sample") * n + F.col("at")))
-    size = F.least(F.lit(DRAWS), n - F.col("at")).cast("int")
-
-    def draw(acc: Column, _: Column) -> Column:
-        state = (F.element_at(acc, -1) * A + C) % M
-        return F.concat(acc, F.array(state))
-
-    states = F.aggregate(F.sequence(F.lit(1), size), F.array("state"), draw)
-    drawn = begun.select("sample", F.explode(F.slice(states, 2, DRAWS)).alias("state")).select("sample", F.floor(F.col("state") / float(M) * n).cast("long").alias("number"))
-    times = drawn.groupBy("sample", "number").agg(F.count("*").alias("times"))
-    means = times.join(deltas, "number").groupBy("sample").agg((F.sum(F.col("times") * F.col("delta")) / n).alias("mean"))
-    ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # as many as there are resamples
+    rows = numbered(pairs.where("delta is not null").select(*by, "question", F.col("delta").cast("double").alias("delta")), [*by, "question"])
+    groups = rows.groupBy(*by).agg(F.min("number").alias("first"), F.count("*").alias("n")).orderBy("first").collect()
+    if not groups:
+        return rows.select(*by, F.col("delta").alias("low"), F.col("delta").alias("high"))
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
+    listed = spark.createDataFrame([(*[g[c] for c in by], g["first"], g["n"], k) for k, g in enumerate(groups)], f"{kinds}, _first long, _n long, _group int")
+    starts = F.broadcast(listed.select("_first", "_n", "_group"))
+    placed = rows.join(starts, (F.col("number") >= F.col("_first")) & (F.col("number") < F.col("_first") + F.col("_n")))
+    own = [F.max(F.when(F.col("_group") == k, F.col("delta"))).alias(f"d{k}") for k in range(len(groups))]
+    deltas = placed.groupBy(F.col("_n").alias("n"), (F.col("number") - F.col("_first")).alias("number")).agg(*own)
+    work = spark.createDataFrame([(n,) for n in sorted({g["n"] for g in groups})], "n long")
+    work = work.select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS))).alias("part")
+    work = work.select("n", "sample", part).select("n", "sample", (F.col("part") * DRAWS).alias("at")).repartition("n", "sample", "at")
+    begun = work.withColumn("state", _after(F.lit(seed).cast("long"), F.col("sample") * F.col("n") + F.col("at")))
+    factors, terms = _steps()
+    size = F.least(F.lit(DRAWS), F.col("n") - F.col("at")).cast("int")
+
+    def drawn(a: Column, k: Column) -> Column:
+        high = F.shiftleft((a * F.shiftright("state", 16)) % M, 16)  # in two halves, to stay within 64 bits
+        state = (high + a * F.col("state").bitwiseAND(F.lit(65535)) + F.get(terms, k)) % M
+        return F.floor(state / float(M) * F.col("n")).cast("long")
+
+    draws = begun.select("n", "sample", F.explode(F.transform(F.slice(factors, F.lit(1), size), drawn)).alias("number"))
+    times = draws.groupBy("n", "sample", "number").agg(F.count("*").alias("times"))
+    sums = [(F.sum(F.col("times") * F.col(f"d{k}")) / F.col("n")).alias(f"m{k}") for k in range(len(groups))]
+    means = times.join(deltas, ["n", "number"]).groupBy("n", "sample").agg(*sums)
+    each = means.select("n", F.posexplode(F.array(*[f"m{k}" for k in range(len(groups))])).alias("_group", "mean"))
+    # another group's deltas are null where the numbers of deltas differ
+    each = each.join(F.broadcast(listed), "_group").where(F.col("n") == F.col("_n"))
+    ordered = each.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("m"))  # as many as there are resamples
     low, high = int(samples * 0.025), int(samples * 0.975)
-    return ordered.select(F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
+    return ordered.select(*by, F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
+
+
+def bootstrap(pairs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """One row: ``low, high``, as :func:`bootstrap_groups` with all pairs in one group; nulls without pairs."""
+    found = bootstrap_groups(pairs.withColumn("all", F.lit(0)), ["all"], samples, seed)
+    return pairs.sparkSession.range(1).select(F.lit(0).alias("all")).join(found, "all", "left").select("low", "high")
+
+
+def compare_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, questions, wins, ties, losses, mean_delta, low, high, missing`` of each group.
+
+    Both sides: ``*by, question, mean``, a row for each question of a group at most. A question is missing if a
+    side lacks it or doesn't know its mean.
+    """
+    both = left.select(*by, "question", F.col("mean").alias("l")).join(right.select(*by, "question", F.col("mean").alias("r")), [*by, "question"], "full")
+    pairs = materialise(both.select(*by, "question", (F.col("r") - F.col("l")).alias("delta")), "pairs")
+    d = F.col("delta")
+    counts = [F.count("delta").alias("questions"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.count_if(d.isNull()).alias("missing")]
+    found = pairs.groupBy(*by).agg(*counts).join(bootstrap_groups(pairs, by), by, "left")
+    return found.select(*by, "questions", "wins", "ties", "losses", "mean_delta", "low", "high", "missing")
 
 
 def gates(measured: DataFrame, rules: DataFrame) -> DataFrame:

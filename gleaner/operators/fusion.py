@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,18 +11,32 @@ K, ORIGINAL, VARIANT, PROTECTED, SOURCE_CAP, DEPTH = 60, 2.0, 1.0, 8, 2, 40
 DIGITS = 9
 
 
-def fuse(lists: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``query_id, id, score, protected``: the fused score of each candidate.
+def fuse(lists: DataFrame, depth: int = DEPTH, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``*by, id, score, protected``: the fused score of each candidate.
 
     ``lists``: ``query_id, channel, is_original, id, rank``. A candidate counts once in a channel, at
     its best rank; ranks beyond ``depth`` don't count. The first eight of an original list are protected.
     """
-    once = lists.groupBy("query_id", "channel", "is_original", "id").agg(F.min("rank").alias("rank"))
-    order = Window.partitionBy("query_id", "channel").orderBy("rank", "id")
+    once = lists.groupBy(*by, "channel", "is_original", "id").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy(*by, "channel").orderBy("rank", "id")
     ranked = once.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= depth)
     part = F.when(F.col("is_original"), ORIGINAL).otherwise(VARIANT) / (K + F.col("rank"))
     safe = F.col("is_original") & (F.col("rank") <= PROTECTED)
-    return ranked.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.max(safe).alias("protected"))
+    return ranked.groupBy(*by, "id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.max(safe).alias("protected"))
+
+
+def fuse_views(lists: DataFrame, views: dict[str, Column], depth: int = DEPTH) -> DataFrame:
+    """``view, query_id, rank, id, score, protected``: every view of the lists fused in one pass.
+
+    A view is a condition on rows of ``lists``; each row goes to all views that it belongs to, and what
+    all views share is read once.
+    """
+    names = F.array(*[F.when(test, F.lit(name)) for name, test in views.items()])
+    each = lists.withColumn("view", F.explode(F.filter(names, lambda x: x.isNotNull())))
+    fused = fuse(each, depth, ("view", "query_id"))
+    order = Window.partitionBy("view", "query_id").orderBy(F.col("score").desc(), "id")
+    ranked = fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= depth)
+    return ranked.select("view", "query_id", "rank", "id", "score", "protected")
 
 
 def protect(fused: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -96,11 +96,12 @@ def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """
     known = numbered(rows.where(F.col(value).isNotNull()).select(group, value), [group, value])
     sizes = known.groupBy(F.col(group).alias("_key")).agg(F.min("number").alias("first"), F.count("*").alias("n"), F.max(value).alias("longest"))
-    nth = F.col("number") - F.col("first") + 1
-    places = {"p50": F.floor((F.col("n") + 1) / 2), "p95": F.floor((F.col("n") * 95 + 99) / 100)}
-    joined = known.join(sizes, F.col(group).eqNullSafe(F.col("_key")))
-    picked = joined.select("_key", "n", "longest", *[F.when(nth == at, F.col(value)).alias(k) for k, at in places.items()])
-    found = picked.groupBy("_key").agg(*[F.max(c).alias(c) for c in ("p50", "p95", "longest", "n")])
+    first, n = F.col("first"), F.col("n")
+    wanted = sizes.select("*", (first + F.floor((n + 1) / 2) - 1).alias("at50"), (first + F.floor((n * 95 + 99) / 100) - 1).alias("at95"))
+    wanted = wanted.select("_key", "n", "longest", "at50", "at95", F.explode(F.array("at50", "at95")).alias("number"))
+    picked = wanted.join(known.select("number", F.col(value).alias("_value")), "number")  # two rows of a group
+    own = [F.max(F.when(F.col("number") == F.col(at), F.col("_value"))).alias(k) for k, at in (("p50", "at50"), ("p95", "at95"))]
+    found = picked.groupBy("_key").agg(*own, F.max("longest").alias("longest"), F.max("n").alias("n"))
     every = rows.select(F.col(group).alias("_group")).distinct()
     out = every.join(found, F.col("_group").eqNullSafe(F.col("_key")), "left")
     return out.select(F.col("_group").alias(group), "p50", "p95", "longest", F.coalesce("n", F.lit(0)).alias("n"))

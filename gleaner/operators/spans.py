@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.patterns import places
+
 #: Width of the bins by which spans are joined.
 BIN = 1024
 
@@ -34,25 +36,12 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, "bin"]).where(meets & first).drop("bin")
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def locate_texts(items: DataFrame, docs: DataFrame) -> DataFrame:
     """``item_id, id, start, end, unique_in_text``: where ``items`` (item_id, text) stand verbatim in ``docs`` (id, text).
 
-    Candidates come from an equi-join on the rarest inner word of the item: those must be words of
-    the text too, while the outer two may be parts of longer ones. The place is then looked up.
-    Items of fewer than three words are joined by one of them, so they are found as whole words
-    only. ``start`` is the first place; ``unique_in_text`` is false if there is a second.
+    All items are looked for in one scan of the texts, so also those without a word. ``start`` is the first
+    place; ``unique_in_text`` is false if there is a second, be it one that overlaps the first.
     """
-    words = docs.select("id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    inner = F.when(F.size(_words(F.col("text"))) > 2, F.slice(_words(F.col("text")), 2, F.greatest(F.lit(1), F.size(_words(F.col("text"))) - 2))).otherwise(_words(F.col("text")))
-    wanted = items.where(F.length("text") > 0).select("item_id", F.col("text").alias("item"), F.explode(F.array_distinct(inner)).alias("word"))
-    common = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = wanted.join(common, "word", "left").groupBy("item_id", "item").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
-    pairs = words.join(rarest, "word").join(docs.select("id", "text"), "id")
-    at = F.expr("locate(item, text)")
-    again = F.expr("locate(item, text, locate(item, text) + 1)")
-    placed = pairs.select("item_id", "id", (at - 1).cast("long").alias("start"), F.length("item").alias("size"), (again == 0).alias("unique_in_text"))
-    return placed.where("start >= 0").select("item_id", "id", "start", (F.col("start") + F.col("size")).cast("long").alias("end"), "unique_in_text")
+    found = places(items.select(F.col("text").alias("pattern")), docs)
+    first = found.groupBy("pattern", "id").agg(F.min("start").alias("start"), F.min("end").alias("end"), (F.count("*") == 1).alias("unique_in_text"))
+    return items.select("item_id", F.col("text").alias("pattern")).join(first, "pattern").select("item_id", "id", "start", "end", "unique_in_text")

@@ -7,8 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.compare import bootstrap, outcome, paired
-from gleaner.operators.judgments import METRICS, occurrences, question_means, score_renderings, select_cohorts, summarise_questions
+from gleaner.functions.text import line_of
+from gleaner.operators.compare import compare_groups
+from gleaner.operators.judgments import METRICS, question_means, score_renderings, select_cohorts, summarise_questions
+from gleaner.operators.metrics import percentiles
+from gleaner.operators.patterns import places
 from gleaner.session import materialise
 
 
@@ -47,13 +50,20 @@ def measure(questions: DataFrame, review: Review, captures: DataFrame, excerpts:
     return scored.join(captures.select("question", "elapsed_ms", "known_usd", "unknown_attempts"), "question")
 
 
-def compare_means(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
-    """One row: ``metric, questions, wins, ties, losses, mean_delta, low, high, missing``."""
-    own = lambda means: means.where(F.col("metric") == metric)
-    pairs = materialise(paired(own(left), own(right)), "pairs")
-    both = own(left).join(own(right).select("question", F.col("mean").alias("other")), "question", "full")
-    missing = both.agg(F.count_if(F.col("mean").isNull() | F.col("other").isNull()).alias("missing"))
-    return outcome(pairs).join(F.broadcast(bootstrap(pairs))).join(F.broadcast(missing)).select(F.lit(metric).alias("metric"), "questions", "wins", "ties", "losses", "mean_delta", "low", "high", "missing")
+def compare_cohorts(questions: DataFrame, means: DataFrame, proposals: tuple[str, ...], bounds: Bounds) -> DataFrame:
+    """``proposal, comparator, metric, questions, wins, ties, losses, mean_delta, low, high, missing``: all comparisons in one pass.
+
+    ``means``: cohort, question, metric, mean. Metrics of harm are compared over unanswerable questions, all
+    others over answerable ones.
+    """
+    wanted = [(p, c, m, m not in ("nonempty", "misleading")) for p in proposals for c, deltas in bounds.deltas.items() for m in deltas]
+    table = F.broadcast(questions.sparkSession.createDataFrame(wanted, "proposal string, comparator string, metric string, answerable boolean"))
+    fits = means.join(questions.select("question", "answerable"), "question")
+
+    def side(name: str) -> DataFrame:
+        return fits.withColumnRenamed("cohort", name).join(table, [name, "metric", "answerable"]).select("proposal", "comparator", "metric", "question", "mean")
+
+    return compare_groups(side("comparator"), side("proposal"), ["proposal", "comparator", "metric"])
 
 
 def _status(passes: Column, unknown: Column) -> Column:
@@ -65,15 +75,15 @@ def _gate(row: DataFrame, name: str, status: Column) -> DataFrame:
 
 
 def quality_gates(comparisons: DataFrame, bounds: Bounds) -> DataFrame:
-    """``gate, status`` of each comparison (comparator, metric, ...): the mean delta and the low end reach their bounds."""
-    out = None
-    for comparator, deltas in bounds.deltas.items():
-        for metric, least in deltas.items():
-            row = comparisons.where((F.col("comparator") == comparator) & (F.col("metric") == metric))
-            passes = (F.col("mean_delta") >= least) & (F.col("low") >= bounds.lower)
-            own = _gate(row, f"{comparator}.{metric}", _status(passes, (F.col("questions") == 0) | (F.col("missing") > 0)))
-            out = own if out is None else out.unionByName(own)
-    return out
+    """``gate, status`` of each comparison (comparator, metric, ...): the mean delta and the low end reach their bounds.
+
+    A comparison that isn't there is inconclusive.
+    """
+    least = [(c, m, float(x)) for c, deltas in bounds.deltas.items() for m, x in deltas.items()]
+    rules = comparisons.sparkSession.createDataFrame(least, "comparator string, metric string, least double")
+    joined = rules.join(comparisons, ["comparator", "metric"], "left")
+    passes = (F.col("mean_delta") >= F.col("least")) & (F.col("low") >= bounds.lower)
+    return joined.select(F.concat_ws(".", "comparator", "metric").alias("gate"), _status(passes, (F.col("questions") == 0) | (F.col("missing") > 0)))
 
 
 def slice_gate(summary: DataFrame, baseline: DataFrame, bounds: Bounds) -> DataFrame:
@@ -101,9 +111,9 @@ def harm_gates(questions: DataFrame, measured: DataFrame, baseline: DataFrame, b
 
 def running_gates(measured: DataFrame, bounds: Bounds) -> DataFrame:
     """Time, cost, failures, and costs that nobody knows; percentiles by nearest rank."""
-    p95 = lambda c: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
-    row = measured.agg(p95("elapsed_ms").alias("elapsed"), p95("known_usd").alias("cost"), F.count_if("failed").alias("failed"), F.sum("unknown_attempts").alias("unknown"))
-    row = materialise(row, "running")
+    measures = measured.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value")) for n, c in (("elapsed", "elapsed_ms"), ("cost", "known_usd"))])).alias("m")).select("m.*")
+    row = percentiles(measures, "measure", "value").agg(*[F.max(F.when(F.col("measure") == n, F.col("p95"))).alias(n) for n in ("elapsed", "cost")])
+    row = materialise(row.join(measured.agg(F.count_if("failed").alias("failed"), F.sum("unknown_attempts").alias("unknown"))), "running")
     sure = F.lit(False)
     gates = (
         ("processLatencyP95", F.col("elapsed") <= bounds.elapsed_p95, F.col("elapsed").isNull()),
@@ -118,6 +128,14 @@ def running_gates(measured: DataFrame, bounds: Bounds) -> DataFrame:
     return out
 
 
+def _together(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, rows in tables.items():
+        own = rows.select(F.lit(name).alias("cohort"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @dataclass
 class Report:
     """Tables of an evaluation, each with the ``cohort`` or ``proposal`` it is about."""
@@ -148,33 +166,16 @@ def evaluate(questions: DataFrame, review: Review, captures: DataFrame, excerpts
         measured[name] = materialise(measure(questions, review, own, shown), "measured")
         means[name] = materialise(question_means(questions, measured[name], 1), "means")
         summaries[name] = materialise(summarise_questions(questions, means[name]), "summary")
-    kinds = questions.select("question", "answerable")
-    compared, gates = None, None
+    compared, gates = materialise(compare_cohorts(questions, _together(means), proposals, bounds), "comparisons"), None
     for proposal in proposals:
-        rows = None
-        for comparator, deltas in bounds.deltas.items():
-            for metric in deltas:
-                fits = kinds.where(~F.col("answerable") if metric in ("nonempty", "misleading") else F.col("answerable")).select("question")
-                own = compare_means(means[comparator].join(fits, "question"), means[proposal].join(fits, "question"), metric)
-                own = own.select(F.lit(proposal).alias("proposal"), F.lit(comparator).alias("comparator"), "*")
-                rows = own if rows is None else rows.unionByName(own)
-        rows = materialise(rows, "comparisons")
-        checked = quality_gates(rows, bounds).unionByName(slice_gate(summaries[proposal], summaries[baseline], bounds))
+        checked = quality_gates(compared.where(F.col("proposal") == proposal), bounds).unionByName(slice_gate(summaries[proposal], summaries[baseline], bounds))
         checked = checked.unionByName(harm_gates(questions, measured[proposal], measured[baseline], bounds)).unionByName(running_gates(measured[proposal], bounds))
         checked = checked.select(F.lit(proposal).alias("proposal"), "gate", "status")
-        compared = rows if compared is None else compared.unionByName(rows)
         gates = checked if gates is None else gates.unionByName(checked)
     gates = materialise(gates, "gates")
     decisions = gates.groupBy("proposal").agg(F.when(F.every(F.col("status") == "PASS"), "GATES_PASS").otherwise("NO_ROLLOUT").alias("decision"))
 
-    def together(tables: dict[str, DataFrame]) -> DataFrame:
-        out = None
-        for name, rows in tables.items():
-            own = rows.select(F.lit(name).alias("cohort"), "*")
-            out = own if out is None else out.unionByName(own)
-        return out
-
-    return Report(together(measured), together(summaries), compared, gates, decisions)
+    return Report(_together(measured), _together(summaries), compared, gates, decisions)
 
 
 def coordinate_violations(excerpts: DataFrame, resolutions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -184,13 +185,15 @@ def coordinate_violations(excerpts: DataFrame, resolutions: DataFrame, sources:
     ``sources``: source, text. A text that its source has more than once needs a resolution, and
     just one of its places must begin on the resolution's line, the one that was taken.
     """
-    body = sources.select("source", F.col("text").alias("body"))
-    rows = excerpts.join(body, "source").select("capture", "rank", F.col("start").alias("taken"), "text", "body")
-    places = occurrences(rows).select("capture", "rank", "taken", "start", "start_line")
-    counted = places.groupBy("capture", "rank", "taken").agg(F.count("*").alias("n"))
+    # all excerpts are looked for in one scan of the sources; then those of an excerpt's own source count
+    spots = places(excerpts.select(F.col("text").alias("pattern")), sources.select(F.col("source").alias("id"), "text"))
+    lines = spots.join(sources.select(F.col("source").alias("id"), F.col("text").alias("body")), "id").select(F.col("id").alias("source"), F.col("pattern").alias("text"), F.col("start").alias("at"), line_of(F.col("body"), F.col("start")).alias("start_line"))
+    spots = excerpts.select("capture", "rank", "source", "text", F.col("start").alias("taken")).join(lines, ["source", "text"])
+    spots = materialise(spots.select("capture", "rank", "taken", F.col("at").alias("start"), "start_line"), "places")
+    counted = spots.groupBy("capture", "rank", "taken").agg(F.count("*").alias("n"))
     keys = ["capture", "rank"]
     unbound = counted.where("n > 1").join(resolutions, keys, "left_anti")
-    fits = places.join(resolutions, keys).groupBy(*keys, "taken").agg(F.count("*").alias("n"), F.count_if(F.col("start_line") == F.col("line")).alias("fits"), F.count_if((F.col("start_line") == F.col("line")) & (F.col("start") == F.col("taken"))).alias("right"))
+    fits = spots.join(resolutions, keys).groupBy(*keys, "taken").agg(F.count("*").alias("n"), F.count_if(F.col("start_line") == F.col("line")).alias("fits"), F.count_if((F.col("start_line") == F.col("line")) & (F.col("start") == F.col("taken"))).alias("right"))
     stray = resolutions.join(counted, keys, "left_anti")
     return (
         unbound.select(F.lit("repeated text without resolution").alias("rule"), *keys)
@@ -208,4 +211,4 @@ def same_protocol(runs: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-__all__ = ["Bounds", "METRICS", "Report", "Review", "compare_means", "coordinate_violations", "evaluate", "harm_gates", "measure", "quality_gates", "running_gates", "same_protocol", "slice_gate"]
+__all__ = ["Bounds", "METRICS", "Report", "Review", "compare_cohorts", "coordinate_violations", "evaluate", "harm_gates", "measure", "quality_gates", "running_gates", "same_protocol", "slice_gate"]

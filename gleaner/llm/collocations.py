@@ -32,9 +32,9 @@ from gleaner.llm.tasks import column, mix64, pack, pack_sorted, unpack, unpack_s
 from gleaner.session import materialise, shared_path
 
 LONGEST, WANTED, COVER, BEST = 4, 30, 80, 2000
-DEPTH, LOAD = 2, 8
+DEPTH, LOAD = 2, 16
 #: Bytes of text in a block; and bytes of a word, by which the sketch is sized.
-BLOCK, WORD = 8_000_000, 6
+BLOCK, WORD = 12_000_000, 6
 #: Cells of a slice: the least, and the most, which a task holds as bytes; between them slices are so
 #: many that a block sends ``FRAMES`` frames a row.
 LEAST_BITS, MOST_BITS, FRAMES = 21, 26, 1024

@@ -96,5 +96,5 @@ def test_sketch_never_underestimates_and_grows_with_the_input():
     passed = set(collocations.Full(sketch, told).passing(found).tolist())
     assert passed >= set(np.flatnonzero(times * 5 >= 30).tolist())
     sizes = [Sketch(10**k, 30) for k in range(3, 15)]
-    assert all(s.size * 8 >= 10**k for s, k in zip(sizes, range(3, 15)))
+    assert all(s.size * collocations.LOAD >= 10**k for s, k in zip(sizes, range(3, 15)))
     assert all(s.slice_bits <= collocations.MOST_BITS for s in sizes)

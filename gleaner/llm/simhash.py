@@ -12,9 +12,8 @@ forest of their links, never all pairs.
 from __future__ import annotations
 
 import math
-import operator
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 SAMPLE, LEAF = 100_000, 4096
 #: Below this many fingerprints a leaf compares all of them.
 DENSE = 768
-#: Least fingerprints to a leaf where rows carry more than a fingerprint: fewer levels, fewer visits.
-WIDE = 16_384
+#: Bits of a sketch of a shingle set, and documents of a shard that are searched at once.
+PRINT, CROWD = 128, 2048
 #: Documents that one copy of a document's shingles is compared with.
 PARTNERS = 256
 
@@ -261,21 +260,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 # Documents of similar five-word shingles
 
 
-def bag_prints(text: str | None, tables: int) -> list[int]:
-    """Fingerprints of the words as often as they occur, and two of the distinct words."""
-    words = utf8(text).lower().split()
-    if not words:
-        return [0] * (tables + 2)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    once = np.unique(h)
-    return [bit_majority(mix64(x ^ np.uint64(k))) for x, n in ((h, tables), (once, 2)) for k in range(n)]
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted 40-bit hashes of the distinct word shingles; of the whole sequence if it is shorter.
-
-    Two sets of 20,000 shingles have 0.0004 hashes in common by chance.
-    """
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; of the whole sequence if it is shorter."""
     words = utf8(text).lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -284,72 +270,145 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(min(shingle, len(h))):
         out = mix64(out * np.uint64(31) + h[k : k + n])
-    return np.unique(out >> np.uint64(24))
+    return np.unique(out)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; 1 if both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def shingle_print(hashes: np.ndarray, tables: int, share: int) -> np.ndarray:
+    """A sketch of a shingle set: ``tables`` keys, then two words of bits.
 
+    Each of ``PRINT`` permutations has a least hash, two sets the same one with the chance of their
+    Jaccard similarity. A bit is the parity of one of them, so bits of two sets differ with half the
+    chance that they are unlike, wherever in the texts the differences are; a key stands for
+    ``share`` of those least hashes that are not in the bits.
+    """
+    if not len(hashes):
+        return np.zeros(tables + 2, np.uint64)
+    least = np.full(PRINT + tables * share, 2**64 - 1, np.uint64)
+    factors = _factors(len(least))[:, None]
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (factors * hashes[None, at : at + 2048]).min(axis=1), out=least)
+    bits = np.packbits((mix64(least[:PRINT]) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    keys = np.arange(1, tables + 1, dtype=np.uint64)
+    for k in range(share):
+        keys = mix64(keys + least[PRINT + k :: share])
+    return np.concatenate((keys, bits))
 
-def _apart(left: str, right: str) -> Column:
-    """Bits by which the fingerprints of the distinct words differ."""
-    return reduce(operator.add, [F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in "12"])
 
+@cache
+def _factors(n: int) -> np.ndarray:
+    return mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
-def _candidates(prints: DataFrame, table: str, radius: int, apart: int) -> DataFrame:
-    """``a, b``: documents to compare, by one of the fingerprints.
 
-    Documents with equal fingerprints are compared with the smallest id among them. Those are searched
-    in the tree, and each is compared with the smallest and the largest id that it is linked with in
-    a leaf. Pairs with more than ``apart`` of 128 other bits apart are no candidates.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 40-bit hashes of the distinct word shingles.
+
+    Two sets of 20,000 shingles have 0.0004 hashes in common by chance.
     """
-    least = materialise(prints.groupBy(F.col(table).alias("fp")).agg(F.min(F.struct("doc_id", "c1", "c2")).alias("x")), "least")
-    least = least.select("fp", F.col("x.doc_id").alias("first"), F.col("x.c1").alias("f1"), F.col("x.c2").alias("f2"))
-    same = prints.join(least, F.col(table) == F.col("fp")).where(_apart("c", "f") <= apart).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return np.unique(shingle_hashes(text, shingle) >> np.uint64(24))
 
-    def search(group: pa.Table) -> pa.Table:
-        group = group.sort_by("first")
-        fps, c1, c2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "f1", "f2"))
-        low, high = np.arange(len(fps)), np.arange(len(fps))
 
-        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            good = np.bitwise_count(c1[i] ^ c1[j]).astype(int) + np.bitwise_count(c2[i] ^ c2[j]) <= apart
-            for x, y in ((i[good], j[good]), (j[good], i[good])):
-                np.minimum.at(low, x, y)
-                np.maximum.at(high, x, y)
-            return good
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def best_forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the forest that spans ``(i, j)`` with the least distances; the nearest of each node is among them."""
+    order = np.lexsort((j, i, far))
+    i, j = i[order], j[order]
+    at, parent, chosen = np.arange(len(i)), np.arange(n), []
+    while True:
+        u, v = parent[i[at]], parent[j[at]]
+        apart = u != v
+        if not apart.any():
+            break
+        at, u, v = at[apart], u[apart], v[apart]
+        first = np.full(n, len(i))
+        np.minimum.at(first, u, at)
+        np.minimum.at(first, v, at)
+        own = np.unique(first[first < len(i)])
+        chosen.append(own)
+        hook(parent, i[own], j[own])
+    chosen = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+    return i[chosen], j[chosen]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+def group_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids to compare within a shard: the best forest of what the tree finds within ``radius`` by the
+    first bits, and that differs in at most ``apart`` of all."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        far = _apart(p[i], p[j]) + _apart(c[i], c[j])
+        good = (far <= apart) & (i != j)
+        found.append((i[good], j[good], far[good]))
+        return good
+
+    leaf_links(p, np.ones(len(p), bool), radius, accept)
+    i, j = best_forest(len(p), *map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64),) * 2
+    return ids[i], ids[j]
+
+
+def _shards(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two tables ``shard, doc_id, p, c``, of documents by each of their keys that another has too, and of crowds ``doc_id, p, c, first``.
+
+    A key that over ``CROWD`` documents have deals them again, by that key and their next one, and what is a
+    crowd even so to as many parts as it needs. In each crowd everyone is in a shard with the one of
+    the smallest id too, so that no part of a crowd is by itself.
+    """
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(f"k{k}").alias("key"), F.col(f"k{(k + 1) % tables}").alias("finer")) for k in range(tables)]))
+    each = prints.select("doc_id", "p", "c", key.alias("k")).select("doc_id", "p", "c", F.xxhash64("k.t", "k.key").alias("key"), F.xxhash64("k.t", "k.key", "k.finer").alias("finer"))
+    each = materialise(each, "keys")
 
-        leaf_links(fps, group.column("home").to_numpy(zero_copy_only=False).astype(bool), radius, accept)
-        every, ids = np.arange(len(fps)), group.column("first").to_numpy()
-        i = np.concatenate((every[low < every], every[high > every]))
-        j = np.concatenate((low[low < every], high[high > every]))
-        return pa.table({"a": ids[i], "b": ids[j]})
+    def crowds(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "p", "c")).alias("first")).where("n > 1")
+        return materialise(found, "crowds")  # joined as the planner sees fit: a key of many rows is split
 
-    leaf = max(WIDE, leaf_for(least.count()))
-    found = deal_to_leaves(least, radius, leaf).groupBy("leaf").applyInArrow(search, "a long, b long")
-    return same.unionByName(found)
+    first = each.join(crowds(each, "key"), "key")
+    first = materialise(first, "shared")
+    small = first.where(F.col("n") <= CROWD).select(F.col("key").alias("shard"), "doc_id", "p", "c")
+    large = first.where(F.col("n") > CROWD)
+    again = materialise(large.drop("n").withColumnRenamed("first", "outer").join(crowds(large, "finer"), "finer"), "again")
+    parts = F.ceil(F.col("n") / CROWD)
+    shard = F.xxhash64("finer", F.pmod(F.xxhash64("doc_id"), parts))
+    return small, again.select(shard.alias("shard"), "doc_id", "p", "c"), large.select("doc_id", "p", "c", "first").unionByName(again.select("doc_id", "p", "c", "first"))
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 4, radius: int = RADIUS, apart: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, share: int = 4, radius: int = 18, apart: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a, b``: documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    A few changed words move a fingerprint of single words by a few bits only, so candidates come from
-    ``tables`` such fingerprints, each searched as in :func:`hamming_edges`; every candidate is verified by the
-    whole shingle sets. Links join what belongs together, they aren't all pairs. Rows without an id are
-    left out; documents without words are similar. Of an id that repeats any text counts.
+    Fingerprints are bits of least shingle hashes, so their distance follows the similarity, whatever was edited.
+    At 0.8 a tenth of their bits differ, which no boundary of a tree by distance tells from chance at a useful
+    rate; so shards are dealt by keys of ``share`` least hashes, which similar documents have in common
+    with a chance of ``similarity ** share`` for each of ``tables``, and the tree of op6 searches
+    within each shard. A shard gives the forest of its nearest pairs; each of these is verified
+    by the whole shingle sets. Links join what belongs together, but where the nearest of a document are all
+    below the threshold by the sets though others are not, and where no key is shared (0.015 at 0.8). Rows
+    without an id are left out; documents without words are similar. Of an id that repeats any text counts.
     """
     rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([bag_prints(t, tables) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, tables + 2).view(np.int64)
+            found = np.array([shingle_print(shingle_hashes(t, shingle), tables, share) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, tables + 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(x)) for x in found.T]], ["doc_id", *names])
 
-    names = [*[f"t{k}" for k in range(tables)], "c1", "c2"]
+    def search(group: pa.Table) -> pa.Table:
+        ids, p, c = (group.column(x).to_numpy() for x in ("doc_id", "p", "c"))
+        a, b = group_candidates(ids, p.view(np.uint64), c.view(np.uint64), radius, apart)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    names = [*[f"k{k}" for k in range(tables)], "p", "c"]
     prints = materialise(rows.mapInArrow(describe, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "prints")
-    found = reduce(DataFrame.unionByName, [_candidates(prints, c, radius, apart) for c in names[:tables]])
+    small, split, crowded = _shards(prints, tables)
+    found = small.unionByName(split).groupBy("shard").applyInArrow(search, "a long, b long")
+    bits = F.bit_count(F.col("p").bitwiseXOR(F.col("first.p"))) + F.bit_count(F.col("c").bitwiseXOR(F.col("first.c")))
+    found = found.unionByName(crowded.where(bits <= apart).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")))
     ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     ends = materialise(ends, "ends")
     # a document with many candidates is compared with them in parts, each with its own copy of it

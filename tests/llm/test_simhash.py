@@ -159,7 +159,45 @@ def test_similar_documents_of_a_large_group(spark, monkeypatch):
     from gleaner.llm import simhash
 
     monkeypatch.setattr(simhash, "PARTNERS", 16)
+    monkeypatch.setattr(simhash, "CROWD", 40)
     words = [f"w{k}" for k in range(500)]
     rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(300)] + [(k, "same text here again " * 9) for k in range(1000, 1300)]
     assert order(r["doc_id"] for r in keep_dissimilar(frame(spark, rows)).collect()) == [0, 1000]
     assert keep_dissimilar(frame(spark, [])).count() == 0
+
+
+def test_recall_by_kind_of_edit(spark):
+    """Copies with a similarity of just 0.8 and more are found, wherever they were edited."""
+    from tests.llm.measure_similar import recall
+
+    rnd = __import__("random").Random(4)
+    texts = [" ".join(rnd.choices([f"v{k}" for k in range(800)] + ["the", "of"] * 60, k=rnd.choice([60, 200, 900]))) for _ in range(250)]
+    found = recall(spark, texts)
+    assert set(found) == {"scattered", "block 5 %", "block 10 %", "prefix 15 %", "first 10 % cut", "first 18 % cut"}
+    assert all(n > 40 and share >= 0.93 for share, n in found.values()), found
+
+
+def test_best_forest_has_the_nearest_of_each():
+    import numpy as np
+
+    from gleaner.llm.simhash import best_forest
+
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 5, 30):
+        i, j = np.nonzero(rnd.random((n, n)) < 0.4)
+        far = rnd.integers(0, 6, len(i))
+        a, b = best_forest(n, i, j, far)
+        assert components(range(n), zip(a.tolist(), b.tolist())) == components(range(n), zip(i.tolist(), j.tolist()))
+        assert len(a) == n - len(set(components(range(n), zip(i.tolist(), j.tolist())).values()))
+        least = {}
+        for x, y, d in [*zip(i, j, far), *zip(j, i, far)]:
+            if x != y:
+                least[x] = min(least.get(x, 99), d)
+        d_of = {}
+        for x, y, d in zip(i.tolist(), j.tolist(), far.tolist()):
+            d_of[x, y] = min(d_of.get((x, y), 99), d)
+        got = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            d = d_of[x, y]
+            got[x], got[y] = min(got.get(x, 99), d), min(got.get(y, 99), d)
+        assert got == {int(k): int(v) for k, v in least.items()}

@@ -65,3 +65,21 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, depth: int, itself: bool
     found = pairs.mapInArrow(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= depth).select("query_id", "rank", "id", "score")
+
+
+def cosine_above(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """``query_id, id, cosine`` of all pairs of ``queries`` and ``vectors`` (id, v) whose cosine is ``least`` or more.
+
+    Blocks are compared as by :func:`cosine_top`; only pairs that reach the bound leave their task.
+    """
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                q_ids, q = _unpack(batch.column("queries")[k])
+                ids, rows = _unpack(batch.column("rows")[k])
+                score = q @ rows.T
+                i, j = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[i], ids[j], score[i, j])], ["query_id", "id", "cosine"])
+
+    return pack_vectors(vectors).crossJoin(_blocks(queries, "queries", QUERY_BLOCK)).mapInArrow(reaching, "query_id long, id long, cosine double")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
-from gleaner.operators import baseline, compare, excerpt, fusion, lexical, metrics, similarity, spans
-from gleaner.plans import index, search
+from gleaner.operators import baseline, compare, contract, excerpt, fusion, lexical, metrics, patterns, similarity, spans
+from gleaner.plans import index, models, search
 from gleaner.session import materialise, shared_path, ship
 from gleaner.sources import markdown, providers
 
@@ -112,30 +112,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LITERAL = f"lq AS (SELECT 0 AS query_id, '{QUERY}' AS query), {_terms_sql('lt', 'lq', 'query_id', 'query')}, q AS (SELECT DISTINCT query_id, term FROM lt)"
 BM25_TOPK = f"WITH {_FIELDS}, {_LITERAL}, {_BM25} SELECT rank, id AS doc_id, score FROM lex WHERE rank <= 8"
 
-_ITEMS = f"iq AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark), {_terms_sql('it', 'iq', 'query_id', 'query')}, q AS (SELECT DISTINCT query_id, term FROM it)"
-
-
 _WHOLE_ITEMS = f"iq AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_terms_sql('it', 'iq', 'query_id', 'query')}, q AS (SELECT DISTINCT query_id, term FROM it)"
 
 
-def _lexical_lists(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
-    terms = lexical.query_terms(asked(spark, sf_dir), "item_id", "query")
+def _lexical_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = lexical.query_terms(questions(spark, sf_dir), "item_id", "query")
     return lexical.top(lexical.bm25(_index(spark, sf_dir), terms), 40)
 
 
-def bm25_fielded_batch(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
-    return _lexical_lists(spark, sf_dir, asked).where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
-
-
-BM25_FIELDED_BATCH = f"WITH {_FIELDS}, {_ITEMS}, {_BM25} SELECT query_id AS item_id, rank, id AS doc_id, score FROM lex WHERE rank <= 10"
-
-
 def bm25_fielded_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`bm25_fielded_batch`, for whole questions."""
-    return bm25_fielded_batch(spark, sf_dir, questions)
+    """The best ten of every question."""
+    return _lexical_lists(spark, sf_dir).where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
-BM25_FIELDED_BATCH_WHOLE = BM25_FIELDED_BATCH.replace(_ITEMS, _WHOLE_ITEMS)
+BM25_FIELDED_BATCH_WHOLE = f"WITH {_FIELDS}, {_WHOLE_ITEMS}, {_BM25} SELECT query_id AS item_id, rank, id AS doc_id, score FROM lex WHERE rank <= 10"
 
 
 # Vectors
@@ -179,42 +169,38 @@ VECTOR_VALIDATION = "SELECT vec_id, len(embedding) AS dim, round(sqrt(list_sum(l
 # Fusion
 
 
-def _lists(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
-    """Lexical and vector lists of the items; an item's vector is the embedding of its number."""
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector lists of the items; an item's vector is the embedding of its number."""
     rows = materialise(_vectors(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("doc_id").alias("id")), "id", "left_semi"), "vectors")
     queries = rows.join(items(spark, sf_dir).select(F.col("item_id").alias("id")), "id", "left_semi")
-    near = similarity.cosine_top(queries, rows, 40).withColumn("channel", F.lit("cosine"))
-    found = _lexical_lists(spark, sf_dir, asked).withColumn("channel", F.lit("bm25"))
-    return near.unionByName(found).withColumn("is_original", F.lit(True)).select("query_id", "channel", "is_original", "id", "rank")
+    return similarity.cosine_top(queries, rows, 40).select("query_id", F.lit("cosine").alias("channel"), F.lit(True).alias("is_original"), "id", "rank")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector lists of the questions."""
+    found = _lexical_lists(spark, sf_dir).select("query_id", F.lit("bm25").alias("channel"), F.lit(True).alias("is_original"), "id", "rank")
+    return _near(spark, sf_dir).unionByName(found)
 
 
 _NEAR = (
     f"near AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS score "
     "FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 40)"
 )
-_LISTS = f"{_FIELDS}, {_ITEMS}, {_BM25}, {_NEAR}, lists AS (SELECT query_id, TRUE AS original, id, rank FROM lex UNION ALL SELECT query_id, TRUE, id, rank FROM near)"
+_LISTS = f"{_FIELDS}, {_WHOLE_ITEMS}, {_BM25}, {_NEAR}, lists AS (SELECT query_id, TRUE AS original, id, rank FROM lex UNION ALL SELECT query_id, TRUE, id, rank FROM near)"
 _FUSED = "fused AS (SELECT query_id, id, round(sum(CASE WHEN original THEN 2e0 ELSE 1e0 END / (60 + rank)), 9) AS score, bool_or(original AND rank <= 8) AS prot FROM lists GROUP BY ALL)"
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
-    fused = fusion.fuse(_lists(spark, sf_dir, asked))
-    return lexical.top(fused.select("query_id", "id", "score"), 40).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
-
-
-RRF_FUSION = f"WITH {_LISTS}, {_FUSED} SELECT query_id AS item_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 40"
-
-
 def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`rrf_fusion`, for whole questions."""
-    return rrf_fusion(spark, sf_dir, questions)
+    fused = fusion.fuse(_lists(spark, sf_dir))
+    return lexical.top(fused.select("query_id", "id", "score"), 40).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
-RRF_FUSION_WHOLE = RRF_FUSION.replace(_ITEMS, _WHOLE_ITEMS)
+RRF_FUSION_WHOLE = f"WITH {_LISTS}, {_FUSED} SELECT query_id AS item_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 40"
 
 
-def protected_fusion_40(spark: SparkSession, sf_dir: str, asked=items) -> DataFrame:
+def protected_fusion_40_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
-    out = fusion.protect(fusion.fuse(_lists(spark, sf_dir, asked)).join(sources, "id"))
+    out = fusion.protect(fusion.fuse(_lists(spark, sf_dir)).join(sources, "id"))
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "class", "fused_rank")
 
 
@@ -224,15 +210,7 @@ p AS (SELECT *, sum(prot::INT) OVER (PARTITION BY query_id, source) AS pc, row_n
 c AS (SELECT *, CASE WHEN prot THEN 0 WHEN pc + rn <= 2 THEN 1 ELSE 2 END AS class FROM p),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class, fo) AS place FROM c QUALIFY place <= 40)
 """
-PROTECTED_FUSION_40 = f"WITH {_LISTS}, {_FUSED}, {_PROTECTED} SELECT query_id AS item_id, id AS doc_id, class, row_number() OVER (PARTITION BY query_id ORDER BY fo) AS fused_rank FROM k"
-
-
-def protected_fusion_40_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`protected_fusion_40`, for whole questions."""
-    return protected_fusion_40(spark, sf_dir, questions)
-
-
-PROTECTED_FUSION_40_WHOLE = PROTECTED_FUSION_40.replace(_ITEMS, _WHOLE_ITEMS)
+PROTECTED_FUSION_40_WHOLE = f"WITH {_LISTS}, {_FUSED}, {_PROTECTED} SELECT query_id AS item_id, id AS doc_id, class, row_number() OVER (PARTITION BY query_id ORDER BY fo) AS fused_rank FROM k"
 
 
 def expanded_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,13 +227,17 @@ EXPANDED_FUSION = (
 )
 
 
-def expanded_fusion_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question and its short form as a lexical variant, fused."""
+def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical lists of every question, and of its short form as a variant."""
     ways = questions(spark, sf_dir).withColumn("item_id", F.col("item_id") * 2).unionByName(items(spark, sf_dir).withColumn("item_id", F.col("item_id") * 2 + 1))
     found = lexical.top(lexical.bm25(_index(spark, sf_dir), lexical.query_terms(ways, "item_id", "query")), 40)
     way = F.pmod("query_id", F.lit(2))
-    lists = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), way.cast("string").alias("channel"), (way == 0).alias("is_original"), "id", "rank")
-    return fusion.fuse(lists).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
+    return found.select(F.floor(F.col("query_id") / 2).alias("query_id"), way.cast("string").alias("channel"), (way == 0).alias("is_original"), "id", "rank")
+
+
+def expanded_fusion_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question and its short form as a lexical variant, fused."""
+    return fusion.fuse(_both_ways(spark, sf_dir)).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 EXPANDED_FUSION_BATCH = (
@@ -264,6 +246,23 @@ EXPANDED_FUSION_BATCH = (
 )
 
 
+def ablation_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five views of the same lists: what each part of a search adds to the result."""
+    lists, channel = _both_ways(spark, sf_dir).unionByName(_near(spark, sf_dir)), F.col("channel")
+    views = {"lexical": channel == "0", "vector": channel == "cosine", "original": F.col("is_original"), "lexical expanded": channel != "cosine", "expanded": F.lit(True)}
+    return fusion.fuse_views(lists, views).select("view", F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score", "protected")
+
+
+ABLATION_VIEWS = f"""
+WITH {_FIELDS}, lq AS (SELECT item_id * 2 AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:5], ' ') FROM benchmark), {_terms_sql('lt', 'lq', 'query_id', 'query')},
+q AS (SELECT DISTINCT query_id, term FROM lt), {_BM25}, {_NEAR},
+lists AS (SELECT query_id // 2 AS query_id, (query_id % 2)::VARCHAR AS channel, query_id % 2 = 0 AS original, id, rank FROM lex UNION ALL SELECT query_id, 'cosine', TRUE, id, rank FROM near),
+viewed AS (SELECT view, lists.* FROM lists JOIN (VALUES ('lexical', '0'), ('vector', 'cosine'), ('original', '0'), ('original', 'cosine'), ('lexical expanded', '0'), ('lexical expanded', '1'), ('expanded', '0'), ('expanded', '1'), ('expanded', 'cosine')) v(view, c) ON c = channel),
+fused AS (SELECT view, query_id, id, round(sum(CASE WHEN original THEN 2e0 ELSE 1e0 END / (60 + rank)), 9) AS score, bool_or(original AND rank <= 8) AS protected FROM viewed GROUP BY ALL)
+SELECT view, query_id AS item_id, row_number() OVER (PARTITION BY view, query_id ORDER BY score DESC, id) AS rank, id AS doc_id, score, protected FROM fused QUALIFY rank <= 40
+"""
+
+
 def adapted_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     query = F.broadcast(rows.where("id = 0").limit(1).select(F.col("v").alias("q")))
@@ -287,12 +286,10 @@ SELECT row_number() OVER (ORDER BY score DESC, source, doc_id) AS rank, doc_id,
 def adapted_baseline_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline for every question; its vector is the embedding of its number."""
     rows = _vectors(spark, sf_dir)
-    asked = rows.withColumnsRenamed({"id": "query_id", "v": "q"}).join(questions(spark, sf_dir).withColumnRenamed("item_id", "query_id"), "query_id")
-    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "query", F.col("id").alias("doc_id"), V.cosine(F.col("v"), F.col("q")).alias("cosine"))
-    # all but the cosine adds up to BODY + HEADING + PATH + PHRASE at most, so what is left out can't reach LEAST
-    near = scored.where(F.col("cosine") >= (baseline.LEAST - baseline.BODY - baseline.HEADING - baseline.PATH - baseline.PHRASE) / baseline.COSINE - 1e-5)
-    found = passages(spark, sf_dir).join(near, "doc_id").select("query_id", "query", F.col("doc_id").alias("id"), "source", F.lit("").alias("heading"), "text", "cosine")
-    return baseline.rank_baseline(found).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+    asked = rows.withColumnRenamed("id", "query_id").join(questions(spark, sf_dir).withColumnRenamed("item_id", "query_id"), "query_id")
+    docs = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", F.lit("").alias("heading"), "text")
+    found = baseline.rank_baseline_batch(materialise(asked, "asked"), rows, docs)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 ADAPTED_BASELINE_BATCH = rf"""
@@ -444,41 +441,32 @@ def exact_excerpt_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXACT_EXCERPT_MAPPING = "SELECT b.item_id, d.doc_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS \"end\", instr(substring(d.text, instr(d.text, b.text) + 1), b.text) = 0 AS unique_in_text FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0"
 
 
+def pattern_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every benchmark text in every document."""
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    found = patterns.places(wanted, passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    return found.join(wanted, "pattern").select("item_id", F.col("id").alias("doc_id"), "start", "end")
+
+
+PATTERN_PLACES = """
+WITH pairs AS (SELECT item_id, doc_id, b.text AS pattern, d.text AS body FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
+spots AS (SELECT *, unnest(range(0, length(body) - length(pattern) + 1)) AS p FROM pairs)
+SELECT item_id, doc_id, p::BIGINT AS start, (p + length(pattern))::BIGINT AS "end" FROM spots WHERE substring(body, (p + 1)::INT, length(pattern)::INT) = pattern
+"""
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up spans: 400 characters from each third of a text."""
     size = F.length("text")
     return passages(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"), size.alias("size")).select("doc_id", "k", F.floor(F.col("size") * F.col("k") / 3).alias("start"), (F.floor(F.col("size") * F.col("k") / 3) + 400).alias("end"))
 
 
-def _narrow(spark: SparkSession, sf_dir: str, most: int | None = 19) -> DataFrame:
-    """Made-up spans: 60 characters at every 500th, up to twenty of a text; of whole texts if ``most`` is None."""
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up spans: 60 characters at every 500th."""
     last = F.floor(F.length("text") / 500).cast("int")
-    last = last if most is None else F.least(F.lit(most), last)
     return passages(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("j")).select("doc_id", "j", (F.col("j") * 500).cast("long").alias("start"), (F.col("j") * 500 + 60).cast("long").alias("end"))
 
 
-_SPANS = (
-    "w AS (SELECT doc_id, k::INT AS k, (length(text) * k) // 3 AS s, (length(text) * k) // 3 + 400 AS e FROM documents CROSS JOIN range(3) t(k)), "
-    "n AS (SELECT doc_id, j::INT AS j, j * 500 AS s, j * 500 + 60 AS e FROM documents CROSS JOIN range(20) t(j) WHERE j <= length(text) // 500)"
-)
-
-
-def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.contained(_wide(spark, sf_dir), _narrow(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", F.col("outer_k").alias("k"), F.col("inner_j").alias("j"))
-
-
-EVIDENCE_CONTAINMENT = f"WITH {_SPANS} SELECT w.doc_id, k, j FROM w JOIN n ON w.doc_id = n.doc_id AND w.s <= n.s AND w.e >= n.e"
-
-
-def span_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.overlapping(_wide(spark, sf_dir), _narrow(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", F.col("a_k").alias("k"), F.col("b_j").alias("j"))
-
-
-SPAN_OVERLAP_JOIN = f"WITH {_SPANS} SELECT w.doc_id, k, j FROM w JOIN n ON w.doc_id = n.doc_id AND w.s < n.e AND n.s < w.e"
-
-
 _WHOLE_SPANS = (
     "w AS (SELECT doc_id, k::INT AS k, (length(text) * k) // 3 AS s, (length(text) * k) // 3 + 400 AS e FROM documents CROSS JOIN range(3) t(k)), "
     "n AS (SELECT doc_id, j::INT AS j, j * 500 AS s, j * 500 + 60 AS e FROM (SELECT doc_id, unnest(range(length(text) // 500 + 1)) AS j FROM documents))"
@@ -486,8 +474,7 @@ _WHOLE_SPANS = (
 
 
 def evidence_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`evidence_containment`, with narrow spans over whole texts."""
-    found = spans.contained(_wide(spark, sf_dir), _narrow(spark, sf_dir, None), ["doc_id"])
+    found = spans.contained(_wide(spark, sf_dir), _narrow(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("outer_k").alias("k"), F.col("inner_j").alias("j"))
 
 
@@ -495,8 +482,7 @@ EVIDENCE_CONTAINMENT_WHOLE = f"WITH {_WHOLE_SPANS} SELECT w.doc_id, k, j FROM w
 
 
 def span_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`span_overlap_join`, with narrow spans over whole texts."""
-    found = spans.overlapping(_wide(spark, sf_dir), _narrow(spark, sf_dir, None), ["doc_id"])
+    found = spans.overlapping(_wide(spark, sf_dir), _narrow(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("a_k").alias("k"), F.col("b_j").alias("j"))
 
 
@@ -506,18 +492,6 @@ SPAN_OVERLAP_JOIN_WHOLE = f"WITH {_WHOLE_SPANS} SELECT w.doc_id, k, j FROM w JOI
 # Evaluation
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Results of the items, and made-up evidence: labelled documents that item and label deal to it."""
-    labels = table(spark, sf_dir, "labels")
-    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
-    lists = materialise(_lexical_lists(spark, sf_dir), "lists")
-    evidence = lists.where("rank % 3 <> 0").join(labels.select(F.col("doc_id").alias("id"), grade.alias("grade")), "id").select("query_id", F.col("id").alias("evidence_id"), "grade")
-    return lists.select("query_id", "rank", F.col("id").alias("evidence_id")), evidence
-
-
-_JUDGED = f"{_FIELDS}, {_ITEMS}, {_BM25}, ev AS (SELECT query_id, id AS evidence_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS grade FROM lex JOIN labels ON doc_id = id WHERE rank % 3 <> 0)"
-
-
 #: A labelled document is evidence for the items whose number leaves the same remainder.
 DEALT = 40
 
@@ -528,19 +502,19 @@ def _judged_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     dealt = labels.select(F.col("doc_id").alias("evidence_id"), grade.alias("grade"), (F.col("doc_id") % DEALT).alias("hand"))
     evidence = questions(spark, sf_dir).select(F.col("item_id").alias("query_id"), (F.col("item_id") % DEALT).alias("hand")).join(dealt, "hand").drop("hand")
-    return materialise(_lexical_lists(spark, sf_dir, questions), "lists").select("query_id", "rank", F.col("id").alias("evidence_id")), evidence
+    return materialise(_lexical_lists(spark, sf_dir), "lists").select("query_id", "rank", F.col("id").alias("evidence_id")), evidence
 
 
 _WHOLE_JUDGED = f"{_FIELDS}, {_WHOLE_ITEMS}, {_BM25}, ev AS (SELECT item_id AS query_id, doc_id AS evidence_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS grade FROM labels JOIN benchmark ON doc_id % {DEALT} = item_id % {DEALT})"
 
 
-def ranked_metrics(spark: SparkSession, sf_dir: str, judged=_judged) -> DataFrame:
-    hits, evidence = judged(spark, sf_dir)
+def ranked_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, evidence = _judged_whole(spark, sf_dir)
     return metrics.score_evidence(hits, evidence)
 
 
-RANKED_METRICS = f"""
-WITH {_JUDGED},
+RANKED_METRICS_WHOLE = f"""
+WITH {_WHOLE_JUDGED},
 first AS (SELECT e.query_id, e.evidence_id, min(rank) AS rank, any_value(grade) AS grade FROM lex JOIN ev e ON e.query_id = lex.query_id AND e.evidence_id = lex.id WHERE rank <= 8 GROUP BY ALL),
 br AS (SELECT query_id, rank, max(grade) AS grade, sum((grade > 0)::INT) AS spans FROM first GROUP BY ALL),
 got AS (SELECT query_id, max((grade >= 2 AND rank <= 1)::INT) AS u1, max((grade >= 2 AND rank <= 3)::INT) AS u3, max((grade >= 2 AND rank <= 5)::INT) AS u5, max((grade >= 2 AND rank <= 8)::INT) AS u8,
@@ -554,25 +528,17 @@ FROM (SELECT DISTINCT query_id FROM ev) q LEFT JOIN ideal USING (query_id) LEFT
 """
 
 
-def ranked_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`ranked_metrics`, for whole questions and evidence that doesn't depend on the lists."""
-    return ranked_metrics(spark, sf_dir, _judged_whole)
-
-
-RANKED_METRICS_WHOLE = RANKED_METRICS.replace(_JUDGED, _WHOLE_JUDGED)
-
-
-def unit_novelty_ndcg(spark: SparkSession, sf_dir: str, judged=_judged) -> DataFrame:
+def unit_novelty_ndcg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit is a group of ten documents; a result earns its document's grade for the unit."""
-    hits, evidence = judged(spark, sf_dir)
+    hits, evidence = _judged_whole(spark, sf_dir)
     unit = (F.floor(F.col("evidence_id") / 10)).alias("unit_id")
     credits = hits.join(evidence, ["query_id", "evidence_id"]).select("query_id", "rank", unit, "grade")
     units = evidence.select("query_id", unit, "grade").groupBy("query_id", "unit_id").agg(F.max("grade").alias("grade"))
     return metrics.score_units(credits, units)
 
 
-UNIT_NOVELTY_NDCG = f"""
-WITH {_JUDGED}, un AS (SELECT query_id, evidence_id // 10 AS unit_id, max(grade) AS grade FROM ev GROUP BY ALL),
+UNIT_NOVELTY_NDCG_WHOLE = f"""
+WITH {_WHOLE_JUDGED}, un AS (SELECT query_id, evidence_id // 10 AS unit_id, max(grade) AS grade FROM ev GROUP BY ALL),
 cr AS (SELECT e.query_id, rank, evidence_id // 10 AS unit_id, max(grade) AS grade, max(CASE WHEN grade >= 2 THEN 3e0 WHEN grade = 1 THEN 1e0 ELSE 0e0 END) AS gain
   FROM lex JOIN ev e ON e.query_id = lex.query_id AND e.evidence_id = lex.id WHERE rank <= 8 GROUP BY ALL),
 fr AS (SELECT query_id, rank, greatest(0e0, gain - coalesce(max(gain) OVER (PARTITION BY query_id, unit_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)) AS fresh FROM cr),
@@ -584,14 +550,6 @@ SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg8, round(coalesce(rea
 """
 
 
-def unit_novelty_ndcg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`unit_novelty_ndcg`, for whole questions and evidence that doesn't depend on the lists."""
-    return unit_novelty_ndcg(spark, sf_dir, _judged_whole)
-
-
-UNIT_NOVELTY_NDCG_WHOLE = UNIT_NOVELTY_NDCG.replace(_JUDGED, _WHOLE_JUDGED)
-
-
 def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("question"), "event_type", "value")
 
@@ -658,6 +616,31 @@ SELECT round(m[51], 6) AS low, round(m[1951], 6) AS high FROM means
 """
 
 
+def cohort_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of event against clicks, by the means of users: all comparisons and their intervals in one pass."""
+    means = _timings(spark, sf_dir).groupBy("event_type", "question").agg(F.round(F.avg("value"), 6).alias("mean"))
+    means = materialise(means, "means")
+    kinds = means.where("event_type <> 'click'").select("event_type").distinct()
+    left = means.where("event_type = 'click'").drop("event_type").join(F.broadcast(kinds))
+    return compare.compare_groups(left, means.where("event_type <> 'click'"), ["event_type"])
+
+
+COHORT_COMPARISONS = """
+WITH RECURSIVE m AS (SELECT event_type, user_id AS question, round(avg(value), 6) AS m FROM events GROUP BY ALL), kinds AS (SELECT DISTINCT event_type AS g FROM m WHERE event_type <> 'click'),
+l AS (SELECT g, question, m FROM m, kinds WHERE event_type = 'click'), r AS (SELECT event_type AS g, question, m FROM m WHERE event_type <> 'click'),
+j AS (SELECT coalesce(l.g, r.g) AS g, coalesce(l.question, r.question) AS question, r.m - l.m AS delta FROM l FULL JOIN r ON l.g = r.g AND l.question = r.question),
+a AS (SELECT g, list(delta ORDER BY question) AS deltas, count(*)::HUGEINT AS n FROM j WHERE delta IS NOT NULL GROUP BY g),
+jump(g, k, mul, inc) AS (SELECT g, 0::HUGEINT, 1::HUGEINT, 0::HUGEINT FROM a UNION ALL SELECT g, k + 1, mul * 1664525 % 4294967296, (inc * 1664525 + 1013904223) % 4294967296 FROM jump JOIN a USING (g) WHERE k < n),
+step AS (SELECT g, mul, inc FROM jump JOIN a USING (g) WHERE k = n),
+starts(g, sample, state) AS (SELECT g, 0, 20260905::HUGEINT FROM a UNION ALL SELECT g, sample + 1, (state * mul + inc) % 4294967296 FROM starts JOIN step USING (g) WHERE sample < 1999),
+draws(g, sample, i, state, total) AS (SELECT g, sample, 0::HUGEINT, state, 0e0 FROM starts UNION ALL
+  SELECT g, sample, i + 1, (state * 1664525 + 1013904223) % 4294967296, total + deltas[floor(((state * 1664525 + 1013904223) % 4294967296)::DOUBLE / 4294967296e0 * n::DOUBLE)::BIGINT + 1] FROM draws JOIN a USING (g) WHERE i < n),
+means AS (SELECT g, list(total / n::DOUBLE ORDER BY total / n::DOUBLE) AS m FROM draws JOIN a USING (g) WHERE i = n GROUP BY g)
+SELECT j.g AS event_type, count(delta) AS questions, count(*) FILTER (WHERE delta > 0) AS wins, count(*) FILTER (WHERE delta = 0) AS ties, count(*) FILTER (WHERE delta < 0) AS losses, round(avg(delta), 6) AS mean_delta,
+  round(any_value(m[51]), 6) AS low, round(any_value(m[1951]), 6) AS high, count(*) FILTER (WHERE delta IS NULL) AS missing FROM j LEFT JOIN means ON means.g = j.g GROUP BY j.g
+"""
+
+
 def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.percentiles(_timings(spark, sf_dir), "event_type", "value")
     measured = found.select(F.concat("event_type", F.lit("_p95")).alias("gate"), F.col("p95").alias("value"))
@@ -675,6 +658,37 @@ def label_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABEL_ALLOCATION = "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL"
 
 
+def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the labels, dealt by number: the older lacks every seventh, the newer every fifth and judges every eleventh anew."""
+    labels = table(spark, sf_dir, "labels")
+    judged = F.when(F.col("doc_id") % 11 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    return contract.changes(labels.where("doc_id % 7 <> 0"), labels.where("doc_id % 5 <> 0").withColumn("toxic", judged), ["doc_id"])
+
+
+LABEL_CHANGES = """
+WITH o AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, quality, CASE WHEN doc_id % 11 = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels WHERE doc_id % 5 <> 0)
+SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'lost' ELSE 'changed' END AS change, coalesce(o.doc_id, n.doc_id) AS doc_id, (o.doc_id IS NOT NULL)::BIGINT AS was, (n.doc_id IS NOT NULL)::BIGINT AS now
+FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.quality IS DISTINCT FROM n.quality OR o.toxic IS DISTINCT FROM n.toxic
+"""
+
+
+def replay_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of answers to labelled texts, met by a request for every text: what isn't answered or used, by digest and ordinal."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(0).alias("place"), F.col("text").alias("request"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), "quality", "toxic")
+    answered = docs.join(labels, "query_id").select("query_id", "place", "request", F.to_json(F.struct("quality", "toxic")).alias("answer"))
+    # each labelled text was asked for twice when the record was made
+    record = models.keyed("embed", answered.unionByName(answered.withColumn("place", F.lit(1))))
+    return models.misses("embed", models.keyed("embed", docs), materialise(record, "record"))
+
+
+REPLAY_MISSES = """
+WITH d AS (SELECT doc_id, sha256('embed:' || text) AS digest FROM documents), asked AS (SELECT digest, row_number() OVER (PARTITION BY digest ORDER BY doc_id) - 1 AS ordinal FROM d),
+record AS (SELECT digest, row_number() OVER (PARTITION BY digest ORDER BY doc_id, place) - 1 AS ordinal FROM d JOIN labels USING (doc_id), (VALUES (0), (1)) p(place))
+SELECT 'request without answer' AS rule, digest, ordinal FROM asked ANTI JOIN record USING (digest, ordinal) UNION ALL SELECT 'answer without request', digest, ordinal FROM record ANTI JOIN asked USING (digest, ordinal)
+"""
+
+
 def cost_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of events as costs, those of searches unknown."""
     cost = F.when(F.col("event_type") != "error", F.col("value"))
@@ -685,12 +699,12 @@ COST_ACCOUNTING = "SELECT event_type, round(sum(coalesce(CASE WHEN event_type <>
 
 
 ALL = (
-    token_frequencies, path_field_terms, lexical_lengths, bm25_topk, bm25_fielded_batch, cosine_topk, cosine_batch_top40, vector_validation,
-    rrf_fusion, protected_fusion_40, expanded_fusion, adapted_baseline, rerank_cutoff_top8, snippet_prefix, best_window_excerpt, source_hashes,
-    passage_identity, position_to_line, line_starts, markdown_chunks, chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status,
-    exact_excerpt_mapping, evidence_containment, span_overlap_join, evidence_containment_whole, span_overlap_join_whole, ranked_metrics, unit_novelty_ndcg, query_means, summary_grouping_sets,
-    nearest_rank_percentiles, paired_compare, paired_bootstrap, release_gates, label_allocation, cost_accounting,
-    bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch, adapted_baseline_batch, ranked_metrics_whole, unit_novelty_ndcg_whole, search_hybrid,
+    token_frequencies, path_field_terms, lexical_lengths, bm25_topk, cosine_topk, cosine_batch_top40, vector_validation, expanded_fusion, adapted_baseline,
+    rerank_cutoff_top8, snippet_prefix, best_window_excerpt, source_hashes, passage_identity, position_to_line, line_starts, markdown_chunks,
+    chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status, exact_excerpt_mapping, pattern_places, evidence_containment_whole,
+    span_overlap_join_whole, query_means, summary_grouping_sets, nearest_rank_percentiles, paired_compare, paired_bootstrap, cohort_comparisons, release_gates,
+    label_allocation, label_changes, cost_accounting, bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch,
+    ablation_views, adapted_baseline_batch, ranked_metrics_whole, unit_novelty_ndcg_whole, search_hybrid, replay_misses,
 )
 
 

@@ -6,7 +6,8 @@
    ``LOAD`` n-grams of the input, whatever its size. A block sends the cells that it touched and their
    counts, slice by slice; slices are merged by addition. A cell's sum is at least the count of each
    n-gram in it. Sums and what is sent stop at the wanted count, which changes no decision.
-   Every block is told which of its cells reach it.
+   Every block is told which of its cells reach it. That is done twice: first for words and pairs, then for
+   longer n-grams of which all pairs have passed, since no others can be frequent.
 3. A second pass counts exactly those n-grams all of whose cells do, by their words, within each
    block and then, from sorted and compressed lists, in shards. What is counted at least as often as wanted is all that is: an
    n-gram is never below its estimate's bound, and the parts of a frequent n-gram are as frequent.
@@ -33,8 +34,10 @@ from gleaner.session import materialise, shared_path
 
 LONGEST, WANTED, COVER, BEST = 4, 30, 80, 2000
 DEPTH, LOAD = 2, 16
+#: Places of the input for each at which all pairs of a longer n-gram pass, by which its sketch is sized.
+RARER = 4
 #: Bytes of text in a block; and bytes of a word, by which the sketch is sized.
-BLOCK, WORD = 12_000_000, 6
+BLOCK, WORD = 10_000_000, 6
 #: Cells of a slice: the least, and the most, which a task holds as bytes; between them slices are so
 #: many that a block sends ``FRAMES`` frames a row.
 LEAST_BITS, MOST_BITS, FRAMES = 21, 26, 1024
@@ -89,8 +92,7 @@ class Words:
 
 def ngrams(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """``(n, places)`` of all n-grams that lie within a piece."""
-    whole = ids != 0
-    inside = whole
+    inside = whole = ids != 0
     for n in range(1, longest + 1):
         if n > 1:
             inside = inside[:-1] & whole[n - 1 :]
@@ -99,6 +101,18 @@ def ngrams(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         yield n, np.flatnonzero(inside)
 
 
+def over_pairs(size: int, pairs: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(n, places)`` of the n-grams of three words or more all of whose pairs are among the places ``pairs``."""
+    whole = np.zeros(size, bool)
+    whole[pairs] = True
+    inside = whole
+    for n in range(3, longest + 1):
+        inside = inside[:-1] & whole[n - 2 :]
+        if not len(inside):
+            return
+        yield n, np.flatnonzero(inside)
+
+
 def keys(hashes: np.ndarray, n: int, places: np.ndarray, lang: str) -> np.ndarray:
     """64 bits of digest of the n-grams at ``places``; ``hashes`` is that of each word in turn."""
     out = np.full(len(places), xxhash.xxh3_64_intdigest(utf8(lang)), np.uint64) * _ODD[n]
@@ -242,17 +256,28 @@ def _parted(data: bytes) -> tuple[bytes, bytes]:
     return data[4 : 4 + n], data[4 + n :]
 
 
-def _full_cells(shelf: DataFrame, sketch: Sketch, longest: int, buckets: int) -> DataFrame:
-    """``block, told``: for every block those of its cells that reach the wanted count."""
+def _full_cells(shelf: DataFrame, sketch: Sketch, longest: int, buckets: int, pairs: Sketch | None = None) -> DataFrame:
+    """``block, told``: for every block those of its cells that reach the wanted count.
+
+    Words and pairs are sketched, or, where ``pairs`` is the sketch of these and ``shelf`` has what it
+    ``told``, n-grams of three words or more.
+    """
+
+    def sketched(lang: str, words: Words, full: Full | None) -> list[np.ndarray]:
+        ids = words.ids()
+        hashes, own = words.hashes()[ids], ngrams(ids, min(2, longest))
+        if full:
+            two = [places for n, places in own if n == 2]
+            two = two[0][full.passing(keys(hashes, 2, two[0], lang))] if two else np.empty(0, np.int64)
+            own = over_pairs(len(ids), two, longest)
+        return [keys(hashes, n, places, lang) for n, places in own]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = []
+            for block, payload, cells in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if pairs else [None] * batch.num_rows):
+                full, found = Full(pairs, cells or []) if pairs else None, []
                 for lang, words in by_language(payload.as_py()):
-                    ids = words.ids()
-                    hashes = words.hashes()[ids]
-                    found += [keys(hashes, n, places, lang) for n, places in ngrams(ids, longest)]
+                    found += sketched(lang, words, full)
                 found = np.concatenate(found) if found else np.empty(0, np.uint64)
                 for row in range(DEPTH if len(found) else 0):
                     k, parts = zip(*sketch.parts(sketch.cells(found, row), row))
@@ -291,23 +316,40 @@ def frequent_phrases(docs: DataFrame, wanted: int = WANTED, longest: int = LONGE
     and tabs; phrases don't reach over pieces.
     """
     shelf, buckets, total = shelve(docs, lang_col, text_col)
-    sketch = Sketch(max(1, total // WORD * longest), wanted, load, least_bits)
-    shards = max(1, math.ceil(total / WORD / SHARD))
-    told = shelf.join(_full_cells(shelf, sketch, longest, buckets).hint("shuffle_hash"), "block", "left").select("payload", "told")
+    words = max(1, total // WORD)
+    shards = max(1, math.ceil(words / SHARD))
+    short, long = Sketch(words * min(2, longest), wanted, load, least_bits), Sketch(words * max(1, longest - 2) // RARER, wanted, load, least_bits)
+
+    def join(left: DataFrame, cells: DataFrame, name: str) -> DataFrame:
+        return left.join(cells.withColumnRenamed("told", name).hint("shuffle_hash"), "block", "left")
+
+    told = join(shelf, materialise(_full_cells(shelf, short, longest, buckets), "told"), "short")
+    if longest > 2:
+        told = join(told, materialise(_full_cells(told.select("block", "payload", "short"), long, longest, buckets, short), "told"), "long")
+    else:
+        told = told.withColumn("long", F.lit(None).cast("array<struct<slice:bigint,full:binary>>"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, cells in zip(batch.column(0), batch.column(1).to_pylist()):
-                full = Full(sketch, cells or [])
-                for lang, words in by_language(payload.as_py()):
-                    yield from one(lang, words, full)
-
-    def one(lang: str, words: Words, full: Full) -> Iterator[pa.RecordBatch]:
+            for payload, *cells in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                full = [Full(sketch, x or []) for sketch, x in zip((short, long), cells)]
+                for lang, own in by_language(payload.as_py()):
+                    yield from one(lang, own, *full)
+
+    def passing(ids: np.ndarray, hashes: np.ndarray, lang: str, short: Full, long: Full) -> Iterator[tuple[int, np.ndarray]]:
+        two = np.empty(0, np.int64)
+        for n, places in ngrams(ids, min(2, longest)):
+            two = places[short.passing(keys(hashes, n, places, lang))]
+            yield n, two
+        for n, places in over_pairs(len(ids), two, longest) if longest > 2 else ():
+            yield n, places[long.passing(keys(hashes, n, places, lang))]
+
+    def one(lang: str, words: Words, short: Full, long: Full) -> Iterator[pa.RecordBatch]:
         ids = words.ids()
         names, hashes = list(words.numbers), words.hashes()[ids]
         phrases, times = [b""], [np.array([np.count_nonzero(ids)])]  # no phrase stands for all words
-        for n, places in ngrams(ids, longest):
-            at, often = distinct(ids, n, places[full.passing(keys(hashes, n, places, lang))])
+        for n, places in passing(ids, hashes, lang, short, long):
+            at, often = distinct(ids, n, places)
             times.append(often)
             for x in range(0, len(at), 20_000):
                 phrases += [b" ".join([names[k] for k in p]) for p in ids[at[x : x + 20_000, None] + np.arange(n)].tolist()]
@@ -330,7 +372,7 @@ def frequent_phrases(docs: DataFrame, wanted: int = WANTED, longest: int = LONGE
         phrases = [p.decode("utf-8", "surrogatepass") for p in phrases]
         return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(words, pa.int32()), "a": pa.array(n, pa.int64())})
 
-    counted = told.mapInArrow(count, "shard long, lang string, frame binary").groupBy("shard").applyInArrow(total_up, "lang string, phrase string, n_words int, a long")
+    counted = told.select("payload", "short", "long").mapInArrow(count, "shard long, lang string, frame binary").groupBy("shard").applyInArrow(total_up, "lang string, phrase string, n_words int, a long")
     stored = materialise(counted, "phrases")
     return stored.where("n_words > 0"), stored.where("n_words = 0").select("lang", F.col("a").alias("n"))
 

@@ -1,9 +1,10 @@
 """The passage index: generations of Parquet tables, vectors that later generations reuse.
 
 ``<root>/vectors`` is append-only and keyed by chunk hash; ``<root>/generations/<id>`` holds the
-tables of one generation; ``<root>/published`` has a row for each publication: the generation, and
-the folder of its vectors. The latest row is the index. A generation that fails is never published,
-so readers keep the last one.
+tables of one generation; ``<root>/published`` has a version for each publication: the generation, and
+the folder of its vectors. The latest version is the index. A generation that fails is never published,
+so readers keep the last one. There may be several writers: each publishes on the version that it has
+seen, and where another was first it takes its vectors along to the folder that counts now.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gleaner.errors import Code, EngineError
 from gleaner.functions.vectors import norm, valid
@@ -25,37 +25,53 @@ from gleaner.operators.lexical import LexicalIndex, build_index
 from gleaner.operators.numbering import numbered
 from gleaner.operators.quality import lexical_violations, span_violations, vector_violations
 from gleaner.operators.similarity import pack_vectors
+from gleaner.plans.versions import latest, swap
 from gleaner.session import materialise
 from gleaner.sources.limits import Retrying
 from gleaner.sources.markdown import Budget, chunk, coverage
 from gleaner.sources.providers import Embedding, check_vectors
 
-VECTORS = "profile string, chunk_hash string, embedding array<float>, norm double"
-PUBLISHED = "generation string, at long, profile string, folder string"
+VECTORS = "profile string, chunk_hash string, embedding array<float>, norm double, generation string"
+NAMES = [c.split()[0] for c in VECTORS.split(", ")]
 #: Inputs and tokens of a request for vectors.
 BATCH, BATCH_TOKENS = 32, 32_768
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``; that it can't be read is another matter, and an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
 
+def _latest(spark: SparkSession, root: str) -> dict | None:
+    found = latest(spark, f"{root}/published")
+    return found[1] if found else None
 
-def _latest(spark: SparkSession, root: str):
-    rows = _read(spark, f"{root}/published", PUBLISHED).orderBy(F.col("at").desc()).limit(1).collect()
-    return rows[0] if rows else None
 
+def _size(profile: str) -> int:
+    return int(profile.split(":")[-2])
 
-def _publish(spark: SparkSession, root: str, generation: str, profile: str, folder: str) -> None:
-    row = spark.createDataFrame([(generation, time.time_ns(), profile, folder)], PUBLISHED)
-    row.coalesce(1).write.mode("append").parquet(f"{root}/published")
+
+def receipts(spark: SparkSession, root: str, profile: str, folder: str = "vectors") -> DataFrame:
+    """Stored vectors of a profile with ``broken``: those of another size, zero or not finite, or whose norm isn't theirs."""
+    rows, v = _read(spark, f"{root}/{folder}", VECTORS).where(F.col("profile") == profile), F.col("embedding")
+    good = valid(v, _size(profile)) & (F.abs(F.col("norm") - norm(v)) <= 1e-6 * norm(v))
+    return rows.withColumn("broken", ~F.coalesce(good, F.lit(False)))
 
 
 def vectors(spark: SparkSession, root: str, profile: str, folder: str = "vectors") -> DataFrame:
-    """One vector for each chunk hash of a profile."""
-    return _read(spark, f"{root}/{folder}", VECTORS).where(F.col("profile") == profile).dropDuplicates(["chunk_hash"])
+    """One vector for each chunk hash of a profile: of sound ones that of the oldest generation.
+
+    Broken receipts are passed over, so their inputs count as not embedded. Several receipts of a generation
+    come from a repeated write; the first by value counts.
+    """
+    sound = receipts(spark, root, profile, folder).where(~F.col("broken"))
+    first = sound.groupBy("chunk_hash").agg(F.min(F.struct("generation", "embedding", "norm")).alias("r"))
+    return first.select(F.lit(profile).alias("profile"), "chunk_hash", "r.embedding", "r.norm", "r.generation")
 
 
 def pending(passages: DataFrame, stored: DataFrame) -> DataFrame:
@@ -113,7 +129,7 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     folder = (last and last["folder"]) or "vectors"
     missing = materialise(pending(passages, vectors(spark, root, profile, folder)), "missing")
     embedded = missing.count()
-    embed_pending(missing, provider, profile, budget).write.mode("append").parquet(f"{root}/{folder}")
+    embed_pending(missing, provider, profile, budget).withColumn("generation", F.lit(generation)).write.mode("append").parquet(f"{root}/{folder}")
     now = vectors(spark, root, profile, folder)
     if passages.join(now.where(valid(F.col("embedding"), provider.size)), "chunk_hash", "left_anti").limit(1).count():
         raise EngineError(Code.INDEX_INVALID, "a passage has no valid vector")
@@ -123,7 +139,17 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     lexical.stats.write.parquet(f"{at}/stats")
     _write_read_path(spark, at, passages, now, spark.read.parquet(f"{at}/postings"))
     total = passages.select("chunk_hash").distinct().count()
-    _publish(spark, root, generation, profile, folder)
+
+
+    def record(seen: dict | None) -> dict:
+        other = (seen and seen["folder"]) or "vectors"
+        if other != folder:  # garbage was collected meanwhile: what this generation needs goes along
+            needed = passages.select("chunk_hash").distinct()
+            lost = vectors(spark, root, profile, folder).join(needed, "chunk_hash", "left_semi").join(vectors(spark, root, profile, other).select("chunk_hash"), "chunk_hash", "left_anti")
+            materialise(lost, "lost").select(*NAMES).write.mode("append").parquet(f"{root}/{other}")
+        return {"generation": generation, "at": time.time_ns(), "profile": profile, "folder": other}
+
+    swap(spark, f"{root}/published", record)
     return {"generation": generation, "passages": passages.count(), "inputs": total, "embedded": embedded}
 
 
@@ -142,8 +168,8 @@ def _write_read_path(spark: SparkSession, at: str, passages: DataFrame, stored:
 class Index:
     """The published generation of an index folder."""
 
-    def __init__(self, spark: SparkSession, root: str, provider: Embedding | None = None, budget: Budget = Budget(), checked: bool = False):
-        """Open what is published at ``root``; ``checked``: only if all its tables hold together."""
+    def __init__(self, spark: SparkSession, root: str, provider: Embedding | None = None, budget: Budget = Budget(), checked: bool = True):
+        """Open what is published at ``root``, if all its tables hold together, or as it is if not ``checked``."""
         last = _latest(spark, root)
         if not last:
             raise EngineError(Code.INDEX_NOT_READY, "nothing is published")
@@ -189,7 +215,7 @@ class Index:
 
     def check(self) -> "Index":
         """The index itself if its tables hold together, else INDEX_INVALID."""
-        size, lexical = int(self.profile.split(":")[-2]), self.lexical()
+        size, lexical = _size(self.profile), self.lexical()
         found = span_violations(self.table("spans"), self.table("sources"))
         found = found.unionByName(vector_violations(self.passages(), self.vectors(), size))
         found = found.unionByName(lexical_violations(lexical.postings, lexical.lengths, lexical.stats, self.passages()))
@@ -199,20 +225,28 @@ class Index:
         return self
 
     def collect_garbage(self) -> dict:
-        """Publish a folder of just the vectors that the generation refers to.
+        """Publish a folder of just the vectors that the published generation refers to.
 
         They are written to a new folder, which counts from the moment that it is published with the
         generation; a run that dies before leaves everything as it was. Old folders stay for
-        readers of the generation as it was, until they are deleted.
+        readers of the generation as it was, until they are deleted. Where another generation is published
+        meanwhile, its vectors are collected instead.
         """
-        stored = self.vectors()
-        if pending(self.passages(), stored).limit(1).count():
-            raise EngineError(Code.INDEX_INVALID, "a passage has no vector")
-        removed = unreferenced(stored, self.passages())
-        kept = stored.join(removed.select("chunk_hash"), "chunk_hash", "left_anti").select(*[c.split()[0] for c in VECTORS.split(", ")])
-        every = stored.count()
-        folder = f"vectors-{uuid.uuid4().hex[:8]}"
-        kept.write.parquet(f"{self.root}/{folder}")
-        retained = self.spark.read.schema(VECTORS).parquet(f"{self.root}/{folder}").count()
-        _publish(self.spark, self.root, self.generation, self.profile, folder)
-        return {"removed": every - retained, "retained": retained}
+        counts: dict[str, int] = {}
+
+        def record(seen: dict | None) -> dict:
+            own = Index(self.spark, self.root, checked=False)
+            stored = own.vectors()
+            if pending(own.passages(), stored).limit(1).count():
+                raise EngineError(Code.INDEX_INVALID, "a passage has no vector")
+            removed = unreferenced(stored, own.passages())
+            folder = f"vectors-{uuid.uuid4().hex[:8]}"
+            stored.join(removed.select("chunk_hash"), "chunk_hash", "left_anti").select(*NAMES).write.parquet(f"{self.root}/{folder}")
+            retained = self.spark.read.schema(VECTORS).parquet(f"{self.root}/{folder}").count()
+            counts.update(removed=stored.count() - retained, retained=retained)
+            if seen["generation"] != own.generation:  # published in between: the next try sees it
+                return seen
+            return {"generation": own.generation, "at": time.time_ns(), "profile": own.profile, "folder": folder}
+
+        swap(self.spark, f"{self.root}/published", record)
+        return counts

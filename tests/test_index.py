@@ -1,7 +1,8 @@
 import pytest
 
 from gleaner.errors import EngineError
-from gleaner.plans.index import Index, prepare
+from gleaner.plans.index import VECTORS, Index, prepare, receipts, vectors
+from gleaner.plans.versions import latest, put, swap
 from gleaner.plans.search import search
 from gleaner.sources.limits import Passing
 from gleaner.sources.providers import HashEmbedding, NoExpansion, OverlapRerank
@@ -114,3 +115,70 @@ def test_budgets_and_retries_hold_in_a_search(spark, tmp_path):
         run(asked, Failing(9), 1.5)
     with pytest.raises(Exception, match="QUERY_TOO_LARGE"):
         run(spark.createDataFrame([(1, "x" * 20_000)], asked.schema), MODEL)
+
+
+def test_broken_receipts_are_embedded_again(spark, tmp_path):
+    root = str(tmp_path / "index")
+    prepare(spark, sources(spark, **TEXTS), root, MODEL)
+    stored = spark.read.parquet(f"{root}/vectors").collect()
+    broken = [stored[0].asDict() | {"norm": 7.0, "generation": "0"}, stored[1].asDict() | {"embedding": [0.0] * 32, "generation": "0"}, stored[2].asDict() | {"embedding": [1.0], "norm": 1.0, "generation": "0"}]
+    names = list(broken[0])
+    spark.createDataFrame([tuple(r[c] for c in names) for r in broken], VECTORS.replace(", ", ",")).select(*names).write.mode("append").parquet(f"{root}/vectors")
+    found = {r["chunk_hash"]: r["embedding"] for r in Index(spark, root, MODEL).vectors().collect()}
+    assert found == {r["chunk_hash"]: r["embedding"] for r in stored}  # older, but not sound
+    other = str(tmp_path / "other")
+    spark.createDataFrame([tuple(r[c] for c in names) for r in broken], VECTORS).write.parquet(f"{other}/vectors")
+    made = prepare(spark, sources(spark, **TEXTS), other, MODEL)
+    assert made["embedded"] == made["inputs"] and receipts(spark, other, Index(spark, other).profile).where("broken").count() == 3
+
+
+def test_of_sound_receipts_the_oldest_counts(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = [(f"m:2:b", "h", [x, 1.0], (x * x + 1) ** 0.5, g) for x, g in ((3.0, "b"), (2.0, "a"), (5.0, "c"), (4.0, "a"))]
+    spark.createDataFrame(rows, VECTORS).repartition(3).write.parquet(f"{root}/vectors")
+    assert [r["embedding"] for r in vectors(spark, root, "m:2:b").collect()] == [[2.0, 1.0]]
+
+
+def test_writers_lose_nothing_to_one_another(spark, tmp_path, monkeypatch):
+    """Garbage that is collected while a generation is made, and a generation that is made while garbage is collected."""
+    from gleaner.plans import index as module
+
+    root = str(tmp_path / "index")
+    prepare(spark, sources(spark, **TEXTS), root, MODEL)
+    prepare(spark, sources(spark, gc=TEXTS["gc"]), root, MODEL)
+    real, turns = module.swap, []
+
+    def meanwhile(other):
+        def swap(spark_, folder, build):
+            def first(seen):
+                made = build(seen)
+                if not turns:
+                    turns.append(1)
+                    other()
+                return made
+
+            return real(spark_, folder, first)
+
+        monkeypatch.setattr(module, "swap", swap)
+
+    meanwhile(lambda: Index(spark, root, MODEL).collect_garbage())
+    made = prepare(spark, sources(spark, **TEXTS, new="some new text"), root, MODEL)
+    opened = Index(spark, root, MODEL)
+    assert opened.generation == made["generation"] and opened.folder != "vectors" and opened.status()["missing_vectors"] == 0
+    turns.clear()
+    meanwhile(lambda: prepare(spark, sources(spark, late="text that comes late", **TEXTS), root, MODEL))
+    opened.collect_garbage()
+    opened = Index(spark, root, MODEL)
+    assert opened.status() | {"profile": 0} == {"sources": 5, "passages": opened.passages().count(), "missing_vectors": 0, "profile": 0}
+    assert opened.generation > made["generation"]
+
+
+def test_versions(spark, tmp_path):
+    at = str(tmp_path / "published")
+    assert latest(spark, at) is None and put(spark, at, 0, {"a": 1}) == 1
+    assert put(spark, at, 0, {"a": 2}) is None and put(spark, at, 1, {"a": 3}) == 2
+    (tmp_path / "published" / "v000000000003.json").write_text('{"a"')  # its writer died
+    assert latest(spark, at) == (2, {"a": 3}) and put(spark, at, 2, {"a": 4}) == 4 and latest(spark, at) == (4, {"a": 4})
+    assert swap(spark, at, lambda seen: {"a": seen["a"] + 1}) == {"a": 5}
+    with pytest.raises(EngineError, match="INDEX_BUSY"):
+        swap(spark, at, lambda seen: put(spark, at, latest(spark, at)[0], {"a": 0}) and seen)

@@ -25,7 +25,7 @@ from gleaner.operators.lexical import LexicalIndex, build_index
 from gleaner.operators.numbering import numbered
 from gleaner.operators.quality import lexical_violations, span_violations, vector_violations
 from gleaner.operators.similarity import pack_vectors
-from gleaner.plans.versions import latest, swap
+from gleaner.plans.versions import exists, latest, swap
 from gleaner.session import materialise
 from gleaner.sources.limits import Retrying
 from gleaner.sources.markdown import Budget, chunk, coverage
@@ -37,12 +37,6 @@ NAMES = [c.split()[0] for c in VECTORS.split(", ")]
 BATCH, BATCH_TOKENS = 32, 32_768
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether something is at ``path``; that it can't be read is another matter, and an error."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 

@@ -17,9 +17,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gleaner.errors import Code, EngineError
+from gleaner.operators.metrics import score_evidence
+from gleaner.plans.versions import exists
 
 LOG = "kind string, token string, at long, folder string"
 
@@ -30,10 +31,7 @@ def identity_of(inputs: object) -> str:
 
 
 def _rows(spark: SparkSession, path: str) -> list:
-    try:
-        return spark.read.schema(LOG).parquet(path).collect()
-    except AnalysisException:
-        return []
+    return spark.read.schema(LOG).parquet(path).collect() if exists(spark, path) else []
 
 
 def run_unit(spark: SparkSession, root: str, inputs: object, unit: str, compute: Callable[[str], DataFrame], claims_last: float = 3600.0) -> DataFrame:
@@ -47,10 +45,7 @@ def run_unit(spark: SparkSession, root: str, inputs: object, unit: str, compute:
     identity = identity_of(inputs)
     at = f"{root}/{identity}"
     told = json.dumps(inputs, sort_keys=True, ensure_ascii=False)
-    try:
-        kept = {r["inputs"] for r in spark.read.schema("inputs string").parquet(f"{at}/inputs").collect()}
-    except AnalysisException:
-        kept = set()
+    kept = {r["inputs"] for r in spark.read.schema("inputs string").parquet(f"{at}/inputs").collect()} if exists(spark, f"{at}/inputs") else set()
     if kept - {told}:
         raise EngineError(Code.INDEX_INVALID, f"other inputs are kept as {identity}")
     if not kept:
@@ -83,3 +78,57 @@ def run_unit(spark: SparkSession, root: str, inputs: object, unit: str, compute:
     finally:
         note("release")
     return spark.read.parquet(f"{at}/{unit}/{folder}")
+
+
+# Saved runs
+
+
+def save_run(spark: SparkSession, root: str, protocol: dict, hits: DataFrame) -> str:
+    """Keep the ``hits`` (query_id, rank, evidence_id) of a run; returns its identity, the digest of its protocol.
+
+    ``protocol`` says all that the hits depend on. A run that is kept already stays as it is.
+    """
+    run_unit(spark, root, protocol, "hits", lambda _: hits.select("query_id", "rank", "evidence_id"))
+    return identity_of(protocol)
+
+
+def read_runs(spark: SparkSession, root: str, runs: list[str], must_agree: tuple[str, ...] = ()) -> DataFrame:
+    """``run, query_id, rank, evidence_id`` of kept runs, if their protocols are theirs and agree in ``must_agree``.
+
+    A run that is unknown, unfinished, or kept under an identity that its protocol doesn't have is INDEX_INVALID,
+    as are runs that differ in what must agree.
+    """
+    out, protocols = None, {}
+    for run in runs:
+        at = f"{root}/{run}"
+        told = [r["inputs"] for r in spark.read.schema("inputs string").parquet(f"{at}/inputs").collect()] if exists(spark, f"{at}/inputs") else []
+        made = sorted((r for r in _rows(spark, f"{at}/hits/log") if r["kind"] == "result"), key=lambda r: (r["at"], r["token"]))
+        if len(set(told)) != 1 or identity_of(json.loads(told[0])) != run or not made:
+            raise EngineError(Code.INDEX_INVALID, f"no finished run is kept as {run}")
+        protocols[run] = json.loads(told[0])
+        own = spark.read.parquet(f"{at}/hits/{made[0]['folder']}").select(F.lit(run).alias("run"), "query_id", "rank", "evidence_id")
+        out = own if out is None else out.unionByName(own)
+    for key in must_agree:
+        if len({json.dumps(p.get(key), sort_keys=True) for p in protocols.values()}) > 1:
+            raise EngineError(Code.INDEX_INVALID, f"the runs differ in {key}")
+    return out
+
+
+def labels_as_of(history: DataFrame, version: int) -> DataFrame:
+    """``query_id, evidence_id, grade`` in force at ``version``: of each the last that is no newer; a null grade withdraws it."""
+    last = history.where(F.col("version") <= version).groupBy("query_id", "evidence_id").agg(F.max_by("grade", "version").alias("grade"))
+    return last.where("grade is not null")
+
+
+def rescore(runs: DataFrame, history: DataFrame, version: int, depth: int = 8) -> DataFrame:
+    """``run, query_id`` and the metrics of kept runs (see :func:`read_runs`) under the labels of a version.
+
+    ``history``: query_id, evidence_id, grade, version. All runs are scored in one pass; a query that a run
+    has nothing for counts as empty in it.
+    """
+    labels = labels_as_of(history, version)
+    known = runs.select("run").distinct()
+    key = F.struct("run", "query_id").alias("query_id")
+    evidence = labels.join(F.broadcast(known)).select(key, "evidence_id", "grade")
+    scored = score_evidence(runs.select(key, "rank", "evidence_id"), evidence, depth)
+    return scored.select("query_id.run", "query_id.query_id", *[c for c in scored.columns if c != "query_id"])

@@ -26,6 +26,12 @@ def _store(spark: SparkSession, folder: str):
     return jvm, path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether something is at ``folder``; that it can't be read is another matter, and an error."""
+    _, path, fs = _store(spark, folder)
+    return fs.exists(path)
+
+
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
     _, path, fs = _store(spark, folder)
     if not fs.exists(path):

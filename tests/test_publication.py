@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.errors import EngineError
 from gleaner.plans import evaluation as ev
 
 Q = "question string, project string, slice string, answerable boolean, facets array<string>"
@@ -85,3 +86,27 @@ def test_coordinates(spark):
 def test_protocols(spark):
     runs = spark.createDataFrame([("a", 1, None), ("b", 1, "x")], "run string, seed int, model string")
     assert [r["key"] for r in ev.same_protocol(runs, ["seed", "model"]).collect()] == ["model"]
+
+
+def test_kept_runs_are_scored_under_other_labels(spark, tmp_path):
+    from gleaner.operators.metrics import score_evidence
+    from gleaner.plans.runs import identity_of, labels_as_of, read_runs, rescore, save_run
+
+    root, schema = str(tmp_path / "runs"), "query_id long, rank long, evidence_id long"
+    hits = {1: [(1, 1, 10), (1, 2, 11), (2, 1, 20)], 2: [(1, 1, 11), (2, 3, 20), (2, 4, 21)]}
+    protocols = {k: {"corpus": "c", "system": k, "depth": 8} for k in hits}
+    runs = [save_run(spark, root, protocols[k], spark.createDataFrame(rows, schema)) for k, rows in hits.items()]
+    assert runs == [identity_of(p) for p in protocols.values()]
+    assert save_run(spark, root, protocols[1], spark.createDataFrame([], schema)) == runs[0]  # as it was
+    history = spark.createDataFrame([(1, 10, 2, 1), (1, 11, 1, 1), (2, 20, 1, 1), (1, 10, 0, 2), (1, 11, 2, 3), (2, 21, 2, 2), (2, 20, None, 3)], "query_id long, evidence_id long, grade int, version int")
+    assert {tuple(r) for r in labels_as_of(history, 2).collect()} == {(1, 10, 0), (1, 11, 1), (2, 20, 1), (2, 21, 2)}
+    kept = read_runs(spark, root, runs, ("corpus", "depth"))
+    for version in (1, 2, 3):
+        got = {(r["run"], r["query_id"]): tuple(r)[2:] for r in rescore(kept, history, version).collect()}
+        for k, run in zip(hits, runs):
+            want = score_evidence(spark.createDataFrame(hits[k], schema), labels_as_of(history, version)).collect()
+            assert {q: v for (x, q), v in got.items() if x == run} == {r["query_id"]: tuple(r)[1:] for r in want}
+    with pytest.raises(EngineError, match="differ in system"):
+        read_runs(spark, root, runs, ("system",))
+    with pytest.raises(EngineError, match="no finished run"):
+        read_runs(spark, root, ["0" * 64])

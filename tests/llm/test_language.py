@@ -1,8 +1,11 @@
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm.language import UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams, portions, with_letters
+from gleaner.llm.language import LEAST, SHARE, UNDETERMINED, LanguageFilters, detect_languages, fit, ngrams, portions, with_letters
 from gleaner.llm.queries import op5_language
 from tests.llm.texts import awkward, frame
 
@@ -91,3 +94,41 @@ def test_column_names(spark):
     out = detect_languages(docs, LanguageFilters.build({}))
     assert out.select("row.*").columns == docs.columns and out.count() == 2
     assert [(r["doc_id"], r["my col"], r["a.b"]) for r in with_letters(docs).collect()] == [(1, 1, "x")]
+
+
+def plain_languages(rows):
+    """``op5``'s answers by plain sets of n-grams: ``{doc_id: {lang: share of the text's n-grams}}``."""
+    counts = defaultdict(Counter)
+    for d, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            counts[lang].update(plain_ngrams(text))
+    rate = {l: {g: n / c.total() for g, n in c.items()} for l, c in counts.items()}
+    top = defaultdict(float)
+    for r in rate.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    known = {l: {g for g, x in r.items() if counts[l][g] >= LEAST and x >= SHARE * top[g]} for l, r in rate.items()}
+    out = {}
+    for d, text, _ in rows:
+        grams = plain_ngrams(text)
+        out[d] = {l: sum(g in k for g in grams) / max(1, len(grams)) for l, k in known.items()}
+    return out
+
+
+def test_the_query_by_plain_sets(spark, data):
+    """Every prediction and score of ``op5_language``; the filters' false positives, which are taken off, leave a little noise."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want, near = plain_languages(rows), 0
+    found = {r["doc_id"]: r for r in op5_language(spark, data).collect()}
+    assert found.keys() == want.keys()
+    for d, text, _ in rows:
+        r, shares = found[d], want[d]
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in (text or "").lower()):
+            assert (r["lang_pred"], r["score"]) == (UNDETERMINED, 0.0)
+            continue
+        noise = 0.01 + 0.5 / np.sqrt(max(1, len(plain_ngrams(text))))
+        assert abs(r["score"] - shares[r["lang_pred"]]) < noise, (d, r, shares)
+        assert shares[r["lang_pred"]] > max(shares.values()) - noise, (d, r, shares)
+        near += r["lang_pred"] != max(sorted(shares), key=shares.get)
+    assert near <= 0.01 * len(rows)

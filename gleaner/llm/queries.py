@@ -120,10 +120,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_sharding(spark: SparkSession, sf_dir: str, map_path: str | None = None) -> DataFrame:
+    """``map_path``: where the versions of the slot map are stored; a fresh place without it."""
     from gleaner.llm.sharding import shard_documents
 
-    out = shard_documents(table(spark, sf_dir, "documents"), 24, shared_path(spark, "slot-map"))
+    out = shard_documents(table(spark, sf_dir, "documents"), 24, map_path or shared_path(spark, "slot-map"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

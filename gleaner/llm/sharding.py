@@ -4,24 +4,27 @@ Records are hashed into ``slots`` virtual slots, a number that never changes. By
 slot, and a map assigns whole slots to shards, largest slot first to the least loaded shard. The
 map is a small table (one row per slot, so its size is bounded by ``slots``) with a version;
 rebalancing writes the next version, in which only the slots that have to move differ.
-Documents are placed by the latest stored version; where the number of shards has changed, or
-slots have come that it doesn't know, the next version is written first. All of it is DataFrame
-and SQL expressions.
+Documents are placed by the latest stored version; where the number of shards has changed, slots
+have come that it doesn't know, or its largest load lies too far above what a fresh map would
+have, the next version is written first. All of it is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.llm.tasks import column
+from gleaner.plans.versions import exists
 from gleaner.session import materialise
 
 #: Virtual slots, and parts of all rows that are numbered apart at least: a larger slot is divided.
 SLOTS, PARTS = 4096, 1024
-MAP = "virtual_slot int, shard int, version int"
+#: How far the largest load may lie above that of a fresh map before the stored one is rebalanced.
+SLACK = 0.05
+MAP = "virtual_slot int, shard int, shards int, version int"
+COLUMNS = ("version", "shards", "virtual_slot", "shard")
 
 
 def virtual_slot(key: Column, slots: int = SLOTS, otherwise: Column | None = None) -> Column:
@@ -58,37 +61,45 @@ def _deal(slots: DataFrame, loads: Column) -> DataFrame:
     return dealt.select(F.explode(F.arrays_zip("o", "s")).alias("x")).select(F.col("x.o.virtual_slot").alias("virtual_slot"), F.col("x.s").alias("shard"))
 
 
-def first_map(sizes: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the map: ``version, virtual_slot, shard`` for every slot that holds records."""
+def first_map(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
+    """A map made anew: ``version, shards, virtual_slot, shard`` for every slot that holds records."""
     dealt = _deal(sizes.select("virtual_slot", "bytes"), F.array_repeat(F.lit(0).cast("long"), shards))
-    return dealt.select(F.lit(1).alias("version"), "virtual_slot", "shard")
+    return dealt.select(F.lit(version).cast("int").alias("version"), F.lit(shards).cast("int").alias("shards"), "virtual_slot", "shard")
 
 
 def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version of a map for ``shards`` shards and the present sizes of the slots.
 
-    A shard keeps its slots, smallest first, up to the mean load; what lies above it, slots of
-    shards that no longer exist, and slots new since the old map are dealt to the least loaded.
+    A shard keeps its slots, largest first, up to the mean load, and its largest slot and empty slots
+    in any case; what lies above it, slots of shards that no longer exist, and slots new since the
+    old map are dealt to the least loaded. So what moves is small, and evens out the loads.
     """
-    now = sizes.select("virtual_slot", "bytes").join(old.select("version", "virtual_slot", "shard"), "virtual_slot", "left")
+    now = sizes.select("virtual_slot", "bytes").join(old.select("virtual_slot", "shard"), "virtual_slot", "left")
     mean = sizes.agg((F.sum("bytes") / shards).alias("mean"))
-    total = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bytes", "virtual_slot"))
-    held = now.withColumn("upto", total).crossJoin(F.broadcast(mean)).withColumn("stays", F.coalesce((F.col("shard") < shards) & (F.col("upto") <= F.col("mean")), F.lit(False)))
+    total = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "virtual_slot"))
+    fits = (F.col("upto") <= F.col("mean")) | (F.col("upto") == F.col("bytes")) | (F.col("bytes") == 0)
+    held = now.withColumn("upto", total).crossJoin(F.broadcast(mean)).withColumn("stays", F.coalesce((F.col("shard") < shards) & fits, F.lit(False)))
     held = materialise(held, "held")
     version = old.agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
     sums = {r["shard"]: r["b"] for r in held.where("stays").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
     loads = F.array(*[F.lit(sums.get(k, 0)).cast("long") for k in range(shards)])
     moved = _deal(held.where("not stays").select("virtual_slot", "bytes"), loads)
     kept = held.where("stays").select("virtual_slot", "shard")
-    return kept.unionByName(moved).select(F.lit(version).cast("int").alias("version"), "virtual_slot", "shard")
+    return kept.unionByName(moved).select(F.lit(version).cast("int").alias("version"), F.lit(shards).cast("int").alias("shards"), "virtual_slot", "shard")
+
+
+def largest_load(table: DataFrame, sizes: DataFrame) -> int:
+    """Bytes of the fullest shard when ``sizes`` are placed by a map; 0 without slots."""
+    loads = sizes.join(table, "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+    return loads.agg(F.coalesce(F.max("bytes"), F.lit(0))).first()[0]
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
-    """All versions of the map stored at ``path``; none where nothing is stored."""
-    try:
-        return spark.read.schema(MAP).parquet(path).select("version", "virtual_slot", "shard")
-    except AnalysisException:
-        return spark.range(0).select(*[F.lit(0).alias(c) for c in ("version", "virtual_slot", "shard")])
+    """All versions of the map stored at ``path``; none where nothing is stored. A folder that is
+    there and can't be read is an error."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], MAP).select(*COLUMNS)
+    return spark.read.schema(MAP).parquet(path).select(*COLUMNS)
 
 
 def save_map(table: DataFrame, path: str) -> None:
@@ -102,27 +113,33 @@ def save_map(table: DataFrame, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """One version of the map, the latest by default: ``version, virtual_slot, shard``."""
+    """One version of the map, the latest by default: ``version, shards, virtual_slot, shard``."""
     table = versions(spark, path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
     return table.where(F.col("version") == version)
 
 
-def current_map(sizes: DataFrame, shards: int, path: str) -> DataFrame:
-    """The version to place records by: the latest stored one if it is for ``shards`` shards and
-    knows all slots of ``sizes``, else the next one, which is stored."""
+def current_map(sizes: DataFrame, shards: int, path: str, slack: float = SLACK) -> DataFrame:
+    """The version to place records by: the latest stored one if it is for ``shards`` shards, knows
+    all slots of ``sizes`` and has no load above ``1 + slack`` times the largest of a fresh map;
+    else the next one, which is stored.
+
+    The next version is a rebalanced one, or, where that would pass the bound too, a fresh one.
+    """
     spark = sizes.sparkSession
     old = load_map(spark, path)
-    have = old.agg(F.max("version").alias("version"), F.max("shard").alias("last")).first()
+    have = old.agg(F.max("version").alias("version"), F.coalesce(F.max("shards"), F.max("shard") + 1).alias("shards")).first()
     if have["version"] is None:
-        new = first_map(sizes, shards)
-    elif have["last"] == shards - 1 and not sizes.join(old, "virtual_slot", "left_anti").limit(1).count():
+        save_map(first_map(sizes, shards), path)
+        return load_map(spark, path)
+    fresh = materialise(first_map(sizes, shards, have["version"] + 1), "fresh")
+    bound = (1 + slack) * largest_load(fresh, sizes)
+    if have["shards"] == shards and largest_load(old, sizes) <= bound and not sizes.join(old, "virtual_slot", "left_anti").limit(1).count():
         return old
-    else:
-        unused = old.join(sizes, "virtual_slot", "left_anti").select("virtual_slot", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("records"))
-        new = rebalance(old, sizes.unionByName(unused), shards)
-    save_map(new, path)
+    unused = old.join(sizes, "virtual_slot", "left_anti").select("virtual_slot", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("records"))
+    new = materialise(rebalance(old, sizes.unionByName(unused), shards), "rebalanced")
+    save_map(fresh if largest_load(new, sizes) > bound else new, path)
     return load_map(spark, path)
 
 
@@ -151,8 +168,8 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SL
 
     Returns ``doc_id, size, text_crc32, virtual_slot, shard, slot, map_version``. The map at
     ``map_path`` is used as it is stored, made if there is none, and rebalanced into the next version
-    if it is for another number of shards or lacks slots; so a second run places the same records
-    alike. Null texts have size 8 and the checksum of no bytes; rows with a null id are dealt
+    if it is for another number of shards, lacks slots, or has become uneven (``current_map``); so a
+    second run places the same records alike. Null texts have size 8 and the checksum of no bytes; rows with a null id are dealt
     one by one; repeated rows each get a place of their own; an empty table gives no
     rows and stores no map. Other columns are not read, whatever their names. Equal texts
     are not held together: they are dealt by their ids like all others. A virtual slot is never

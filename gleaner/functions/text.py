@@ -87,17 +87,6 @@ def snippet(text: Column, size: int = SNIPPET) -> Column:
     return F.concat(F.substring(text, 1, size), F.when(F.length(text) > size, F.lit("…")).otherwise(F.lit("")))
 
 
-def line_starts(text: Column) -> Column:
-    """Character offsets at which lines begin."""
-    lines = F.split(text, "\n")
-    ends = F.aggregate(
-        F.slice(lines, 1, F.size(lines) - 1),
-        F.array(F.lit(0).cast("long")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)),
-    )
-    return ends
-
-
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a character offset: the floor join of offsets and line starts."""
     before = F.substring(text, F.lit(1), offset.cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.operators.patterns import places
 
@@ -45,3 +46,17 @@ def locate_texts(items: DataFrame, docs: DataFrame) -> DataFrame:
     found = places(items.select(F.col("text").alias("pattern")), docs)
     first = found.groupBy("pattern", "id").agg(F.min("start").alias("start"), F.min("end").alias("end"), (F.count("*") == 1).alias("unique_in_text"))
     return items.select("item_id", F.col("text").alias("pattern")).join(first, "pattern").select("item_id", "id", "start", "end", "unique_in_text")
+
+
+def line_starts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of ``rows``, for each line of its text, with ``line`` (from 1) and ``start``, its first character.
+
+    Starts are running sums of line lengths; lines themselves are not shuffled. An empty text has one
+    line, a null text none; repeated rows have their lines each.
+    """
+    others = [F.col(f"`{c}`") for c in rows.columns if c != text]
+    tagged = rows.select(F.struct(F.lit(0), *others).alias("row"), F.col(f"`{text}`").alias("text")).withColumn("tag", F.monotonically_increasing_id())
+    lines = tagged.select("row", "tag", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)).alias("no", "n"))
+    upto = F.sum("n").over(Window.partitionBy("tag").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = lines.select("row", (F.col("no") + 1).cast("long").alias("line"), (upto - F.col("n")).alias("start"))
+    return out.select(*[F.col(f"row.`{c}`") for c in rows.columns if c != text], "line", "start")

@@ -345,6 +345,30 @@ def best_window_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "start", "end")
 
 
+_PLACES = (
+    "shown AS (SELECT query_id, rank, id, text FROM lex JOIN documents ON doc_id = id WHERE rank <= 8), "
+    "rare AS (SELECT term, CAST(round(ln(1e0 + ((SELECT count(*) FROM documents) - df + 5e-1) / (df + 5e-1)) * 1e9) AS BIGINT) AS w FROM freq WHERE field = 'body'), "
+    f"ta AS (SELECT query_id, rank, length(text) AS len, unnest({TOKEN_SQL.format('text')}) AS m, unnest({TOKEN_SQL.format('text').replace('regexp_extract_all', 'regexp_split_to_array')}) AS g, "
+    f"generate_subscripts({TOKEN_SQL.format('text').replace('regexp_extract_all', 'regexp_split_to_array')}, 1) AS k FROM shown), "
+    "tb2 AS (SELECT query_id, rank, len, k, m, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY query_id, rank ORDER BY k) - length(m) AS mat FROM ta), "
+    "pa AS (SELECT *, unnest(regexp_split_to_array(m, '[_./:@-]+')) AS p, unnest(list_concat([''], regexp_extract_all(m, '[_./:@-]+'))) AS g, generate_subscripts(regexp_split_to_array(m, '[_./:@-]+'), 1) AS j FROM tb2 WHERE m IS NOT NULL), "
+    "pb AS (SELECT *, count(*) OVER (PARTITION BY query_id, rank, k) AS np, mat + sum(length(g) + length(p)) OVER (PARTITION BY query_id, rank, k ORDER BY j) - length(p) AS pat FROM pa), "
+    f"ha AS (SELECT *, unnest(string_split({HUMP_SQL}, ' ')) AS h, generate_subscripts(string_split({HUMP_SQL}, ' '), 1) AS i FROM pb), "
+    "hb AS (SELECT *, count(*) OVER (PARTITION BY query_id, rank, k, j) AS nh, pat + sum(length(h)) OVER (PARTITION BY query_id, rank, k, j ORDER BY i) - length(h) AS hat FROM ha), "
+    "occ AS (SELECT query_id, rank, len, lower(m) AS term, mat AS a, mat + length(m) AS b FROM hb WHERE i = 1 AND j = 1 UNION SELECT query_id, rank, len, lower(p), pat, pat + length(p) FROM hb WHERE i = 1 AND np > 1 "
+    "UNION SELECT query_id, rank, len, lower(h), hat, hat + length(h) FROM hb WHERE nh > 1), "
+    "hit AS (SELECT o.*, least(400, len) AS width, w FROM occ o JOIN q USING (query_id, term) JOIN rare USING (term) WHERE b - a <= least(400, len)), "
+    "begins AS (SELECT DISTINCT query_id, rank, greatest(0, b - width) AS p FROM hit), "
+    "held AS (SELECT DISTINCT query_id, rank, p, term, w FROM begins JOIN hit USING (query_id, rank) WHERE a >= p AND b <= p + width), "
+    "worth AS (SELECT query_id, rank, p, sum(w) AS score FROM held GROUP BY ALL), "
+    "best AS (SELECT query_id, rank, p FROM worth QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY score DESC, p) = 1)"
+)
+BEST_WINDOW_EXCERPT = (
+    f"WITH {_FIELDS}, {_WHOLE_ITEMS}, {_BM25}, {_PLACES} SELECT query_id AS item_id, rank, id AS doc_id, coalesce(p, 0)::BIGINT AS start, (coalesce(p, 0) + least(400, length(text)))::BIGINT AS \"end\" "
+    "FROM shown LEFT JOIN best USING (query_id, rank)"
+)
+
+
 def source_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("doc_id", T.source_hash(F.col("text")).alias("source_hash"))
 
@@ -370,7 +394,7 @@ POSITION_TO_LINE = "WITH m AS (SELECT doc_id, text, substring(text, 1, length(te
 
 
 def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(spark, sf_dir).select("doc_id", F.posexplode(T.line_starts(F.col("text"))).alias("line", "start")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "start")
+    return spans.line_starts(passages(spark, sf_dir).select("doc_id", "text"))
 
 
 LINE_STARTS = "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), u AS (SELECT doc_id, unnest(lines) AS body, unnest(range(1, len(lines) + 1)) AS line FROM l) SELECT doc_id, line, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM u"

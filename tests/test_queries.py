@@ -9,7 +9,7 @@ def test_entry(spark, data):
 
 
 def test_every_library_query_has_sql_or_tests():
-    assert set(library.queries()) - set(library.oracle_sql()) == {"best_window_excerpt", "markdown_chunks", "search_hybrid"}
+    assert set(library.queries()) - set(library.oracle_sql()) == {"markdown_chunks", "search_hybrid"}
 
 
 @pytest.mark.parametrize("name", sorted(library.oracle_sql()))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import baseline, excerpt, fusion, lexical, similarity
+from tests.windows import best_window, occurrences
 
 
 def scores(spark, rows, query, fields=None):
@@ -114,13 +115,13 @@ def test_baseline_by_hand(spark):
 
 def test_excerpts_by_hand():
     suffix = "😀 " * 230 + "\nżółw refreshToken"
-    assert excerpt.best_window(suffix, {"refreshtoken": 1.0, "refresh": 1.0, "token": 1.0}) == (len(suffix) - 400, len(suffix))
+    assert best_window(suffix, {"refreshtoken": 1.0, "refresh": 1.0, "token": 1.0}) == (len(suffix) - 400, len(suffix))
     common = "common " * 60 + " " * 401 + "rare"
-    assert excerpt.best_window(common, {"common": 0.1, "rare": 1.0})[0] == len(common) - 400
+    assert best_window(common, {"common": 0.1, "rare": 1.0})[0] == len(common) - 400
     twice = " " * 500 + "needle " + " " * 600 + "needle"
-    assert excerpt.best_window(twice, {"needle": 1.0}) == (106, 506)
-    assert excerpt.best_window("no hit", {"x": 1.0}) == (0, 6)
-    assert excerpt.best_window("x" * 500, {"x" * 500: 1.0}) == (0, 400)
+    assert best_window(twice, {"needle": 1.0}) == (106, 506)
+    assert best_window("no hit", {"x": 1.0}) == (0, 6)
+    assert best_window("x" * 500, {"x" * 500: 1.0}) == (0, 400)
 
 
 def test_excerpts_against_every_window():
@@ -129,11 +130,11 @@ def test_excerpts_against_every_window():
         text = "".join(rnd.choice(["aa", "bB", "c_d", " ", " ", "\n", "e"]) for _ in range(rnd.randint(0, 60)))
         size = rnd.randint(1, 30)
         weights = {t: rnd.choice([0.5, 1.0, 2.0]) for t in ("aa", "b", "bb", "c", "d", "c_d") if rnd.random() < 0.6}
-        found = excerpt.occurrences(text)
+        found = occurrences(text)
         width = min(size, len(text))
         value = lambda p: sum(weights[t] for t in {t for t, a, b in found if t in weights and a >= p and b <= p + width})
         best = max((value(p) for p in range(len(text) - width + 1)), default=0)
-        at, end = excerpt.best_window(text, weights, size)
+        at, end = best_window(text, weights, size)
         assert end - at == width and value(at) == pytest.approx(best)
 
 
@@ -141,3 +142,41 @@ def test_excerpt_rows(spark):
     df = spark.createDataFrame([(1, "a needle " + "x" * 500, {"needle": 1.0}), (2, None, None)], "id long, text string, weights map<string,double>")
     found = {r["id"]: r for r in excerpt.excerpts(df).collect()}
     assert found[1]["snippet"].startswith("a needle") and found[1]["snippet"].endswith("…") and found[2]["snippet"] == ""
+
+
+def wordy(rnd, n):
+    pieces = ["aa", "bB", "c_d", " ", " ", "\n", "e", "HTTPServer2Go", "żółwŁ", "😀", "x.y/Zz", "日本", "__", "Aa-", "é:"]
+    return "".join(rnd.choice(pieces) for _ in range(n))
+
+
+def test_occurrences_are_those_of_the_plain_form(spark):
+    rnd = random.Random(11)
+    texts = [None, "", "!?", "a", "a.b_c" * 300, "x" * 5000, *[wordy(rnd, rnd.randint(0, 80)) for _ in range(150)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = {k: set() for k in range(len(texts))}
+    for r in excerpt.occurrences(rows).collect():
+        found[r["key"]].add((r["term"], r["start"], r["end"]))
+    for k, text in enumerate(texts):
+        assert found[k] == set(occurrences(text or "")), text
+
+
+def test_excerpts_are_those_of_the_plain_form(spark):
+    rnd, rows = random.Random(12), []
+    terms = ["aa", "b", "bb", "c", "d", "c_d", "http", "server2", "go", "żółw", "ł", "x.y/zz", "zz", "日本", "missing"]
+    for k in range(250):
+        weights = {t: rnd.choice([0.5, 1.0, 2.0, 3.25]) for t in terms if rnd.random() < 0.5}
+        rows.append((k, rnd.choice([None, "", wordy(rnd, rnd.randint(0, 60)), wordy(rnd, 400)]), weights or None))
+    rows += [(250, "needle " * 30_000, {"needle": 1.0}), (251, "a." * 20_000 + "Needle", {"needle": 1.0}), (252, " " * 500 + "aa", {"aa": 0.0, "b": None})]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "id long, text string, weights map<string,double>").withColumn("key", F.lit("k")).withColumn("a b.c", F.lit(1))
+    for size in (7, 30, 400):
+        out = excerpt.excerpts(df, size)
+        assert out.columns == ["id", "key", "a b.c", "start", "end", "snippet"]
+        found = sorted((r["id"], r["start"], r["end"], r["snippet"]) for r in out.collect())
+        want = []
+        for k, text, weights in rows:
+            text = text or ""
+            a, b = best_window(text, {t: w for t, w in (weights or {}).items() if w}, size)
+            want.append((k, a, b, ("…" if a else "") + text[a:b] + ("…" if b < len(text) else "")))
+        assert found == sorted(want)
+    assert excerpt.excerpts(df.limit(0)).count() == 0

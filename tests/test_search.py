@@ -7,11 +7,11 @@ import numpy as np
 import regex
 
 from gleaner.functions.text import TOKEN
-from gleaner.operators.excerpt import best_window, occurrences
 from gleaner.operators.lexical import WEIGHTS
 from gleaner.plans import index, queries
 from gleaner.plans.search import search
 from gleaner.sources import providers
+from tests.windows import best_window, occurrences
 
 
 def terms(text):

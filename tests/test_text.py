@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
+from gleaner.operators.spans import line_starts
 
 
 def one(spark, column, **values):
@@ -50,13 +51,21 @@ def test_safe_source(spark, path, safe):
 
 def test_positions_count_characters(spark):
     text = "a😀\n\nbé\nlast"
-    starts = one(spark, T.line_starts(F.col("t")), t=text)
+    starts = [r["start"] for r in line_starts(spark.createDataFrame([(text,)], "text string")).orderBy("line").collect()]
     assert starts == [0, 3, 4, 7]
     for at in range(len(text)):
         line = max(k for k, s in enumerate(starts) if s <= at)
         assert one(spark, T.line_of(F.col("t"), F.lit(at)), t=text) == line + 1
         assert one(spark, T.column_of(F.col("t"), F.lit(at)), t=text) == at - starts[line] + 1
-    assert one(spark, T.line_starts(F.col("t")), t="") == [0]
+
+
+def test_lines_of_awkward_rows(spark):
+    rows = [(1, ""), (2, None), (3, "a\n\n"), (3, "a\n\n"), (4, "é😀\n" * 20_000)]
+    df = spark.createDataFrame(rows, "`my id` long, text string").withColumn("line", F.lit("x")).withColumnRenamed("line", "a.b")
+    found = sorted((r["my id"], r["line"], r["start"]) for r in line_starts(df).collect())
+    want = [(d, k + 1, sum(len(x) + 1 for x in t.split("\n")[:k])) for d, t in rows[:4] if t is not None for k in range(len(t.split("\n")))] + [(4, k + 1, 3 * k) for k in range(20_001)]
+    assert found == sorted(want) and line_starts(df).columns == ["my id", "a.b", "line", "start"]
+    assert line_starts(df.limit(0)).count() == 0
 
 
 def test_snippets(spark):

@@ -64,7 +64,7 @@ def best_windows(spans: DataFrame) -> DataFrame:
     """``key, first`` of ``spans`` (key, term, start, end, weight, width).
 
     ``first`` begins the window of ``width`` characters with the greatest weight of distinct terms, the first of equals.
-    Weights are whole numbers above 0. Keys without a span that fits into a window are left out.
+    Weights are whole numbers above 0, and a span may occur repeatedly. Keys without a span that fits into a window are left out.
     """
     ranges = spans.where("end - start <= width").select("key", "term", "weight", F.greatest(F.lit(0), F.col("end") - F.col("width")).alias("low"), F.col("start").alias("high"))
     before = F.max("high").over(Window.partitionBy("key", "term").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
@@ -86,8 +86,8 @@ def excerpts(rows: DataFrame, size: int = SIZE) -> DataFrame:
     held = rows.select(F.struct(*names).alias("row") if names else F.struct(F.lit(0)).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "weights")
     held = materialise(held.withColumn("key", F.monotonically_increasing_id()), "shown")
     wanted = held.select("key", F.least(F.lit(size), F.length("text")).alias("width"), F.explode("weights").alias("term", "weight"))
-    wanted = wanted.withColumn("weight", F.round(F.col("weight") * UNIT).cast("long")).where("weight > 0")
-    found = occurrences(held.where(F.size("weights") > 0)).distinct().join(wanted, ["key", "term"])
+    wanted = materialise(wanted.withColumn("weight", F.round(F.col("weight") * UNIT).cast("long")).where("weight > 0"), "wanted")
+    found = occurrences(held.where(F.size("weights") > 0)).join(wanted, ["key", "term"])
     placed = held.join(best_windows(found), "key", "left")
     start, length = F.coalesce("first", F.lit(0)).cast("long"), F.length("text")
     end = start + F.least(F.lit(size), length)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
-from gleaner.operators import baseline, compare, contract, excerpt, fusion, lexical, metrics, patterns, similarity, spans
+from gleaner.operators import baseline, compare, contract, excerpt, fusion, lexical, metrics, patterns, sections, similarity, spans
 from gleaner.plans import index, models, search
 from gleaner.session import materialise, shared_path, ship
 from gleaner.sources import markdown, providers
@@ -409,6 +409,58 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "start", "end", "start_line", "end_line", F.concat_ws(" > ", "headings").alias("headings"), "chunk_hash", "passage_id")
 
 
+#: How a turn of a conversation is written as Markdown: by its number, as headings of both kinds, and fences that hold no headings.
+_TURN_FORMS = (
+    r"concat('## ', role, ' ', turn, ' ##\n', text, '\n')",
+    r"concat('```\n# ', role, '\n', text, '\n```` \n')",
+    r"concat(role, ' ', turn, '\n---\n===\n===\n', text, '\n')",
+    r"concat('####\t', role, '\n~~~ x\n```\n# no\n', text, '\n ~~~\n')",
+)
+_TURN = "CASE " + " ".join(f"WHEN turn % 4 = {k} THEN {form}" for k, form in enumerate(_TURN_FORMS)) + " END"
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the documents, and of conversations that are written as Markdown."""
+    turns = table(spark, sf_dir, "conversations").where("turn IS NOT NULL").select("conv_id", "turn", F.expr(_TURN).alias("piece"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("s"))
+    written = ordered.select(F.concat(F.lit("conversation/"), "conv_id").alias("source"), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n"), F.array_join(F.transform("s", lambda x: x["piece"]), "")).alias("text"))
+    found = sections.sections(_sources(spark, sf_dir).unionByName(written))
+    return found.select("source", "start", "line", F.concat_ws(" > ", "headings").alias("headings"), F.length("body").cast("long").alias("size"), F.sha2("body", 256).alias("body_sha256"))
+
+
+_SPACES = r"[\t\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_ATX_SQL = r"^ {0,3}(#{1,6})(?:[ \t]+([^\n\r\x{2028}\x{2029}]*?)|[ \t]*)$"
+_TURN_SQL = _TURN.replace(r"\n", "\n").replace(r"\t", "\t")
+# a recursive walk over the lines that may open or close a fence, then headings, each with those that no other has closed
+MARKDOWN_SECTIONS = f"""WITH RECURSIVE {_CORPUS},
+src AS (SELECT path AS source, coalesce(text, '') AS raw FROM corpus
+ UNION ALL SELECT concat('conversation/', conv_id), concat('# Conversation ', conv_id, chr(10), string_agg({_TURN_SQL}, '' ORDER BY turn)) FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id),
+body AS (SELECT source, regexp_replace(raw, '\\r\\n?', chr(10), 'g') AS text FROM src),
+cutup AS (SELECT source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, len(string_split(text, chr(10))) AS n FROM body),
+l AS (SELECT source, no, CASE WHEN no = 0 AND starts_with(line, chr(65279)) THEN substr(line, 2) ELSE line END AS line,
+ sum(length(line) + 1) OVER (PARTITION BY source ORDER BY no) - length(line) - 1 AS start FROM cutup WHERE NOT (line = '' AND no = n - 1)),
+mark AS (SELECT source, no, row_number() OVER (PARTITION BY source ORDER BY no) AS k, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS m, regexp_extract(line, '^ {{0,3}}(?:`{{3,}}|~{{3,}})(.*)$', 1, 's') AS rest
+ FROM l WHERE regexp_matches(line, '^ {{0,3}}(`{{3,}}|~{{3,}})')),
+walk AS (SELECT source, 0::BIGINT AS k, -1::BIGINT AS no, '' AS was, '' AS now FROM (SELECT DISTINCT source FROM mark)
+ UNION ALL SELECT m.source, m.k, m.no, w.now, CASE
+  WHEN w.now = '' THEN CASE WHEN m.m[1] = '`' AND contains(m.rest, '`') THEN '' ELSE m.m END
+  WHEN m.m[1] = w.now[1] AND length(m.m) >= length(w.now) AND regexp_matches(m.rest, '^{_SPACES}*$') THEN '' ELSE w.now END
+ FROM walk w JOIN mark m ON m.source = w.source AND m.k = w.k + 1),
+f AS (SELECT l.source, l.no, l.line, l.start, coalesce(w.now <> '' OR (w.no = l.no AND w.was <> ''), FALSE) AS fenced FROM l ASOF LEFT JOIN walk w ON w.source = l.source AND w.no <= l.no),
+c AS (SELECT *, NOT fenced AND regexp_matches(line, '{_ATX_SQL}') AS atx, NOT fenced AND regexp_matches(line, '^ {{0,3}}(=+|-+){_SPACES}*$') AS under,
+ NOT fenced AND NOT regexp_matches(line, '{_ATX_SQL}') AND NOT regexp_matches(line, '^(    |\t|{_SPACES}*$)') AS plain FROM f),
+b AS (SELECT *, coalesce(max(CASE WHEN NOT under THEN no END) OVER w, -1) AS base, lead(line) OVER w AS after, coalesce(lead(under) OVER w, FALSE) AS underlined FROM c WINDOW w AS (PARTITION BY source ORDER BY no)),
+t AS (SELECT b.*, plain AND underlined AND (NOT under OR (no - base + coalesce(bp.p, 0)) % 2 = 1) AS setext FROM b LEFT JOIN (SELECT source AS s, no AS o, plain::INT AS p FROM c) bp ON bp.s = b.source AND bp.o = b.base),
+h AS (SELECT source, no, start, CASE WHEN atx THEN length(regexp_extract(line, '{_ATX_SQL}', 1)) WHEN contains(after, '=') THEN 1 ELSE 2 END AS level,
+ regexp_replace(CASE WHEN atx THEN regexp_replace(regexp_extract(line, '{_ATX_SQL}', 2), '(?:^|[ \t]+)#+[ \t]*$', '') ELSE line END, '^{_SPACES}+|{_SPACES}+$', '', 'g') AS title FROM t WHERE atx OR setext),
+above AS (SELECT x.source, x.no, coalesce(string_agg(y.title, ' > ' ORDER BY y.no), '') AS headings FROM h x JOIN h y ON y.source = x.source AND y.no <= x.no
+ WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.source = x.source AND z.no > y.no AND z.no <= x.no AND z.level <= y.level) GROUP BY ALL),
+opened AS (SELECT h.source, h.no, h.start, a.headings FROM h JOIN above a USING (source, no)
+ UNION ALL SELECT source, 0, 0, '' FROM l WHERE no = 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.source = l.source AND h.no = 0)),
+parts AS (SELECT o.*, substr(text, (start + 1)::BIGINT, (coalesce(lead(start) OVER (PARTITION BY o.source ORDER BY o.no), length(text)) - start)::BIGINT) AS part FROM opened o JOIN body USING (source))
+SELECT source, start::BIGINT AS start, no::BIGINT AS line, headings, length(part)::BIGINT AS size, sha256(part) AS body_sha256 FROM parts"""
+
+
 def chunk_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = _sources(spark, sf_dir)
     return markdown.coverage(markdown.chunk(sources), sources)
@@ -724,7 +776,7 @@ COST_ACCOUNTING = "SELECT event_type, round(sum(coalesce(CASE WHEN event_type <>
 
 ALL = (
     token_frequencies, path_field_terms, lexical_lengths, bm25_topk, cosine_topk, cosine_batch_top40, vector_validation, expanded_fusion, adapted_baseline,
-    rerank_cutoff_top8, snippet_prefix, best_window_excerpt, source_hashes, passage_identity, position_to_line, line_starts, markdown_chunks,
+    rerank_cutoff_top8, snippet_prefix, best_window_excerpt, source_hashes, passage_identity, position_to_line, line_starts, markdown_chunks, markdown_sections,
     chunk_coverage_check, pending_embeddings, gc_unreferenced, index_status, exact_excerpt_mapping, pattern_places, evidence_containment_whole,
     span_overlap_join_whole, query_means, summary_grouping_sets, nearest_rank_percentiles, paired_compare, paired_bootstrap, cohort_comparisons, release_gates,
     label_allocation, label_changes, cost_accounting, bm25_fielded_batch_whole, rrf_fusion_whole, protected_fusion_40_whole, expanded_fusion_batch,

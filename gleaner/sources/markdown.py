@@ -1,8 +1,8 @@
 """Markdown sources: scanning a tree, and cutting texts losslessly into passages.
 
-Cutting is sequential within a text (fences, heading levels, token budgets), so it is an Arrow
-function over whole texts; Spark deals the texts to tasks. Spans tile the text: every character is
-in exactly one passage or one span of white space.
+Sections come from windows over lines (``operators/sections.py``); token budgets within a section are
+sequential, so they are an Arrow function over sections, which Spark deals to tasks. Spans tile
+the text: every character is in exactly one passage or one span of white space.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql.utils import AnalysisException
 
 from gleaner.errors import Code, EngineError
 from gleaner.functions.text import JS_SPACE
+from gleaner.operators import sections as by_lines
 
 ROOTS = (".agent/knowledge", ".agent/decisions")
 SKIPPED = (".git", "node_modules", "dist", "build", ".env")
@@ -35,6 +36,7 @@ _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)\Z", re.S)
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+([^\n\r\u2028\u2029]*?)|[ \t]*)\Z")
 _SETEXT = re.compile(f" {{0,3}}(=+|-+){_SPACE}*\\Z")
 _INDENTED = re.compile(r"(?: {4}|\t)")
+_EDGES = re.compile(f"\\A{_SPACE}+|{_SPACE}+\\Z")
 
 
 def _refuse_links(root: str) -> None:
@@ -153,9 +155,9 @@ def sections(lines: list[str]) -> list[tuple[int, int, list[str]]]:
         title, level, taken = None, 0, 1
         if not inside:
             if m := _ATX.match(line):
-                level, title = len(m[1]), re.sub(r"(?:^|[ \t]+)#+[ \t]*\Z", "", m[2] or "").strip()
+                level, title = len(m[1]), _EDGES.sub("", re.sub(r"(?:^|[ \t]+)#+[ \t]*\Z", "", m[2] or ""))
             elif at + 1 < len(lines) and not _BLANK.match(line) and not _INDENTED.match(line) and (m := _SETEXT.match(lines[at + 1])):
-                level, title, taken = (1 if m[1][0] == "=" else 2), line.strip(), 2
+                level, title, taken = (1 if m[1][0] == "=" else 2), _EDGES.sub("", line), 2
         if title is not None:
             if at > start:
                 out.append((start, at, [t for _, t in stack]))
@@ -209,74 +211,84 @@ def split_long(text: str, start: int, end: int, fits: Callable[[int, int], bool]
     return out
 
 
-def passages(project: str, source: str, text: str, budget: Budget = Budget()) -> list[dict]:
-    """The spans of a text in order: passages, and white space with a null ``passage_id``."""
-    text = normalise(text)
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
-    bounds = starts + [len(text)] if starts[-1] < len(text) else starts
-    lines = [text[a:b].removesuffix("\n") for a, b in zip(bounds[:-1], bounds[1:])]
-    out: list[dict] = []
-    for first, after, headings in sections(lines):
-        head = context(project, source, headings, budget)
-
-        def fits(a: int, b: int) -> bool:
-            return budget.fits(head + text[a:b])
-
-        def small(a: int, b: int) -> bool:
-            return budget.soft(head + text[a:b]) <= SOFT
-
-        spans: list[tuple[int, int]] = []
-        pending: tuple[int, int] | None = None
-        for x, y, code in blocks(lines, first, after):
-            a, b = bounds[x], bounds[y]
-            if pending and small(pending[0], b) and fits(pending[0], b):
-                pending = (pending[0], b)
-                continue
-            if pending:
-                spans.append(pending)
-                pending = None
-            if fits(a, b) and (code or small(a, b)):
-                pending = (a, b)
-            else:
-                spans += split_long(text, a, b, fits, small)
+def _laid_out(text: str) -> tuple[list[int], list[str]]:
+    """Where each line of a text begins, with the end of the last, and the lines without their ends."""
+    bounds = [0] + [m.end() for m in re.finditer("\n", text)]
+    if bounds[-1] < len(text):
+        bounds.append(len(text))
+    return bounds, [text[a:b].removesuffix("\n") for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def cut(project: str, source: str, headings: list[str], body: str, start: int, line: int, budget: Budget) -> list[dict]:
+    """The spans of one section: ``start`` characters and ``line`` lines of its text are before its ``body``."""
+    bounds, lines = _laid_out(body)
+    head = context(project, source, headings, budget)
+
+    def fits(a: int, b: int) -> bool:
+        return budget.fits(head + body[a:b])
+
+    def small(a: int, b: int) -> bool:
+        return budget.soft(head + body[a:b]) <= SOFT
+
+    spans: list[tuple[int, int]] = []
+    pending: tuple[int, int] | None = None
+    for x, y, code in blocks(lines, 0, len(lines)):
+        a, b = bounds[x], bounds[y]
+        if pending and small(pending[0], b) and fits(pending[0], b):
+            pending = (pending[0], b)
+            continue
         if pending:
             spans.append(pending)
-        for a, b in spans:
-            body = text[a:b]
-            blank = bool(_BLANK.match(body))
-            inner = hashlib.sha256(body.encode()).hexdigest()
-            key = json.dumps([source, a, b, inner], ensure_ascii=False, separators=(",", ":"))
-            out.append(
-                {
-                    "source": source,
-                    "start": a,
-                    "end": b,
-                    "start_line": bisect_right(starts, a),
-                    "end_line": bisect_right(starts, max(a, b - 1)),
-                    "headings": headings,
-                    "text": body,
-                    "chunk_hash": None if blank else "sha256:" + hashlib.sha256((head + body).encode()).hexdigest(),
-                    "passage_id": None if blank else "sha256:" + hashlib.sha256(key.encode()).hexdigest(),
-                }
-            )
+            pending = None
+        if fits(a, b) and (code or small(a, b)):
+            pending = (a, b)
+        else:
+            spans += split_long(body, a, b, fits, small)
+    if pending:
+        spans.append(pending)
+    out = []
+    for a, b in spans:
+        own = body[a:b]
+        blank = bool(_BLANK.match(own))
+        key = json.dumps([source, start + a, start + b, hashlib.sha256(own.encode()).hexdigest()], ensure_ascii=False, separators=(",", ":"))
+        out.append(
+            {
+                "source": source,
+                "start": start + a,
+                "end": start + b,
+                "start_line": line + bisect_right(bounds, a),
+                "end_line": line + bisect_right(bounds, max(a, b - 1)),
+                "headings": headings,
+                "text": own,
+                "chunk_hash": None if blank else "sha256:" + hashlib.sha256((head + own).encode()).hexdigest(),
+                "passage_id": None if blank else "sha256:" + hashlib.sha256(key.encode()).hexdigest(),
+            }
+        )
     return out
 
 
+def passages(project: str, source: str, text: str, budget: Budget = Budget()) -> list[dict]:
+    """The spans of one text in order: passages, and white space with a null ``passage_id``."""
+    text = normalise(text)
+    bounds, lines = _laid_out(text)
+    return [span for first, after, headings in sections(lines) for span in cut(project, source, headings, text[bounds[first] : bounds[after]], bounds[first], first, budget)]
+
+
 ARROW = pa.schema([("source", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("headings", pa.list_(pa.string())), ("text", pa.string()), ("chunk_hash", pa.string()), ("passage_id", pa.string())])
 SCHEMA = "source string, start long, end long, start_line long, end_line long, headings array<string>, text string, chunk_hash string, passage_id string"
 
 
 def chunk(sources: DataFrame, project: str = "project", budget: Budget = Budget()) -> DataFrame:
-    """The spans of all ``sources`` (source, text). Null texts count as empty and give none."""
+    """The spans of all ``sources`` (source, text), each source once. Null texts count as empty and give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = [r for s, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in passages(project, s, t or "", budget)]
+                part = batch.slice(at, 64).to_pylist()
+                rows = [r for s in part for r in cut(project, s["source"], s["headings"], s["body"], s["start"], s["line"], budget)]
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return sources.select("source", "text").mapInArrow(run, SCHEMA)
+    return by_lines.sections(sources).select("source", "headings", "body", "start", "line").mapInArrow(run, SCHEMA)
 
 
 def coverage(spans: DataFrame, sources: DataFrame) -> DataFrame:

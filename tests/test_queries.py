@@ -17,7 +17,7 @@ def test_library_query_gives_what_sql_gives(spark, data, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in "documents embeddings pages benchmark labels events".split():
+    for t in "documents embeddings pages benchmark labels events conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = c.execute(library.oracle_sql()[name])
     columns = sorted(x[0] for x in want.description)

@@ -22,9 +22,9 @@ FENCED = rf"{FENCE_OPENS}[\s\S]*?(?:{FENCE_CLOSES}|\z)"
 ATX = r"^ {0,3}(#{1,6})(?:[ \t]+([^\n\r\u2028\u2029]*?)|[ \t]*)\z"
 CLOSING_HASHES = r"(?:^|[ \t]+)#+[ \t]*\z"
 UNDERLINE = rf"^ {{0,3}}(=+|-+){INLINE_SPACE}*\z"
-NO_TITLE = rf"^(?: {{4}}|\t|{INLINE_SPACE}*\z)"
+SHOWN = JS_SPACE.replace("[", "[^", 1)
 EDGES = rf"^{JS_SPACE}+|{JS_SPACE}+\z"
-LEVELS = 6
+MARK, LEVELS = "\ufeff", 6
 
 
 def lines(texts: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
@@ -33,32 +33,42 @@ def lines(texts: DataFrame, key: str = "source", text: str = "text") -> DataFram
     ``at`` numbers the rows of a text. Line ends count as line feeds. A null text has no rows, as an
     empty one. A byte-order mark is part of the first line.
     """
-    whole = texts.select(F.col(key).alias("key"), lf(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    mark = F.when(F.col("body").startswith("\ufeff"), F.lit("\ufeff")).otherwise(F.lit(""))
-    # the mark is taken off while fences are looked for, since it hides the start of the first line
-    bare = whole.select("key", mark.alias("mark"), F.substring("body", F.length(mark) + 1, F.length("body")).alias("body"))
-    zipped = F.arrays_zip(F.split("body", FENCED, -1).alias("open"), F.regexp_extract_all("body", F.lit(FENCED), F.lit(0)).alias("fence"))
+    given = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("given"))
+    whole = given.select("key", F.when(F.col("given").contains("\r"), lf(F.col("given"))).otherwise(F.col("given")).alias("whole"))
+    # a mark is taken off while fences are looked for, since it hides the start of the first line
+    marked = F.col("whole").startswith(MARK)
+    bare = whole.select("key", marked.alias("marked"), F.when(marked, F.substring("whole", 2, 2**31 - 1)).otherwise(F.col("whole")).alias("body"))
+    # few texts have fences, so only what may have one is searched by pattern
+    body, fences = F.col("body"), F.col("body").contains("```") | F.col("body").contains("~~~")
+    parted = F.arrays_zip(F.split(body, FENCED, -1).alias("open"), F.regexp_extract_all(body, F.lit(FENCED), F.lit(0)).alias("fence"))
+    zipped = F.when(fences, parted).otherwise(F.array(F.struct(body.alias("open"), F.lit(None).cast("string").alias("fence"))))
 
     def piece(value: Column, fenced: bool) -> Column:
         return F.struct(value.alias("piece"), F.lit(fenced).alias("fenced"))
 
-    parts = F.transform(zipped, lambda x: F.concat(F.transform(F.split(x["open"], r"(?<=\n)", -1), lambda y: piece(y, False)), F.array(piece(F.coalesce(x["fence"], F.lit("")), True))))
+    def ended(some: Column) -> Column:
+        return F.transform(some, lambda y, k: piece(F.when(k < F.size(some) - 1, F.concat(y, F.lit("\n"))).otherwise(y), False))
+
+    parts = F.transform(zipped, lambda x: F.concat(F.flatten(F.transform(F.array(F.split(x["open"], "\n", -1)), ended)), F.array(piece(F.coalesce(x["fence"], F.lit("")), True))))
     rows = F.filter(F.flatten(parts), lambda x: x["piece"] != "")
-    laid = bare.select("key", "mark", F.posexplode_outer(rows).alias("at", "x")).where("at IS NOT NULL OR mark <> ''")
-    first = F.coalesce("at", F.lit(0)) == 0
-    return laid.select("key", F.coalesce("at", F.lit(0)).alias("at"), F.concat(F.when(first, F.col("mark")).otherwise(F.lit("")), F.coalesce("x.piece", F.lit(""))).alias("piece"), F.coalesce("x.fenced", F.lit(False)).alias("fenced"))
+    laid = bare.select("key", "marked", F.posexplode_outer(rows).alias("at", "x")).where("at IS NOT NULL OR marked")
+    at, own = F.coalesce("at", F.lit(0)), F.coalesce("x.piece", F.lit(""))
+    return laid.select("key", at.alias("at"), F.when(F.col("marked") & (at == 0), F.concat(F.lit(MARK), own)).otherwise(own).alias("piece"), F.coalesce("x.fenced", F.lit(False)).alias("fenced"))
 
 
 def headed(rows: DataFrame) -> DataFrame:
     """Rows of ``lines`` with ``start`` (characters before), ``line`` (lines before), ``section`` and ``headings``."""
     order = Window.partitionBy("key").orderBy("at")
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bare = F.regexp_replace(F.regexp_replace("piece", r"\n\z", ""), r"\A\ufeff", "")
-    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"))) + F.when(F.col("piece").endswith("\n"), 0).otherwise(1)
-    flat = rows.withColumn("bare", F.when(~F.col("fenced"), F.when(F.col("at") == 0, bare).otherwise(F.regexp_replace("piece", r"\n\z", ""))))
-    seen = flat.withColumn("atx", F.coalesce(F.col("bare").rlike(ATX), F.lit(False))).withColumn("under", F.coalesce(F.col("bare").rlike(UNDERLINE), F.lit(False)))
-    plain = ~F.col("fenced") & ~F.col("atx") & ~F.coalesce(F.col("bare").rlike(NO_TITLE), F.lit(True))
-    seen = seen.withColumn("plain", plain)
+    breaks = F.when(~F.col("fenced"), 1).otherwise(F.length("piece") - F.length(F.replace("piece", F.lit("\n"))) + F.when(F.col("piece").endswith("\n"), 0).otherwise(1))
+    unended = F.when(F.col("piece").endswith("\n"), F.substring("piece", F.lit(1), F.length("piece") - 1)).otherwise(F.col("piece"))
+    bare = F.when((F.col("at") == 0) & F.col("piece").startswith(MARK), F.substring(unended, 2, 2**31 - 1)).otherwise(unended)
+    flat = rows.withColumn("bare", F.when(~F.col("fenced"), bare))
+    # the first sign of a line tells most lines from headings, before any pattern is tried
+    sign = F.substring(F.ltrim(F.substring("bare", 1, 4)), 1, 1)
+    seen = flat.withColumn("atx", F.coalesce((sign == "#") & F.col("bare").rlike(ATX), F.lit(False))).withColumn("under", F.coalesce(sign.isin("=", "-") & F.col("bare").rlike(UNDERLINE), F.lit(False)))
+    plain = ~F.col("fenced") & ~F.col("atx") & ~F.col("bare").startswith("    ") & ~F.col("bare").startswith("\t") & F.col("bare").rlike(SHOWN)
+    seen = seen.withColumn("plain", F.coalesce(plain, F.lit(False)))
     # of a line that isn't an underline: whether it may take the first underline after it
     base = F.last(F.when(~F.col("under"), F.struct("at", "plain")), ignorenulls=True).over(sofar)
     seen = seen.select(
@@ -72,7 +82,7 @@ def headed(rows: DataFrame) -> DataFrame:
     hashes = F.length(F.regexp_extract("bare", ATX, 1))
     level = F.when(F.col("atx"), hashes).when(setext, F.when(F.regexp_extract("after", UNDERLINE, 1).startswith("="), 1).otherwise(2))
     title = F.when(F.col("atx"), F.regexp_replace(F.regexp_extract("bare", ATX, 2), CLOSING_HASHES, "")).otherwise(F.col("bare"))
-    told = seen.select("key", "at", "piece", "start", "line", level.alias("level"), F.regexp_replace(title, EDGES, "").alias("title"))
+    told = seen.select("key", "at", "piece", "start", "line", level.alias("level"), F.when(level.isNotNull(), F.regexp_replace(title, EDGES, "")).alias("title"))
     last = [F.last(F.when(F.col("level") == k, F.struct("at", "title")), ignorenulls=True).over(sofar).alias(f"h{k}") for k in range(1, LEVELS + 1)]
     told = told.select("key", "at", "piece", "start", "line", F.count("level").over(sofar).alias("section"), *last)
     # a heading is above a line while none of its level's betters has come after it

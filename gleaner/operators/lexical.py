@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.text import match_terms, matches
-from gleaner.session import materialise
+from gleaner.session import bucketed, materialise
 
 #: Fixed values of the ranker.
 K1, B = 1.2, 0.75
@@ -21,17 +22,28 @@ DIGITS = 6
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (field, term, id, tf), ``lengths`` (field, id, length), ``stats`` (field, total_length, n)."""
+    """``postings`` (field, term, id, tf), ``lengths`` (field, id, length), ``stats`` (field, total_length, n).
+
+    Postings may have ``length`` too, that of their passage's field.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     #: Every passage and field (id, field), for an index that isn't saved yet.
     every: DataFrame | None = None
+    #: The postings of each field, likewise.
+    fields: tuple[DataFrame, ...] = ()
 
     def saved(self) -> "LexicalIndex":
-        """The index with its tables written once, so that no text is taken apart twice."""
-        posted = materialise(self.postings, "postings")
+        """The index with its tables written once, so that no text is taken apart twice.
+
+        Postings are bucketed by passage and have their lengths with them, so scores of a batch are
+        summed where the postings are read: questions times passages are never shuffled.
+        """
+        length = F.sum("tf").over(Window.partitionBy("id")).alias("length")
+        each = [own.select("field", "term", "id", "tf", length) for own in self.fields]
+        posted = bucketed(reduce(DataFrame.unionByName, each), "id", "postings")
         lengths = materialise(_lengths(self.every, posted), "lengths")
         return LexicalIndex(posted, lengths, _stats(lengths))
 
@@ -59,13 +71,11 @@ def build_index(passages: DataFrame, key: str, fields: dict[str, str]) -> Lexica
 
     A passage without terms still counts in ``n`` and has length 0.
     """
-    posted = None
-    for name, column in fields.items():
-        own = postings(passages, key, column).select(F.lit(name).alias("field"), "term", "id", "tf")
-        posted = own if posted is None else posted.unionByName(own)
+    each = tuple(postings(passages, key, column).select(F.lit(name).alias("field"), "term", "id", "tf") for name, column in fields.items())
+    posted = reduce(DataFrame.unionByName, each)
     every = passages.select(F.col(key).alias("id"), F.explode(F.array(*map(F.lit, fields))).alias("field"))
     lengths = _lengths(every, posted)
-    return LexicalIndex(posted, lengths, _stats(lengths), every)
+    return LexicalIndex(posted, lengths, _stats(lengths), every, each)
 
 
 def _lengths(every: DataFrame, posted: DataFrame) -> DataFrame:
@@ -91,7 +101,8 @@ def bm25(index: LexicalIndex, query_terms: DataFrame) -> DataFrame:
     hits = index.postings.join(wanted, "term", "left_semi")
     frequency = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     stats = index.stats.where("total_length > 0")
-    scored = hits.join(index.lengths, ["field", "id"]).join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
+    measured = hits if "length" in hits.columns else hits.join(index.lengths, ["field", "id"])
+    scored = measured.join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     share = F.col("length") * F.col("n") / F.col("total_length")
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * share)) * field_weight(F.col("field"))

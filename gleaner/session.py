@@ -60,6 +60,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Like ``materialise``, in buckets of ``key``: what is grouped by the key, or by it and more, isn't shuffled again."""
+    spark = df.sparkSession
+    name = f"gleaner_{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", shared_path(spark, tag)).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")  # only its name: files stay, and what was read from it
+    return found
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the Python workers of ``spark``, where it isn't yet.
 

@@ -180,3 +180,15 @@ def test_excerpts_are_those_of_the_plain_form(spark):
             want.append((k, a, b, ("…" if a else "") + text[a:b] + ("…" if b < len(text) else "")))
         assert found == sorted(want)
     assert excerpt.excerpts(df.limit(0)).count() == 0
+
+
+def test_scores_of_a_saved_index_are_summed_without_a_shuffle_by_passage(spark, data):
+    from gleaner.operators import lexical
+    from gleaner.plans import queries as library
+
+    built = lexical.build_index(library.passages(spark, data), "doc_id", {"body": "text", "path": "path"})
+    terms = lexical.query_terms(library.questions(spark, data), "item_id", "query")
+    saved = lexical.bm25(built.saved(), terms)
+    plan = saved._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning(query_id" not in plan
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, lexical.bm25(built, terms).collect()))

@@ -94,20 +94,21 @@ def field_weight(field: Column) -> Column:
 def bm25(index: LexicalIndex, query_terms: DataFrame) -> DataFrame:
     """``query_id, id, score`` for ``query_terms`` (query_id, term), each term once for a query.
 
-    The join by term comes first and leaves only postings of query terms. Document frequencies are
-    counted from these alone. Statistics have one row for each field.
+    Document frequencies are counted from postings of query terms alone. The weights of a batch's terms,
+    a row for each term, field and question, are written before they are joined, so the planner knows
+    their size and sends them to the postings where they are small.
     """
     wanted = query_terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
-    frequency = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    frequency = index.postings.select("field", "term").join(wanted, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
     stats = index.stats.where("total_length > 0")
-    measured = hits if "length" in hits.columns else hits.join(index.lengths, ["field", "id"])
-    scored = measured.join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = frequency.join(F.broadcast(stats), "field").join(query_terms, "term")
+    weights = materialise(known.select("query_id", "field", "term", idf.alias("idf"), "n", "total_length"), "weights")
+    hits = index.postings.join(weights, ["field", "term"])
+    measured = hits if "length" in hits.columns else hits.join(index.lengths, ["field", "id"])
     share = F.col("length") * F.col("n") / F.col("total_length")
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * share)) * field_weight(F.col("field"))
-    parts = scored.select("term", "id", part.alias("part"))
-    return parts.join(query_terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * share)) * field_weight(F.col("field"))
+    return measured.select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:

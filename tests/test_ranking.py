@@ -190,5 +190,5 @@ def test_scores_of_a_saved_index_are_summed_without_a_shuffle_by_passage(spark,
     terms = lexical.query_terms(library.questions(spark, data), "item_id", "query")
     saved = lexical.bm25(built.saved(), terms)
     plan = saved._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and "hashpartitioning(query_id" not in plan
+    assert "Bucketed: true" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
     assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, lexical.bm25(built, terms).collect()))

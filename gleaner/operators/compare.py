@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.operators.numbering import numbered
 from gleaner.session import materialise
 
-#: Draws of a resample that one row makes.
-DRAWS = 1000
+#: Draws of a resample that are made at once.
+DRAWS = 1 << 15
+#: Deltas of a block, draws of a slice of the resamples, and slices at most, so that blocks are sent a bounded number of times.
+BLOCK, SLICE, SLICES = 1 << 20, 1 << 24, 32
 #: The generator of the resamples, its seed, and the resamples.
 A, C, M, SEED, SAMPLES = 1664525, 1013904223, 2**32, 20260905, 2000
 
@@ -37,28 +44,37 @@ def jump(state: int, steps: int) -> int:
     return state
 
 
-def _after(state: Column, steps: Column) -> Column:
-    """The generator's state after a number of steps below 2**48: for each of its bits, a power of the step."""
-    powers, a, c = [], A, C
-    for bit in range(48):
-        powers.append(F.struct(F.lit(1 << bit).cast("long").alias("bit"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
-        a, c = a * a % M, (a + 1) * c % M
-
-    def step(s: Column, p: Column) -> Column:
-        high = F.shiftleft((p["a"] * F.shiftright(s, 16)) % M, 16)  # in two halves, to stay within 64 bits
-        return F.when(p["bit"].bitwiseAND(steps) != 0, (high + p["a"] * s.bitwiseAND(F.lit(65535)) + p["c"]) % M).otherwise(s)
-
-    return F.aggregate(F.array(*powers), state, step)
+def _successors(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms that lead from a state to each of its first ``steps`` successors."""
+    factors, terms, a, c = np.empty(steps, np.uint64), np.empty(steps, np.uint64), 1, 0
+    for k in range(steps):
+        a, c = a * A % M, (c * A + C) % M
+        factors[k], terms[k] = a, c
+    return factors, terms
+
+
+def _resample(deltas: np.ndarray, n: int, at: int, samples: range, seed: int, draws: int) -> np.ndarray:
+    """For each sample and row of ``deltas`` the sum of the drawn ones. A row has those of numbers from ``at`` of the ``n`` of a group."""
+    factors, terms = _successors(min(draws, n))
+    state, ahead, out = jump(seed, samples.start * n), n % draws or draws, np.zeros((len(samples), len(deltas)))
+    whole, rest = (_jumps(k) for k in (min(draws, n), min(ahead, n)))
+    for k in range(len(samples)):
+        for first in range(0, n, draws):
+            size = min(draws, n - first)
+            states = (factors[:size] * np.uint64(state) + terms[:size]) % np.uint64(M)
+            number = np.floor(states / float(M) * n).astype(np.int64) - at
+            if deltas.shape[1] < n:
+                number = number[(number >= 0) & (number < deltas.shape[1])]
+            out[k] += deltas[:, number].sum(axis=1)
+            a, c = whole if size == min(draws, n) else rest
+            state = (a * state + c) % M
+    return out
 
 
-def _steps() -> tuple[Column, Column]:
-    """Factors and terms that lead from a state to each of its ``DRAWS`` successors."""
-    factors, terms, a, c = [], [], A, C
-    for _ in range(DRAWS):
-        factors.append(f"{a}L")
-        terms.append(f"{c}L")
-        a, c = a * A % M, (c * A + C) % M
-    return F.expr(f"array({', '.join(factors)})"), F.expr(f"array({', '.join(terms)})")
+def _jumps(steps: int) -> tuple[int, int]:
+    """Factor and term that lead from a state to its successor after ``steps``."""
+    c = jump(0, steps)
+    return (jump(1, steps) - c) % M, c
 
 
 def bootstrap_groups(pairs: DataFrame, by: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
@@ -66,46 +82,49 @@ def bootstrap_groups(pairs: DataFrame, by: list[str], samples: int = SAMPLES, se
 
     ``pairs``: ``*by, question, delta``; nulls are left out, and groups without deltas have no row. All
     resamples of a group draw from one sequence of the generator, each from its own part of it, and
-    the sequence depends on the number of deltas only. So groups are columns: one draw of
-    resamples for each number of deltas serves all groups that have so many. Deltas are numbered in the order
-    of the questions; a part of ``DRAWS`` draws of a resample is one row, which jumps to its place,
-    draws numbers, and meets their deltas in a join. No row and no task holds all questions. The groups,
-    a row each, are listed on the driver.
+    the sequence depends on the number of deltas only. Deltas are numbered in the order of the questions and packed
+    into blocks: of a large group ``BLOCK`` numbers, of small groups with equally many deltas several groups, which share their
+    draws. A block is met by a slice of the resamples in one row, whose draws are made and
+    summed in the task; only the sums leave it. No row and no task holds all questions, and nothing comes to the driver.
     """
-    spark = pairs.sparkSession
     rows = numbered(pairs.where("delta is not null").select(*by, "question", F.col("delta").cast("double").alias("delta")), [*by, "question"])
-    groups = rows.groupBy(*by).agg(F.min("number").alias("first"), F.count("*").alias("n")).orderBy("first").collect()
-    if not groups:
-        return rows.select(*by, F.col("delta").alias("low"), F.col("delta").alias("high"))
-    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
-    listed = spark.createDataFrame([(*[g[c] for c in by], g["first"], g["n"], k) for k, g in enumerate(groups)], f"{kinds}, _first long, _n long, _group int")
-    starts = F.broadcast(listed.select("_first", "_n", "_group"))
-    placed = rows.join(starts, (F.col("number") >= F.col("_first")) & (F.col("number") < F.col("_first") + F.col("_n")))
-    own = [F.max(F.when(F.col("_group") == k, F.col("delta"))).alias(f"d{k}") for k in range(len(groups))]
-    deltas = placed.groupBy(F.col("_n").alias("n"), (F.col("number") - F.col("_first")).alias("number")).agg(*own)
-    work = spark.createDataFrame([(n,) for n in sorted({g["n"] for g in groups})], "n long")
-    work = work.select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS))).alias("part")
-    work = work.select("n", "sample", part).select("n", "sample", (F.col("part") * DRAWS).alias("at")).repartition("n", "sample", "at")
-    begun = work.withColumn("state", _after(F.lit(seed).cast("long"), F.col("sample") * F.col("n") + F.col("at")))
-    factors, terms = _steps()
-    size = F.least(F.lit(DRAWS), F.col("n") - F.col("at")).cast("int")
-
-    def drawn(a: Column, k: Column) -> Column:
-        high = F.shiftleft((a * F.shiftright("state", 16)) % M, 16)  # in two halves, to stay within 64 bits
-        state = (high + a * F.col("state").bitwiseAND(F.lit(65535)) + F.get(terms, k)) % M
-        return F.floor(state / float(M) * F.col("n")).cast("long")
-
-    draws = begun.select("n", "sample", F.explode(F.transform(F.slice(factors, F.lit(1), size), drawn)).alias("number"))
-    times = draws.groupBy("n", "sample", "number").agg(F.count("*").alias("times"))
-    sums = [(F.sum(F.col("times") * F.col(f"d{k}")) / F.col("n")).alias(f"m{k}") for k in range(len(groups))]
-    means = times.join(deltas, ["n", "number"]).groupBy("n", "sample").agg(*sums)
-    each = means.select("n", F.posexplode(F.array(*[f"m{k}" for k in range(len(groups))])).alias("_group", "mean"))
-    # another group's deltas are null where the numbers of deltas differ
-    each = each.join(F.broadcast(listed), "_group").where(F.col("n") == F.col("_n"))
-    ordered = each.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("m"))  # as many as there are resamples
+    rows = materialise(rows, "deltas")
+    groups = rows.groupBy(*by).agg(F.min("number").alias("_first"), F.count("*").alias("_n"))
+    turn = F.row_number().over(Window.partitionBy("_n").orderBy("_first")) - 1
+    groups = materialise(groups.withColumn("_pack", F.floor(turn / F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("_n"))))), "groups")
+    named = groups.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "_first", "_n", "_pack")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    number = F.col("number") - F.col("_first")
+    placed = rows.join(named, same).select("_n", "_pack", F.floor(number / BLOCK).alias("_block"), "_first", (number % BLOCK).alias("number"), "delta")
+
+    def pack(part: pa.Table) -> pa.Table:
+        first, own = np.unique(part.column("_first").to_numpy(), return_inverse=True)
+        n, block = part.column("_n")[0].as_py(), part.column("_block")[0].as_py()
+        deltas = np.empty((len(first), min(BLOCK, n - block * BLOCK)))
+        deltas[own, part.column("number").to_numpy()] = part.column("delta").to_numpy()
+        return pa.table({"_n": [n], "_block": [block], "_firsts": [first.tobytes()], "_deltas": pa.array([deltas.tobytes()], pa.binary())})
+
+    packed = placed.groupBy("_n", "_pack", "_block").applyInArrow(pack, "_n long, _block long, _firsts binary, _deltas binary")
+    slices = F.least(F.lit(SLICES), F.lit(samples), F.ceil(F.col("_n") * samples / SLICE)).cast("int")
+    work = materialise(packed, "packed").withColumn("_slices", slices).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    work = work.repartition(SLICES, "_n", "_block", "_firsts", "_slice")
+    draws = DRAWS
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, block, slices, own = (batch.column(c)[k].as_py() for c in ("_n", "_block", "_slices", "_slice"))
+                first = np.frombuffer(batch.column("_firsts")[k].as_buffer(), np.int64)
+                deltas = np.frombuffer(batch.column("_deltas")[k].as_buffer(), np.float64).reshape(len(first), -1)
+                part = range(own * samples // slices, (own + 1) * samples // slices)
+                sums = _resample(deltas, n, block * BLOCK, part, seed, draws)
+                out = [np.tile(first, len(part)), np.repeat(np.arange(part.start, part.stop), len(first)), sums.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_first", "sample", "sum"])
+
+    sums = work.mapInArrow(draw, "_first long, sample long, sum double").groupBy("_first", "sample").agg(F.sum("sum").alias("sum"))
+    ordered = sums.join(groups.select("_first", "_n"), "_first").groupBy("_first").agg(F.array_sort(F.collect_list(F.col("sum") / F.col("_n"))).alias("m"))  # as many as there are resamples
     low, high = int(samples * 0.025), int(samples * 0.975)
-    return ordered.select(*by, F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
+    return groups.join(ordered, "_first").select(*by, F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
 
 
 def bootstrap(pairs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:

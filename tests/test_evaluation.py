@@ -134,3 +134,26 @@ def test_a_resample_of_several_parts(spark, monkeypatch):
         means.append(total / len(deltas))
     means.sort()
     assert want == (round(means[5], 6), round(means[195], 6))
+
+
+def test_bootstrap_by_blocks_and_slices(spark, monkeypatch):
+    """Draws are made where a block of deltas is; groups of any size share them, and none is listed on the driver."""
+    rows = [(f"g{g}" if g else None, k, (k * 37 + g * 11) % 23 - 9.5) for g, n in enumerate([5, 5, 5, 1, 40, 40, 5]) for k in range(n)]
+    pairs = spark.createDataFrame(rows, "g string, question long, delta double")
+    for name, value in (("BLOCK", 12), ("SLICE", 700), ("SLICES", 3), ("DRAWS", 7)):
+        monkeypatch.setattr(compare, name, value)
+    frames = compare.bootstrap_groups(pairs, ["g"], 100)
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    assert "draw(" in plan and "LocalRelation" not in plan
+    found = {r["g"]: (r["low"], r["high"]) for r in frames.collect()}
+    assert len(found) == 7
+    for g in found:
+        deltas, state, means = [d for h, _, d in rows if h == g], compare.SEED, []
+        for _ in range(100):
+            total = 0.0
+            for _ in deltas:
+                state = (compare.A * state + compare.C) % compare.M
+                total += deltas[int(state / compare.M * len(deltas))]
+            means.append(total / len(deltas))
+        means.sort()
+        assert found[g] == (round(means[2], 6), round(means[97], 6))

@@ -74,6 +74,19 @@ def lexical_violations(postings: DataFrame, lengths: DataFrame, stats: DataFrame
     )
 
 
+def number_violations(numbered: DataFrame, passages: DataFrame) -> DataFrame:
+    """Rules of the numbers (id, passage_id) of ``passages``: each has one, from 0 without gaps."""
+    return _gather(
+        {
+            "passage without number": passages.select("passage_id").join(numbered.select("passage_id"), "passage_id", "left_anti"),
+            "number without passage": numbered.select("passage_id").join(passages.select("passage_id"), "passage_id", "left_anti"),
+            "passage numbered twice": numbered.groupBy("passage_id").count().where("count > 1").select("passage_id"),
+            "number repeated": numbered.groupBy("id").count().where("count > 1").select("id"),
+            "numbers": numbered.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> 0 or high <> n - 1").select("n"),
+        }
+    )
+
+
 def hit_violations(hits: DataFrame, sources: DataFrame) -> DataFrame:
     """Rules of displayed hits (query_id, rank, source, start, end, snippet) of ``sources`` (source, text).
 

@@ -23,10 +23,10 @@ from gleaner.functions.vectors import norm, valid
 from gleaner.operators.batching import greedy
 from gleaner.operators.lexical import LexicalIndex, build_index
 from gleaner.operators.numbering import numbered
-from gleaner.operators.quality import lexical_violations, span_violations, vector_violations
+from gleaner.operators.quality import lexical_violations, number_violations, span_violations, vector_violations
 from gleaner.operators.similarity import pack_vectors
 from gleaner.plans.versions import exists, latest, swap
-from gleaner.session import materialise
+from gleaner.session import buckets_at, materialise
 from gleaner.sources.limits import Retrying
 from gleaner.sources.markdown import Budget, chunk, coverage
 from gleaner.sources.providers import Embedding, check_vectors
@@ -127,11 +127,7 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     now = vectors(spark, root, profile, folder)
     if passages.join(now.where(valid(F.col("embedding"), provider.size)), "chunk_hash", "left_anti").limit(1).count():
         raise EngineError(Code.INDEX_INVALID, "a passage has no valid vector")
-    lexical = build_index(passages.select("passage_id", "text", F.concat_ws(" ", "headings").alias("heads"), "source"), "passage_id", {"body": "text", "headings": "heads", "path": "source"}).saved()
-    lexical.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
-    lexical.lengths.write.parquet(f"{at}/lengths")
-    lexical.stats.write.parquet(f"{at}/stats")
-    _write_read_path(spark, at, passages, now, spark.read.parquet(f"{at}/postings"))
+    _write_read_path(spark, at, passages, now)
     total = passages.select("chunk_hash").distinct().count()
 
 
@@ -147,16 +143,23 @@ def prepare(spark: SparkSession, sources: DataFrame, root: str, provider: Embedd
     return {"generation": generation, "passages": passages.count(), "inputs": total, "embedded": embedded}
 
 
-def _write_read_path(spark: SparkSession, at: str, passages: DataFrame, stored: DataFrame, postings: DataFrame) -> None:
+def _write_read_path(spark: SparkSession, at: str, passages: DataFrame, stored: DataFrame) -> None:
     """What every search needs and none should make: numbers of passages, by which ties of all lists
-    go, their vectors in blocks, and the rarity of terms."""
+    go, their vectors in blocks, postings and lengths by number, and the rarity of terms.
+
+    Postings are bucketed by number and have their lengths with them, so scores of a batch are summed where they are read.
+    """
     own = passages.select("passage_id", "chunk_hash", "source", "start", "end", "text", "headings")
     numbered(own, ["source", "start", "end", "passage_id"], "id").write.parquet(f"{at}/passages")
     kept = spark.read.parquet(f"{at}/passages")
     vectors = materialise(kept.select("chunk_hash", "id").join(stored, "chunk_hash").select("id", F.col("embedding").alias("v")), "keyed")
     pack_vectors(vectors).write.parquet(f"{at}/packed")
+    lexical = build_index(kept.select("id", "text", F.concat_ws(" ", "headings").alias("heads"), "source"), "id", {"body": "text", "headings": "heads", "path": "source"}).saved(f"{at}/postings")
+    lexical.lengths.write.parquet(f"{at}/lengths")
+    lexical.stats.write.parquet(f"{at}/stats")
+    spark.range(1).select(F.lit(lexical.parts).alias("buckets")).write.parquet(f"{at}/layout")
     n, df = kept.count(), F.count("*")
-    postings.where("field = 'body'").groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/rarity")
+    lexical.postings.where("field = 'body'").groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/rarity")
 
 
 class Index:
@@ -181,7 +184,15 @@ class Index:
         return self.table("spans").where("passage_id is not null")
 
     def lexical(self) -> LexicalIndex:
-        return LexicalIndex(self.table("postings"), self.table("lengths"), self.table("stats"))
+        """Postings and lengths by ``passage_id``."""
+        names = self.numbered().select("id", "passage_id")
+        posted, lengths = (self.table(t).join(names, "id").drop("id").withColumnRenamed("passage_id", "id") for t in ("postings", "lengths"))
+        return LexicalIndex(posted, lengths, self.table("stats"))
+
+    def by_number(self) -> LexicalIndex:
+        """Postings, in their buckets, and lengths by the number of the passage."""
+        path = f"{self.root}/generations/{self.generation}/postings"
+        return LexicalIndex(buckets_at(self.spark, path, "id", self.table("layout").first()["buckets"]), self.table("lengths"), self.table("stats"))
 
     def numbered(self) -> DataFrame:
         """Passages with ``id``, their number in the order of source and place."""
@@ -209,10 +220,11 @@ class Index:
 
     def check(self) -> "Index":
         """The index itself if its tables hold together, else INDEX_INVALID."""
-        size, lexical = _size(self.profile), self.lexical()
+        size, lexical, numbers = _size(self.profile), self.by_number(), self.numbered()
         found = span_violations(self.table("spans"), self.table("sources"))
         found = found.unionByName(vector_violations(self.passages(), self.vectors(), size))
-        found = found.unionByName(lexical_violations(lexical.postings, lexical.lengths, lexical.stats, self.passages()))
+        found = found.unionByName(lexical_violations(lexical.postings, lexical.lengths, lexical.stats, numbers.select(F.col("id").alias("passage_id"))))
+        found = found.unionByName(number_violations(numbers, self.passages()))
         broken = found.limit(1).collect()
         if broken:
             raise EngineError(Code.INDEX_INVALID, f"{broken[0]['rule']}: {broken[0]['subject']}")

@@ -119,14 +119,14 @@ def search(
     models = embedding if expansion is None else Live(embedding, expansion, reranking)
     failures = failures or Failures(False)
     variants = materialise(expand_queries(queries, models, failures, instruction, seconds).withColumn("variant", F.monotonically_increasing_id()), "variants")
-    passages, posted = index.numbered(), index.lexical()
+    passages, posted = index.numbered(), index.by_number()
     names = F.broadcast(variants.select(F.col("variant").alias("query_id"), F.col("query_id").alias("q"), "channel", "is_original"))
     terms = query_terms(variants.where("kind = 'lex'"), "variant", "text")
-    scored = bm25(posted, terms).withColumnRenamed("id", "passage_id").join(passages.select("passage_id", "id"), "passage_id")
-    lexical = top(scored.select("query_id", "id", "score"), DEPTH)
+    lexical = top(bm25(posted, terms), DEPTH)
     near = cosine_top(variants.where("kind = 'vec'").select(F.col("variant").alias("id"), "v"), index.packed(), DEPTH)
     lists = lexical.unionByName(near).join(names, "query_id").select(F.col("q").alias("query_id"), "channel", "is_original", "id", "rank")
-    fused = protect(fuse(lists).join(passages.select("id", "source"), "id"))
+    lists = materialise(lists, "lists")  # some rows a query, joined to passages as what they are
+    fused = materialise(protect(fuse(lists).join(passages.select("id", "source"), "id")), "fused")
     asked = queries.select("query_id", "query").join(variants.groupBy("query_id").agg(F.min("left").alias("left")), "query_id")
     texts = materialise(fused.join(passages.drop("source"), "id").join(asked, "query_id"), "texts")
 

@@ -96,3 +96,20 @@ def test_search_gives_what_its_plain_form_gives(spark, data, tmp_path):
     assert any(expansion.expand(q)["lex"] for q in texts.values()) and sum(map(len, found.values())) > 10
     for key, query in texts.items():
         assert found[key] == plain.search(query, model, expansion, reranking), (key, query)
+
+
+def test_scores_of_an_index_are_summed_where_its_postings_are_read(spark, tmp_path):
+    from gleaner.operators.lexical import bm25, query_terms
+    from gleaner.plans.index import Index, prepare
+    from gleaner.sources.providers import HashEmbedding
+
+    model, root = HashEmbedding(8), str(tmp_path / "index")
+    rows = [(f".agent/knowledge/{k}.md", f"alpha word{k % 3} beta") for k in range(12)]
+    prepare(spark, spark.createDataFrame(rows, "source string, text string"), root, model)
+    opened = Index(spark, root, model)
+    terms = query_terms(spark.createDataFrame([(1, "alpha word1")], "query_id long, text string"), "query_id", "text")
+    scored = bm25(opened.by_number(), terms)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    named = scored.join(opened.numbered().select("id", "passage_id"), "id").select("query_id", "passage_id", "score")
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, bm25(opened.lexical(), terms).collect()))

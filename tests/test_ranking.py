@@ -192,3 +192,12 @@ def test_scores_of_a_saved_index_are_summed_without_a_shuffle_by_passage(spark,
     plan = saved._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
     assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, lexical.bm25(built, terms).collect()))
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TEXT", 1000)
+    df = spark.createDataFrame([(k, "aa bb " * 50) for k in range(60)], "id long, body string")
+    assert lexical.postings(df, "id", "body").rdd.getNumPartitions() == 18
+    saved = lexical.build_index(df, "id", {"body": "body"}).saved()
+    assert saved.parts == 18 and saved.postings.inputFiles()
+    assert {(r["id"], r["term"], r["tf"], r["length"]) for r in saved.postings.collect()} == {(k, t, 50, 100) for k in range(60) for t in ("aa", "bb")}

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 DIGITS = 6
 #: Bytes of vectors in a block, as 32-bit floats, and queries in a block at most.
 BLOCK, QUERY_BLOCK = 8 << 20, 512
+#: Scores of a product that are held at once.
+SCORES = 1 << 21
 
 
 def _blocks(vectors: DataFrame, name: str, most: int) -> DataFrame:
@@ -51,14 +53,22 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, depth: int, itself: bool
             for k in range(batch.num_rows):
                 q_ids, q = _unpack(batch.column("queries")[k])
                 ids, rows = _unpack(batch.column("rows")[k])
-                score = np.round(q @ rows.T, DIGITS) + 0.0
-                if not itself:
-                    score[q_ids[:, None] == ids[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :depth]
-                kept = np.take_along_axis(score, order, axis=1)
-                good = (kept > -2.0).ravel()
-                out = [np.repeat(q_ids, order.shape[1])[good], ids[order].ravel()[good], kept.ravel()[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "id", "score"])
+                step = max(1, SCORES // len(ids))
+                for at in range(0, len(q_ids), step):
+                    yield some(q_ids[at : at + step], q[at : at + step], ids, rows)
+
+    def some(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        score = np.round(q @ rows.T, DIGITS) + 0.0
+        if not itself:
+            score[q_ids[:, None] == ids[None, :]] = -2.0
+        last = max(0, len(ids) - depth)
+        least = np.partition(score, last, axis=1)[:, last]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -2.0))  # with all ties of the last, which go by id
+        order = np.lexsort((ids[j], -score[i, j], i))
+        i, j = i[order], j[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < depth
+        i, j = i[kept], j[kept]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[i], ids[j], score[i, j])], ["query_id", "id", "score"])
 
     left, right = _blocks(queries, "queries", QUERY_BLOCK), vectors if vectors.columns == ["rows"] else pack_vectors(vectors)
     pairs = right.crossJoin(left)

@@ -201,3 +201,15 @@ def test_texts_are_dealt_by_their_size(spark, monkeypatch):
     saved = lexical.build_index(df, "id", {"body": "body"}).saved()
     assert saved.parts == 18 and saved.postings.inputFiles()
     assert {(r["id"], r["term"], r["tf"], r["length"]) for r in saved.postings.collect()} == {(k, t, 50, 100) for k in range(60) for t in ("aa", "bb")}
+
+
+def test_products_are_cut_into_slices_of_scores(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SCORES", 50)
+    rnd = random.Random(3)
+    rows = [(k, [float(rnd.randint(-1, 1)), float(rnd.randint(-1, 1)), 1.0]) for k in range(60)]  # many equal scores
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = similarity.cosine_top(df.where("id % 6 = 0"), df, 7).collect()
+    cos = lambda v, w: round(sum(a * b for a, b in zip(v, w)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in w)), 6)
+    for q, v in rows[::6]:
+        want = sorted((-cos(v, w), k) for k, w in rows)[:7]
+        assert [(-r["score"], r["id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == want

@@ -354,8 +354,37 @@ def group_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, radius: int,
     return ids[i], ids[j]
 
 
-def _shards(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Two tables ``shard, doc_id, p, c``, of documents by each of their keys that another has too, and of crowds ``doc_id, p, c, first``.
+def other_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, root: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that :func:`group_candidates` chooses from, but those of one ``root``."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = root[i] != root[j]
+        good[good] = _apart(p[i[good]], p[j[good]]) + _apart(c[i[good]], c[j[good]]) <= apart
+        found.append((i[good], j[good]))
+        return good
+
+    leaf_links(p, np.ones(len(p), bool), radius, accept)
+    i, j = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    return ids[i], ids[j]
+
+
+def _unjoined(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shard, doc_id, p, c, root`` of keys that documents of several roots have.
+
+    A crowd is dealt to blocks, and every two of its blocks meet in a shard: no two of a crowd are kept apart.
+    """
+    rooted = shared.select("key", "n", "doc_id", "p", "c").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    blocks = F.ceil(F.col("n") / CROWD).cast("int")
+    rows = rooted.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "doc_id", "p", "c", "root")
+
+
+def _shards(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two tables ``shard, doc_id, p, c``, of documents by each of their keys that another has too, of crowds ``doc_id, p, c, first``, and all keys that are shared.
 
     A key that over ``CROWD`` documents have deals them again, by that key and their next one, and what is a
     crowd even so to as many parts as it needs. In each crowd everyone is in a shard with the one of
@@ -376,7 +405,7 @@ def _shards(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame, DataF
     again = materialise(large.drop("n").withColumnRenamed("first", "outer").join(crowds(large, "finer"), "finer"), "again")
     parts = F.ceil(F.col("n") / CROWD)
     shard = F.xxhash64("finer", F.pmod(F.xxhash64("doc_id"), parts))
-    return small, again.select(shard.alias("shard"), "doc_id", "p", "c"), large.select("doc_id", "p", "c", "first").unionByName(again.select("doc_id", "p", "c", "first"))
+    return small, again.select(shard.alias("shard"), "doc_id", "p", "c"), large.select("doc_id", "p", "c", "first").unionByName(again.select("doc_id", "p", "c", "first")), first
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, share: int = 4, radius: int = 18, apart: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,8 +416,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
     rate; so shards are dealt by keys of ``share`` least hashes, which similar documents have in common
     with a chance of ``similarity ** share`` for each of ``tables``, and the tree of op6 searches
     within each shard. A shard gives the forest of its nearest pairs; each of these is verified
-    by the whole shingle sets. Links join what belongs together, but where the nearest of a document are all
-    below the threshold by the sets though others are not, and where no key is shared (0.015 at 0.8). Rows
+    by the whole shingle sets. A second round verifies every candidate pair that these links haven't joined, whichever was nearer and
+    whatever part of a crowd it is in. So links join what belongs together, but where no key is shared (0.015 at 0.8) or bits differ by chance. Rows
     without an id are left out; documents without words are similar. Of an id that repeats any text counts.
     """
     rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
@@ -405,26 +434,15 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
 
     names = [*[f"k{k}" for k in range(tables)], "p", "c"]
     prints = materialise(rows.mapInArrow(describe, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "prints")
-    small, split, crowded = _shards(prints, tables)
+    small, split, crowded, shared = _shards(prints, tables)
     found = small.unionByName(split).groupBy("shard").applyInArrow(search, "a long, b long")
     bits = F.bit_count(F.col("p").bitwiseXOR(F.col("first.p"))) + F.bit_count(F.col("c").bitwiseXOR(F.col("first.c")))
     found = found.unionByName(crowded.where(bits <= apart).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")))
-    ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    ends = materialise(ends, "ends")
-    # a document with many candidates is compared with them in parts, each with its own copy of it
-    parts = ends.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    ends = materialise(ends.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"), "parted")
-    wanted = materialise(ends.select(F.col("a").alias("doc_id")).unionByName(ends.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack_sorted(shingle_set(t, shingle)) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    shingles = rows.join(listed(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
-    shingles = materialise(shingles, "shingles")
-    left = ends.select("a", "part").distinct().join(shingles.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
-    right = ends.join(shingles.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "shingles")
-
     def verify(group: pa.Table) -> pa.Table:
         hashes = [unpack_sorted(x, np.uint64) for x in group.column("shingles").to_pylist()]
         ids = group.column("b").to_pylist()
@@ -432,7 +450,27 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
         good = sorted({b for h, b in zip(hashes, ids) if b is not None and any(jaccard(x, h) >= similarity for x in own)})
         return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    return left.unionByName(right).groupBy("a", "part").applyInArrow(verify, "a long, b long")
+    def verified(found: DataFrame) -> DataFrame:
+        ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        ends = materialise(ends, "ends")
+        # a document with many candidates is compared with them in parts, each with its own copy of it
+        parts = ends.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        ends = materialise(ends.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"), "parted")
+        wanted = materialise(ends.select(F.col("a").alias("doc_id")).unionByName(ends.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+        shingles = rows.join(listed(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+        shingles = materialise(shingles, "shingles")
+        left = ends.select("a", "part").distinct().join(shingles.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+        right = ends.join(shingles.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "shingles")
+        return left.unionByName(right).groupBy("a", "part").applyInArrow(verify, "a long, b long")
+
+    def others(group: pa.Table) -> pa.Table:
+        ids, p, c, root = (group.column(x).to_numpy() for x in ("doc_id", "p", "c", "root"))
+        a, b = other_candidates(ids, p.view(np.uint64), c.view(np.uint64), root, radius, apart)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sure = materialise(verified(found), "links")
+    left = _unjoined(shared, connected_components(sure, "a", "b")).groupBy("shard").applyInArrow(others, "a long, b long")
+    return sure.unionByName(verified(left))
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

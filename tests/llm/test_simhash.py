@@ -201,3 +201,24 @@ def test_best_forest_has_the_nearest_of_each():
             d = d_of[x, y]
             got[x], got[y] = min(got.get(x, 99), d), min(got.get(y, 99), d)
         assert got == {int(k): int(v) for k, v in least.items()}
+
+
+def test_no_candidate_is_left_unverified(spark, monkeypatch):
+    """The forest of nearest pairs leaves candidates out, and crowds are dealt in parts; the second round has all that aren't joined."""
+    import numpy as np
+
+    from gleaner.llm import simhash
+
+    ids, p, c = np.array([5, 6, 7, 8]), np.array([0, 1, 6, 0], np.uint64), np.zeros(4, np.uint64)
+    nearest = {tuple(sorted(x)) for x in zip(*map(list, simhash.group_candidates(ids, p, c, 18, 28)))}
+    assert (6, 7) not in nearest
+    rest = simhash.other_candidates(ids, p, c, np.array([5, 6, 7, 5]), 18, 28)
+    assert {tuple(sorted(map(int, x))) for x in zip(*rest)} == {(5, 6), (5, 7), (6, 7), (6, 8), (7, 8)}
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    shared = spark.createDataFrame([(1, 11, d, 0, 0) for d in range(11)] + [(2, 2, d, 0, 0) for d in (20, 21)], "key long, n long, doc_id long, p long, c long")
+    roots = spark.createDataFrame([(20, 20), (21, 20), (0, 0), (1, 0)], "node long, root long")
+    met = {}
+    for r in simhash._unjoined(shared, roots).collect():
+        met.setdefault(r["shard"], set()).add(r["doc_id"])
+    pairs = {(a, b) for own in met.values() for a in own for b in own if a < b}
+    assert pairs == {(a, b) for a in range(11) for b in range(a + 1, 11)} and max(map(len, met.values())) < 11

@@ -213,3 +213,15 @@ def test_products_are_cut_into_slices_of_scores(spark, monkeypatch):
     for q, v in rows[::6]:
         want = sorted((-cos(v, w), k) for k, w in rows)[:7]
         assert [(-r["score"], r["id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_queries_deal_texts_by_their_size(spark, tmp_path, monkeypatch):
+    from gleaner.plans import queries as library
+
+    monkeypatch.setattr(lexical, "TEXT", 1000)
+    spark.createDataFrame([(k, "aa bb " * 50, "s") for k in range(60)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = library.token_frequencies(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().toString()) and ", 18), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, found.collect())) == [("aa", 3000, 60), ("bb", 3000, 60)]
+    built = library._index(spark, str(tmp_path))
+    assert built.parts > 18 and {r["total_length"] for r in built.stats.where("field = 'body'").collect()} == {6000}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.tasks import column, mix64, slices, whole_row
+from gleaner.llm.tasks import column, mix64, release, slices, whole_row
 from gleaner.session import materialise
 
 ORDER, HASHES, BITS_PER_GRAM = 3, 3, 12
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     sample = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             langs, texts = np.array(part.column(0).to_pylist(), object), np.array(part.column(1).to_pylist(), object)
             for lang in set(langs.tolist()):
@@ -221,6 +222,7 @@ def detect_languages(docs: DataFrame, filters: LanguageFilters | FilterBank, id_
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, 256):
             names, scores = zip(*shared.value.detect(part.column(0).field(text_at).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
@@ -234,6 +236,7 @@ def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, 256):
             good = [any(map(str.isalpha, t or "")) for t in part.column(0).field(text_at).to_pylist()]
             yield part.filter(pa.array(good, pa.bool_()))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.tasks import column, slices
+from gleaner.llm.tasks import column, kept, slices
 from gleaner.session import materialise
 
 CAPACITY, END = 4096, 1
@@ -120,17 +120,16 @@ class WordEncoder:
         return [bytes(data[x:y]) for x, y in zip(ends[:-1], ends[1:])]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
-    if path not in _ENCODERS:
+    """One encoder for each worker process, until a stage of another kind runs in it."""
+
+    def make() -> WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        return WordEncoder(path)
+
+    return kept(("words", path), make)
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"

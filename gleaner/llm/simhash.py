@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.tasks import column, hook, listed, mix64, pack_sorted, slices, unpack_sorted, utf8, without
+from gleaner.llm.tasks import column, hook, listed, mix64, pack_sorted, release, slices, unpack_sorted, utf8, without
 from gleaner.operators.components import connected_components
 from gleaner.session import materialise
 
@@ -423,6 +423,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
     rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             found = np.array([shingle_print(shingle_hashes(t, shingle), tables, share) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, tables + 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(x)) for x in found.T]], ["doc_id", *names])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.tasks import column, mix64, pack, pack_sorted, slices, unpack, unpack_sorted, utf8, whole_row
+from gleaner.llm.tasks import column, mix64, pack, pack_sorted, release, slices, unpack, unpack_sorted, utf8, whole_row
 from gleaner.session import shared_path
 
 WINDOW, DEPTH, LOAD, SLICE_BITS = 13, 2, 8.0, 25
@@ -94,6 +94,7 @@ def shelve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     rows = docs.select(whole_row(docs).alias("row"), F.coalesce(column(id_col).cast("long"), F.lit(LAST)).alias("key"), size.alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         first = TaskContext.get().partitionId() << 32
         for k, (held, _) in enumerate(_blocks(batches, block_bytes)):
             sink = pa.BufferOutputStream()

@@ -1,5 +1,6 @@
 import itertools
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,8 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gleaner.llm import packing
-from gleaner.llm.packing import WordEncoder, best_fit, pack_documents, plan, reduce_by_dominance
+from gleaner.llm import packing, tasks
+from gleaner.llm.packing import WordEncoder, best_fit, encoder, pack_documents, plan, reduce_by_dominance
 from tests.llm.texts import awkward, frame, order
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -122,3 +123,15 @@ def test_documents(spark, plain, monkeypatch):
 
 def test_empty_table(spark):
     assert pack_documents(frame(spark, []), PATH).count() == 0
+
+
+def test_a_worker_keeps_one_encoder_until_it_is_released():
+    first = encoder(PATH)
+    assert encoder(PATH) is first
+    left = weakref.ref(first)
+    del first
+    tasks.release()
+    assert left() is None
+    again = weakref.ref(encoder(PATH))
+    assert tasks.kept("other", list) == [] and again() is None
+    tasks.release()

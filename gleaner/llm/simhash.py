@@ -35,6 +35,8 @@ DENSE = 768
 PRINT, CROWD = 128, 2048
 #: Documents that one copy of a document's shingles is compared with.
 PARTNERS = 256
+#: Bytes of packed shingles in a part of a group; a task compares two parts.
+PACK = 1 << 22
 
 
 # Fingerprints
@@ -354,13 +356,24 @@ def group_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, radius: int,
     return ids[i], ids[j]
 
 
+def _unlike(p: np.ndarray, c: np.ndarray, root: np.ndarray, apart: int) -> Accept:
+    """Whether pairs are candidates of different roots."""
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = root[i] != root[j]
+        good[good] = _apart(p[i[good]], p[j[good]]) + _apart(c[i[good]], c[j[good]]) <= apart
+        return good
+
+    return accept
+
+
 def other_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, root: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of ids that :func:`group_candidates` chooses from, but those of one ``root``."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    unlike = _unlike(p, c, root, apart)
 
     def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        good = root[i] != root[j]
-        good[good] = _apart(p[i[good]], p[j[good]]) + _apart(c[i[good]], c[j[good]]) <= apart
+        good = unlike(i, j)
         found.append((i[good], j[good]))
         return good
 
@@ -369,6 +382,44 @@ def other_candidates(ids: np.ndarray, p: np.ndarray, c: np.ndarray, root: np.nda
     return ids[i], ids[j]
 
 
+def other_groups(ids: np.ndarray, p: np.ndarray, c: np.ndarray, root: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(group, id)`` of the groups that the pairs of :func:`other_candidates` connect: a row for each id, not for each pair.
+
+    A group's number follows from its ids, so that a group that several shards find is one.
+    """
+    low, first = leaf_links(p, np.ones(len(p), bool), radius, _unlike(p, c, root, apart))
+    own = np.unique(first)
+    who, of = np.concatenate((low, own)), np.concatenate((first, own))
+    number = np.zeros(len(p), np.uint64)
+    np.add.at(number, of, mix64(ids[who].astype(np.int64).view(np.uint64) + np.uint64(1)))
+    return number[of].view(np.int64), ids[who]
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of sorted sets with a Jaccard similarity of ``similarity`` or more that span all such pairs.
+
+    Common hashes of a set and all before it are counted from postings, so no two sets are compared by themselves.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    parent, found = np.arange(n), []
+    _, token, df = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    postings = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    first, ends = np.cumsum(df) - df, np.cumsum(sizes)
+    for k in range(1, n):
+        own = token[ends[k] - sizes[k] : ends[k]]
+        many = df[own]
+        at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(postings[at], minlength=n)[:k]
+        union = sizes[k] + sizes[:k] - both
+        j = np.flatnonzero(np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity)
+        j = j[np.unique(parent[j], return_index=True)[1]]
+        j = j[parent[j] != parent[k]]
+        found.append((j, np.full(len(j), k)))
+        hook(parent, *found[-1])
+    i, j = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    return i, j
+
+
 def _unjoined(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """``shard, doc_id, p, c, root`` of keys that documents of several roots have.
 
@@ -417,7 +468,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
     with a chance of ``similarity ** share`` for each of ``tables``, and the tree of op6 searches
     within each shard. A shard gives the forest of its nearest pairs; each of these is verified
     by the whole shingle sets. A second round verifies every candidate pair that these links haven't joined, whichever was nearer and
-    whatever part of a crowd it is in. So links join what belongs together, but where no key is shared (0.015 at 0.8) or bits differ by chance. Rows
+    whatever part of a crowd it is in: it sends the sets of a group that such pairs connect to one place, a row for each document, and
+    returns pairs that span the group's links. So links join what belongs together, but where no key is shared (0.015 at 0.8) or bits differ by chance. Rows
     without an id are left out; documents without words are similar. Of an id that repeats any text counts.
     """
     rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
@@ -466,12 +518,29 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
 
     def others(group: pa.Table) -> pa.Table:
         ids, p, c, root = (group.column(x).to_numpy() for x in ("doc_id", "p", "c", "root"))
-        a, b = other_candidates(ids, p.view(np.uint64), c.view(np.uint64), root, radius, apart)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        number, who = other_groups(ids, p.view(np.uint64), c.view(np.uint64), root, radius, apart)
+        return pa.table({"group": pa.array(number, pa.int64()), "doc_id": pa.array(who, pa.int64())})
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids = group.column("doc_id").to_numpy()
+        a, b = similar_pairs([unpack_sorted(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    def grouped(left: DataFrame) -> DataFrame:
+        groups = materialise(left.distinct(), "groups")
+        wanted = materialise(groups.select("doc_id").distinct(), "wanted")
+        shingles = materialise(rows.join(listed(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+        sizes = shingles.select("doc_id", F.octet_length("shingles").cast("long").alias("size"))
+        parts = groups.join(sizes, "doc_id").groupBy("group").agg(F.ceil(F.sum("size") / PACK).cast("int").alias("parts"))
+        # a group of large sets is dealt to parts, and every two of its parts meet
+        dealt = groups.join(parts, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("pack"), "doc_id")
+        return materialise(dealt, "packs").join(shingles, "doc_id").groupBy("pack").applyInArrow(compare, "a long, b long")
 
     sure = materialise(verified(found), "links")
-    left = _unjoined(shared, connected_components(sure, "a", "b")).groupBy("shard").applyInArrow(others, "a long, b long")
-    return sure.unionByName(verified(left))
+    left = _unjoined(shared, connected_components(sure, "a", "b")).groupBy("shard").applyInArrow(others, "group long, doc_id long")
+    return sure.unionByName(grouped(left))
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -222,3 +222,81 @@ def test_no_candidate_is_left_unverified(spark, monkeypatch):
         met.setdefault(r["shard"], set()).add(r["doc_id"])
     pairs = {(a, b) for own in met.values() for a in own for b in own if a < b}
     assert pairs == {(a, b) for a in range(11) for b in range(a + 1, 11)} and max(map(len, met.values())) < 11
+
+
+def unlike_crowd(n=160, words=120):
+    """Documents of one template, nearly all of them a little less similar than 0.8, and some that are links."""
+    rnd = __import__("random").Random(8)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for d in range(n):
+        own = list(base)
+        for k in rnd.sample(range(words), 4):
+            own[k] = f"own{d}x{k}"
+        rows.append((d, " ".join(own)))
+        if d % 20 == 3:
+            own[-1] = "end"
+            rows.append((1000 + d, " ".join(own)))
+    return rows
+
+
+def test_rows_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """Candidates that aren't links meet in groups, a row for each of their documents and keys, not for each pair."""
+    from gleaner.llm import simhash
+    from gleaner.session import materialise
+
+    written = []
+
+    def counted(df, tag):
+        out = materialise(df, tag)
+        written.append((out.count(), tag))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    rows = unlike_crowd()
+    root = similar_brute(rows)
+    found = [(r["a"], r["b"]) for r in similar_links(frame(spark, rows)).collect()]
+    sets = {d: shingles(t) for d, t in rows}
+    assert all(similar(sets[a], sets[b]) for a, b in found)
+    assert components(sorted(root), found) == root and 20 < len(set(root.values())) < len(rows)
+    assert max(written)[0] <= 8 * len(rows), written
+
+
+def test_groups_hold_all_candidates_that_are_not_joined():
+    from gleaner.llm import simhash
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (30, 2), dtype=np.uint64)
+    ids = rng.permutation(300).astype(np.int64)
+    flips = np.array([sum(1 << int(b) for b in rng.integers(0, 64, 6)) for _ in range(600)], np.uint64).reshape(300, 2)
+    p, c = (base[np.arange(300) % 30] ^ flips).T.copy()
+    root = rng.integers(0, 40, 300)
+    number, who = simhash.other_groups(ids, p, c, root, 18, 28)
+    of = dict(zip(who.tolist(), number.tolist()))
+    pairs = set(zip(*(x.tolist() for x in simhash.other_candidates(ids, p, c, root, 18, 28))))
+    assert pairs and set(of) == {x for pair in pairs for x in pair} and len(of) == len(who)
+    joined = components(sorted(of), pairs)
+    assert all((of[a] == of[b]) == (joined[a] == joined[b]) for a in of for b in of)
+    turned = simhash.other_groups(ids[::-1], p[::-1].copy(), c[::-1].copy(), root[::-1], 18, 28)
+    assert dict(zip(turned[1].tolist(), turned[0].tolist())) == of
+
+
+def test_similar_pairs_span_what_all_comparisons_find():
+    from gleaner.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 40):
+        sets = [np.unique(rng.integers(0, rng.choice([6, 12, 40]), rng.integers(0, 25))).astype(np.uint64) for _ in range(n)]
+        links = [(a, b) for a in range(n) for b in range(a) if simhash.jaccard(sets[a], sets[b]) >= 0.6]
+        i, j = (x.tolist() for x in simhash.similar_pairs(sets, 0.6))
+        assert set(zip(j, i)) <= set(links)
+        assert components(range(n), zip(i, j)) == components(range(n), links) and len(i) == n - len(set(components(range(n), links).values()))
+
+
+def test_groups_of_large_sets_are_compared_in_parts(spark, monkeypatch):
+    from gleaner.llm import simhash
+
+    monkeypatch.setattr(simhash, "PACK", 4000)
+    rows = unlike_crowd(60)
+    root = similar_brute(rows)
+    assert components(sorted(root), [(r["a"], r["b"]) for r in similar_links(frame(spark, rows)).collect()]) == root

@@ -449,7 +449,8 @@ def _shards(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame, DataF
         found = rows.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "p", "c")).alias("first")).where("n > 1")
         return materialise(found, "crowds")  # joined as the planner sees fit: a key of many rows is split
 
-    first = each.join(crowds(each, "key"), "key")
+    found = crowds(each, "key")
+    first = each.join(listed(found.select("key")), "key", "left_semi").join(found, "key")  # most keys are of one row, which isn't shuffled
     first = materialise(first, "shared")
     small = first.where(F.col("n") <= CROWD).select(F.col("key").alias("shard"), "doc_id", "p", "c")
     large = first.where(F.col("n") > CROWD)

@@ -225,3 +225,25 @@ def test_queries_deal_texts_by_their_size(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [("aa", 3000, 60), ("bb", 3000, 60)]
     built = library._index(spark, str(tmp_path))
     assert built.parts > 18 and {r["total_length"] for r in built.stats.where("field = 'body'").collect()} == {6000}
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["expanded_fusion", "expanded_fusion_batch", "ranked_metrics_whole", "rrf_fusion_whole", "unit_novelty_ndcg_whole", "protected_fusion_40_whole", "ablation_views", "bm25_topk", "lexical_lengths"],
+)
+def test_every_query_of_the_index_deals_texts_by_their_size(spark, data, monkeypatch, name):
+    from gleaner.plans import queries as library
+
+    class Built(Exception):
+        pass
+
+    def saved(self, path=None):
+        raise Built([(self.parts, field._jdf.queryExecution().toString()) for field in self.fields])
+
+    monkeypatch.setattr(lexical, "TEXT", 1000)
+    monkeypatch.setattr(lexical.LexicalIndex, "saved", saved)
+    with pytest.raises(Built) as found:
+        getattr(library, name)(spark, data)
+    (fields,) = found.value.args
+    size = library.passages(spark, data).selectExpr("sum(octet_length(text)) + sum(octet_length(path))").first()[0]
+    assert len(fields) == 2 and all(parts == -(-size // 1000) and f", {parts}), REPARTITION_BY_NUM" in plan for parts, plan in fields)

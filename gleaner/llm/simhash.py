@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.prefixes import candidates, prefixes
 from gleaner.llm.tasks import column, hook, listed, mix64, pack_sorted, release, slices, unpack_sorted, utf8, without
 from gleaner.operators.components import connected_components
 from gleaner.session import materialise
@@ -395,17 +396,21 @@ def other_groups(ids: np.ndarray, p: np.ndarray, c: np.ndarray, root: np.ndarray
     return number[of].view(np.int64), ids[who]
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(sets: list[np.ndarray], similarity: float, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places of sorted sets with a Jaccard similarity of ``similarity`` or more that span all such pairs.
 
     Common hashes of a set and all before it are counted from postings, so no two sets are compared by themselves.
+    Sets of one ``root``, if it is given, are joined already; those of the most frequent one, which then must come first, aren't compared.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
-    parent, found = np.arange(n), []
+    parent, found, joined = np.arange(n), [], 1
+    if root is not None and n:
+        _, first, which = np.unique(root, return_index=True, return_inverse=True)
+        parent, joined = first[which], max(1, int((root == root[0]).sum()))
     _, token, df = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
     postings = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
     first, ends = np.cumsum(df) - df, np.cumsum(sizes)
-    for k in range(1, n):
+    for k in range(joined, n):
         own = token[ends[k] - sizes[k] : ends[k]]
         many = df[own]
         at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -470,8 +475,9 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
     within each shard. A shard gives the forest of its nearest pairs; each of these is verified
     by the whole shingle sets. A second round verifies every candidate pair that these links haven't joined, whichever was nearer and
     whatever part of a crowd it is in: it sends the sets of a group that such pairs connect to one place, a row for each document, and
-    returns pairs that span the group's links. So links join what belongs together, but where no key is shared (0.015 at 0.8) or bits differ by chance. Rows
-    without an id are left out; documents without words are similar. Of an id that repeats any text counts.
+    returns pairs that span the group's links. What shares no key (0.015 at 0.8) or differs in bits by chance is left to a third round,
+    which is exact: sets that share a token of their prefixes (:mod:`gleaner.llm.prefixes`) and aren't joined yet are compared
+    likewise. So links join all that belong together, and nothing else. Rows without an id are left out; documents without words are similar. Of an id that repeats any text counts.
     """
     rows = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
@@ -523,11 +529,14 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
         return pa.table({"group": pa.array(number, pa.int64()), "doc_id": pa.array(who, pa.int64())})
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
-        a, b = similar_pairs([unpack_sorted(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity)
+        ids, root = (group.column(x).to_numpy() for x in ("doc_id", "root"))
+        _, which, many = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((which, -many[which]))  # the largest class comes first
+        shingles, ids = group.column("shingles"), ids[order]
+        a, b = similar_pairs([unpack_sorted(shingles[k].as_py(), np.uint64) for k in order.tolist()], similarity, root[order])
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    def grouped(left: DataFrame) -> DataFrame:
+    def grouped(left: DataFrame, roots: DataFrame) -> DataFrame:
         groups = materialise(left.distinct(), "groups")
         wanted = materialise(groups.select("doc_id").distinct(), "wanted")
         shingles = materialise(rows.join(listed(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
@@ -537,11 +546,18 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ta
         dealt = groups.join(parts, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("pack"), "doc_id")
+        dealt = dealt.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         return materialise(dealt, "packs").join(shingles, "doc_id").groupBy("pack").applyInArrow(compare, "a long, b long")
 
     sure = materialise(verified(found), "links")
-    left = _unjoined(shared, connected_components(sure, "a", "b")).groupBy("shard").applyInArrow(others, "group long, doc_id long")
-    return sure.unionByName(grouped(left))
+    roots = connected_components(sure, "a", "b")
+    left = _unjoined(shared, roots).groupBy("shard").applyInArrow(others, "group long, doc_id long")
+    sure = materialise(sure.unionByName(grouped(left, roots)), "links")
+    # what shares no key, or differs in bits by chance, is found by what similar sets must share
+    roots = connected_components(sure, "a", "b")
+    rest = candidates(prefixes(rows, lambda text: shingle_set(text, shingle), similarity), roots, similarity)
+    rest = connected_components(rest, "a", "b").select(F.col("root").alias("group"), F.col("node").alias("doc_id"))
+    return sure.unionByName(grouped(rest, roots))
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -300,3 +300,48 @@ def test_groups_of_large_sets_are_compared_in_parts(spark, monkeypatch):
     rows = unlike_crowd(60)
     root = similar_brute(rows)
     assert components(sorted(root), [(r["a"], r["b"]) for r in similar_links(frame(spark, rows)).collect()]) == root
+
+
+def test_similar_documents_that_share_no_key_or_sketch(spark):
+    """Copies a little above the threshold are all found, those too whose keys and bits differ, and with keys that find hardly any."""
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+        common = [f"c{x}" for x in range(40)]
+        rows.append((3 * k, " ".join(words + common)))
+        for c in (1, 2):
+            copy = list(words)
+            for at in rnd.sample(range(120), 3):
+                copy[at] = f"new{rnd.randint(0, 10**9)}"
+            rows.append((3 * k + c, " ".join(copy + common)))
+    root = similar_brute(rows)
+    docs = frame(spark, rows)
+    assert 70 < sum(a != b for a, b in root.items()) <= 120
+    for options in ({}, {"tables": 2, "share": 6, "apart": 12}):
+        links = [(r["a"], r["b"]) for r in similar_links(docs, **options).collect()]
+        assert components(sorted(root), links) == root
+
+
+def test_prefixes_lose_no_similar_sets(monkeypatch):
+    """Sets of all sizes, with rare and frequent tokens: whatever is similar meets at a token, in places of any size."""
+    from gleaner.llm import prefixes, simhash
+
+    rnd = np.random.default_rng(3)
+    for few in (32, 3):
+        monkeypatch.setattr(prefixes, "FEW", few)
+        base = [rnd.choice(400, rnd.integers(1, 60), replace=False) for _ in range(40)]
+        sets = [np.unique(np.where(rnd.random(len(x)) < 0.08, rnd.integers(400, 5000, len(x)), x)).astype(np.uint64) for x in base for _ in range(4)]
+        size = np.array([len(x) for x in sets])
+        token, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, at, times = np.unique(token, return_inverse=True, return_counts=True)
+        some = times[at] > 1
+        which, place = prefixes.prefix_places(size, own[some], token[some], times[at][some], 0.8)
+        key, who = token[some][which].view(np.int64), own[some][which]
+        a, b = prefixes.meeting(key, np.ones(len(key), bool), size[who], place, who, 0.8)
+        found = components(range(len(sets)), zip(who[a].tolist(), who[b].tolist()))
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+        assert len(near) > 40 and all(found[i] == found[j] for i, j in near)
+        assert len(set(found.values())) > 20

@@ -60,18 +60,21 @@ def lexical_violations(postings: DataFrame, lengths: DataFrame, stats: DataFrame
     summed = postings.groupBy("field", "id").agg(F.sum("tf").alias("sum"))
     total = lengths.groupBy("field").agg(F.sum("length").alias("sum"), F.count("*").alias("rows"))
     term = F.col("term")
-    return _gather(
+    # what is told by a posting alone, and by the lengths and their sums, is looked for in one pass each
+    wrong = {"term": (F.length(term) == 0) | (term != F.lower(term)), "frequency": ~F.coalesce(F.col("tf") > 0, F.lit(False))}
+    rules = F.array_compact(F.array(*[F.when(holds, F.lit(rule)) for rule, holds in wrong.items()]))
+    alone = postings.where(wrong["term"] | wrong["frequency"]).select(F.explode(rules).alias("rule"), term.cast("string").alias("subject"))
+    both = lengths.withColumn("told", F.lit(True)).join(summed, ["field", "id"], "full")
+    rule = F.when(F.col("told").isNull(), "length missing").when(F.coalesce("sum", F.lit(0)) != F.col("length"), "length")
+    measured = both.select(rule.alias("rule"), F.col("id").cast("string").alias("subject")).where("rule is not null")
+    return alone.unionByName(measured).unionByName(_gather(
         {
             "posting repeated": postings.groupBy("field", "term", "id").count().where("count > 1").select("term"),
-            "term": postings.where((F.length(term) == 0) | (term != F.lower(term))).select("term"),
-            "frequency": postings.where(~F.coalesce(F.col("tf") > 0, F.lit(False))).select("term"),
-            "length": lengths.join(summed, ["field", "id"], "left").where(F.coalesce("sum", F.lit(0)) != F.col("length")).select("id"),
-            "length missing": summed.join(lengths, ["field", "id"], "left_anti").select("id"),
             "statistics": stats.join(total, "field", "full").where(~(F.col("total_length").eqNullSafe(F.col("sum")) & F.col("n").eqNullSafe(F.col("rows")))).select("field"),
             "passage without lengths": passages.select(F.col("passage_id").alias("id")).join(lengths, "id", "left_anti"),
             "lengths without passage": lengths.select("id").distinct().join(passages.select(F.col("passage_id").alias("id")), "id", "left_anti"),
         }
-    )
+    ))
 
 
 def number_violations(numbered: DataFrame, passages: DataFrame) -> DataFrame:

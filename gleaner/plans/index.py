@@ -158,8 +158,10 @@ def _write_read_path(spark: SparkSession, at: str, passages: DataFrame, stored:
     lexical.lengths.write.parquet(f"{at}/lengths")
     lexical.stats.write.parquet(f"{at}/stats")
     spark.range(1).select(F.lit(lexical.parts).alias("buckets")).write.parquet(f"{at}/layout")
-    n, df = kept.count(), F.count("*")
-    lexical.postings.where("field = 'body'").groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/rarity")
+    n, df = kept.count(), F.col("df")
+    lexical.postings.groupBy("field", "term").agg(F.count("*").alias("df")).write.parquet(f"{at}/frequency")
+    counted = spark.read.parquet(f"{at}/frequency").where("field = 'body'")
+    counted.select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/rarity")
 
 
 class Index:
@@ -192,7 +194,7 @@ class Index:
     def by_number(self) -> LexicalIndex:
         """Postings, in their buckets, and lengths by the number of the passage."""
         path = f"{self.root}/generations/{self.generation}/postings"
-        return LexicalIndex(buckets_at(self.spark, path, "id", self.table("layout").first()["buckets"]), self.table("lengths"), self.table("stats"))
+        return LexicalIndex(buckets_at(self.spark, path, "id", self.table("layout").first()["buckets"]), self.table("lengths"), self.table("stats"), frequency=self.table("frequency"))
 
     def numbered(self) -> DataFrame:
         """Passages with ``id``, their number in the order of source and place."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.errors import Code, EngineError
 from gleaner.operators.excerpt import excerpts
 from gleaner.operators.fusion import fuse, protect, rerank_cutoff
-from gleaner.operators.lexical import bm25, query_terms, top
+from gleaner.operators.lexical import bm25_top, query_terms
 from gleaner.operators.similarity import cosine_top
 from gleaner.plans.index import Index
 from gleaner.plans.models import Live, Models
@@ -122,7 +122,7 @@ def search(
     passages, posted = index.numbered(), index.by_number()
     names = F.broadcast(variants.select(F.col("variant").alias("query_id"), F.col("query_id").alias("q"), "channel", "is_original"))
     terms = query_terms(variants.where("kind = 'lex'"), "variant", "text")
-    lexical = top(bm25(posted, terms), DEPTH)
+    lexical = bm25_top(posted, terms, DEPTH)
     near = cosine_top(variants.where("kind = 'vec'").select(F.col("variant").alias("id"), "v"), index.packed(), DEPTH)
     lists = lexical.unionByName(near).join(names, "query_id").select(F.col("q").alias("query_id"), "channel", "is_original", "id", "rank")
     lists = materialise(lists, "lists")  # some rows a query, joined to passages as what they are

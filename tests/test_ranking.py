@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import text
 from gleaner.operators import baseline, excerpt, fusion, lexical, similarity
 from tests.windows import best_window, occurrences
 
@@ -247,3 +248,28 @@ def test_every_query_of_the_index_deals_texts_by_their_size(spark, data, monkeyp
     (fields,) = found.value.args
     size = library.passages(spark, data).selectExpr("sum(octet_length(text)) + sum(octet_length(path))").first()[0]
     assert len(fields) == 2 and all(parts == -(-size // 1000) and f", {parts}), REPARTITION_BY_NUM" in plan for parts, plan in fields)
+
+
+@pytest.mark.parametrize("held, most", [(1 << 21, 1 << 20), (40, 1 << 20), (1 << 21, 5)])
+def test_best_of_a_batch_are_those_of_all_scores(spark, monkeypatch, held, most):
+    """Sums in matrices of any size give the rows that all scores give, ties by id; larger batches are joined."""
+    rnd = random.Random(2)
+    words = [f"w{k}" for k in range(25)]
+    rows = [(k, " ".join(rnd.choices(words, range(25, 0, -1), k=rnd.randint(0, 12))), f"a/{k % 7}/w{k % 3}.md") for k in range(300)]
+    rows += [(300 + k, rows[k][1], rows[k][2]) for k in range(60)] + [(400, None, "none.md")]
+    index = lexical.build_index(spark.createDataFrame(rows, "id long, body string, path string"), "id", {"body": "body", "path": "path"}).saved()
+    asked = spark.createDataFrame([(9 * q, " ".join(rnd.sample(words + ["nowhere"], rnd.randint(1, 8)))) for q in range(30)] + [(1000, ""), (1001, "nowhere")], "id long, text string")
+    terms = lexical.query_terms(asked, "id", "text")
+    want = lexical.top(lexical.bm25(index, terms), 10).collect()
+    monkeypatch.setattr(lexical, "HELD", held)
+    monkeypatch.setattr(lexical, "ASKED", most)
+    assert sorted(lexical.bm25_top(index, terms, 10).collect()) == sorted(want) and len(want) > 200
+    assert lexical.bm25_top(index, terms.where("query_id > 999"), 10).count() == 0
+
+
+def test_terms_of_a_text_are_those_of_its_matches(spark):
+    """Texts that are told to need no splitting give what splitting every match gives."""
+    texts = ["Plain words. Here, and 12 there", "a-b c", "getUser", "HTTPServer", "x. Y", "_a B_", "a_ b", "q@", "ÄÖ aÄ", "x:/ y", "İx ß", "", "A"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    split = F.flatten(F.transform(text.matches(F.col("t")), text.match_terms))
+    assert all(r["a"] == r["b"] for r in df.select(text.terms(F.col("t")).alias("a"), split.alias("b")).collect())

@@ -345,3 +345,26 @@ def test_prefixes_lose_no_similar_sets(monkeypatch):
         near = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
         assert len(near) > 40 and all(found[i] == found[j] for i, j in near)
         assert len(set(found.values())) > 20
+
+
+def test_prefixes_of_texts_in_blocks_and_slices(spark, monkeypatch):
+    """Tokens counted in blocks and slices of any size give the prefixes of the whole table."""
+    from gleaner.llm import prefixes, simhash
+
+    rows = [(k % 50, " ".join(f"w{x % 23}" for x in range(k, k + k % 37))) for k in range(120)] + [(200, None), (201, "alone of all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens = lambda text: simhash.shingle_set(text, 3)
+    sets = [tokens(t) for _, t in rows]
+    df = {}
+    for x in np.concatenate(sets).tolist():
+        df[x] = df.get(x, 0) + 1
+    want = []
+    for (d, _), own in zip(rows, sets):
+        ranked = sorted(own.tolist(), key=lambda x: (df[x], x))
+        shared = sum(df[x] > 1 for x in ranked)
+        least = -(-8 * len(own) // 10)
+        want += [(x, d, len(own), at) for at, x in enumerate(ranked[: len(own) - least + 1]) if df[x] > 1 and shared >= least]
+    for block, piece in ((1 << 20, 1 << 21), (40, 30)):
+        monkeypatch.setattr(prefixes, "BLOCK", block)
+        monkeypatch.setattr(prefixes, "SLICE", piece)
+        assert sorted(map(tuple, prefixes.prefixes(docs, tokens, 0.8).collect())) == sorted(want) and len(want) > 100
